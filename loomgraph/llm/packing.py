@@ -19,9 +19,9 @@ _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 LIMIT = 1024
 #: What a cut costs, in padded tokens: after a document nothing, after a sentence little, elsewhere more.
-SENTENCE, ANYWHERE = 6, 48
+SENTENCE, ANYWHERE = 2, 6
 #: A stretch without a sentence end gets cut points this far apart.
-STRIDE = 64
+STRIDE = 32
 #: So many tokens are laid out at a time.
 CHUNK = 400_000
 
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     A document is its ids and id 0.  Each partition is laid out by itself in one pass, without a shuffle; a sequence id
     holds the partition's number in its upper bits.  Null and empty texts are the id 0 alone; a null doc_id stays null;
     repeated rows are packed once each; other columns are ignored; an empty table gives no pieces.  A text of any
-    length is cut at sentence ends, and at every 64th token where it has none.
+    length is cut at sentence ends, and at every 32nd token where it has none.
     """
 
     def run(batches):
