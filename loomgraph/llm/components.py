@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 
-def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
-    return edges.join(least, "u")
-
-
-def _measure(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: no node hangs on two others, or on one that hangs itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return per.where("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,19 +28,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     spark = edges.sparkSession
     first = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now, path = cut(first, "edges")
-    seen = _measure(now)
-    while seen[0]:
+    while not _settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, p1 = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
-        large, p2 = cut(_joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large, p2 = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least2, p3 = cut(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        hung = _joined(large, least2)
-        small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least2.select("u", F.col("m").alias("v")))
-        new, p4 = cut(small.distinct(), "edges")
+        hung = large.join(least2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new, p4 = cut(hung.union(least2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         for p in (path, p1, p2, p3):
             drop(spark, p)
-        now, path, was = new, p4, seen
-        if (seen := _measure(now)) == was:
-            break
+        now, path = new, p4
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
