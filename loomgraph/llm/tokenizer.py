@@ -59,6 +59,10 @@ class Pieces(dict):
             self[token] = ids
         return ids
 
+    def count(self, token: bytes) -> int:
+        """The number of pieces of one pre-token, given as UTF-8."""
+        return len(self._encode(token))
+
     def parts(self, text: str) -> list[str]:
         """The text between special strings, and those strings, in turn."""
         if self._cut is None or not any(s in text for s in self.special):
