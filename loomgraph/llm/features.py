@@ -62,10 +62,18 @@ def style_vector(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(values)
 
 
+#: Lengths, in bytes, of the word beginnings that are features beside whole words.
+BEGINNINGS = (5, 6, 7)
+
+
 def word_set(text: bytes | None) -> np.ndarray:
-    """Buckets of the distinct words of a text."""
+    """Buckets of the distinct words of a text and of their beginnings."""
     words = set(plain_words(text))
-    return np.unique(_mixed(_hashes(list(words)), 1)) if words else np.empty(0, np.int64)
+    if not words:
+        return np.empty(0, np.int64)
+    parts = [_mixed(_hashes(list(words)), 1)]
+    parts += [_mixed(_hashes(list({w[:n] for w in words if len(w) >= n})), 10 + n) for n in BEGINNINGS]
+    return np.unique(np.concatenate(parts))
 
 
 def smallest(ids: DataFrame, rows: int) -> DataFrame:

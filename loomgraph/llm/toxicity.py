@@ -13,8 +13,8 @@ from .features import BITS, smallest, word_set
 #: Confirmed toxic and unlabelled documents learnt from, at most.
 POSITIVE_ROWS, UNLABELLED_ROWS = 2_500, 8_000
 STEPS, CUT = 300, 0.3
-#: A word must stand in so many positive documents at least.
-LEAST = 3
+#: A feature must stand in so many positive documents, and in one of so many of them, at least.
+LEAST, ONE_OF = 3, 150
 _SCHEMA = "doc_id long, score double, predicted int"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -40,7 +40,7 @@ class _Rows:
         return np.bincount(self.at, g[self.row], minlength=size)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = 0.1, l1: float = 2e-4, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = 0.1, l1: float = 4e-4, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets, weights and constant of a linear classifier that minimises the non-negative risk
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) under the logistic loss l, by Adam and soft thresholds.
     Where the corrected part is negative the step goes against it."""
@@ -48,7 +48,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     if not positive or not unlabelled:
         return empty
     seen = np.bincount(np.concatenate(positive), minlength=1 << BITS)
-    inside = np.flatnonzero(seen >= min(least, len(positive)))
+    inside = np.flatnonzero(seen >= min(max(least, len(positive) // ONE_OF), len(positive)))
     column = np.full(1 << BITS, -1, np.int64)
     column[inside] = np.arange(len(inside))
     p, u, size = _Rows(positive, column), _Rows(unlabelled, column), len(inside)
