@@ -80,7 +80,8 @@ def ask(kind: Column, p: Column) -> Column:
 
 def cloud_score(answer: Column, fallback: float = 0.5) -> Column:
     """A rubric answer 0 to 3 in JSON; what is missing or unreadable counts as the fallback."""
-    return F.coalesce(F.least(F.get_json_object(answer, "$.score").try_cast("double") / 3, F.lit(1.0)), F.lit(fallback))
+    raw = F.get_json_object(answer, "$.score").try_cast("double")
+    return F.when(raw.isNull(), F.lit(fallback)).otherwise(F.least(raw / 3, F.lit(1.0)))
 
 
 def cloud_noul(answer: Column, fallback: float = 0.5) -> Column:

@@ -34,7 +34,7 @@ def chunks(docs: DataFrame, threshold: float = 0.85, least: int = 2, scorer: d.S
 
     def step(acc, i):
         here = F.col("s")[i]
-        apart = (1 - scorer(F.coalesce(F.element_at(acc["now"], -1), F.lit("")), here)) >= threshold
+        apart = (1 - scorer(F.coalesce(F.try_element_at(acc["now"], F.lit(-1)), F.lit("")), here)) >= threshold
         border = apart & (F.size(acc["now"]) >= least)
         return F.struct(
             F.when(border, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"]).alias("done"),

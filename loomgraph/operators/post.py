@@ -59,9 +59,9 @@ def check(contexts: DataFrame, claim: Column, threshold: float, scorer: d.Scorer
 
 def compare(prompts: DataFrame, a: d.Scorer = d.lexical, b: d.Scorer = d.trigram) -> DataFrame:
     """prompts(id, context, instruction) with both scores and their distance."""
-    both = prompts.select(
-        "id", F.substring("context", 1, 200).alias("context"), F.substring("instruction", 1, 200).alias("instruction"),
-        F.round(d.score(d.probabilities(a(F.col("context"), F.col("instruction")))), 6).alias("a"), F.round(d.score(d.probabilities(b(F.col("context"), F.col("instruction")))), 6).alias("b"))
+    score_of = lambda scorer: F.round(d.score(d.probabilities(scorer(F.col("context"), F.col("instruction")))), 6)
+    scored = prompts.select("id", F.col("context").alias("_context"), F.col("instruction").alias("_instruction"), score_of(a).alias("a"), score_of(b).alias("b"))
+    both = scored.select("id", F.substring("_context", 1, 200).alias("context"), F.substring("_instruction", 1, 200).alias("instruction"), "a", "b")
     return both.withColumn("delta", F.round(F.abs(F.col("a") - F.col("b")), 4))
 
 
