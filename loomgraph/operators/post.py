@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import decision as d
@@ -67,3 +67,21 @@ def compare(prompts: DataFrame, a: d.Scorer = d.lexical, b: d.Scorer = d.trigram
 
 def comparison_stats(log: DataFrame, agree: float = 0.05) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 4).alias("mean_delta"), F.round(F.max("delta"), 4).alias("max_delta"), F.round(F.avg((F.col("delta") < agree).cast("double")), 3).alias("agreement"))
+
+
+LOG = "timestamp string, primitive string, id long, context string, instruction string, a double, b double, delta double"
+
+
+def write_log(log: DataFrame, path: str, primitive: str = "score") -> None:
+    """Append a comparison to a JSON-lines log."""
+    log.select(F.current_timestamp().cast("string").alias("timestamp"), F.lit(primitive).alias("primitive"), "id", "context", "instruction", "a", "b", "delta").write.mode("append").json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log with all its variants: fields that a line lacks are null, blank lines are left out."""
+    return spark.read.schema(LOG).json(path).where("delta is not null")
+
+
+def primary(log: DataFrame, name: str = "a") -> DataFrame:
+    """id and the primary scorer's score; any other name than a means b."""
+    return log.select("id", (F.col("a") if name == "a" else F.col("b")).alias("score"))

@@ -148,3 +148,17 @@ def beam(store: GraphStore, starts: DataFrame, depth: int, width: int, config: E
         out = step if out is None else out.unionByName(step)
         front = kept.select("query_id", "question", F.col("tgt").alias("src"))
     return out
+
+
+def walk_greedily(store: GraphStore, starts: DataFrame, target: str, max_depth: int = 4) -> DataFrame:
+    """query_id, seed, path: the greedy walk of each start over its scored neighbourhood."""
+    near = neighbourhood(store, starts, max_depth).distinct()
+
+    def replay(frame: pd.DataFrame) -> pd.DataFrame:
+        edges: dict[str, list] = {}
+        for r in frame.sort_values(["src", "tgt", "rel_type"]).itertuples():
+            edges.setdefault(r.src, []).append((r.tgt, r.score, r.pagerank))
+        first = frame.iloc[0]
+        return pd.DataFrame([(first.query_id, first.seed, greedy(edges, first.seed, target, max_depth))], columns=["query_id", "seed", "path"])
+
+    return near.groupBy("query_id", "seed").applyInPandas(replay, "query_id long, seed string, path array<string>")

@@ -130,34 +130,29 @@ def cosine_pairs(spark, sf_dir):
 
 # --- algorithms
 
-_SMALL = "small AS (SELECT DISTINCT src, tgt FROM edges WHERE rel_type IN ('PART_OF') OR src LIKE 'supplier:%')"
-_OUT = "names AS (SELECT src AS name FROM small UNION SELECT tgt FROM small), deg AS (SELECT src, count(*) AS o FROM small GROUP BY src), nn AS (SELECT count(*)::DOUBLE AS n FROM names), r0 AS (SELECT name, {r0} AS r FROM names, nn)"
+_OUT = "links AS MATERIALIZED (SELECT src, tgt, count(*) OVER (PARTITION BY src) AS o FROM (SELECT DISTINCT src, tgt FROM edges)), names AS MATERIALIZED (SELECT src AS name FROM links UNION SELECT tgt FROM links), nn AS (SELECT count(*)::DOUBLE AS n FROM names), r0 AS (SELECT name, {r0} AS r FROM names, nn)"
 
 
 def _steps(mode: str, n: int) -> str:
     out = []
     for i in range(n):
-        flow = f"coalesce((SELECT sum(r / o) FROM small s JOIN deg ON deg.src = s.src JOIN r{i} q ON q.name = s.src WHERE s.tgt = names.name), 0)"
+        out.append(f"f{i} AS (SELECT tgt, sum(r / o) AS f FROM links JOIN r{i} ON name = src GROUP BY tgt)")
         if mode == "nx":
-            loose = f"(SELECT coalesce(sum(r), 0) FROM r{i} WHERE name NOT IN (SELECT src FROM small))"
-            out.append(f"r{i + 1} AS MATERIALIZED (SELECT name, (1 - 0.85) / n + 0.85 * ({flow} + {loose} / n) AS r FROM names, nn)")
+            out.append(f"l{i} AS (SELECT coalesce(sum(r), 0) AS l FROM r{i} ANTI JOIN links ON name = src)")
+            out.append(f"r{i + 1} AS MATERIALIZED (SELECT name, (1 - 0.85) / n + 0.85 * (coalesce(f, 0) + l / n) AS r FROM names LEFT JOIN f{i} ON name = tgt, nn, l{i})")
         else:
-            out.append(f"r{i + 1} AS MATERIALIZED (SELECT name, (1 - 0.85) + 0.85 * {flow} AS r FROM names, nn)")
+            out.append(f"r{i + 1} AS MATERIALIZED (SELECT name, (1 - 0.85) + 0.85 * coalesce(f, 0) AS r FROM names LEFT JOIN f{i} ON name = tgt)")
     return ", ".join(out)
 
 
-def _small(spark, sf_dir):
-    return business_graph(spark, sf_dir).edges.where("rel_type = 'PART_OF' or src like 'supplier:%'")
-
-
-@query(f"{GRAPH}, {_SMALL}, {_OUT.format(r0='1.0 / n')}, {_steps('nx', 5)} SELECT name, round(r, 6) AS pagerank FROM r5")
+@query(f"{GRAPH}, {_OUT.format(r0='1.0 / n')}, {_steps('nx', 5)} SELECT name, round(r, 6) AS pagerank FROM r5")
 def pagerank_nx(spark, sf_dir):
-    return algorithms.pagerank(_small(spark, sf_dir), iterations=5).select("name", F.round("pagerank", 6).alias("pagerank"))
+    return algorithms.pagerank(business_graph(spark, sf_dir).edges, iterations=5).select("name", F.round("pagerank", 6).alias("pagerank"))
 
 
-@query(f"{GRAPH}, {_SMALL}, {_OUT.format(r0='1 - 0.85')}, {_steps('gds', 5)} SELECT name, round(r, 6) AS pagerank FROM r5")
+@query(f"{GRAPH}, {_OUT.format(r0='1 - 0.85')}, {_steps('gds', 5)} SELECT name, round(r, 9) AS pagerank FROM r5")
 def pagerank_gds(spark, sf_dir):
-    return algorithms.pagerank(_small(spark, sf_dir), iterations=5, mode="gds").select("name", F.round("pagerank", 6).alias("pagerank"))
+    return algorithms.pagerank(business_graph(spark, sf_dir).edges, iterations=5, mode="gds").select("name", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query(f"{GRAPH}, p AS (SELECT tgt AS c, least(min(src), tgt) AS community FROM edges WHERE rel_type = 'PLACED_BY' GROUP BY tgt) SELECT c AS name, community FROM p UNION SELECT src, community FROM edges JOIN p ON tgt = c WHERE rel_type = 'PLACED_BY'")
@@ -248,13 +243,12 @@ def entity_merge_fold(spark, sf_dir):
     return ingest.merge_names(p.select("label", (F.col("a") * 1_000_000 + F.col("b")).alias("ord"), F.concat(F.lit("v"), "a").alias("a"), F.concat(F.lit("v"), "b").alias("b"), F.col("sim").alias("score")), "label")
 
 
-@query(f"{GRAPH}, s AS (SELECT src, tgt, rel_type, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges WHERE rel_type <> 'CONTAINS') SELECT src, tgt, rel_type, score, score >= 0.3 AS kept FROM s")
+@query(f"{GRAPH}, s AS (SELECT src, tgt, rel_type, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges) SELECT src, tgt, rel_type, score, score >= 0.3 AS kept FROM s")
 def edge_verify(spark, sf_dir):
-    e = business_graph(spark, sf_dir).edges.where("rel_type <> 'CONTAINS'").select(*EDGE)
-    return ingest.verify(e, F.lit(ASKED)).select("src", "tgt", "rel_type", "score", "kept")
+    return ingest.verify(business_graph(spark, sf_dir).edges.select(*EDGE), F.lit(ASKED)).select("src", "tgt", "rel_type", "score", "kept")
 
 
-@query(f"{GRAPH}, s AS (SELECT {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges WHERE rel_type <> 'CONTAINS') SELECT count(*) AS total_checked, count(*) FILTER (score < 0.3) AS pruned, count(*) FILTER (score >= 0.3) AS kept FROM s")
+@query(f"{GRAPH}, s AS (SELECT {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges) SELECT count(*) AS total_checked, count(*) FILTER (score < 0.3) AS pruned, count(*) FILTER (score >= 0.3) AS kept FROM s")
 def edge_verify_stats(spark, sf_dir):
     return ingest.verification_stats(edge_verify(spark, sf_dir))
 
@@ -352,7 +346,7 @@ def bestfirst_tree(spark, sf_dir):
 @query()
 def bestfirst_general(spark, sf_dir):
     store = business_graph(spark, sf_dir)
-    starts = read(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("orders:"), "o_orderkey").alias("seed"))
+    starts = read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("orders:"), "o_orderkey").alias("seed"))
     return retrieve.traverse(store, starts)
 
 
@@ -453,3 +447,29 @@ def ablation_compare(spark, sf_dir):
 @query(f"SELECT count(*) AS n, round(avg(delta), 4) AS mean_delta, round(max(delta), 4) AS max_delta, round(avg((delta < 0.05)::INT::DOUBLE), 3) AS agreement FROM ({_AB})")
 def ablation_log_stats(spark, sf_dir):
     return post.comparison_stats(post.compare(_prompts(spark, sf_dir)))
+
+
+@query(f"SELECT id, a AS score FROM ({_AB})")
+def ablation_primary(spark, sf_dir):
+    return post.primary(post.compare(_prompts(spark, sf_dir)))
+
+
+@query(f"{_TURNED}, p AS (SELECT query_id, seed || ' → ' || tgt AS way, 'region ' || query_id || ' nation ' || tgt AS question FROM st JOIN se ON src = seed) SELECT query_id, way, round({_overlap('question', 'way')} * {_overlap('question', 'way')}, 6) AS p, {_overlap('question', 'way')} * {_overlap('question', 'way')} > 0.95 AS stops FROM p")
+def early_exit(spark, sf_dir):
+    e = retrieve.scored_edges(_reverse(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
+    way = F.array_join(F.array("src", "tgt"), " → ")
+    question = F.concat(F.lit("region "), F.col("query_id"), F.lit(" nation "), F.col("tgt"))
+    p = d.noul(d.probabilities(d.lexical(question, way)))
+    return e.select("query_id", way.alias("way"), F.round(p, 6).alias("p"), (p > 0.95).alias("stops"))
+
+
+@query()
+def greedy(spark, sf_dir):
+    store = business_graph(spark, sf_dir)
+    starts = read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("orders:"), "o_orderkey").alias("seed"))
+    return retrieve.walk_greedily(store, starts, "region:3")
+
+
+@query("WITH e AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type) SELECT * FROM e")
+def log_by_kind(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
