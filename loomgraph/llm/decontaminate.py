@@ -185,3 +185,20 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WIND
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans", "items")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WINDOWS = "unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS t"
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, m, {_WINDOWS} FROM b),
+sizes AS (SELECT DISTINCT m FROM p),
+o AS (SELECT k, m, unnest(range(0, len(w) - m + 1)) AS i, {_WINDOWS} FROM d, sizes WHERE len(w) >= m),
+h AS (SELECT k, i, m, item_id FROM o JOIN p USING (m, t)),
+n AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT k, unnest(range(i, i + m)) AS j FROM h) GROUP BY k),
+s AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (k) LEFT JOIN s USING (k)
+"""

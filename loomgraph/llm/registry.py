@@ -28,4 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE}
+    return {
+        "op2_url_filter": url_filter.ORACLE,
+        "op3_vector_dedup": vector_dedup.ORACLE,
+        "op10_decontaminate": decontaminate.ORACLE,
+    }
