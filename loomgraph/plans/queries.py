@@ -56,10 +56,10 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scans and changes
 
 
-@query(GRAPH + " SELECT src, tgt, rel_type, coalesce(pagerank, 0.0) AS pagerank FROM edges JOIN nodes ON name = tgt WHERE src LIKE 'supplier:%'")
+@query(GRAPH + " SELECT src, tgt, rel_type, coalesce(pagerank, 0.0) AS pagerank FROM edges JOIN nodes ON name = tgt")
 def neighbors_out(spark, sf_dir):
     store = business_graph(spark, sf_dir)
-    return store.neighbors(store.nodes.where("label = 'supplier'").select(F.col("name").alias("src")))
+    return store.neighbors(store.nodes.select(F.col("name").alias("src")))
 
 
 @query(GRAPH + " SELECT src, tgt, rel_type FROM edges ORDER BY ALL LIMIT 10000")
@@ -170,10 +170,10 @@ def kcore(spark, sf_dir):
     return algorithms.k_core(business_graph(spark, sf_dir).edges.where("rel_type = 'SUPPLIED_BY'"))
 
 
-@query(f"{GRAPH} SELECT e.src, count(*) AS n FROM edges e JOIN edges f ON e.tgt = f.src WHERE e.src LIKE 'orders:%' GROUP BY e.src")
+@query(f"{GRAPH} SELECT e.src, count(*) AS n FROM edges e JOIN edges f ON e.tgt = f.src GROUP BY e.src")
 def khop2_counts(spark, sf_dir):
     e = business_graph(spark, sf_dir).edges
-    return e.where("src like 'orders:%'").select("src", F.col("tgt").alias("via")).join(e.select(F.col("src").alias("via"), F.col("tgt").alias("far")), "via").groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return e.select("src", F.col("tgt").alias("via")).join(e.select(F.col("src").alias("via"), F.col("tgt").alias("far")), "via").groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TREE = "tree AS (SELECT tgt AS a, src AS b FROM edges WHERE rel_type = 'PART_OF' OR rel_type = 'LOCATED_IN')"
@@ -331,10 +331,10 @@ def bfs_gated(spark, sf_dir):
     return retrieve.bfs(_reverse(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
 
 
-@query(f"{_TURNED} SELECT src, tgt, round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * 2, 6) AS f FROM se WHERE src LIKE 'nation:%'")
+@query(f"{_TURNED} SELECT src, tgt, round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * 2, 6) AS f FROM se")
 def fscore(spark, sf_dir):
     store = _reverse(spark, sf_dir)
-    front = store.nodes.where("label = 'nation'").select(F.lit(0).cast("long").alias("query_id"), F.lit(ASKED).alias("question"), F.col("name").alias("src"))
+    front = store.nodes.select(F.lit(0).cast("long").alias("query_id"), F.lit(ASKED).alias("question"), F.col("name").alias("src"))
     return retrieve.scored_edges(store, front).select("src", "tgt", F.round(retrieve.f_score(F.col("score"), F.col("pagerank"), F.lit(2)), 6).alias("f"))
 
 
