@@ -37,8 +37,8 @@ def _expression(h: Column, p: Column) -> Column:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], prefix: int = 8, default: str = "allow") -> DataFrame:
     """Columns page_id, host, path, rule, verdict, for each row of `pages` (page_id, url).
 
-    Each host is expanded into its suffixes at label borders and each path into its prefixes of the lengths that rules
-    have.  The expressions meet the rules on the first `prefix` hex digits of their SHA-256; the whole digest confirms.
+    Each host is expanded into its suffixes at label borders, up to as many labels as the longest rule host has, and
+    each path into its prefixes of the lengths that rules have, so no url has more expressions than the rules allow.  The expressions meet the rules on the first `prefix` hex digits of their SHA-256; the whole digest confirms.
     The longest rule wins; of rules equally long the one with the longer host, then a block before an allow.  A url
     that is null, empty or without :// has an empty host and path, which no rule with a path fits: `default`.  A null
     page_id stays null; repeated rows are each returned; other columns are ignored; without rules all get `default`.
@@ -46,6 +46,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], prefix: int =
     spark = pages.sparkSession
     own = spark.createDataFrame([(h, p, v) for h, p, v in rules], "rule_host string, rule_path string, rule_verdict string")
     lengths = sorted({len(p) for _, p, _ in rules}) or [0]
+    most_labels = max((h.count(".") + 1 for h, _, _ in rules), default=1)
     digest = _digest(_expression(F.col("rule_host"), F.col("rule_path")))
     own = own.select(digest.substr(1, prefix).alias("short"), digest.alias("whole"), "rule_host", "rule_path", "rule_verdict").distinct()
 
@@ -53,7 +54,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], prefix: int =
     base = narrowed(pages, "page_id", "url").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     base = base.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most_labels + 1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     both = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: _expression(h, F.substring(F.col("path"), F.lit(1), n)))))
     each = base.select("*", F.explode_outer(both).alias("expression")).withColumn("digest", _digest(F.col("expression"))).withColumn("short", F.substring("digest", 1, prefix))

@@ -100,7 +100,7 @@ def test_packing_round_trip(docs, none):
 @pytest.mark.parametrize("most", [50_000, 0])
 def test_url_filter(spark, monkeypatch, most):
     monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
-    urls = [None, "", "no scheme", "http://", "http://a.COM/en/x?y://z", "https://www.example.com/en/1#t", "x://Example.com/en/", "http://example.com/EN/", "http://a.net/es/q", "http://net/fr/", "ftp://n.net?q=/es/", "http://xnet/es/", "http://m.www.example.com/en/", "http://a.com", "a://b.com/\n/x"]
+    urls = [None, "", "no scheme", "http://", "http://a.COM/en/x?y://z", "https://www.example.com/en/1#t", "x://Example.com/en/", "http://example.com/EN/", "http://a.net/es/q", "http://net/fr/", "ftp://n.net?q=/es/", "http://xnet/es/", "http://m.www.example.com/en/", "http://a.com", "a://b.com/\n/x", "http://" + "a." * 20_000 + "net/es/" + "x/" * 20_000, "http://..net/fr/", "http://.com./"]
     rows = [(i % 9 or None, u, "junk") for i, u in enumerate(urls + urls[:6])]
 
     def judged(u):
