@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import decision as d
 
+from .algorithms import written
+
 # The keys of the relation ontology, in the order that settles ties; the last is the fallback.
 ONTOLOGY_KEYS = [
     "EMPLOYED_BY", "FOUNDED", "MEMBER_OF", "LEADS", "DISCOVERED", "INVENTED", "PUBLISHED", "CONTRIBUTED_TO", "CAUSES", "PREVENTS", "INFLUENCES",
@@ -61,37 +65,79 @@ def capitalised(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), 0))
 
 
-def cosine_pairs(vectors: DataFrame, group: str, threshold: float) -> DataFrame:
-    """a < b of one group whose cosine exceeds the threshold; an equi-join on the group, never across groups."""
-    from loomgraph.sources.store import cosine
-
-    a = vectors.select(F.col("vec_id").alias("a"), group, F.col("embedding").alias("ea"))
-    b = vectors.select(F.col("vec_id").alias("b"), group, F.col("embedding").alias("eb"))
-    return a.join(b, group).where("a < b").select("a", "b", F.round(cosine(F.col("ea"), F.col("eb")), 6).alias("sim")).where(F.col("sim") > threshold)
+def cosine_pairs(vectors: DataFrame, group: str, threshold: float, keep_group: bool = False, slice_: int = 1024) -> DataFrame:
+    """a < b of one group whose cosine exceeds the threshold, never across groups.
+
+    Vectors travel in slices of about `slice_`, dealt by a hash of their id; slices of a group meet once, as a matrix
+    product, so a hot group is many tasks of bounded memory, and pairs below the threshold are never rows.
+    """
+    known = vectors.where(F.col("embedding").isNotNull() & F.col(group).isNotNull() & F.col("vec_id").isNotNull())
+    sizes = known.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / slice_).alias("_slices"))
+    dealt = known.join(sizes, group).select(group, "_slices", F.pmod(F.xxhash64("vec_id"), F.col("_slices")).alias("_slice"), F.struct(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).alias("row"))
+    slices = written(dealt.groupBy(group, "_slices", "_slice").agg(F.collect_list("row").alias("rows")))
+    left = slices.select(group, F.col("_slice").alias("s"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("_slice"), F.col("_slices") - 1)).alias("t"))
+    both = left.join(slices.select(group, F.col("_slice").alias("t"), F.col("rows").alias("b")), [group, "t"])
+    kind = dict(vectors.dtypes)[group]
+
+    def matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        flat = rows.values
+        return flat.field("id").to_numpy(zero_copy_only=False), np.stack([np.asarray(v.values, np.float64) for v in flat.field("v")])
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids_a, a), (ids_b, b) = matrix(batch.column(2)[i]), matrix(batch.column(3)[i])
+                length = lambda m: np.sqrt((m * m).sum(axis=1))
+                sim = np.round(a @ b.T / (np.outer(length(a), length(b)) + 1e-9), 6)
+                same = batch.column(1)[i].as_py()
+                x, y = np.nonzero(sim > threshold)
+                if same:  # each pair stands on both sides of the diagonal
+                    once = ids_a[x] < ids_b[y]
+                    x, y = x[once], y[once]
+                p, q = ids_a[x], ids_b[y]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(x), batch.schema.field(0).type), pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64()), pa.array(sim[x, y])], names=[group, "a", "b", "sim"])
+
+    found = both.select(group, (F.col("s") == F.col("t")).alias("same"), "a", "b").mapInArrow(compare, f"{group} {kind}, a long, b long, sim double")
+    return found if keep_group else found.drop(group)
+
+
+def _fold(frame: pd.DataFrame) -> tuple[dict[str, str], list[tuple]]:
+    """The canonical names after the pairs in order, and the log of merges."""
+    on: dict[str, str] = {}
+    log = []
+    for r in frame.sort_values("ord").itertuples():
+        a, b = on.get(r.a, r.a), on.get(r.b, r.b)
+        if a == b:
+            continue
+        winner, loser = (a, b) if len(a) >= len(b) else (b, a)
+        for k in {*on, r.a, r.b, a, b}:
+            if on.get(k, k) in (a, b):
+                on[k] = winner
+        log.append((loser, winner, r.score))
+    return on, log
 
 
 def merge_names(pairs: DataFrame, group: str) -> DataFrame:
     """group, loser, winner, score: the greedy fold over each group's candidate pairs (ord, a, b, score >= merging),
     in order; the longer canonical name wins, of equally long ones the first.  One group is one chunk's few pairs."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        on: dict[str, str] = {}
-        log = []
-        for r in frame.sort_values("ord").itertuples():
-            a, b = on.get(r.a, r.a), on.get(r.b, r.b)
-            if a == b:
-                continue
-            winner, loser = (a, b) if len(a) >= len(b) else (b, a)
-            for k in {*on, r.a, r.b, a, b}:
-                if on.get(k, k) in (a, b):
-                    on[k] = winner
-            log.append((getattr(r, group), loser, winner, r.score))
-        return pd.DataFrame(log, columns=[group, "loser", "winner", "score"])
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *x) for x in _fold(frame)[1]], columns=[group, "loser", "winner", "score"])
 
     kind = dict(pairs.dtypes)[group]
     return pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, loser string, winner string, score double")
 
 
+def canonical_names(pairs: DataFrame, group: str) -> DataFrame:
+    """group, name, canonical: what each merged name is called after the same fold."""
+
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], k, v) for k, v in _fold(frame)[0].items()], columns=[group, "name", "canonical"])
+
+    kind = dict(pairs.dtypes)[group]
+    return pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, name string, canonical string")
+
+
 def edge_text(src: Column, rel: Column, tgt: Column) -> Column:
     return F.concat_ws(" ", src, rel, tgt)
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.config import EngineConfig
 from loomgraph.functions import decision as d
-from loomgraph.operators import algorithms, ingest, post, retrieve
+from loomgraph.operators import algorithms, engine, ingest, post, retrieve
 from loomgraph.sources.business_graph import SQL as GRAPH
 from loomgraph.sources.business_graph import business_graph, read
 from loomgraph.sources.store import EDGE, cosine, vector_top_k
@@ -473,3 +474,25 @@ def greedy(spark, sf_dir):
 @query("WITH e AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type) SELECT * FROM e")
 def log_by_kind(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+# --- whole ways
+
+
+@query()
+def communities(spark, sf_dir):
+    return algorithms.communities(business_graph(spark, sf_dir).edges)
+
+
+@query()
+def ingest_graph(spark, sf_dir):
+    nodes = engine.build(read(spark, sf_dir, "documents")).nodes
+    return nodes.select("name", "label", F.col("props")["chunks"].cast("long").alias("chunks"), F.round("pagerank", 9).alias("pagerank"), "community_id")
+
+
+@query()
+def answer_routed(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("query_id"), F.concat(F.lit("supplier "), "s_suppkey", F.lit(" nation "), "s_nationkey").alias("about"))
+    how = F.when(F.col("query_id") % 3 == 0, F.lit("")).when(F.col("query_id") % 3 == 1, F.lit("how things connect ")).otherwise(F.lit("a summary "))
+    # Word overlap supports little of a question, so the gate is lower than a model's.
+    return engine.answer(business_graph(spark, sf_dir), s.select("query_id", F.concat(how, "about").alias("text")), config=EngineConfig(gate=0.2))

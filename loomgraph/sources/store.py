@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 EDGE = ["src", "tgt", "rel_type"]
 NODES_SCHEMA = "name string, label string, props map<string,string>, pagerank double, community_id bigint"
 EDGES_SCHEMA = "src string, tgt string, rel_type string, props map<string,string>"
-MOST_QUERIES = 4096
+#: Queries that travel at a time; vectors that meet them in one product.
+MOST_QUERIES, SLICE = 4096, 1024
 
 
 def merged(old: Column, new: Column) -> Column:
@@ -80,36 +82,67 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, vec_id, score, rank: the k best cosines of each query vector; ties go to the smaller id.
-
-    The queries (query, embedding) are a batch of at most 4096, checked, so they travel as one matrix to the vectors;
-    each Arrow batch is one matrix product that keeps its own k best, and only those are shuffled.
-    """
-    listed = queries.select("query", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(listed) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in batches")
-    schema = "query long, vec_id long, score double"
-    if not listed:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    names = np.array([r["query"] for r in listed])
-    matrix = np.array([r["embedding"] for r in listed], np.float64)
-    norms = np.sqrt((matrix * matrix).sum(axis=1))
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k largest scores and their ids, the smaller id first among equals; -inf marks an empty place."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        row, at = np.nonzero(scores >= least[:, None])
+    else:
+        row, at = np.indices(scores.shape).reshape(2, -1)
+    s, i = scores[row, at], ids[row, at]
+    order = np.lexsort((i, -s, row))
+    row, s, i = row[order], s[order], i[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    out_s, out_i = np.full((len(scores), k), -np.inf), np.zeros((len(scores), k), np.int64)
+    kept = place < k
+    out_s[row[kept], place[kept]], out_i[row[kept], place[kept]] = s[kept], i[kept]
+    return out_s, out_i
+
+
+def _nearest(vectors: DataFrame, listed: list, k: int) -> DataFrame:
+    """query, vec_id, score: the k best of each partition for one block of queries."""
+    names = np.array([r["query"] for r in listed], np.int64)
+    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r["embedding"] for r in listed], np.float64))
 
     def search(batches):
         import pyarrow as pa
 
+        matrix = sent.value
+        norms = np.sqrt((matrix * matrix).sum(axis=1))[:, None]
+        s, i = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            m = np.stack([np.asarray(x.values, np.float64) for x in b.column(1)])
-            s = np.round(m @ matrix.T / (np.sqrt((m * m).sum(axis=1))[:, None] * norms + 1e-9), 6)
-            for j, name in enumerate(names):
-                best = np.lexsort((ids, -s[:, j]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), name), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(s[best, j])], names=["query", "vec_id", "score"])
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                m = np.stack([np.asarray(x.values, np.float64) for x in part.column(1)])
+                new = np.round(matrix @ m.T / (norms * np.sqrt((m * m).sum(axis=1)) + 1e-9), 6)
+                s, i = _best(np.hstack([s, new]), np.hstack([i, np.broadcast_to(ids, new.shape)]), k)
+        q, place = np.nonzero(s > -np.inf)
+        for at in range(0, len(q), 50_000):
+            x, y = q[at : at + 50_000], place[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(i[x, y]), pa.array(s[x, y])], names=["query", "vec_id", "score"])
+
+    return vectors.mapInArrow(search, "query long, vec_id long, score double")
 
-    from loomgraph.functions.decision import ranked
 
-    near = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding").mapInArrow(search, schema)
-    return ranked(near, ["query"], F.desc("score"), F.col("vec_id")).where(F.col("rank") <= k)
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most: int = MOST_QUERIES) -> DataFrame:
+    """query, vec_id, score, rank: the k best cosines of each query vector; ties go to the smaller id.
+
+    The queries (query, embedding) travel to the vectors in blocks of at most `most`, one matrix each, and the driver
+    holds one block at a time.  Each partition keeps the k best of each query over all its rows, and only those are
+    shuffled.  With several blocks each one's result is written to the shared folder before the next is read.
+    """
+    from loomgraph.functions.decision import ranked
+    from loomgraph.operators.algorithms import written
+
+    known = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    rows = queries.where("embedding is not null").select("query", "embedding").toLocalIterator()
+    found = None
+    block = list(islice(rows, most))
+    while block:
+        near = ranked(_nearest(known, block, k), ["query"], F.desc("score"), F.col("vec_id")).where(F.col("rank") <= k)
+        block = list(islice(rows, most)) if len(block) == most else []
+        if block or found is not None:
+            near = written(near)
+        found = near if found is None else found.unionByName(near)
+    return vectors.sparkSession.createDataFrame([], "query long, vec_id long, score double, rank int") if found is None else found
