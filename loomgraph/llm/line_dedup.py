@@ -7,16 +7,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, narrowed, table, utf8
+from .common import batch, cut, drop, narrowed, table, utf8
 
 #: Leading words in a path of the tree; share of words that a line has in common with its template.
 DEPTH, SIMILARITY = 3, 0.8
 #: A template recurs if two documents hold it; one of fewer words than SHORT only if it has this support.
 SHORT, SHORT_SUPPORT = 8, 10
-#: A leaf with more distinct lines than this is split by further words.
+#: A leaf with more distinct lines than this is settled in rounds, by tasks of about so many lines.
 FULL = 20_000
 FIELD = b"<*>"
 NOBODY = (1 << 63) - 1
@@ -25,6 +25,11 @@ _DIGIT = re.compile(rb"[0-9]")
 _LINES = "path binary, line binary, docs long, first long, last long"
 _LINES_ARROW = pa.schema([("path", pa.binary()), ("line", pa.binary()), ("docs", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
+_PLACED = "path binary, line binary, docs long, first long, last long, at long, founder long, apart array<int>"
+_PLACED_ARROW = pa.schema([*_LINES_ARROW, ("at", pa.int64()), ("founder", pa.int64()), ("apart", pa.list_(pa.int32()))])
+_SETTLED = "digest binary, template binary, support long, keeper long"
+_SETTLED_ARROW = pa.schema([("digest", pa.binary()), ("template", pa.binary()), ("support", pa.int64()), ("keeper", pa.int64())])
+
 
 def masked(line: bytes) -> bytes:
     """The words of a line, one space apart; those with a digit are variable fields."""
@@ -36,6 +41,11 @@ def path(words: list[bytes], depth: int) -> bytes:
     return b"%d " % len(words) + b" ".join(words[:depth])
 
 
+def may_differ(n: int, similarity: float) -> int:
+    """In how many of its n places a line may differ from its template's founder."""
+    return int(n * (1 - similarity) + 1e-9)
+
+
 def _text_lines(text: bytes | None) -> dict[bytes, list[int]]:
     """Masked line -> its positions, blank lines left out."""
     out: dict[bytes, list[int]] = {}
@@ -49,17 +59,22 @@ def digest(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
-def distinct_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Each masked line once, with the number of documents that hold it and the least and greatest of their ids."""
+def distinct_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Each masked line once, with the number of documents that hold it and the least and greatest of their ids.  Lines
+    too short to differ anywhere have all their words as their path."""
 
     def run(batches):
         held: dict[bytes, list[int]] = {}
 
+        def leaf_of(line):
+            words = line.split(b" ")
+            return path(words, depth if may_differ(len(words), similarity) else len(words))
+
         def made():
             lines = [*held]
             counts = [*held.values()]
             held.clear()
-            return batch(_LINES_ARROW, [path(x.split(b" "), depth) for x in lines], lines, [c[0] for c in counts], [c[1] for c in counts], [c[2] for c in counts])
+            return batch(_LINES_ARROW, [leaf_of(x) for x in lines], lines, [c[0] for c in counts], [c[1] for c in counts], [c[2] for c in counts])
 
         size = 0
         for b in batches:
@@ -84,25 +99,29 @@ def distinct_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 class Leaf:
     """The templates of one leaf.  A line joins the earliest template whose founding line it equals in enough places;
-    places where they differ become variable fields.  Founders are found by equal stretches: of one more stretch than
-    places may differ, one at least is equal."""
+    places where they differ become variable fields.  Founders are found by equal stretches of the words after the path:
+    of one more stretch than places may differ, one at least is equal."""
 
-    def __init__(self, n: int, similarity: float):
-        self.n, self.may_differ = n, int(n * (1 - similarity) + 1e-9)
-        edges = [n * k // (self.may_differ + 1) for k in range(self.may_differ + 2)]
+    def __init__(self, n: int, similarity: float, depth: int):
+        self.n, self.may_differ = n, may_differ(n, similarity)
+        depth = min(depth, n)
+        edges = [depth + (n - depth) * k // (self.may_differ + 1) for k in range(self.may_differ + 2)]
         self.stretches = [*zip(edges, edges[1:], strict=False)]
         self.founders: list[list[bytes]] = []
         self.fields: list[set[int]] = []
         self.index: dict[tuple, list[int]] = {}
 
-    def add(self, words: list[bytes]) -> int:
+    def find(self, words: list[bytes]) -> tuple[int, list[int]] | None:
+        """The earliest template that fits, and the places where the line differs from its founder."""
         if self.may_differ and self.founders:
             met = {k for i, (a, b) in enumerate(self.stretches) for k in self.index.get((i, *words[a:b]), ())}
             for k in sorted(met):
                 apart = [i for i, (x, y) in enumerate(zip(words, self.founders[k], strict=True)) if x != y]
                 if len(apart) <= self.may_differ:
-                    self.fields[k].update(apart)
-                    return k
+                    return k, apart
+        return None
+
+    def found(self, words: list[bytes]) -> int:
         k = len(self.founders)
         self.founders.append(words)
         self.fields.append(set())
@@ -111,32 +130,94 @@ class Leaf:
                 self.index.setdefault((i, *words[a:b]), []).append(k)
         return k
 
+    def add(self, words: list[bytes]) -> int:
+        if fit := self.find(words):
+            self.fields[fit[0]].update(fit[1])
+            return fit[0]
+        return self.found(words)
+
     def template(self, k: int) -> bytes:
-        return b" ".join(FIELD if i in self.fields[k] else w for i, w in enumerate(self.founders[k]))
+        return _template(self.founders[k], self.fields[k])
+
+
+def _template(words: list[bytes], fields: set[int]) -> bytes:
+    return b" ".join(FIELD if i in fields else w for i, w in enumerate(words))
+
+
+def _placed(lines: DataFrame, similarity: float, depth: int, grow: bool) -> DataFrame:
+    """Each line with its template's founder, and the places where the two differ.
+
+    Known lines are founders to meet, and are not returned.  A line that fits none founds a template if they may grow,
+    else its founder is null.
+    """
 
+    def run(batches):
+        now, leaf, at_of = None, None, []
+        for b in batches:
+            out = []
+            for p, line, docs_, first, last, at, part, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (p, part) != now:
+                    now, leaf, at_of = (p, part), Leaf(int(p.split(b" ", 1)[0]), similarity, depth), []
+                words = line.split(b" ")
+                fit = None if known else leaf.find(words)
+                if known or grow and fit is None:
+                    leaf.found(words)
+                    at_of.append(at)
+                if not known:
+                    founder, apart = (at_of[fit[0]], fit[1]) if fit else (at if grow else None, [])
+                    out.append((p, line, docs_, first, last, at, founder, apart))
+            if out:
+                yield batch(_PLACED_ARROW, *zip(*out, strict=True))
 
-def _deeper(lines: DataFrame, depth: int, full: int) -> DataFrame:
-    """Lines of over-full leaves take a longer path: first half their words, then all of them."""
+    dealt = lines.repartition("path", "part").sortWithinPartitions("path", "part", F.desc("known"), "at")
+    return dealt.mapInArrow(run, _PLACED)
 
-    def run_to(share):
-        def run(batches):
-            for b in batches:
-                paths = b.column(0).to_pylist()
-                for i, (over, line) in enumerate(zip(b.column(5).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                    if over:
-                        words = line.split(b" ")
-                        paths[i] = path(words, max(depth, int(len(words) * share)))
-                yield batch(_LINES_ARROW, paths, *(b.column(k) for k in range(1, 5)))
 
-        return run
+def _crowded(lines: DataFrame, depth: int, similarity: float, short: int, short_support: int, full: int) -> DataFrame:
+    """recurring() for leaves of any size, with the templates that one pass over a leaf in its order would find.
 
-    for share in (0.5, 1.0):
-        crowded = lines.groupBy("path").count().where(F.col("count") > full).select("path", F.lit(True).alias("over"))
-        if crowded.isEmpty():
-            break
-        marked = lines.join(crowded, "path", "left").select("path", "line", "docs", "first", "last", F.coalesce("over", F.lit(False)).alias("over"))
-        lines, _ = cut(marked.mapInArrow(run_to(share), _LINES), "lines")
-    return lines
+    In each round the first lines of a leaf, at most `full`, settle among themselves in one task.  Their founders come
+    before all later ones, so whatever line of the rest fits one of them belongs there; the rest meets them in parts of
+    at most `full` lines, and what fits none is left for the next round.
+    """
+    columns = ["path", "line", "docs", "first", "last", "at"]
+    left, path_ = cut(lines.orderBy("path", F.desc("docs"), "line").withColumn("at", F.monotonically_increasing_id()), "crowded")
+    old, rounds = [path_], []
+    piece = F.shiftright("at", max(0, full.bit_length() - 3)).alias("piece")
+    while not left.isEmpty():
+        per = left.groupBy("path", piece).count()
+        upto = F.sum("count").over(Window.partitionBy("path").orderBy("piece"))
+        parts, p1 = cut(per.select("path", "piece", F.floor((upto - 1) / full).alias("part")), "parts")
+        dealt, p2 = cut(left.select(*columns, piece).join(parts, ["path", "piece"]).select(*columns, "part", F.lit(False).alias("known")), "dealt")
+        heads, _ = cut(_placed(dealt.where("part = 0"), similarity, depth, True), "heads")
+        known = heads.where("founder = at").select(*columns).join(parts.where("part > 0").select("path", "part").distinct(), "path").withColumn("known", F.lit(True))
+        met, _ = cut(_placed(dealt.where("part > 0").unionByName(known), similarity, depth, False), "met")
+        rounds += [heads, met.where("founder is not null")]
+        left = met.where("founder is null").select(*columns)
+        for p in (*old, p1, p2):
+            drop(lines.sparkSession, p)
+        old = []
+    placed = rounds[0]
+    for r in rounds[1:]:
+        placed = placed.unionByName(r)
+    totals = placed.groupBy("founder").agg(F.sum("docs").alias("support"), F.min("first").alias("keeper"), F.max("last").alias("last"))
+    fields = placed.select("founder", F.explode("apart").alias("place")).groupBy("founder").agg(F.collect_set("place").alias("fields"))
+    kind = pa.schema([("founder", pa.int64()), *list(_SETTLED_ARROW)[1:]])
+
+    def named(batches):
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            out = [(f, _template(words, set(places or ())), n, keeper) for f, line, n, keeper, places in rows if len(words := line.split(b" ")) >= short or n >= short_support]
+            if out:
+                yield batch(kind, *zip(*out, strict=True))
+
+    def digests(batches):
+        for b in batches:
+            yield batch(_SETTLED_ARROW, [digest(x) for x in b.column(0).to_pylist()], *(b.column(k) for k in range(1, 4)))
+
+    shared = totals.where("keeper <> last").join(placed.where("founder = at").select("founder", "line"), "founder").join(fields, "founder", "left")
+    templates, _ = cut(shared.select("founder", "line", "support", "keeper", "fields").mapInArrow(named, "founder long, template binary, support long, keeper long"), "named")
+    return placed.select("founder", "line").join(templates, "founder").select("line", "template", "support", "keeper").mapInArrow(digests, _SETTLED)
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, short: int = SHORT, short_support: int = SHORT_SUPPORT, full: int = FULL) -> DataFrame:
@@ -145,9 +226,11 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
     support: how many (document, distinct line) pairs the template has; keeper: the smallest id of a document with it.
     Documents without an id count as one that comes last.
     """
-    lines, _ = cut(distinct_lines(docs, depth), "lines")
-    lines = _deeper(lines, depth, full)
-    kind = pa.schema([("digest", pa.binary()), ("template", pa.binary()), ("support", pa.int64()), ("keeper", pa.int64())])
+    lines, _ = cut(distinct_lines(docs, depth, similarity), "lines")
+    crowded, _ = cut(lines.groupBy("path").count().where(F.col("count") > full).select("path"), "crowded-leaves")
+    apart = None if crowded.isEmpty() else _crowded(lines.join(crowded, "path", "left_semi"), depth, similarity, short, short_support, full)
+    if apart is not None:
+        lines = lines.join(crowded, "path", "left_anti")
 
     def settle(leaf: Leaf, members: list[tuple]) -> Iterator[tuple]:
         totals: dict[int, list[int]] = {}
@@ -166,18 +249,19 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
                 if p != now:
                     if leaf:
                         out += settle(leaf, members)
-                    now, leaf, members = p, Leaf(int(p.split(b" ", 1)[0]), similarity), []
+                    now, leaf, members = p, Leaf(int(p.split(b" ", 1)[0]), similarity, depth), []
                 members.append((leaf.add(line.split(b" ")), line, docs_, first, last))
             if out:
-                yield batch(kind, *zip(*out, strict=True))
+                yield batch(_SETTLED_ARROW, *zip(*out, strict=True))
                 out = []
         if leaf:
             out += settle(leaf, members)
         if out:
-            yield batch(kind, *zip(*out, strict=True))
+            yield batch(_SETTLED_ARROW, *zip(*out, strict=True))
 
     dealt = lines.repartition("path").sortWithinPartitions("path", F.desc("docs"), "line")
-    return dealt.mapInArrow(run, "digest binary, template binary, support long, keeper long")
+    settled = dealt.mapInArrow(run, _SETTLED)
+    return settled if apart is None else settled.unionByName(apart)
 
 
 def _dropped(docs: DataFrame, settled: DataFrame) -> DataFrame:

@@ -216,6 +216,35 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.without_recurring(none).count() == 0
 
 
+def test_line_templates_are_the_same_at_every_size(spark):
+    rng = random.Random(7)
+    lines = [" ".join(["it", "is", "the", *(rng.choice("abc") for _ in range(n - 3))]) for n in (4, 5, 9, 12) for _ in range(60)]
+    lines += [f"thanks to our reader {w} for the kind letter of today" for w in WORDS * 3]
+    rows = [(i, "\n".join(rng.sample(lines, 4))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {}
+    for i, text in rows:
+        for line in text.encode().split(b"\n"):
+            held.setdefault(line_dedup.masked(line), set()).add(i)
+    founders, of = [], {}
+    for line in sorted(held, key=lambda x: (-len(held[x]), x)):
+        w = line.split()
+        fit = lambda f: len(f) == len(w) and f[:3] == w[:3] and sum(a != b for a, b in zip(f, w, strict=True)) <= int(len(w) / 5 + 1e-9)  # noqa: E731, B023
+        of[line] = next((k for k, f in enumerate(founders) if fit(f)), len(founders))
+        founders += [w] if of[line] == len(founders) else []
+    expected = set()
+    for line, k in of.items():
+        own = [x for x in of if of[x] == k]
+        ids, support = set().union(*(held[x] for x in own)), sum(len(held[x]) for x in own)
+        words = [b"<*>" if len({x.split()[i] for x in own}) > 1 else w for i, w in enumerate(founders[k])]
+        if len(ids) > 1 and (len(words) >= 8 or support >= 10):
+            expected.add((line_dedup.digest(line), b" ".join(words), support, min(ids)))
+    assert any(b"<*>" in t for _, t, *_ in expected)
+    for full in (line_dedup.FULL, 5, 1):
+        got = [(bytes(r.digest), bytes(r.template), r.support, r.keeper) for r in line_dedup.recurring(docs, full=full).collect()]
+        assert len(got) == len(expected) and set(got) == expected
+
+
 def test_language_code_lengths_are_chances():
     counts = np.zeros(5**4, np.int64)
     counts[np.random.default_rng(1).integers(0, 5**4, 60)] += 3
