@@ -252,6 +252,47 @@ def test_language_code_lengths_are_chances():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_language_code_lengths_of_every_byte():
+    texts = ["ab aç Жук abc".encode() * 3, "жук ىتب ab".encode(), b""]
+    seen = []
+    for t in texts:
+        padded = b"   " + t.translate(bytes(language._FOLDED))
+        seen.append([{} for _ in range(4)])
+        for i in range(len(t)):
+            for k in range(4):
+                run = padded[i + 3 - k : i + 4]
+                seen[-1][k][run] = seen[-1][k].get(run, 0) + 1
+
+    def chances(held, context):
+        if context is None:
+            return [1 / 256] * 256
+        shorter = chances(held, context[1:] if context else None)
+        own = {r[-1]: c for r, c in held[len(context)].items() if r[:-1] == context}
+        if not own:
+            return shorter
+        whole = sum(own.values()) + len(own)
+        out = [own[b] / whole if b in own else shorter[b] * len(own) / whole for b in range(256)]
+        return [x / sum(out) for x in out]
+
+    model = language.Model(["a", "b", "c"], [np.unique(language.grams(t), return_counts=True) for t in texts])
+    for context in (b"   ", b"ab ", b" \xd0\xb6", b"k\xd8\xaa", b"\xff\xfe\xfd", b"zab"):
+        got = np.exp2(-model.trees().lengths(np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])).astype(float))
+        assert np.allclose(got, np.array([chances(held, context) for held in seen]).T, rtol=1e-4)
+
+
+def test_language_keeps_scripts_apart(spark):
+    rng = random.Random(3)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+    latin = "abcdefghijklmnopqrstuvwxyz0123456789.,;:-!?()"
+    alphabets = {"ar": "ابتثجحخد", "fa": "رزسشصضطظ", "bg": "абвгдежз", "ru": "иклмнопр", "en": latin}
+    rows = [(100 * k + i, make(a, 30), lang) for k, (lang, a) in enumerate(alphabets.items()) for i in range(60 if lang == "en" else 12)]
+    rows += [(9999, make(latin, 200_000), "en")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(k, make(a, 8), lang) for k, (lang, a) in enumerate(sorted(alphabets.items()) * 5)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    assert got == {k: lang for k, _, lang in asked}
+
+
 def test_language(spark, docs, none):
     out = language.op7_language(spark, "/root/testdata/sf0.01").alias("o").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").alias("d"), "doc_id")
     held = out.where("held_out")
