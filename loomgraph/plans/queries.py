@@ -151,9 +151,14 @@ def pagerank_nx(spark, sf_dir):
     return algorithms.pagerank(business_graph(spark, sf_dir).edges, iterations=5).select("name", F.round("pagerank", 6).alias("pagerank"))
 
 
+@query()
+def pagerank_nx_20(spark, sf_dir):
+    return algorithms.pagerank(business_graph(spark, sf_dir).edges).select("name", F.round("pagerank", 15).alias("pagerank"))
+
+
 @query(f"{GRAPH}, {_OUT.format(r0='1 - 0.85')}, {_steps('gds', 5)} SELECT name, round(r, 9) AS pagerank FROM r5")
 def pagerank_gds(spark, sf_dir):
-    return algorithms.pagerank(business_graph(spark, sf_dir).edges, iterations=5, mode="gds").select("name", F.round("pagerank", 9).alias("pagerank"))
+    return algorithms.pagerank(business_graph(spark, sf_dir).edges, mode="gds").select("name", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query(f"{GRAPH}, p AS (SELECT tgt AS c, least(min(src), tgt) AS community FROM edges WHERE rel_type = 'PLACED_BY' GROUP BY tgt) SELECT c AS name, community FROM p UNION SELECT src, community FROM edges JOIN p ON tgt = c WHERE rel_type = 'PLACED_BY'")

@@ -60,6 +60,31 @@ def test_algorithms_against_brute_force(spark):
     assert sum(r.pagerank for r in algorithms.pagerank(edges, iterations=8).collect()) == pytest.approx(1.0)
 
 
+def _ranks(pairs, mode, steps=20, d=0.85):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    rank = dict.fromkeys(out, 1 / len(out) if mode == "nx" else 1 - d)
+    for _ in range(steps):
+        loose = sum(rank[a] for a in out if not out[a]) / len(out)
+        new = dict.fromkeys(out, (1 - d) / len(out) + d * loose if mode == "nx" else 1 - d)
+        for a, to in out.items():
+            for b in to:
+                new[b] += d * rank[a] / len(to)
+        rank = new
+    return rank
+
+
+@pytest.mark.parametrize("name,mode,digits", [("pagerank_nx_20", "nx", 6), ("pagerank_gds", "gds", 9)])
+def test_ranks_of_twenty_steps(spark, sf_dir, monkeypatch, name, mode, digits):
+    pairs = {(f"n{i}", f"n{i + 1}") for i in range(14)} | {("n9", "n2"), ("n3", "n3"), ("n14", "n7"), ("n20", "n4"), ("n20", "n21")}
+    store = GraphStore(None, spark.createDataFrame([*pairs, ("n0", "n1")], "src string, tgt string"))
+    monkeypatch.setattr("loomgraph.plans.queries.business_graph", lambda *_: store)
+    got = {r.name: r.pagerank for r in QUERIES[name](spark, sf_dir).collect()}
+    assert got == pytest.approx(_ranks(pairs, mode), abs=10**-digits)
+
+
 def test_store_guards_ends_and_merges(spark):
     nodes = spark.createDataFrame([("a", "E", {"x": "1"}, None, None), ("b", "E", None, 2.0, None)], "name string, label string, props map<string,string>, pagerank double, community_id long")
     store = GraphStore(nodes, spark.createDataFrame([("a", "b", "R", None)], "src string, tgt string, rel_type string, props map<string,string>"))
