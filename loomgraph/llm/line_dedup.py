@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch, cut, drop, narrowed, table, utf8
@@ -22,13 +22,13 @@ FIELD = b"<*>"
 NOBODY = (1 << 63) - 1
 
 _DIGIT = re.compile(rb"[0-9]")
-_LINES = "path binary, line binary, docs long, first long, last long"
-_LINES_ARROW = pa.schema([("path", pa.binary()), ("line", pa.binary()), ("docs", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_LINES = "path binary, line binary, docs long, first long, last long, low long, high long"
+_LINES_ARROW = pa.schema([("path", pa.binary()), ("line", pa.binary()), ("docs", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
-_PLACED = "path binary, line binary, docs long, first long, last long, at long, founder long, apart array<int>"
+_PLACED = f"{_LINES}, at long, founder long, apart array<int>"
 _PLACED_ARROW = pa.schema([*_LINES_ARROW, ("at", pa.int64()), ("founder", pa.int64()), ("apart", pa.list_(pa.int32()))])
-_SETTLED = "digest binary, template binary, support long, keeper long"
-_SETTLED_ARROW = pa.schema([("digest", pa.binary()), ("template", pa.binary()), ("support", pa.int64()), ("keeper", pa.int64())])
+_SETTLED = "digest binary, template binary, support long, keeper long, keeper_hash long"
+_SETTLED_ARROW = pa.schema([("digest", pa.binary()), ("template", pa.binary()), ("support", pa.int64()), ("keeper", pa.int64()), ("keeper_hash", pa.int64())])
 
 
 def masked(line: bytes) -> bytes:
@@ -55,13 +55,29 @@ def _text_lines(text: bytes | None) -> dict[bytes, list[int]]:
     return out
 
 
+def _all() -> list[Column]:
+    """docs, first, last, low and high of several rows."""
+    return [F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high")]
+
+
+def _both(a: Sequence, b: Sequence) -> list:
+    """docs, first, last, low and high of two together."""
+    low, high = [x for x in (a[3], b[3]) if x is not None], [x for x in (a[4], b[4]) if x is not None]
+    return [a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), min(low, default=None), max(high, default=None)]
+
+
+def _recurs(first: int, last: int, low: int | None, high: int | None) -> bool:
+    """Whether two documents hold it: two ids, an id and none, or two texts without an id."""
+    return first != last or first == NOBODY and low != high
+
+
 def digest(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
 def distinct_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Each masked line once, with the number of documents that hold it and the least and greatest of their ids.  Lines
-    too short to differ anywhere have all their words as their path."""
+    """Each masked line once, with the number of documents that hold it, the least and greatest of their ids, and of the
+    hashes of the texts without an id.  Lines too short to differ anywhere have all their words as their path."""
 
     def run(batches):
         held: dict[bytes, list[int]] = {}
@@ -74,27 +90,29 @@ def distinct_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMI
             lines = [*held]
             counts = [*held.values()]
             held.clear()
-            return batch(_LINES_ARROW, [leaf_of(x) for x in lines], lines, [c[0] for c in counts], [c[1] for c in counts], [c[2] for c in counts])
+            return batch(_LINES_ARROW, [leaf_of(x) for x in lines], lines, *([c[k] for c in counts] for k in range(5)))
 
         size = 0
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+            for doc_id, text, h in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
                 doc_id = NOBODY if doc_id is None else doc_id
                 for line in _text_lines(text):
                     if (c := held.get(line)) is None:
-                        held[line] = [1, doc_id, doc_id]
+                        held[line] = [1, doc_id, doc_id, h, h]
                         size += len(line) + 150
                     else:
                         c[0] += 1
                         c[1], c[2] = min(c[1], doc_id), max(c[2], doc_id)
+                        if h is not None:
+                            c[3], c[4] = (h, h) if c[3] is None else (min(c[3], h), max(c[4], h))
                 if size > 60_000_000:
                     yield made()
                     size = 0
         if held:
             yield made()
 
-    each = narrowed(docs, "doc_id", "text").mapInArrow(run, _LINES)
-    return each.groupBy("path", "line").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
+    hashed = narrowed(docs, "doc_id", "text").withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return hashed.mapInArrow(run, _LINES).groupBy("path", "line").agg(*_all())
 
 
 class Leaf:
@@ -155,7 +173,7 @@ def _placed(lines: DataFrame, similarity: float, depth: int, grow: bool) -> Data
         now, leaf, at_of = None, None, []
         for b in batches:
             out = []
-            for p, line, docs_, first, last, at, part, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for p, line, *sums, at, part, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (p, part) != now:
                     now, leaf, at_of = (p, part), Leaf(int(p.split(b" ", 1)[0]), similarity, depth), []
                 words = line.split(b" ")
@@ -165,7 +183,7 @@ def _placed(lines: DataFrame, similarity: float, depth: int, grow: bool) -> Data
                     at_of.append(at)
                 if not known:
                     founder, apart = (at_of[fit[0]], fit[1]) if fit else (at if grow else None, [])
-                    out.append((p, line, docs_, first, last, at, founder, apart))
+                    out.append((p, line, *sums, at, founder, apart))
             if out:
                 yield batch(_PLACED_ARROW, *zip(*out, strict=True))
 
@@ -180,7 +198,7 @@ def _crowded(lines: DataFrame, depth: int, similarity: float, short: int, short_
     before all later ones, so whatever line of the rest fits one of them belongs there; the rest meets them in parts of
     at most `full` lines, and what fits none is left for the next round.
     """
-    columns = ["path", "line", "docs", "first", "last", "at"]
+    columns = ["path", "line", "docs", "first", "last", "low", "high", "at"]
     left, path_ = cut(lines.orderBy("path", F.desc("docs"), "line").withColumn("at", F.monotonically_increasing_id()), "crowded")
     old, rounds = [path_], []
     piece = F.shiftright("at", max(0, full.bit_length() - 3)).alias("piece")
@@ -200,31 +218,33 @@ def _crowded(lines: DataFrame, depth: int, similarity: float, short: int, short_
     placed = rounds[0]
     for r in rounds[1:]:
         placed = placed.unionByName(r)
-    totals = placed.groupBy("founder").agg(F.sum("docs").alias("support"), F.min("first").alias("keeper"), F.max("last").alias("last"))
+    totals = placed.groupBy("founder").agg(*_all())
     fields = placed.select("founder", F.explode("apart").alias("place")).groupBy("founder").agg(F.collect_set("place").alias("fields"))
     kind = pa.schema([("founder", pa.int64()), *list(_SETTLED_ARROW)[1:]])
 
     def named(batches):
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            out = [(f, _template(words, set(places or ())), n, keeper) for f, line, n, keeper, places in rows if len(words := line.split(b" ")) >= short or n >= short_support]
+            out = [(f, _template(words, set(places or ())), n, first, low if first == NOBODY else None) for f, line, places, n, first, last, low, high in rows if _recurs(first, last, low, high) and (len(words := line.split(b" ")) >= short or n >= short_support)]
             if out:
                 yield batch(kind, *zip(*out, strict=True))
 
     def digests(batches):
         for b in batches:
-            yield batch(_SETTLED_ARROW, [digest(x) for x in b.column(0).to_pylist()], *(b.column(k) for k in range(1, 4)))
+            yield batch(_SETTLED_ARROW, [digest(x) for x in b.column(0).to_pylist()], *(b.column(k) for k in range(1, 5)))
 
-    shared = totals.where("keeper <> last").join(placed.where("founder = at").select("founder", "line"), "founder").join(fields, "founder", "left")
-    templates, _ = cut(shared.select("founder", "line", "support", "keeper", "fields").mapInArrow(named, "founder long, template binary, support long, keeper long"), "named")
-    return placed.select("founder", "line").join(templates, "founder").select("line", "template", "support", "keeper").mapInArrow(digests, _SETTLED)
+    whole = totals.join(placed.where("founder = at").select("founder", "line"), "founder").join(fields, "founder", "left")
+    whole = whole.select("founder", "line", "fields", "docs", "first", "last", "low", "high")
+    templates, _ = cut(whole.mapInArrow(named, "founder long, template binary, support long, keeper long, keeper_hash long"), "named")
+    return placed.select("founder", "line").join(templates, "founder").select("line", "template", "support", "keeper", "keeper_hash").mapInArrow(digests, _SETTLED)
 
 
 def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, short: int = SHORT, short_support: int = SHORT_SUPPORT, full: int = FULL) -> DataFrame:
-    """Columns digest, template, support, keeper: for every masked line whose template recurs.
+    """Columns digest, template, support, keeper, keeper_hash: for every masked line whose template recurs.
 
     support: how many (document, distinct line) pairs the template has; keeper: the smallest id of a document with it.
-    Documents without an id count as one that comes last.
+    Documents without an id come last, each text one document; if there are no others, keeper_hash names the text that
+    keeps the line.
     """
     lines, _ = cut(distinct_lines(docs, depth, similarity), "lines")
     crowded, _ = cut(lines.groupBy("path").count().where(F.col("count") > full).select("path"), "crowded-leaves")
@@ -233,24 +253,23 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
         lines = lines.join(crowded, "path", "left_anti")
 
     def settle(leaf: Leaf, members: list[tuple]) -> Iterator[tuple]:
-        totals: dict[int, list[int]] = {}
-        for k, _, docs_, first, last in members:
-            t = totals.setdefault(k, [0, NOBODY, 0])
-            t[0], t[1], t[2] = t[0] + docs_, min(t[1], first), max(t[2], last)
-        for k, line, *_ in members:
-            support, first, last = totals[k]
-            if first != last and (leaf.n >= short or support >= short_support):
-                yield digest(line), leaf.template(k), support, first
+        totals: dict[int, Sequence] = {}
+        for k, _, sums in members:
+            totals[k] = _both(totals[k], sums) if k in totals else sums
+        for k, line, _ in members:
+            support, first, last, low, high = totals[k]
+            if _recurs(first, last, low, high) and (leaf.n >= short or support >= short_support):
+                yield digest(line), leaf.template(k), support, first, low if first == NOBODY else None
 
     def run(batches):
         now, leaf, members, out = None, None, [], []
         for b in batches:
-            for p, line, docs_, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for p, line, *sums in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if p != now:
                     if leaf:
                         out += settle(leaf, members)
                     now, leaf, members = p, Leaf(int(p.split(b" ", 1)[0]), similarity, depth), []
-                members.append((leaf.add(line.split(b" ")), line, docs_, first, last))
+                members.append((leaf.add(line.split(b" ")), line, sums))
             if out:
                 yield batch(_SETTLED_ARROW, *zip(*out, strict=True))
                 out = []
@@ -280,7 +299,8 @@ def _dropped(docs: DataFrame, settled: DataFrame) -> DataFrame:
                 yield batch(kind, *zip(*out, strict=True))
 
     each = narrowed(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).mapInArrow(run, "_id long, _hash long, digest binary, at array<int>")
-    gone = each.join(settled.select("digest", "keeper"), "digest").where(F.coalesce("_id", F.lit(NOBODY)) != F.col("keeper"))
+    other = F.when(F.col("keeper_hash").isNull(), ~F.col("_id").eqNullSafe(F.col("keeper"))).otherwise(F.col("_id").isNotNull() | (F.col("_hash") != F.col("keeper_hash")))
+    gone = each.join(settled.select("digest", "keeper", "keeper_hash"), "digest").where(other)
     return gone.groupBy("_id", "_hash").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_gone"))
 
 
@@ -289,7 +309,7 @@ def without_recurring(docs: DataFrame, **options) -> DataFrame:
     document than the template's keeper, plus n_lines and n_dropped as _n_lines and _n_dropped.
 
     Null texts stay null and empty ones empty; blank lines are never dropped; rows of one doc_id are one document;
-    rows without an id lose what a document with one has; very long lines are templates like any other; extra columns
+    rows without an id lose what a document with one has, and each text among them is a document; very long lines are templates like any other; extra columns
     pass through; an empty table gives an empty one.
     """
     settled, _ = cut(recurring(docs, **options), "templates")

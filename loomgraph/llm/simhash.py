@@ -12,8 +12,8 @@ from .common import batch, cut, narrowed, table, utf8
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-_SCHEMA = "doc_id long, fp long"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_SCHEMA = "doc_id long, hash long, fp long"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64())])
 
 #: Row b: the bits of byte b, one in each byte of a 64-bit lane word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -47,14 +47,15 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Columns doc_id, fp (the fingerprint's 64 bits as a signed long) for each row of `docs` (doc_id, text)."""
+    """Columns doc_id, hash (of the text), fp (the fingerprint's 64 bits as a signed long) for each row of `docs`
+    (doc_id, text)."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(x, size) for x in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield batch(_ARROW, b.column(0), fps)
+            yield batch(_ARROW, b.column(0), b.column(2), fps)
 
-    return narrowed(docs, "doc_id", "text").mapInArrow(run, _SCHEMA)
+    return narrowed(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")).mapInArrow(run, _SCHEMA)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -73,6 +74,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
 
 
+def _rooted(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of the rows, and of each distinct one its component (root) and least doc_id (first)."""
+    each, _ = cut(fingerprints(docs, size), "fingerprints")
+    distinct, _ = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found, _ = cut(components(links(distinct.select("fp")), "fp", "other"), "components")
+    return each, distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Columns doc_id, fp, component_id for each row of `docs`.
 
@@ -81,47 +90,36 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     no row of the component has an id); repeated rows are each returned; other columns are ignored; an empty table
     gives an empty one.  Copies meet once, as one fingerprint, before anything is paired.
     """
-    each, _ = cut(fingerprints(docs, size), "fingerprints")
-    distinct, _ = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found, _ = cut(components(links(distinct.select("fp")), "fp", "other"), "components")
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    each, rooted = _rooted(docs, size)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named, _ = cut(rooted.join(least, "root").select("fp", "component_id"), "named")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stand for their component: those with its smallest doc_id, one
-    row of each id.  Rows without an id stay only where no row of their component has one."""
-    found, _ = cut(near_duplicates(docs, size), "near")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
-    own = own.withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row")
-    nameless = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    if nameless.isEmpty():
-        return own
-    return own.unionByName(_without_id(docs, nameless, size))
-
-
-def _without_id(docs: DataFrame, fps: DataFrame, size: int) -> DataFrame:
-    rows = docs.where("doc_id is null")
-    prints = fingerprints(rows.select("doc_id", "text").distinct(), size)
-    texts = rows.select("text").distinct()
-    if prints.join(fps, "fp", "left_anti").isEmpty():
-        return rows
-    keep = _text_prints(texts, size).join(fps, "fp", "left_semi").select("text")
-    return rows.join(keep, rows["text"].eqNullSafe(keep["text"]), "left_semi")
-
-
-def _text_prints(texts: DataFrame, size: int) -> DataFrame:
-    kind = pa.schema([("text", pa.string()), ("fp", pa.int64())])
-
-    def run(batches):
-        for b in batches:
-            yield batch(kind, b.column(0), np.array([fingerprint(x, size) for x in utf8(b.column(0))], np.uint64).view(np.int64))
-
-    return texts.mapInArrow(run, "text string, fp long")
+    """One row of `docs` for each component, with all its columns: the one with the smallest doc_id, a null one last,
+    then with the least hash of its text, then of all its columns that can be compared."""
+    each, rooted = _rooted(docs, size)
+    of, _ = cut(rooted.select("fp", "root"), "rooted")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")
+    by_print = each.groupBy("fp").agg(F.min(place).alias("best"))
+    best = by_print.join(of, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.hash")
+    same = each["doc_id"].eqNullSafe(best["doc_id"]) & (each["hash"] == best["hash"])
+    copies = each.join(best, same, "left_semi").groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("_n"))
+    kept, _ = cut(copies.select(F.col("doc_id").alias("_kept"), F.col("hash").alias("_hash"), "_n"), "kept")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+
+    def own(names: DataFrame) -> DataFrame:
+        return keyed.join(names, keyed["doc_id"].cast("bigint").eqNullSafe(names["_kept"]) & (keyed["_text_hash"] == names["_hash"]))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = own(kept.where("_n = 1")).select(*columns)
+    several = kept.where("_n > 1")
+    if several.isEmpty():
+        return alone
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = own(several).groupBy("_kept", "_hash").agg(F.min_by(F.struct(*columns), F.xxhash64(*order)).alias("_row"))
+    return alone.unionByName(first.select("_row.*"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,18 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(30)) for w in ("one", "two", "three"))
+    rows = [(None, a, k) for k in range(40)] + [(None, f"  {a}", 99)]  # copies, and one that is not, none with an id
+    rows += [(5, b, 1), (5, c, 2), (2, c, 3), (7, c, 4), (None, c, 5), (None, None, 6), (None, "", 7), (None, None, 6)]
+    for seed in range(3):
+        dealt = random.Random(seed).sample(rows, len(rows))
+        kept = simhash.one_of_each(spark.createDataFrame(dealt, "doc_id long, text string, n int").repartition(4)).collect()
+        assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in kept) == sorted([(0, a), (5, b), (2, c), (0, "")])
+        assert seed == 0 or {tuple(r) for r in kept} == before
+        before = {tuple(r) for r in kept}
+
+
 def test_half_balls_find_every_pair(spark):
     fps = {random.getrandbits(64) for _ in range(20)}
     for f in [*fps]:
@@ -245,6 +257,17 @@ def test_line_templates_are_the_same_at_every_size(spark):
         assert len(got) == len(expected) and set(got) == expected
 
 
+@pytest.mark.parametrize("full", [line_dedup.FULL, 1])
+def test_line_dedup_counts_rows_without_an_id(spark, full):
+    lines = [f"the same notice of the northern office stands below {w} every letter" for w in ("here", "there")]
+    alone = "this long line stands in one of the texts alone and stays"
+    rows = [(None, f"{lines[k % 2]}\nletter {w}") for k, w in enumerate("abcdef")] + [(None, alone)] * 2 + [(-4, f"{alone[5:]}\nown")]
+    got = line_dedup.without_recurring(spark.createDataFrame(rows, "doc_id long, text string"), full=full).collect()
+    texts = sorted(r.text for r in got)
+    assert sum("notice" in t for t in texts) == 1 and len(texts) == len(rows)
+    assert texts.count(alone) == 2 and f"{alone[5:]}\nown" in texts
+
+
 def test_language_code_lengths_are_chances():
     counts = np.zeros(5**4, np.int64)
     counts[np.random.default_rng(1).integers(0, 5**4, 60)] += 3
