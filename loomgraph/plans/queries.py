@@ -420,8 +420,8 @@ def answer_local(spark, sf_dir):
 _TWO = "n AS (SELECT 0::BIGINT AS query_id, lang AS name, doc_id AS ord, substr(text, 1, 60) AS text FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS k FROM n), p AS (SELECT query_id, name, max(text) FILTER (k = 1) AS a, max(text) FILTER (k = 2) AS b FROM t WHERE k <= 2 GROUP BY ALL HAVING count(*) = 2)"
 
 
-def _two(spark, sf_dir):
-    return post.conflicts(read(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("query_id"), F.col("lang").alias("name"), F.col("doc_id").alias("ord"), F.substring("text", 1, 60).alias("text")))
+def _two(spark, sf_dir, text="substring(text, 1, 60)"):
+    return post.conflicts(read(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("query_id"), F.col("lang").alias("name"), F.col("doc_id").alias("ord"), F.expr(text).alias("text")))
 
 
 @query(f"WITH {_TWO} SELECT * FROM p")
@@ -434,6 +434,16 @@ def resolve_conflicts(spark, sf_dir):
     return post.resolve(_two(spark, sf_dir), F.lit("the of and was der und"))
 
 
+@query()
+def conflicts_whole(spark, sf_dir):
+    return _two(spark, sf_dir, "text")
+
+
+@query()
+def resolve_conflicts_whole(spark, sf_dir):
+    return post.resolve(_two(spark, sf_dir, "text"), F.lit("the of and was der und"))
+
+
 # --- comparison of scorers
 
 

@@ -85,6 +85,14 @@ def test_ranks_of_twenty_steps(spark, sf_dir, monkeypatch, name, mode, digits):
     assert got == pytest.approx(_ranks(pairs, mode), abs=10**-digits)
 
 
+def test_conflicts_of_whole_texts(spark, tmp_path):
+    lead, tail = "x" * 65, " end of it" * 40
+    texts = [f"{lead} zzz{tail}", f"{lead} the of and was der und{tail}", "third"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(9, "alone", "de")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["conflicts_whole"](spark, str(tmp_path)).collect()] == [(0, "en", *texts[:2])]
+    assert [tuple(r) for r in QUERIES["resolve_conflicts_whole"](spark, str(tmp_path)).collect()] == [(0, "en", texts[1])]
+
+
 def test_store_guards_ends_and_merges(spark):
     nodes = spark.createDataFrame([("a", "E", {"x": "1"}, None, None), ("b", "E", None, 2.0, None)], "name string, label string, props map<string,string>, pagerank double, community_id long")
     store = GraphStore(nodes, spark.createDataFrame([("a", "b", "R", None)], "src string, tgt string, rel_type string, props map<string,string>"))
