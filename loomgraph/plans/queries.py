@@ -171,9 +171,14 @@ def kcore_tree(spark, sf_dir):
     return algorithms.k_core(business_graph(spark, sf_dir).edges.where("rel_type = 'PLACED_BY'"))
 
 
+@query()
+def wcc_all(spark, sf_dir):
+    return algorithms.components(business_graph(spark, sf_dir).edges)
+
+
 @query()
 def kcore(spark, sf_dir):
-    return algorithms.k_core(business_graph(spark, sf_dir).edges.where("rel_type = 'SUPPLIED_BY'"))
+    return algorithms.k_core(business_graph(spark, sf_dir).edges)
 
 
 @query(f"{GRAPH} SELECT e.src, count(*) AS n FROM edges e JOIN edges f ON e.tgt = f.src GROUP BY e.src")

@@ -85,6 +85,29 @@ def test_ranks_of_twenty_steps(spark, sf_dir, monkeypatch, name, mode, digits):
     assert got == pytest.approx(_ranks(pairs, mode), abs=10**-digits)
 
 
+def test_components_and_cores_over_all_edges(spark, monkeypatch):
+    chain = [(f"c{i:02}", f"c{i + 1:02}", "PART_OF") for i in range(25)]
+    hub = [("hub", f"h{i}", "CONTAINS") for i in range(12)] + [(f"h{i}", f"h{j}", "SUPPLIED_BY") for i in range(4) for j in range(i)]
+    pairs = [*chain, *hub, ("c25", "hub", "LOCATED_IN"), ("o1", "z1", "PLACED_BY"), ("z1", "z1", "PLACED_BY")]
+    store = GraphStore(None, spark.createDataFrame(pairs, "src string, tgt string, rel_type string"))
+    monkeypatch.setattr("loomgraph.plans.queries.business_graph", lambda *_: store)
+    near = {}
+    for a, b, _ in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    least = {n: n for n in near}
+    for _ in near:
+        least = {n: min([least[n], *(least[m] for m in near[n])]) for n in near}
+    assert {r.name: r.community for r in QUERIES["wcc_all"](spark, "").collect()} == least
+    core = dict.fromkeys(near, 0)
+    for k in range(1, 6):
+        left = {n: v - {n} for n, v in near.items()}
+        while gone := [n for n, v in left.items() if len(v) < k]:
+            left = {n: v - set(gone) for n, v in left.items() if n not in gone}
+        core.update(dict.fromkeys(left, k))
+    assert {r.name: r.core for r in QUERIES["kcore"](spark, "").collect()} == core and max(core.values()) > 3
+
+
 def test_conflicts_of_whole_texts(spark, tmp_path):
     lead, tail = "x" * 65, " end of it" * 40
     texts = [f"{lead} zzz{tail}", f"{lead} the of and was der und{tail}", "third"]
