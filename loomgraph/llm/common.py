@@ -1,14 +1,15 @@
-"""Shared plumbing of the text operators: tables, cuts of lineage, folds."""
+"""Shared plumbing of the text operators: tables, types, folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.tables import cut, drop
+
+__all__ = ["ascii_lower", "batch", "cut", "drop", "fold", "held_out", "narrowed", "opened", "table", "utf8", "wrapped"]
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -26,28 +27,10 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table of the shared folder and read it again: lineage ends there, so lost executors cost
-    nothing that was computed before.  Returns the table and its path, for drop()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a table that cut() wrote and nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def held_out(doc_id: Column, n: int, part: int) -> Column:
+    """Whether a row is of the part that no label is learnt from; a row without an id teaches nothing either, but is of
+    no part: false."""
+    return F.coalesce(fold(doc_id, n) == part, F.lit(False))
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -59,7 +42,26 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+_TEXTS = {"text", "url", "lang", "item_id"}
+
+
 def narrowed(df: DataFrame, *columns: str) -> DataFrame:
-    """Only these columns, with the types the operators expect; extra columns of any name fall away here."""
-    kinds = {"text": "string", "url": "string", "lang": "string"}
-    return df.select(*[F.col(f"`{c}`").cast(kinds.get(c, "bigint")).alias(c) for c in columns])
+    """Only these columns, with the types the operators expect; extra columns of any name fall away here.
+
+    Ids are integers: an id column of another type is refused here, before anything runs.
+    """
+    kinds = dict(df.dtypes)
+    for c in columns:
+        if c not in _TEXTS and kinds[c] not in ("tinyint", "smallint", "int", "bigint", "void"):
+            raise TypeError(f"{c} must be an integer column, not {kinds[c]}")
+    return df.select(*[F.col(f"`{c}`").cast("string" if c in _TEXTS else "bigint").alias(c) for c in columns])
+
+
+def wrapped(df: DataFrame, **own: Column) -> DataFrame:
+    """The rows of df as one column `row`, beside columns of the operator's own: no name of theirs can meet one of df's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in own.items()])
+
+
+def opened(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of a wrapped table again, some of them changed."""
+    return [changed.get(c, F.col("row")[c]).alias(c) for c in columns]

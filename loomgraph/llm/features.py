@@ -6,10 +6,15 @@ import re
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, drop
+
 BITS = 20
+#: Features of training rows that the driver takes, at most.
+MOST_FEATURES = 30_000_000
 
 # The shape of a byte is X, x or 9 for letters and digits; marks and white space stand for themselves.
 _SHAPE = bytes(0x58 if 0x41 <= b <= 0x5A else 0x78 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x39 if 0x30 <= b <= 0x39 else b for b in range(256))
@@ -79,3 +84,18 @@ def word_set(text: bytes | None) -> np.ndarray:
 def smallest(ids: DataFrame, rows: int) -> DataFrame:
     """Of distinct ids at most `rows`: those with the smallest hash, the same whatever the table's order."""
     return ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def bounded(rows: DataFrame, kind: str, most: int = MOST_FEATURES) -> pa.Table:
+    """Training rows (doc_id, `kind`, at, ...) on the driver, ordered by id, kind and features.  Of more than `most`
+    features those rows come that are first by a hash of their id, so very long texts don't fill the driver."""
+    spark = rows.sparkSession
+    table, path = cut(rows, "features")
+    sizes = table.select("doc_id", kind, F.xxhash64("at").alias("print"), F.size("at").alias("n"))  # as many rows as the sample
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", kind, "print").rowsBetween(Window.unboundedPreceding, 0))
+    if sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] > most:
+        kept = sizes.withColumn("upto", upto).where(F.col("upto") <= most).select("doc_id", kind, "print").distinct()
+        table = table.withColumn("print", F.xxhash64("at")).join(F.broadcast(kept), ["doc_id", kind, "print"], "left_semi").drop("print")
+    found = table.withColumn("print", F.xxhash64("at")).toArrow().sort_by([("doc_id", "ascending"), (kind, "ascending"), ("print", "ascending")])
+    drop(spark, path)
+    return found

@@ -7,10 +7,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, fold, narrowed, table, utf8
+from .common import batch, fold, held_out, narrowed, table, utf8
 
 #: Documents per language that the trees are grown from, at most.
 SAMPLE_ROWS = 400
@@ -145,16 +145,17 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Trees of each language from at most `rows` labelled documents, those with the smallest hash of their id."""
+    """Trees of each language from at most `rows` labelled documents, those with the smallest hash of their id.  A row
+    without text, id or lang teaches nothing; an id with several languages teaches each; of an empty table nothing is
+    learnt."""
     labelled = narrowed(docs, "doc_id", "lang").where("lang is not null and doc_id is not null")
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    ids = None
-    for lang in langs:
-        own = labelled.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        ids = own if ids is None else ids.union(own)
-    if ids is None:
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # Each partition keeps its first rows of a language before the shuffle, so a hot language is no hot task.
+    ids = labelled.withColumn("_n", first).where(F.col("_n") <= rows).select("doc_id", F.col("lang").alias("_lang")).distinct().toArrow()
+    langs = sorted(set(ids.column(1).to_pylist()))
+    if not langs:
         return Model([], [])
-    picked = F.broadcast(ids.distinct().select("doc_id", F.col("lang").alias("_lang")))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(ids))
     full = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sample = full.join(picked, "doc_id").where("lang = _lang").select("lang", "text")
 
@@ -204,6 +205,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all `documents` by trees of those that are not held out; a row without an id is not held out, and
+    teaches nothing."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(fold(F.col("doc_id"), 5) != 0))
-    return identify(docs, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, drop, narrowed, table, utf8
+from .common import batch, cut, drop, narrowed, opened, table, utf8, wrapped
 
 #: Leading words in a path of the tree; share of words that a line has in common with its template.
 DEPTH, SIMILARITY = 3, 0.8
@@ -284,8 +285,9 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
 
 
 def _dropped(docs: DataFrame, settled: DataFrame) -> DataFrame:
-    """doc_id, the hash of its text, and the positions of the lines that go."""
-    kind = pa.schema([("_id", pa.int64()), ("_hash", pa.int64()), ("digest", pa.binary()), ("at", pa.list_(pa.int32()))])
+    """id, hash (of the text), gone (for each line up to the last that goes, whether it does) and n (how many go)."""
+    kind = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("digest", pa.binary()), ("at", pa.list_(pa.int32()))])
+    flags = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("gone", pa.list_(pa.bool_())), ("n", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -298,30 +300,53 @@ def _dropped(docs: DataFrame, settled: DataFrame) -> DataFrame:
             if out:
                 yield batch(kind, *zip(*out, strict=True))
 
-    each = narrowed(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).mapInArrow(run, "_id long, _hash long, digest binary, at array<int>")
-    other = F.when(F.col("keeper_hash").isNull(), ~F.col("_id").eqNullSafe(F.col("keeper"))).otherwise(F.col("_id").isNotNull() | (F.col("_hash") != F.col("keeper_hash")))
+    def flagged(batches):
+        for b in batches:
+            gone, n = [], []
+            for parts in b.column(2):
+                at = np.unique(parts.values.flatten().to_numpy(zero_copy_only=False))
+                own = np.zeros(at[-1] + 1, bool)
+                own[at] = True
+                gone.append(own)
+                n.append(len(at))
+            yield batch(flags, b.column(0), b.column(1), gone, n)
+
+    each = narrowed(docs, "doc_id", "text").withColumn("h", F.xxhash64("text")).mapInArrow(run, "id long, hash long, digest binary, at array<int>")
+    other = F.when(F.col("keeper_hash").isNull(), ~F.col("id").eqNullSafe(F.col("keeper"))).otherwise(F.col("id").isNotNull() | (F.col("hash") != F.col("keeper_hash")))
     gone = each.join(settled.select("digest", "keeper", "keeper_hash"), "digest").where(other)
-    return gone.groupBy("_id", "_hash").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_gone"))
+    return gone.groupBy("id", "hash").agg(F.collect_list("at").alias("at")).mapInArrow(flagged, "id long, hash long, gone array<boolean>, n long")
+
 
+def _rewritten(docs: DataFrame, **options) -> DataFrame:
+    """row (all columns of `docs`), text (what is left of it), n_lines, n_dropped."""
+    settled, p1 = cut(recurring(docs, **options), "templates")
+    dropped, _ = cut(_dropped(docs, settled), "dropped")
+    drop(docs.sparkSession, p1)
+    keyed = wrapped(docs, key=F.col("doc_id").cast("bigint"), print=F.xxhash64(F.col("text").cast("string")), whole=F.col("text").cast("string"))
+    both = keyed.join(dropped, keyed["key"].eqNullSafe(dropped["id"]) & (keyed["print"] == dropped["hash"]), "left")
+    lines = F.split("whole", "\n", -1)
+    rest = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(rest)
+    return both.select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n", F.lit(0).cast("long")).alias("n_dropped"))
 
-def without_recurring(docs: DataFrame, **options) -> DataFrame:
+
+def without_recurring(docs: DataFrame, n_chars: str | None = None, **options) -> DataFrame:
     """`docs` with all its columns, the lines of recurring templates dropped from `text` wherever they stand in another
-    document than the template's keeper, plus n_lines and n_dropped as _n_lines and _n_dropped.
+    document than the template's keeper.  A column `n_chars`, if named, follows the new text where lines were dropped.
 
-    Null texts stay null and empty ones empty; blank lines are never dropped; rows of one doc_id are one document;
-    rows without an id lose what a document with one has, and each text among them is a document; very long lines are templates like any other; extra columns
-    pass through; an empty table gives an empty one.
+    Null texts stay null and empty ones empty; blank lines are never dropped; rows of one doc_id are one document; rows
+    without an id lose what a document with one has, and each text among them is a document; very long lines are
+    templates like any other; columns of any name pass through; an empty table gives an empty one.
     """
-    settled, _ = cut(recurring(docs, **options), "templates")
-    dropped, _ = cut(_dropped(docs, settled), "dropped")
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    both = keyed.join(dropped, keyed["doc_id"].cast("bigint").eqNullSafe(dropped["_id"]) & (keyed["_text_hash"] == dropped["_hash"]), "left")
-    lines = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = both.withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).drop("_text_hash", "_id", "_hash", "_gone")
+    changed = {"text": F.col("text")}
+    if n_chars:
+        kind = docs.schema[n_chars].dataType
+        changed[n_chars] = F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("row")[n_chars])
+    return _rewritten(docs, **options).select(*opened(docs.columns, **changed))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every row of `documents`: doc_id, text without recurring lines, n_lines (of the old text) and n_dropped; null,
+    empty and repeated rows as without_recurring() says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_recurring(docs).select("doc_id", "text", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"))
+    return _rewritten(docs).select("row.doc_id", "text", "n_lines", "n_dropped")

@@ -138,6 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all `documents` by byte_bpe_50k.json; null, empty, repeated and extra input as there."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, fold, narrowed, table, utf8
-from .features import BITS, smallest, style_vector
+from .common import batch, fold, held_out, narrowed, table, utf8
+from .features import BITS, bounded, smallest, style_vector
 
 #: Labelled documents learnt from, at most, of each label; passes over them; the share that sets the scale.
 SAMPLE_ROWS, EPOCHS = 3_000, 4
@@ -41,8 +41,9 @@ def _with_constant(v: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The model from at most `rows` documents of each label (doc_id, quality); a row without id or label teaches
-    nothing; of contradictory labels both are used; without labels the model is empty."""
+    """The model from at most `rows` documents of each label (doc_id, quality), as far as their features stay within
+    features.MOST_FEATURES; a row without id or label teaches nothing; of contradictory labels both are used; without
+    labels the model is empty."""
     own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("_label"))
     picked = None
     for v in (0, 1):
@@ -56,8 +57,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
                 at, x = _with_constant(style_vector(text))
                 yield batch(kind, [doc_id], [label], [at], [x])
 
-    found = narrowed(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, label int, at array<int>, x array<float>").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    found = bounded(narrowed(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, label int, at array<int>, x array<float>"), "label")
     if not found.num_rows:
         return np.empty(0, np.int64), np.empty(0, np.float32)
     vectors = [(np.asarray(a.values), np.asarray(x.values, np.float64)) for a, x in zip(found.column("at"), found.column("x"), strict=True)]
@@ -84,6 +84,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cut: float = CU
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all `documents` by a model of the labelled rows that are not held out; a row without an id is not
+    held out, and teaches nothing."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
-    return score(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")

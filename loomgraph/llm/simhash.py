@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, narrowed, table, utf8
+from .common import batch, cut, drop, narrowed, opened, table, utf8, wrapped
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -76,10 +76,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _rooted(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of the rows, and of each distinct one its component (root) and least doc_id (first)."""
+    spark = docs.sparkSession
     each, _ = cut(fingerprints(docs, size), "fingerprints")
-    distinct, _ = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found, _ = cut(components(links(distinct.select("fp")), "fp", "other"), "components")
-    return each, distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    distinct, p1 = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found, p2 = cut(components(links(distinct.select("fp")), "fp", "other"), "components")
+    rooted, _ = cut(distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+    drop(spark, p1, p2)
+    return each, rooted
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -92,36 +95,41 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     each, rooted = _rooted(docs, size)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named, _ = cut(rooted.join(least, "root").select("fp", "component_id"), "named")
+    named = rooted.join(least, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row of `docs` for each component, with all its columns: the one with the smallest doc_id, a null one last,
-    then with the least hash of its text, then of all its columns that can be compared."""
+    then with the least hash of its text, then with the least hash of all its columns that can be hashed.
+
+    Null, empty and blank texts are near-duplicates of each other, so one of them stays; of repeated rows one stays; a
+    second text under an id that another component keeps is judged by its own component; columns of any name pass
+    through; an empty table gives an empty one.
+    """
     each, rooted = _rooted(docs, size)
-    of, _ = cut(rooted.select("fp", "root"), "rooted")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "hash")
     by_print = each.groupBy("fp").agg(F.min(place).alias("best"))
-    best = by_print.join(of, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.hash")
+    best = by_print.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.hash")
     same = each["doc_id"].eqNullSafe(best["doc_id"]) & (each["hash"] == best["hash"])
-    copies = each.join(best, same, "left_semi").groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("_n"))
-    kept, _ = cut(copies.select(F.col("doc_id").alias("_kept"), F.col("hash").alias("_hash"), "_n"), "kept")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    copies = each.join(best, same, "left_semi").groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    kept, _ = cut(copies, "kept")
+    unhashed = ("map<", "variant")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in unhashed)]
+    keyed = wrapped(docs, key=F.col("doc_id").cast("bigint"), print=F.xxhash64(F.col("text").cast("string")), order=F.xxhash64(*hashed))
 
     def own(names: DataFrame) -> DataFrame:
-        return keyed.join(names, keyed["doc_id"].cast("bigint").eqNullSafe(names["_kept"]) & (keyed["_text_hash"] == names["_hash"]))
+        return keyed.join(names, keyed["key"].eqNullSafe(names["doc_id"]) & (keyed["print"] == names["hash"]))
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    alone = own(kept.where("_n = 1")).select(*columns)
-    several = kept.where("_n > 1")
-    if several.isEmpty():
-        return alone
-    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    first = own(several).groupBy("_kept", "_hash").agg(F.min_by(F.struct(*columns), F.xxhash64(*order)).alias("_row"))
-    return alone.unionByName(first.select("_row.*"))
+    alone = own(kept.where("n = 1")).select("row")
+    several = kept.where("n > 1")
+    if not several.isEmpty():
+        alone = alone.unionByName(own(several).groupBy("key", "print").agg(F.min_by("row", "order").alias("row")).select("row"))
+    return alone.select(*opened(docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all `documents`, the fingerprint as 16 hex digits; what it says of null, empty, repeated and
+    extra input holds."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, narrowed, table
+from .common import batch, cut, narrowed, table
 from .tokenizer import pieces, pre_tokens
 
 #: Documents sampled for frequent pre-tokens, and how many of those a worker keeps the piece counts of.  This bounds
@@ -81,6 +81,14 @@ def frequent(docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, most: int
     return {t: own.count(t.encode("utf-8")) for t in top}
 
 
+def _straight_from_files(docs: DataFrame) -> bool:
+    """Whether the plan only scans files, selects columns and filters rows, so a lost task comes out alike."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> DataFrame:
     """Columns doc_id, n_bytes, n_tokens for each row of `docs` (doc_id, text).
 
@@ -90,9 +98,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, most:
     the batch.  A hot pre-token only lengthens parcels that exist anyway.  Special strings count as one token, as in the
     library.  A null or empty text has 0 tokens; a null doc_id stays null; repeated rows are each returned; other columns
     are ignored; an empty table gives an empty one.  A batch is known by its partition and place, so the input's
-    partitions must come out alike when computed again, as those of files do.
+    partitions must come out alike when computed again: an input that is not read straight from files is written first.
     """
     narrow = narrowed(docs, "doc_id", "text")
+    if not _straight_from_files(narrow):
+        narrow, _ = cut(narrow, "documents")
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent(narrow, tokenizer, rows, most))
     buckets = PARCELS * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -186,6 +196,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, most:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_tokens() of all `documents` by byte_bpe_50k.json, and whether a text has over 512; null, empty, repeated
+    and extra input as there."""
     import public_tokenizers
 
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

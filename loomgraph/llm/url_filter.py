@@ -44,11 +44,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], prefix: int =
     page_id stays null; repeated rows are each returned; other columns are ignored; without rules all get `default`.
     """
     spark = pages.sparkSession
-    own = spark.createDataFrame([(h, p, v) for h, p, v in rules], "rule_host string, rule_path string, rule_verdict string")
+    # Rules in the order in which they win: the later one of those that fit.
+    ordered = sorted({(len(h) + len(p), len(h), v == "block", h, p, v) for h, p, v in rules})
+    own = spark.createDataFrame([(k, *r[3:]) for k, r in enumerate(ordered)], "rank int, rule_host string, rule_path string, rule_verdict string")
     lengths = sorted({len(p) for _, p, _ in rules}) or [0]
     most_labels = max((h.count(".") + 1 for h, _, _ in rules), default=1)
     digest = _digest(_expression(F.col("rule_host"), F.col("rule_path")))
-    own = own.select(digest.substr(1, prefix).alias("short"), digest.alias("whole"), "rule_host", "rule_path", "rule_verdict").distinct()
+    own = own.select(digest.substr(1, prefix).alias("short"), digest.alias("whole"), "rank", F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
+    found = own.select("short", "whole", "rank")
 
     # Repeated rows become one row with a count, and so does whatever is equal before the shuffle.
     base = narrowed(pages, "page_id", "url").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
@@ -58,24 +61,22 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], prefix: int =
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     both = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: _expression(h, F.substring(F.col("path"), F.lit(1), n)))))
     each = base.select("*", F.explode_outer(both).alias("expression")).withColumn("digest", _digest(F.col("expression"))).withColumn("short", F.substring("digest", 1, prefix))
-    if len(rules) <= MOST_BROADCAST:
-        met = each.join(F.broadcast(own), "short", "left")
+    few = len(rules) <= MOST_BROADCAST
+    if few:
+        met = each.join(F.broadcast(found), "short", "left")
     else:  # a frequent host's expression is dealt over several tasks
-        salted = own.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        salted = found.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         met = each.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["short", "salt"], "left")
-    fits = F.col("whole") == F.col("digest")
-    rank = F.struct(
-        (F.length("rule_host") + F.length("rule_path")).alias("length"), F.length("rule_host").alias("of_host"), (F.col("rule_verdict") == "block").alias("blocks"),
-        F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"),
-    )
-    best = met.groupBy("page_id", "host", "path", "copies").agg(F.max(F.when(fits, rank)).alias("best"))
-    return best.select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+    best = met.groupBy("page_id", "host", "path", "copies").agg(F.max(F.when(F.col("whole") == F.col("digest"), F.col("rank"))).alias("rank"))
+    named = own.select("rank", "rule", "verdict")
+    return best.join(F.broadcast(named) if few else named, "rank", "left").select(
+        "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of every row of `pages` by the five fixed rules; null, empty, repeated and extra input as there."""
     return judge(table(spark, sf_dir, "pages"), RULES)
 
 

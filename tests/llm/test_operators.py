@@ -213,6 +213,7 @@ def test_decontaminate(spark, docs, none, most):
 
 
 def test_line_dedup(spark, docs, none):
+    assert line_dedup.without_recurring(docs).columns == docs.columns
     out = {(r.doc_id, i): r for i, r in enumerate(line_dedup.without_recurring(docs).collect())}
     by = {k[0]: r.text for k, r in out.items()}
     assert LINE in by[9] and LINE not in by[10] and by[10] == TEXTS[10].split("\n")[0]
@@ -221,7 +222,7 @@ def test_line_dedup(spark, docs, none):
     other = shared.replace("17", "99")
     varied = shared.replace("northern", "southern")
     rows = [(1, f"{shared}\nfirst body"), (2, f"second body\n\n{other}\n"), (3, f"{varied}\nthird body"), (4, "All rights reserved."), (5, "All rights reserved."), (None, shared), (7, f"{shared} and\nseventh body")]
-    got = {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in line_dedup.without_recurring(spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, keeper int")).collect()}
+    got = {r.row.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup._rewritten(spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, keeper int")).collect()}
     assert got == {1: (rows[0][1], 2, 0), 2: ("second body\n\n", 4, 1), 3: ("third body", 2, 1), 4: ("All rights reserved.", 1, 0), 5: ("All rights reserved.", 1, 0), None: ("", 1, 1), 7: (rows[6][1], 2, 0)}
     split = {r.doc_id: r.text for r in line_dedup.without_recurring(spark.createDataFrame(rows, "doc_id long, text string"), full=1).collect()}
     assert split[2] == "second body\n\n"
@@ -230,9 +231,9 @@ def test_line_dedup(spark, docs, none):
 
 def test_line_templates_are_the_same_at_every_size(spark):
     rng = random.Random(7)
-    lines = [" ".join(["it", "is", "the", *(rng.choice("abc") for _ in range(n - 3))]) for n in (4, 5, 9, 12) for _ in range(60)]
+    lines = [" ".join(["it", "is", "the", *(rng.choice("abc") for _ in range(n - 3))]) for n in (4, 5, 9, 12) for _ in range(40)]
     lines += [f"thanks to our reader {w} for the kind letter of today" for w in WORDS * 3]
-    rows = [(i, "\n".join(rng.sample(lines, 4))) for i in range(90)]
+    rows = [(i, "\n".join(rng.sample(lines, 4))) for i in range(70)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held = {}
     for i, text in rows:
@@ -252,7 +253,7 @@ def test_line_templates_are_the_same_at_every_size(spark):
         if len(ids) > 1 and (len(words) >= 8 or support >= 10):
             expected.add((line_dedup.digest(line), b" ".join(words), support, min(ids)))
     assert any(b"<*>" in t for _, t, *_ in expected)
-    for full in (line_dedup.FULL, 5, 1):
+    for full in (line_dedup.FULL, 8):
         got = [(bytes(r.digest), bytes(r.template), r.support, r.keeper) for r in line_dedup.recurring(docs, full=full).collect()]
         assert len(got) == len(expected) and set(got) == expected
 
@@ -327,6 +328,64 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in language.identify(docs, language.train(none)).collect()} == {"und"}
 
 
+def test_ftrl_is_the_scalar_one():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(30)]
+    labels = [int(i.min() < 3) for i, _ in rows]
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.5
+    z, n = [0.0] * 12, [0.0] * 12
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(1)
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            at, x = rows[k]
+            w = [weight(i) for i in at]
+            p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            for i, v, old in zip(at, x, w, strict=True):
+                g = (p - labels[k]) * v
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * old
+                n[i] += g * g
+    kept, w = quality.train(rows, labels, alpha, beta, l1, l2, epochs=3)
+    expected = {i: weight(i) for i in range(12) if weight(i)}
+    assert len(expected) > 5 and dict(zip(kept.tolist(), w.tolist(), strict=True)) == pytest.approx(expected, rel=1e-5)
+
+
+def test_risk_gradient_is_the_numeric_one():
+    rng = np.random.default_rng(6)
+    column, prior, signs = np.arange(1 << 20), 0.3, set()
+    p, u = (toxicity._Rows([rng.choice(8, 3, replace=False) for _ in range(n)], column) for n in (9, 14))
+    for scale, c in ((0.5, 0.1), (2.0, -3.0), (0.1, 4.0), (3.0, 0.0)):
+        w = scale * rng.normal(size=8)
+        if c == 4.0:  # the classifier is sure of positives alone: the corrected part falls below 0
+            w, c = np.where(np.bincount(u.at, minlength=8) > 4, -9.0, 0.0), 6.0
+        sign = -1 if toxicity.risk(p, u, w, c, prior)[1] < 0 else 1
+        signs.add(sign)
+        total = lambda w, c, s=sign: -toxicity.risk(p, u, w, c, prior)[1] if s < 0 else sum(toxicity.risk(p, u, w, c, prior))
+        g, gc = toxicity.gradient(p, u, w, c, prior)
+        for i in range(8):
+            step = np.eye(8)[i] * 1e-6
+            assert g[i] == pytest.approx((total(w + step, c) - total(w - step, c)) / 2e-6, abs=1e-5)
+        assert gc == pytest.approx((total(w, c + 1e-6) - total(w, c - 1e-6)) / 2e-6, abs=1e-5)
+    direct = prior * np.mean([np.log1p(np.exp(-(w[p.at[p.row == k]].sum() + c))) for k in range(9)])
+    assert toxicity.risk(p, u, w, c, prior)[0] == pytest.approx(direct)
+
+
+def test_training_rows_are_bounded_by_their_features(spark):
+    from loomgraph.llm.features import bounded
+
+    rows = spark.createDataFrame([(i, i % 2, [*range(10 + i % 3)]) for i in range(40)] + [(7, 1, [5, 6])], "doc_id long, label int, at array<int>")
+    assert bounded(rows, "label").num_rows == 41
+    few = bounded(rows, "label", 100)
+    assert 0 < few.num_rows < 12 and sum(len(x) for x in few.column("at").to_pylist()) <= 100
+    assert few.equals(bounded(rows.repartition(5), "label", 100))
+
+
 @pytest.mark.parametrize("op,label", [(quality.op5_quality, "quality"), (toxicity.op6_toxicity, "toxic")])
 def test_classifiers_on_held_out_rows(spark, op, label):
     sf = "/root/testdata/sf0.01"
@@ -344,7 +403,7 @@ def test_classifiers_on_odd_rows(spark, docs, none):
         assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
         assert f(none, model).count() == 0
     empty = toxicity.learn(docs, labels.limit(0).select("doc_id"), 0.2)
-    assert toxicity.score(docs, empty).where("predicted = 1").count() == 0
+    assert toxicity.score(docs, empty).where("predicted = 1 or score > 0").count() == 0
     assert toxicity.without_toxic(docs, empty).count() == len(ROWS)
     assert quality.score(docs, quality.learn(docs, labels.limit(0))).select("score").distinct().count() == 1
 
@@ -386,3 +445,62 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
     whole = lambda df: {(r.doc_id, r.n) for r in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert whole(packed) == whole(packing.pack(docs, PATH))
+
+
+NAMES = "row key print whole gone n _id _hash _gone _kept _row _text_hash id hash fp root first best item m h window at order found items".split()
+
+
+def _clashing(spark, rows):
+    """Rows (doc_id, text) with a column of every name that stages use inside."""
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"{c} string" for c in NAMES)
+    return spark.createDataFrame([(i, t, len(t or ""), *(f"{c}{k}" for c in NAMES)) for k, (i, t) in enumerate(rows)], schema)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    shared = "this notice of the northern office stands in many letters of the year"
+    item = "which of these ten words would nobody write by chance here today"
+    body = lambda k: " ".join(f"{w}{k}" for w in "one two three four five six seven eight nine ten eleven twelve".split())
+    rows = [(1, None), (2, ""), (None, None), (3, f"{shared}\n{body('a')}"), (4, f"{body('b')}\n{shared}"), (4, f"{body('b')}\n{shared}"), (None, body("c")), (None, f"{shared}\n{body('d')}"), (5, f"{body('e')} {item}"), (6, "awful vile words " + body("f")), (7, body("a") + " x" * 30_000), (4, body("g"))]
+    labels = spark.createDataFrame([(100, 1, 1), (101, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i1", item), (None, ""), ("i2", None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = _clashing(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    same = lambda a, b: sorted(map(str, map(tuple, a.collect()))) == sorted(map(str, map(tuple, b.collect())))
+    kept, stages = {}, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, stages, str(tmp_path))
+        assert out.columns == docs.columns
+        assert stage(spark, stages.limit(0), str(tmp_path)).count() == 0
+        stages, _ = corpus_pipeline.cut(out, name)
+        kept[name] = stages
+    assert same(kept["toxicity"], docs)  # nothing was learnt, so nothing goes
+    lines = kept["line_dedup"]
+    assert lines.count() == len(rows) and lines.where("n_chars <> coalesce(length(text), 0)").count() == 0
+    assert same(lines.drop("text", "n_chars"), docs.drop("text", "n_chars"))
+    assert sorted(str(r.doc_id) for r in lines.where(F.col("text").contains(shared)).collect()) == ["3"]
+    one = kept["simhash"].collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:4]) for r in one) == sorted([("1", ""), ("3", "this"), ("4", "oneb"), ("4", "oneg"), ("None", "onec"), ("None", "oned"), ("5", "onee"), ("6", "awfu"), ("7", "onea")])
+    assert {r.doc_id for r in kept["decontaminate"].collect()} == {1, 3, 4, None, 6, 7}
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.groupBy().agg(F.sum("length")).first()[0] == sum(len(ids_of(r.text)) + 1 for r in kept["decontaminate"].collect())
+    assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_held_out_is_never_null_and_ids_are_integers(spark, tmp_path):
+    spark.createDataFrame([(1, "a b", "en"), (None, "c d", "en"), (None, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for op in (quality.op5_quality, toxicity.op6_toxicity, language.op7_language):
+        got = op(spark, str(tmp_path)).collect()
+        assert len(got) == 3 and all(r.held_out is False for r in got if r.doc_id is None) and None not in [r.held_out for r in got]
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_many_dropped_lines_of_one_text(spark):
+    lines = [f"the line of letter {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} and some more words here" for k in range(3000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[::-1], "", "own last line"]))]
+    got = {r.row.doc_id: r for r in line_dedup._rewritten(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_dropped == 0 and got[2].n_dropped == 3000 and got[2].text == "\nown last line" and got[2].n_lines == 3002
