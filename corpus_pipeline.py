@@ -8,41 +8,40 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, line_dedup, packing, simhash, toxicity
-from loomgraph.llm.common import cut, table
+from loomgraph.llm.common import cut, drop, table
 
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is 0.3 or more go."""
+    """Documents whose toxicity score is 0.3 or more go.  Null and empty texts are judged by the score of no words, and
+    repeated rows alike; without labels nothing goes; columns of any name stay; an empty table stays empty."""
     return toxicity.without_toxic(docs, toxicity.from_labels(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but for the document with the smallest id; n_chars follows the text."""
-    columns = docs.columns
-    out = line_dedup.without_recurring(docs)
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    """Lines of recurring templates go, but for the document with the smallest id; n_chars follows the text.  Every row
+    stays; null texts stay null; rows of one id are one document; columns of any name stay; an empty table stays empty."""
+    return line_dedup.without_recurring(docs, "n_chars" if "n_chars" in docs.columns else None)
 
 
 def one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.  Texts without a word are one group; of
+    repeated rows one stays; columns of any name stay; an empty table stays empty."""
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go.  Null and empty texts stay; repeated rows are judged
+    alike; without a benchmark nothing goes; columns of any name stay; an empty table stays empty."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences of 1024 tokens."""
+    """What is left is packed into sequences of 1024 tokens.  Null and empty texts are the token that ends a document;
+    repeated rows are packed once each; other columns end here; an empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -57,7 +56,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over all documents, each but the last written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
