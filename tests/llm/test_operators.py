@@ -131,7 +131,8 @@ def test_vector_dedup(spark):
         c = min((r[0] for j, r in enumerate(rows) if near[j] == near[k] and r[0] is not None), default=None)
         expected.append((i, int(n[k]), c, i is not None and i == c))
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, rep int")
-    assert sorted(map(str, map(tuple, vector_dedup.near_duplicates(df).collect()))) == sorted(map(str, expected))
+    for sizes in ((vector_dedup.BLOCK, vector_dedup.LEAF), (6, 2)):
+        assert sorted(map(str, map(tuple, vector_dedup.near_duplicates(df, 0.98, *sizes).collect()))) == sorted(map(str, expected))
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
