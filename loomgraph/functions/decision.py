@@ -30,6 +30,16 @@ def lexical(context: Column, instruction: Column) -> Column:
     return F.coalesce(F.when(n > 0, F.size(F.array_intersect(words(context), words(instruction))) / n), F.lit(0.0))
 
 
+def _shared(context: Column, instruction: Column) -> Column:
+    """lexical() of two word sets that are made already."""
+    n = F.size(instruction)
+    return F.coalesce(F.when(n > 0, F.size(F.array_intersect(context, instruction)) / n), F.lit(0.0))
+
+
+#: A scorer with these two is evaluated once per text, then once per pair.
+lexical.prepare, lexical.compare = words, _shared
+
+
 def trigram(context: Column, instruction: Column) -> Column:
     """Jaccard similarity of character trigrams; 0 without any."""
     a, b = trigrams(context), trigrams(instruction)
@@ -57,7 +67,8 @@ def confidence(p: Column) -> Column:
 
 
 def choose(asked: DataFrame, key: str, options: DataFrame, context: Column, instruction: Column, scorer: Scorer = lexical) -> DataFrame:
-    """The best of a few options (option, ord, description) for each row: option, best, confidence = best / sum.
+    """The best of a few options (option, ord, description) for each row: option, best, confidence = best / sum, raw_probs
+    (each option's score).
 
     Options are a bounded list, so they become literals of the plan: no join and no shuffle.  The first of equally good
     ones wins; a sum of 0 counts as 1.
@@ -65,17 +76,101 @@ def choose(asked: DataFrame, key: str, options: DataFrame, context: Column, inst
     listed = options.orderBy("ord").collect()
     if not listed:
         raise ValueError("a choice needs options")
+    prepare, compare = getattr(scorer, "prepare", None), getattr(scorer, "compare", scorer)
+    made = prepare or (lambda text: text)
     found = F.array(*[
-        F.struct(score(probabilities(scorer(context, F.concat_ws(" ", instruction, F.lit(r.description))))).alias("s"), F.lit(-i).alias("first"), F.lit(r.option).alias("option"))
+        F.struct(score(probabilities(compare(F.col("_context"), made(F.concat_ws(" ", instruction, F.lit(r.description)))))).alias("s"), F.lit(-i).alias("first"), F.lit(r.option).alias("option"))
         for i, r in enumerate(listed)
     ])
+    asked_columns = asked.columns
+    asked = asked.withColumn("_context", made(context))
     with_all = asked.withColumn("_found", found).withColumn("_best", F.array_max("_found")).withColumn("_sum", F.aggregate("_found", F.lit(0.0), lambda a, x: a + x["s"]))
-    return with_all.select(*asked.columns, F.col("_best.option").alias("option"), F.col("_best.s").alias("best"), (F.col("_best.s") / F.when(F.col("_sum") == 0, F.lit(1.0)).otherwise(F.col("_sum"))).alias("confidence"))
+    probs = F.map_from_entries(F.transform("_found", lambda x: F.struct(x["option"], F.round(x["s"], 4))))
+    with_all = with_all.withColumn("_probs", probs)
+    return with_all.select(*asked_columns, F.col("_probs").alias("raw_probs"), F.col("_best.option").alias("option"), F.col("_best.s").alias("best"), (F.col("_best.s") / F.when(F.col("_sum") == 0, F.lit(1.0)).otherwise(F.col("_sum"))).alias("confidence"))
+
+
+def ask(kind: Column, p: Column, selected: Column | None = None) -> Column:
+    """One question of a batch as (answer, selected): score and noul give a number, choice the option; any other kind
+    stops the query."""
+    unknown = F.raise_error(F.concat(F.lit("unknown kind of question: "), F.coalesce(kind, F.lit("null"))))
+    choice = kind == "choice"
+    return F.struct(
+        F.when(kind == "score", score(p)).when(kind == "noul", noul(p)).when(choice, F.lit(None).cast("double")).otherwise(unknown.cast("double")).alias("answer"),
+        F.when(choice, selected if selected is not None else F.lit(None).cast("string")).alias("selected"),
+    )
+
+
+# --- details
+
+
+def label_score(probs: Column) -> Column:
+    """Of a map label -> probability: critical, true and yes count whole, tangential half, every other label nothing."""
+    weight = lambda k: F.when(k.isin("critical", "true", "yes"), 1.0).when(k == "tangential", 0.5).otherwise(0.0)
+    return F.aggregate(F.map_entries(probs), F.lit(0.0), lambda s, e: s + e["value"] * weight(e["key"]))
+
+
+def label_noul(probs: Column) -> Column:
+    """Of a map label -> probability: critical, true and yes count whole, every other label nothing."""
+    return F.aggregate(F.map_entries(probs), F.lit(0.0), lambda s, e: s + F.when(e["key"].isin("critical", "true", "yes"), e["value"]).otherwise(0.0))
+
+
+def softmax(logits: Column) -> Column:
+    """Shares of an array of logits; the greatest is taken off first, so none overflows."""
+    top = F.array_max(logits)
+    return F.transform(logits, lambda x: F.exp(x - top) / F.aggregate(logits, F.lit(0.0), lambda s, y: s + F.exp(y - top)))
+
+
+def labelled(logits: Column, labels: Sequence[str]) -> Column:
+    """A model's logits as a map label -> probability."""
+    return F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), softmax(logits))
+
+
+def as_map(p: Column) -> Column:
+    return F.create_map(*[x for k in ("irrelevant", "tangential", "critical") for x in (F.lit(k), p[k])])
+
 
+def detailed(value: Column, conf: Column, probs: Column, backend: str, primitive: str, selected: Column | None = None, latency_ms: Column | None = None) -> Column:
+    """A decision with all that is known of it: score, confidence, raw_probs (4 digits), latency_ms (null for a scorer
+    that is a column of the plan), backend, primitive, selected."""
+    return F.struct(
+        value.cast("double").alias("score"), conf.cast("double").alias("confidence"), F.transform_values(probs, lambda _, v: F.round(v, 4)).alias("raw_probs"),
+        (latency_ms if latency_ms is not None else F.lit(None)).cast("double").alias("latency_ms"), F.lit(backend).alias("backend"), F.lit(primitive).alias("primitive"),
+        (selected if selected is not None else F.lit(None)).cast("string").alias("selected"),
+    )
 
-def ask(kind: Column, p: Column) -> Column:
-    """One question of a batch: by its kind; null for an unknown kind."""
-    return F.when(kind == "score", score(p)).when(kind == "noul", noul(p))
+
+def decide(context: Column, instruction: Column, backend: str = "lexical", primitive: str = "score") -> Column:
+    """score or noul by a named scorer, detailed."""
+    p = probabilities(scorer_named(backend)(context, instruction))
+    if primitive not in ("score", "noul"):
+        raise ValueError(f"not a primitive of one pair: {primitive!r}")
+    return detailed(score(p) if primitive == "score" else noul(p), confidence(p), as_map(p), backend, primitive)
+
+
+# --- scorers by name
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def register(name: str, scorer: Scorer) -> None:
+    """Make a scorer, such as a model behind a pandas UDF, known by a name."""
+    _SCORERS[name] = scorer
+
+
+def scorer_named(name: str) -> Scorer:
+    if name not in _SCORERS:
+        raise ValueError(f"unknown scorer: {name!r}")
+    return _SCORERS[name]
+
+
+register("lexical", lexical)
+register("trigram", trigram)
+
+
+# --- answers of a remote service
+
+_RAW = "map<string,double>"
 
 
 def cloud_score(answer: Column, fallback: float = 0.5) -> Column:
@@ -92,5 +187,80 @@ def cloud_choice(answer: Column, options: Sequence[str]) -> Column:
     return F.coalesce(F.get_json_object(answer, "$.selected"), F.lit(options[0]))
 
 
+def cloud_detailed(answer: Column, kind: Column, first: Column, fallback: float = 0.5, latency_ms: Column | None = None) -> Column:
+    """A remote answer in JSON, decoded by the kind of its question; null for a kind that is unknown.
+
+    score: its confidence, or 0.  noul: the probability is the confidence, and yes and no are the raw ones.  choice: the
+    selected option, or the first; its confidence, or its probability, or 0, is the score too.  An answer that can't be
+    read at all gives the fallback with confidence 0 and no latency; a choice then the first option with 0.
+    """
+    readable = F.coalesce(F.try_parse_json(answer).isNotNull(), F.lit(False)) & F.ltrim(answer).startswith("{")
+    probs = F.coalesce(F.from_json(F.get_json_object(answer, "$.probabilities"), _RAW), F.create_map().cast(_RAW))
+    said = F.get_json_object(answer, "$.confidence").try_cast("double")
+    p, picked = cloud_noul(answer, fallback), F.coalesce(F.get_json_object(answer, "$.selected"), first)
+    chosen = F.coalesce(said, F.try_element_at(probs, picked), F.lit(0.0))
+    none = F.create_map().cast(_RAW)
+    value = F.when(kind == "score", cloud_score(answer, fallback)).when(kind == "noul", p).when(readable, chosen).otherwise(F.lit(0.0))
+    conf = F.when(~readable, F.lit(0.0)).when(kind == "score", F.coalesce(said, F.lit(0.0))).when(kind == "noul", p).otherwise(chosen)
+    raw = F.when(~readable, none).when(kind == "noul", F.create_map(F.lit("yes"), p, F.lit("no"), 1 - p)).otherwise(probs)
+    took = F.when(readable, latency_ms if latency_ms is not None else F.lit(None).cast("double")).otherwise(F.lit(0.0))
+    out = F.struct(
+        value.alias("score"), conf.alias("confidence"), F.transform_values(raw, lambda _, v: F.round(v, 4)).alias("raw_probs"), took.alias("latency_ms"), F.lit("cloud").alias("backend"),
+        kind.alias("primitive"), F.when(kind == "choice", F.when(readable, picked).otherwise(first)).alias("selected"))
+    return F.when(kind.isin("score", "noul", "choice"), out)
+
+
+def cloud_batch(answers: DataFrame, fallback: float = 0.5) -> DataFrame:
+    """id, question, and the decision: one row for each question of answers(id, body, questions, latency_ms), where
+    questions is an array of (name, kind, first option) and body is one JSON answer for all of them, by name.
+
+    Questions of unknown kinds are dropped; a question without an answer counts as an empty one; a body that can't be
+    read gives each question the fallback, and a choice its first option.
+    """
+    each = answers.select("id", "body", "latency_ms", F.inline("questions").alias("question", "kind", "first"))
+    readable = F.coalesce(F.try_parse_json("body").isNotNull(), F.lit(False)) & F.ltrim("body").startswith("{")
+    of = F.from_json(F.get_json_object("body", "$.questions"), "map<string,string>")
+    one = F.when(readable, F.coalesce(F.try_element_at(of, F.col("question")), F.lit("{}")))
+    found = each.withColumn("_d", cloud_detailed(one, F.col("kind"), F.col("first"), fallback, F.col("latency_ms"))).where("_d is not null")
+    # A whole batch that failed has the fallback as the score of choices too.
+    value = F.when(readable, F.col("_d.score")).otherwise(F.lit(fallback))
+    return found.select("id", "question", value.alias("score"), "_d.confidence", "_d.raw_probs", "_d.latency_ms", "_d.backend", "_d.primitive", "_d.selected")
+
+
+class Cloud:
+    """A remote decision service behind a transport: a function from a list of requests to a list of JSON answers, which
+    runs in the workers.  Without a key there is no service."""
+
+    def __init__(self, key: str | None, transport: Callable[[str, list[dict]], list[str]]):
+        if not (key or "").strip():
+            raise ValueError("the remote service needs a key")
+        self.key, self.transport = key, transport
+
+    def ask(self, asked: DataFrame) -> DataFrame:
+        """asked(id, state, questions: array of (name, kind, first)) with body and latency_ms, one request a row; a
+        request that fails has a null body, which decodes as the fallback."""
+        import time
+
+        import pandas as pd
+
+        key, transport = self.key, self.transport
+
+        def run(frames):
+            for f in frames:
+                bodies, took = [], []
+                for state, questions in zip(f["state"], f["questions"], strict=True):
+                    began = time.perf_counter()
+                    try:
+                        body = transport(key, [{"state": state, "questions": [dict(q) if isinstance(q, dict) else q.asDict() for q in questions]}])[0]
+                    except Exception:
+                        body = None
+                    bodies.append(body)
+                    took.append(round(1000 * (time.perf_counter() - began), 2))
+                yield pd.DataFrame({"id": f["id"], "body": bodies, "latency_ms": took})
+
+        answered = asked.select("id", "state", "questions").mapInPandas(run, "id long, body string, latency_ms double")
+        return asked.select("id", "questions").join(answered, "id")
+
+
 def ranked(df: DataFrame, partition: Sequence[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))

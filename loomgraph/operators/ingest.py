@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import decision as d
-
-from .algorithms import written
+from loomgraph.sources.store import EDGE, GraphStore, finite
+from loomgraph.tables import written
 
 # The keys of the relation ontology, in the order that settles ties; the last is the fallback.
 ONTOLOGY_KEYS = [
@@ -21,9 +21,13 @@ FALLBACK = "RELATED_TO"
 
 
 def describe(key: str) -> str:
+    """A key's words; a schema may bring descriptions of its own instead."""
     return key.lower().replace("_", " ")
 
 
+ONTOLOGY = [(k, describe(k)) for k in ONTOLOGY_KEYS]
+
+
 def sentences(text: Column) -> Column:
     """Cut after . ! ? and white space; trimmed, without empty ones."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
@@ -32,22 +36,24 @@ def sentences(text: Column) -> Column:
 def chunks(docs: DataFrame, threshold: float = 0.85, least: int = 2, scorer: d.Scorer = d.lexical) -> DataFrame:
     """doc_id, chunk_idx, chunk.  Between neighbours stands a border if they have little in common (1 - overlap >=
     threshold) and the chunk has `least` sentences; a text of at most `least` sentences stays one raw chunk; null text
-    gives none.  The fold runs inside one row, without a shuffle."""
+    gives none.
+
+    Everything happens inside one row, without a shuffle: neighbours are compared first, each sentence prepared once;
+    the fold then only keeps the places of cuts.
+    """
     s = docs.where("text is not null").select("doc_id", "text", sentences(F.col("text")).alias("s"))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"))
-
-    def step(acc, i):
-        here = F.col("s")[i]
-        apart = (1 - scorer(F.coalesce(F.try_element_at(acc["now"], F.lit(-1)), F.lit("")), here)) >= threshold
-        border = apart & (F.size(acc["now"]) >= least)
-        return F.struct(
-            F.when(border, F.concat(acc["done"], F.array(F.array_join(acc["now"], " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(border, F.array(here)).otherwise(F.concat(acc["now"], F.array(here))).alias("now"),
-        )
-
-    at = F.sequence(F.lit(0), F.size("s") - 1)
-    folded = F.aggregate(at, empty, step, lambda acc: F.concat(acc["done"], F.array(F.array_join(acc["now"], " "))))
-    whole = F.when(F.size("s") <= least, F.array("text")).otherwise(folded)
+    prepare, compare = getattr(scorer, "prepare", None), getattr(scorer, "compare", scorer)
+    each = F.transform("s", prepare) if prepare else F.col("s")
+    s = s.withColumn("n", F.size("s")).withColumn("w", each)
+    before, after = F.slice("w", F.lit(1), F.greatest(F.col("n") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0)))
+    apart = F.zip_with(before, after, lambda x, y: (1 - compare(x, y)) >= threshold)
+    places = F.filter(F.transform(apart, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
+    start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("last"))
+    fold = F.aggregate(places, start, lambda acc, i: F.when(i - acc["last"] >= least, F.struct(F.concat(acc["cuts"], F.array(i)).alias("cuts"), i.alias("last"))).otherwise(acc), lambda acc: acc["cuts"])
+    s = s.withColumn("cuts", fold)
+    ends = F.concat(F.slice("cuts", F.lit(2), F.size("cuts")), F.array("n"))
+    spans = F.arrays_zip(F.col("cuts").alias("a"), ends.alias("b"))
+    whole = F.when(F.col("n") <= least, F.array("text")).otherwise(F.transform(spans, lambda x: F.array_join(F.slice("s", x["a"] + 1, x["b"] - x["a"]), " ")))
     return s.select("doc_id", F.posexplode(whole).alias("chunk_idx", "chunk"))
 
 
@@ -65,13 +71,14 @@ def capitalised(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)+"), 0))
 
 
-def cosine_pairs(vectors: DataFrame, group: str, threshold: float, keep_group: bool = False, slice_: int = 1024) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, group: str, threshold: float, keep_group: bool = False, slice_: int = 4096) -> DataFrame:
     """a < b of one group whose cosine exceeds the threshold, never across groups.
 
-    Vectors travel in slices of about `slice_`, dealt by a hash of their id; slices of a group meet once, as a matrix
-    product, so a hot group is many tasks of bounded memory, and pairs below the threshold are never rows.
+    Vectors travel in slices of about `slice_`, dealt by a hash of their id; slices of a group meet once, as matrix
+    products, so a hot group is many tasks of bounded memory, and pairs below the threshold are never rows.  Vectors
+    that are empty, or hold null or non-finite components, are like nothing; only those of one length are compared.
     """
-    known = vectors.where(F.col("embedding").isNotNull() & F.col(group).isNotNull() & F.col("vec_id").isNotNull())
+    known = vectors.where(finite(F.col("embedding")) & F.col(group).isNotNull() & F.col("vec_id").isNotNull())
     sizes = known.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / slice_).alias("_slices"))
     dealt = known.join(sizes, group).select(group, "_slices", F.pmod(F.xxhash64("vec_id"), F.col("_slices")).alias("_slice"), F.struct(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).alias("row"))
     slices = written(dealt.groupBy(group, "_slices", "_slice").agg(F.collect_list("row").alias("rows")))
@@ -79,65 +86,114 @@ def cosine_pairs(vectors: DataFrame, group: str, threshold: float, keep_group: b
     both = left.join(slices.select(group, F.col("_slice").alias("t"), F.col("rows").alias("b")), [group, "t"])
     kind = dict(vectors.dtypes)[group]
 
-    def matrix(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    def matrices(rows: pa.ListScalar) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         flat = rows.values
-        return flat.field("id").to_numpy(zero_copy_only=False), np.stack([np.asarray(v.values, np.float64) for v in flat.field("v")])
+        ids, v = flat.field("id").to_numpy(zero_copy_only=False), flat.field("v")
+        lengths = v.value_lengths().to_numpy(zero_copy_only=False)
+        out = {}
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            m = v.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            out[n] = ids[own], m, np.sqrt((m * m).sum(axis=1))
+        return out
 
     def compare(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                (ids_a, a), (ids_b, b) = matrix(batch.column(2)[i]), matrix(batch.column(3)[i])
-                length = lambda m: np.sqrt((m * m).sum(axis=1))
-                sim = np.round(a @ b.T / (np.outer(length(a), length(b)) + 1e-9), 6)
-                same = batch.column(1)[i].as_py()
-                x, y = np.nonzero(sim > threshold)
-                if same:  # each pair stands on both sides of the diagonal
-                    once = ids_a[x] < ids_b[y]
-                    x, y = x[once], y[once]
-                p, q = ids_a[x], ids_b[y]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(x), batch.schema.field(0).type), pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64()), pa.array(sim[x, y])], names=[group, "a", "b", "sim"])
+                one, two, same = matrices(batch.column(2)[i]), matrices(batch.column(3)[i]), batch.column(1)[i].as_py()
+                for n in one.keys() & two.keys():
+                    (ids_a, a, len_a), (ids_b, b, len_b) = one[n], two[n]
+                    for at in range(0, len(a), 512):  # no larger product than this at a time
+                        sim = np.round(a[at : at + 512] @ b.T / (np.outer(len_a[at : at + 512], len_b) + 1e-9), 6)
+                        x, y = np.nonzero(sim > threshold)
+                        p, q = ids_a[at + x], ids_b[y]
+                        if same:  # each pair stands on both sides of the diagonal
+                            once = p < q
+                            x, y, p, q = x[once], y[once], p[once], q[once]
+                        yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(x), batch.schema.field(0).type), pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64()), pa.array(sim[x, y])], names=[group, "a", "b", "sim"])
 
     found = both.select(group, (F.col("s") == F.col("t")).alias("same"), "a", "b").mapInArrow(compare, f"{group} {kind}, a long, b long, sim double")
     return found if keep_group else found.drop(group)
 
 
-def _fold(frame: pd.DataFrame) -> tuple[dict[str, str], list[tuple]]:
-    """The canonical names after the pairs in order, and the log of merges."""
+def should_merge(a: Column, b: Column, context: Column, scorer: d.Scorer = d.lexical) -> Column:
+    """The yes-probability that two names of a context mean the same: whether the other name, and the first 300
+    characters of the context with the name itself taken out, bear out the first."""
+    around = F.replace(F.substring(F.coalesce(context, F.lit("")), 1, 300), a, F.lit(" "))
+    return d.noul(d.probabilities(scorer(F.concat_ws(" ", b, around), a)))
+
+
+def reachable(pairs: DataFrame, group: str) -> DataFrame:
+    """group, a, b: both ways, the names that candidate pairs (a, b) of one group connect.  A fold may meet any of them,
+    as what names are called by then."""
+
+    def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        of: dict[str, set[str]] = {}
+        for x, y in zip(frame["a"], frame["b"], strict=True):
+            both = of.get(x, {x}) | of.get(y, {y})
+            of.update(dict.fromkeys(both, both))
+        return pd.DataFrame([(key[0], x, y) for x, near in of.items() for y in near if x != y], columns=[group, "a", "b"])
+
+    return pairs.select(group, "a", "b").groupBy(group).applyInPandas(join, f"{group} {dict(pairs.dtypes)[group]}, a string, b string")
+
+
+def _fold(frame: pd.DataFrame, least: float | None) -> tuple[dict[str, str], list[tuple]]:
+    """The canonical names after the pairs in order, and the log of merges.  Rows with an order are candidate pairs, all
+    rows tell how alike two names are.  A canonical name keeps the list of names it stands for, so each merge touches
+    those alone."""
+    score = {(r.a, r.b): r.score for r in frame.itertuples()}
     on: dict[str, str] = {}
+    members: dict[str, list[str]] = {}
     log = []
-    for r in frame.sort_values("ord").itertuples():
+    for r in frame[frame["ord"].notna()].sort_values("ord").itertuples():
         a, b = on.get(r.a, r.a), on.get(r.b, r.b)
-        if a == b:
+        p = r.score if least is None else score.get((a, b))
+        if a == b or least is not None and (p is None or p < least):
             continue
         winner, loser = (a, b) if len(a) >= len(b) else (b, a)
-        for k in {*on, r.a, r.b, a, b}:
-            if on.get(k, k) in (a, b):
-                on[k] = winner
-        log.append((loser, winner, r.score))
+        moved = members.pop(loser, []) + [loser]
+        members.setdefault(winner, []).extend(moved)
+        on.update(dict.fromkeys([*moved, winner], winner))
+        log.append((loser, winner, p))
     return on, log
 
 
-def merge_names(pairs: DataFrame, group: str) -> DataFrame:
-    """group, loser, winner, score: the greedy fold over each group's candidate pairs (ord, a, b, score >= merging),
-    in order; the longer canonical name wins, of equally long ones the first.  One group is one chunk's few pairs."""
+def merge_names(pairs: DataFrame, group: str, least: float | None = None) -> DataFrame:
+    """group, loser, winner, score: the greedy fold over each group's candidate pairs (ord, a, b, score), in order; the
+    longer canonical name wins, of equally long ones the first.
+
+    Without `least` every candidate merges.  With it a pair merges if the names that both are called by then score at
+    least so much; rows without an ord give scores of such pairs.  One group is one chunk's few pairs.
+    """
 
     def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in _fold(frame)[1]], columns=[group, "loser", "winner", "score"])
+        return pd.DataFrame([(key[0], *x) for x in _fold(frame, least)[1]], columns=[group, "loser", "winner", "score"])
 
     kind = dict(pairs.dtypes)[group]
     return pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, loser string, winner string, score double")
 
 
-def canonical_names(pairs: DataFrame, group: str) -> DataFrame:
+def canonical_names(pairs: DataFrame, group: str, least: float | None = None) -> DataFrame:
     """group, name, canonical: what each merged name is called after the same fold."""
 
     def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], k, v) for k, v in _fold(frame)[0].items()], columns=[group, "name", "canonical"])
+        return pd.DataFrame([(key[0], k, v) for k, v in _fold(frame, least)[0].items()], columns=[group, "name", "canonical"])
 
     kind = dict(pairs.dtypes)[group]
     return pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, name string, canonical string")
 
 
+def merge_components(pairs: DataFrame) -> DataFrame:
+    """name, canonical: the set form, for groups of any size: all names that merging pairs (a, b) connect are called by
+    the longest of them, of equally long ones by the first.  It differs from the fold where only raw names are alike,
+    not what they are called by then."""
+    from .algorithms import components
+
+    of = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("tgt")))
+    best = of.groupBy("community").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("canonical"))
+    return of.join(best, "community").select("name", "canonical")
+
+
 def edge_text(src: Column, rel: Column, tgt: Column) -> Column:
     return F.concat_ws(" ", src, rel, tgt)
 
@@ -152,12 +208,35 @@ def verification_stats(verified: DataFrame) -> DataFrame:
     return verified.agg(F.count(F.lit(1)).alias("total_checked"), F.count_if(~F.col("kept")).alias("pruned"), F.count_if("kept").alias("kept"))
 
 
-def align(relations: DataFrame, least: float = 0.25, keys: list[str] = ONTOLOGY_KEYS, scorer: d.Scorer = d.lexical) -> DataFrame:
-    """raw, key: the ontology key that describes a raw relation best; the fallback below the least confidence.  Each
-    distinct relation is scored once."""
-    spark = relations.sparkSession
-    options = spark.createDataFrame([(k, i, describe(k)) for i, k in enumerate(keys)], "option string, ord int, description string")
-    best = d.choose(relations.select("raw").distinct(), "raw", options, F.lower(F.translate("raw", "_-", "  ")), F.lit(""), scorer)
-    return best.select("raw", F.when(F.round("confidence", 6) < least, F.lit(FALLBACK)).otherwise(F.col("option")).alias("key"), F.round("confidence", 6).alias("confidence"))
+def prune(store: GraphStore, context: Column, below: float = 0.3, limit: int | None = None, scorer: d.Scorer = d.lexical) -> tuple[GraphStore, DataFrame, DataFrame]:
+    """The store without the edges that score less than `below`, those edges (src, tgt, rel_type, score), and the
+    statistics of the run.  A limit checks the first so many edges by src, tgt and rel_type; the others stay."""
+    checked = store.edge_scan(limit) if limit else store.edges.select(*EDGE)
+    verified = written(verify(checked, context, below, scorer))
+    pruned = verified.where(~F.col("kept")).select(*EDGE, "score")
+    return store.delete_edges(pruned), pruned, verification_stats(verified)
 
 
+def _aligned(relations: DataFrame, context: Column, least: float, ontology: list[tuple[str, str]], fallback: str, scorer: d.Scorer) -> DataFrame:
+    spark = relations.sparkSession
+    options = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(ontology)], "option string, ord int, description string")
+    best = d.choose(relations, relations.columns[0], options, context, F.lit(""), scorer)
+    sure = F.round("confidence", 6)
+    return best.select(*relations.columns, F.when(sure < least, F.lit(fallback)).otherwise(F.col("option")).alias("key"), sure.alias("confidence"))
+
+
+def align(relations: DataFrame, least: float = 0.25, ontology: list[tuple[str, str]] = ONTOLOGY, fallback: str = FALLBACK, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """raw, key, confidence: the key of the ontology (pairs of key and description) that describes a raw relation best;
+    the fallback below the least confidence.  Each distinct relation is scored once."""
+    return _aligned(relations.select("raw").distinct(), F.lower(F.translate("raw", "_-", "  ")), least, ontology, fallback, scorer)
+
+
+def align_edges(edges: DataFrame, least: float = 0.25, ontology: list[tuple[str, str]] = ONTOLOGY, fallback: str = FALLBACK, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """`edges` with all their columns, rel_type brought to the ontology.  The ends of an edge, where it has them, are
+    read beside its relation; each distinct (rel_type, src, tgt) is scored once."""
+    part = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    raw = F.lower(F.translate(F.coalesce("rel_type", F.lit("")), "_-", "  "))
+    found = _aligned(edges.select("rel_type", "src", "tgt").distinct(), F.concat_ws(" ", raw, part("src"), part("tgt")), least, ontology, fallback, scorer)
+    a, b = edges.alias("a"), found.alias("b")
+    same = F.col("a.rel_type").eqNullSafe(F.col("b.rel_type")) & F.col("a.src").eqNullSafe(F.col("b.src")) & F.col("a.tgt").eqNullSafe(F.col("b.tgt"))
+    return a.join(b, same, "left").select(*[F.coalesce("b.key", F.lit(fallback)).alias(c) if c == "rel_type" else F.col(f"a.`{c}`") for c in edges.columns])

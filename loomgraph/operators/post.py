@@ -37,13 +37,38 @@ def conflicts(nodes: DataFrame) -> DataFrame:
     return two.groupBy("query_id", "name").agg(F.min_by("text", "ord").alias("a"), F.max_by("text", "ord").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
+#: Characters read of a text: by the gate and as an option, by the check of citations, and beside an option.
+WIDTH, CITED, AROUND = 100, 80, 300
+
+
+def conflict_log(pairs: DataFrame, question: Column, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """query_id, name, a, b, selected, confidence, winner: which text of conflicts() is borne out better by the question
+    and the other text, the first of equals."""
+    fit = lambda own, other: F.round(d.score(d.probabilities(scorer(F.concat_ws(" ", question, F.substring(other, 1, AROUND)), F.substring(own, 1, WIDTH)))), 6)
+    first, second = fit("a", "b"), fit("b", "a")
+    both = pairs.withColumns({"_a": first, "_b": second}).withColumn("selected", F.when(F.col("_a") >= F.col("_b"), "a").otherwise("b"))
+    total = F.col("_a") + F.col("_b")
+    sure = F.round(F.greatest("_a", "_b") / F.when(total == 0, F.lit(1.0)).otherwise(total), 6)
+    return both.select("query_id", "name", "a", "b", "selected", sure.alias("confidence"), F.when(F.col("selected") == "a", F.col("a")).otherwise(F.col("b")).alias("winner"))
+
+
 def resolve(pairs: DataFrame, question: Column, scorer: d.Scorer = d.lexical) -> DataFrame:
-    """query_id, name, winner: the text that fits the question better; the first of equals."""
-    fit = lambda c: F.round(d.score(d.probabilities(scorer(question, F.substring(c, 1, 100)))), 6)
-    return pairs.select("query_id", "name", F.when(fit(F.col("a")) >= fit(F.col("b")), F.col("a")).otherwise(F.col("b")).alias("winner"))
+    """query_id, name, winner of conflict_log()."""
+    return conflict_log(pairs, question, scorer).select("query_id", "name", "winner")
+
 
+NOTHING = "(none found)"
 
-def context(nodes: DataFrame, width: int = 100, separator: str = " | ") -> DataFrame:
+
+def bullets(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, text: the nodes of each of asked(query_id) as lines in their order; a note where there are none."""
+    line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.coalesce("text", F.lit("")))
+    order = "rank" if "rank" in nodes.columns else "ord"
+    listed = nodes.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line")))).alias("_l"))
+    return asked.select("query_id").distinct().join(listed, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit(NOTHING)).alias("text"))
+
+
+def context(nodes: DataFrame, width: int = WIDTH, separator: str = " | ") -> DataFrame:
     """query_id, context: the first ten nodes, name: text, in order."""
     ten = d.ranked(nodes, ["query_id"], F.col("rank") if "rank" in nodes.columns else F.col("ord")).where("rank <= 10")
     lines = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.col("name"), F.lit(": "), F.substring("text", 1, width)).alias("line"))))
@@ -57,31 +82,87 @@ def check(contexts: DataFrame, claim: Column, threshold: float, scorer: d.Scorer
     return contexts.withColumn("p", F.when(empty, F.lit(0.0)).otherwise(p)).withColumn("passed", ~empty & (F.col("p") >= threshold))
 
 
-def compare(prompts: DataFrame, a: d.Scorer = d.lexical, b: d.Scorer = d.trigram) -> DataFrame:
-    """prompts(id, context, instruction) with both scores and their distance."""
-    score_of = lambda scorer: F.round(d.score(d.probabilities(scorer(F.col("context"), F.col("instruction")))), 6)
-    scored = prompts.select("id", F.col("context").alias("_context"), F.col("instruction").alias("_instruction"), score_of(a).alias("a"), score_of(b).alias("b"))
-    both = scored.select("id", F.substring("_context", 1, 200).alias("context"), F.substring("_instruction", 1, 200).alias("instruction"), "a", "b")
-    return both.withColumn("delta", F.round(F.abs(F.col("a") - F.col("b")), 4))
-
-
-def comparison_stats(log: DataFrame, agree: float = 0.05) -> DataFrame:
-    return log.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 4).alias("mean_delta"), F.round(F.max("delta"), 4).alias("max_delta"), F.round(F.avg((F.col("delta") < agree).cast("double")), 3).alias("agreement"))
+LOG = (
+    "timestamp string, primitive string, id long, context string, instruction string, a double, b double, delta double, primary string, "
+    "detail_a struct<score:double,confidence:double,raw_probs:map<string,double>,latency_ms:double,backend:string,primitive:string,selected:string>, "
+    "detail_b struct<score:double,confidence:double,raw_probs:map<string,double>,latency_ms:double,backend:string,primitive:string,selected:string>"
+)
+
+
+def harness(prompts: DataFrame, primitive: str = "score", options: list[tuple[str, str]] | None = None, a: str = "lexical", b: str = "trigram", main: str = "a") -> DataFrame:
+    """prompts(id, context, instruction[, latency_a, latency_b]) decided by two scorers side by side, as rows of the log.
+
+    choice needs options (pairs of key and description); an unknown primitive counts as score.  Context and instruction
+    are kept to 200 characters; delta is the distance of both scores to 4 digits; of a choice, the score is that of the
+    chosen option.
+    """
+    from pyspark.sql.types import StructType
+
+    if primitive == "choice" and not options:
+        raise ValueError("a choice needs options")
+    primitive = primitive if primitive in ("noul", "choice") else "score"
+    took = lambda side: F.col(f"latency_{side}") if f"latency_{side}" in prompts.columns else None
+    found = prompts
+    for side, name in (("a", a), ("b", b)):
+        if primitive == "choice":
+            listed = prompts.sparkSession.createDataFrame([(k, i, t) for i, (k, t) in enumerate(options)], "option string, ord int, description string")
+            found = d.choose(found, "id", listed, F.col("context"), F.col("instruction"), d.scorer_named(name))
+            detail = d.detailed(F.col("best"), F.col("confidence"), F.col("raw_probs"), name, primitive, F.col("option"), took(side))
+            found = found.withColumn(f"detail_{side}", detail).drop("option", "best", "confidence", "raw_probs")
+        else:
+            p = d.probabilities(d.scorer_named(name)(F.col("context"), F.col("instruction")))
+            value = d.score(p) if primitive == "score" else d.noul(p)
+            found = found.withColumn(f"detail_{side}", d.detailed(F.round(value, 6), d.confidence(p), d.as_map(p), name, primitive, latency_ms=took(side)))
+    score = lambda side: F.round(F.col(f"detail_{side}.score"), 6)
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return found.select(
+        now.alias("timestamp"), F.lit(primitive).alias("primitive"), F.col("id").cast("long").alias("id"), F.substring("context", 1, 200).alias("context"), F.substring("instruction", 1, 200).alias("instruction"),
+        score("a").alias("a"), score("b").alias("b"), F.round(F.abs(score("a") - score("b")), 4).alias("delta"), F.lit(main).alias("primary"), "detail_a", "detail_b",
+    ).to(StructType.fromDDL(LOG))
+
+
+def compare(prompts: DataFrame) -> DataFrame:
+    """id, context, instruction, a, b, delta of harness() for scores."""
+    return harness(prompts).select("id", "context", "instruction", "a", "b", "delta")
 
 
-LOG = "timestamp string, primitive string, id long, context string, instruction string, a double, b double, delta double"
+def primary(log: DataFrame, name: str = "a") -> DataFrame:
+    """id, score, selected and latency_ms of the primary scorer; any other name than a means b.  The latency is that of
+    the slower of the two, which ran side by side; a choice without a selection has none."""
+    side = "detail_a" if name == "a" else "detail_b"
+    score = F.col("a") if name == "a" else F.col("b")
+    return log.select("id", score.alias("score"), F.col(f"{side}.selected").alias("selected"), F.greatest("detail_a.latency_ms", "detail_b.latency_ms").alias("latency_ms"))
 
 
-def write_log(log: DataFrame, path: str, primitive: str = "score") -> None:
-    """Append a comparison to a JSON-lines log."""
-    log.select(F.current_timestamp().cast("string").alias("timestamp"), F.lit(primitive).alias("primitive"), "id", "context", "instruction", "a", "b", "delta").write.mode("append").json(path)
+def write_log(log: DataFrame, path: str) -> None:
+    """Append rows of harness() to a JSON-lines log; the folder is made if it is not there."""
+    log.write.mode("append").json(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log with all its variants: fields that a line lacks are null, blank lines are left out."""
+    """A log with all its variants: fields that a line lacks are null, blank lines are left out; none of a log that is
+    not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], LOG)
     return spark.read.schema(LOG).json(path).where("delta is not null")
 
 
-def primary(log: DataFrame, name: str = "a") -> DataFrame:
-    """id and the primary scorer's score; any other name than a means b."""
-    return log.select("id", (F.col("a") if name == "a" else F.col("b")).alias("score"))
+def comparison_stats(log: DataFrame, agree: float = 0.05) -> DataFrame:
+    """n, mean_delta, max_delta, agreement (the share below `agree`), ms_a, ms_b (mean latencies), error (of a log
+    without rows, else null)."""
+    found = log.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), 4).alias("mean_delta"), F.round(F.max("delta"), 4).alias("max_delta"), F.round(F.avg((F.col("delta") < agree).cast("double")), 3).alias("agreement"),
+        F.round(F.avg("detail_a.latency_ms"), 1).alias("ms_a"), F.round(F.avg("detail_b.latency_ms"), 1).alias("ms_b"))
+    return found.withColumn("error", F.when(F.col("n") == 0, F.lit("the log has no rows")))
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts (id, context, instruction) of a JSON-lines file; one without an id gets a hash of its text."""
+    rows = spark.read.schema("id long, context string, instruction string").json(path).where("context is not null and instruction is not null")
+    return rows.withColumn("id", F.coalesce("id", F.xxhash64("context", "instruction")))
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A result as CSV files with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import DEFAULT, EngineConfig
 from loomgraph.functions import decision as d
 from loomgraph.sources.store import GraphStore
+from loomgraph.tables import written
 
 from .ingest import edge_text
 
@@ -48,37 +49,21 @@ def f_score(s: Column, pagerank: Column, depth: Column, config: EngineConfig = D
     return config.alpha * s + config.beta * F.least(F.coalesce(pagerank, F.lit(0.0)) / config.max_pagerank, F.lit(1.0)) - config.gamma * depth
 
 
-def neighbourhood(store: GraphStore, starts: DataFrame, depth: int, scorer: d.Scorer = d.lexical) -> DataFrame:
-    """Scored edges of everything within `depth` hops of starts(query_id, question, seed)."""
-    front = starts.select("query_id", "question", "seed", F.col("seed").alias("src"))
-    known, out = front.select("query_id", "seed", "src"), None
-    for _ in range(depth):
-        here = scored_edges(store, front.select("query_id", "question", "src").distinct(), scorer)
-        step = here.join(front.select("query_id", "seed", "src"), ["query_id", "src"])
-        out = step if out is None else out.unionByName(step)
-        new = step.select("query_id", "question", "seed", F.col("tgt").alias("src")).distinct()
-        front = new.join(known, ["query_id", "seed", "src"], "left_anti")
-        known = known.unionByName(front.select("query_id", "seed", "src"))
-    return out
-
-
-def lexical_yes(question: str, path: list[str]) -> float:
-    """The yes-probability of a path text, as the lexical scorer gives it."""
-    import regex
+Edges = dict[str, list[tuple[str, float, float]]]
+#: What a step of a search may ask for next: (node, path that must be judged or None).
+Want = tuple[str, list[str] | None]
 
-    tok = lambda x: {t for t in regex.split(r"[^\p{L}\p{N}]+", x.lower()) if t}
-    asked, has = tok(" → ".join(path)), tok(question)
-    return (len(asked & has) / len(asked)) ** 2 if asked else 0.0
 
+def _best_first(known: Edges, stops: Callable[[list[str]], bool | None], start: str, max_depth: int, max_paths: int, config: EngineConfig, ahead: int) -> tuple[list | None, list[Want], int]:
+    """The finished search, or None and what it must know to go on; and how many nodes it has expanded.
 
-def best_first(edges: dict[str, list[tuple[str, float, float]]], start: str, max_depth: int, max_paths: int, stop: Callable[[list[str]], bool] = lambda p: False, config: EngineConfig = DEFAULT) -> list[tuple[list[str], float, int, bool]]:
-    """Paths in the order they come off the frontier.
-
-    A path at the depth bound ends before its node counts as visited; a node is expanded once; a node without edges
-    ends its path; one whose targets are all visited ends nothing.  Of equal priorities the earlier pushed comes first.
-    """
-    heap, pushed, visited, out = [(-1.0, 0, start, 0, [start])], 1, set(), []
+    known lacks a node whose edges were not fetched yet; stops says None of a path that was not judged yet."""
+    heap, pushed, visited, out, expanded = [(-1.0, 0, start, 0, [start])], 1, set(), [], 0
+    unknown = lambda e: e[3] < max_depth and e[2] not in visited and (e[2] not in known or e[3] and stops(e[4]) is None)
     while heap and len(out) < max_paths:
+        if unknown(heap[0]):
+            wanted = [e for e in heapq.nsmallest(ahead, heap) if unknown(e)]
+            return None, [(e[2], e[4] if e[3] else None) for e in wanted], expanded
         neg, _, node, depth, way = heapq.heappop(heap)
         if depth >= max_depth:
             out.append((way, -neg, depth, False))
@@ -86,79 +71,175 @@ def best_first(edges: dict[str, list[tuple[str, float, float]]], start: str, max
         if node in visited:
             continue
         visited.add(node)
-        if depth and len(way) > 1 and stop(way):
+        if depth and len(way) > 1 and stops(way):
             out.append((way, -neg, depth, True))
             continue
-        if not edges.get(node):
+        if not known[node]:
             out.append((way, -neg, depth, False))
             continue
-        for tgt, s, rank in edges[node]:
+        expanded += 1
+        for tgt, s, rank in known[node]:
             if tgt not in visited:
                 f = config.alpha * s + config.beta * min((rank or 0.0) / config.max_pagerank, 1.0) - config.gamma * (depth + 1)
                 heapq.heappush(heap, (-f, pushed, tgt, depth + 1, [*way, tgt]))
                 pushed += 1
-    return out
+    return out, [], expanded
 
 
-def greedy(edges: dict[str, list[tuple[str, float, float]]], start: str, target: str, max_depth: int) -> list[str]:
-    """By edge score alone; ends at the target or at the first node that comes off at the depth bound."""
-    heap, pushed, visited = [(-1.0, 0, start, 0, [start])], 1, set()
+class _All(dict):
+    """Every node's edges are known; a node that is not listed has none."""
+
+    def __contains__(self, node) -> bool:
+        return True
+
+    def __missing__(self, node) -> list:
+        return []
+
+
+def best_first(edges: Edges, start: str, max_depth: int, max_paths: int, stop: Callable[[list[str]], bool] = lambda p: False, config: EngineConfig = DEFAULT) -> list[tuple[list[str], float, int, bool]]:
+    """Paths in the order they come off the frontier.
+
+    A path at the depth bound ends before its node counts as visited; a node is expanded once; a node without edges
+    ends its path; one whose targets are all visited ends nothing.  Of equal priorities the earlier pushed comes first.
+    """
+    return _best_first(_All(edges), stop, start, max_depth, max_paths, config, 1)[0]
+
+
+def _greedy(known: Edges, start: str, target: str, max_depth: int, ahead: int) -> tuple[list[str] | None, list[Want], int]:
+    heap, pushed, visited, expanded = [(-1.0, 0, start, 0, [start])], 1, set(), 0
+    unknown = lambda e: e[2] not in visited and e[2] != target and e[3] < max_depth and e[2] not in known
     while heap:
+        if unknown(heap[0]):
+            return None, [(e[2], None) for e in heapq.nsmallest(ahead, heap) if unknown(e)], expanded
         _, _, node, depth, way = heapq.heappop(heap)
         if node in visited:
             continue
         visited.add(node)
         if node == target or depth >= max_depth:
-            return way
-        for tgt, s, _ in edges.get(node, []):
+            return way, [], expanded
+        expanded += 1
+        for tgt, s, _ in known[node]:
             heapq.heappush(heap, (-s, pushed, tgt, depth + 1, [*way, tgt]))
             pushed += 1
-    return []
+    return [], [], expanded
 
 
-def traverse(store: GraphStore, starts: DataFrame, max_depth: int = 4, max_paths: int = 5, early: float | None = 0.95, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Best-first paths of starts(query_id, question, seed).  An edge's score depends on the edge and the question
-    alone, so all of the bounded neighbourhood is scored as one column, and each seed replays its queue by itself."""
-    near = neighbourhood(store, starts, max_depth)
+def greedy(edges: Edges, start: str, target: str, max_depth: int) -> list[str]:
+    """By edge score alone; ends at the target or at the first node that comes off at the depth bound."""
+    return _greedy(_All(edges), start, target, max_depth, 1)[0]
+
 
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["src", "tgt", "rel_type"], na_position="last")
-        first = frame.iloc[0]
-        edges: dict[str, list] = {}
-        for r in frame.itertuples():
-            if isinstance(r.tgt, str):
-                edges.setdefault(r.src, []).append((r.tgt, r.score, r.pagerank))
-        stop = (lambda p: lexical_yes(first.question, p) > early) if early is not None else (lambda p: False)
-        rows = best_first(edges, first.seed, max_depth, max_paths, stop, config)
-        return pd.DataFrame([(first.query_id, first.seed, i, p, round(s, 6), n, e) for i, (p, s, n, e) in enumerate(rows)], columns=[c.split()[0] for c in PATHS.split(", ")])
+def path_text(way: list[str]) -> str:
+    return " → ".join(way)
 
-    lone = starts.select("query_id", "question", "seed").withColumns({"src": F.col("seed"), "tgt": F.lit(None).cast("string"), "rel_type": F.lit(None).cast("string"), "pagerank": F.lit(0.0), "score": F.lit(0.0)})
-    return near.distinct().unionByName(lone).groupBy("query_id", "seed").applyInPandas(replay, PATHS)
 
+#: Nodes that a search asks for at a time, at first and at most.
+AHEAD, MOST_AHEAD = 32, 4096
+_FOUND = "query_id long, seed string, kind string, path_ord int, path array<string>, score double, depth int, early_terminated boolean, node string, way string, expanded long"
+_FOUND_COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
 
-def beam(store: GraphStore, starts: DataFrame, depth: int, width: int, config: EngineConfig = DEFAULT) -> DataFrame:
-    """query_id, depth, node, f: level by level the `width` best nodes of each question."""
+
+def _replayed(step: Callable, ahead: int) -> Callable:
+    """One search of _searched(), from the start, over what is known so far."""
+
+    def replay(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        of: Edges = {}
+        fetched = frame[frame["src"].notna()].sort_values(["src", "tgt", "rel_type"], na_position="last")
+        for src, tgt, s, rank in zip(fetched["src"], fetched["tgt"], fetched["score"], fetched["pagerank"], strict=True):
+            own = of.setdefault(src, [])
+            if isinstance(tgt, str):
+                own.append((tgt, s, rank))
+        paths = frame[frame["way"].notna()]
+        rows, wanted, expanded = step(of, dict(zip(paths["way"], paths["p"], strict=True)), key[1], ahead)
+        if rows is None:
+            out = [(*key, "want", None, None, None, None, None, node, path_text(way) if way else None, expanded) for node, way in wanted]
+        else:
+            out = [(*key, "path", i, *row, None, None, expanded) for i, row in enumerate(rows)]
+        return pd.DataFrame(out, columns=_FOUND_COLUMNS)
+
+    return replay
+
+
+def _searched(store: GraphStore, starts: DataFrame, step: Callable, judge: bool, scorer: d.Scorer) -> DataFrame:
+    """The rows of finished searches, one search for each of starts(query_id, question, seed).
+
+    step(known, judged, seed, ahead) gives rows, or None and what it wants to know, and the number of expanded nodes.  In each
+    round the searches that are not done say which nodes they would expand next, and which paths must be judged; those
+    nodes' edges are fetched and scored as one column for all searches, and written.  So a search holds the edges of what
+    it looks at, not of all that lies within its depth, and a plan has the same few joins however deep it goes.
+    """
+    active = written(starts.where("seed is not null").groupBy("query_id", "seed").agg(F.min("question").alias("question")))
+    wants = active.select("query_id", "seed", "question", F.col("seed").alias("node"), F.lit(None).cast("string").alias("way"))
+    known, done, asked, ahead = None, None, None, AHEAD
+    while True:
+        nodes = wants.select("query_id", "question", F.col("node").alias("src")).distinct()
+        edges = scored_edges(store, nodes, scorer).select("query_id", "src", "tgt", "rel_type", "pagerank", "score")
+        here = wants.select("query_id", "seed", F.col("node").alias("src")).distinct().join(edges, ["query_id", "src"], "left")
+        here = here.select("query_id", "seed", "src", "tgt", "rel_type", "pagerank", "score", F.lit(None).cast("string").alias("way"), F.lit(None).cast("double").alias("p"))
+        if judge and asked is not None:
+            p = d.noul(d.probabilities(scorer(F.col("question"), F.col("way"))))
+            ways = wants.where("way is not null").select("query_id", "seed", "question", "way").distinct()
+            none = F.lit(None).cast("string")
+            here = here.unionByName(ways.select("query_id", "seed", none.alias("src"), none.alias("tgt"), none.alias("rel_type"), F.lit(None).cast("double").alias("pagerank"), F.lit(None).cast("double").alias("score"), "way", p.alias("p")))
+        fresh = written(here)
+        known = fresh if known is None else known.unionByName(fresh)
+
+        found = written(known.groupBy("query_id", "seed").applyInPandas(_replayed(step, ahead), _FOUND))
+        paths = found.where("kind = 'path'")
+        done = paths if done is None else done.unionByName(paths)
+        asked = found.where("kind = 'want'")
+        if asked.isEmpty():
+            return done
+        left = asked.select("query_id", "seed").distinct()
+        known = known.join(left, ["query_id", "seed"], "left_semi")
+        wants = asked.join(active, ["query_id", "seed"]).select("query_id", "seed", "question", "node", "way")
+        ahead = min(2 * ahead, MOST_AHEAD)
+
+
+def _paths(store: GraphStore, starts: DataFrame, max_depth: int, max_paths: int, early: float | None, config: EngineConfig, scorer: d.Scorer) -> DataFrame:
+    def step(known, judged, seed, ahead):
+        def stops(way):
+            p = 0.0 if early is None else judged.get(path_text(way))
+            return None if p is None else early is not None and p > early
+
+        rows, wanted, expanded = _best_first(known, stops, seed, max_depth, max_paths, config, ahead)
+        return None if rows is None else [(p, round(s, 6), n, e) for p, s, n, e in rows], wanted, expanded
+
+    return _searched(store, starts, step, early is not None, scorer)
+
+
+def traverse(store: GraphStore, starts: DataFrame, max_depth: int = 4, max_paths: int = 5, early: float | None = 0.95, config: EngineConfig = DEFAULT, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """Best-first paths of starts(query_id, question, seed), by the rules of best_first(): edges are scored, and paths
+    judged for an early end, by the caller's scorer.  A seed without edges is a path of its own; a null seed none."""
+    return _paths(store, starts, max_depth, max_paths, early, config, scorer).select(*[c.split()[0] for c in PATHS.split(", ")])
+
+
+def expansions(store: GraphStore, starts: DataFrame, target: str, max_depth: int = 4, config: EngineConfig = DEFAULT, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """query_id, seed, and how many nodes the greedy walk to the target and the best-first search for one path expand."""
+    each = [walk_greedily(store, starts, target, max_depth, scorer).select("query_id", "seed", F.col("expanded").alias("greedy")),
+            _paths(store, starts, max_depth, 1, None, config, scorer).groupBy("query_id", "seed").agg(F.max("expanded").alias("best_first"))]
+    return each[0].join(each[1], ["query_id", "seed"], "left")
+
+
+def beam(store: GraphStore, starts: DataFrame, depth: int, width: int, config: EngineConfig = DEFAULT, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """query_id, depth, node, f: level by level the `width` best nodes of each question; each level is written."""
     front = starts.select("query_id", "question", F.col("seed").alias("src"))
     out = None
     for level in range(1, depth + 1):
-        s = scored_edges(store, front).withColumn("f", F.round(f_score(F.col("score"), F.col("pagerank"), F.lit(level), config), 6))
+        s = scored_edges(store, front, scorer).withColumn("f", F.round(f_score(F.col("score"), F.col("pagerank"), F.lit(level), config), 6))
         best = s.groupBy("query_id", "question", "tgt").agg(F.max("f").alias("f"))
-        kept = d.ranked(best, ["query_id"], F.desc("f"), F.col("tgt")).where(F.col("rank") <= width)
+        kept = written(d.ranked(best, ["query_id"], F.desc("f"), F.col("tgt")).where(F.col("rank") <= width))
         step = kept.select("query_id", F.lit(level).alias("depth"), F.col("tgt").alias("node"), "f")
         out = step if out is None else out.unionByName(step)
         front = kept.select("query_id", "question", F.col("tgt").alias("src"))
     return out
 
 
-def walk_greedily(store: GraphStore, starts: DataFrame, target: str, max_depth: int = 4) -> DataFrame:
-    """query_id, seed, path: the greedy walk of each start over its scored neighbourhood."""
-    near = neighbourhood(store, starts, max_depth).distinct()
+def walk_greedily(store: GraphStore, starts: DataFrame, target: str, max_depth: int = 4, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """query_id, seed, path, expanded: the greedy walk of each start; without edges it ends where it begins, empty."""
 
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        edges: dict[str, list] = {}
-        for r in frame.sort_values(["src", "tgt", "rel_type"]).itertuples():
-            edges.setdefault(r.src, []).append((r.tgt, r.score, r.pagerank))
-        first = frame.iloc[0]
-        return pd.DataFrame([(first.query_id, first.seed, greedy(edges, first.seed, target, max_depth))], columns=["query_id", "seed", "path"])
+    def step(known, judged, seed, ahead):
+        way, wanted, expanded = _greedy(known, seed, target, max_depth, ahead)
+        return None if way is None else [(way, None, None, None)], wanted, expanded
 
-    return near.groupBy("query_id", "seed").applyInPandas(replay, "query_id long, seed string, path array<string>")
+    return _searched(store, starts, step, False, scorer).select("query_id", "seed", "path", "expanded")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.config import EngineConfig
 from loomgraph.functions import decision as d
-from loomgraph.operators import algorithms, engine, ingest, post, retrieve
+from loomgraph.operators import algorithms, engine, ingest, measure, post, retrieve
 from loomgraph.sources.business_graph import SQL as GRAPH
 from loomgraph.sources.business_graph import business_graph, read
-from loomgraph.sources.store import EDGE, cosine, vector_top_k
+from loomgraph.sources.factory import open_store
+from loomgraph.sources.store import EDGE, GraphStore, vector_top_k
+from loomgraph.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,8 +45,11 @@ def _overlap(context: str, instruction: str) -> str:
 
 
 def _score(context: str, instruction: str) -> str:
-    o = _overlap(context, instruction)
-    return f"round({o} * {o} + 0.5 * (2 * {o} * (1 - {o})), 6)"
+    return f"round({_of(_overlap(context, instruction))}, 6)"
+
+
+def _of(o: str) -> str:
+    return f"({o} * {o} + 0.5 * (2 * {o} * (1 - {o})))"
 
 
 EDGE_TEXT = "concat_ws(' ', src, rel_type, tgt)"
@@ -78,17 +85,41 @@ def edge_list(spark, sf_dir):
     return business_graph(spark, sf_dir).edges.select("src", "tgt")
 
 
-@query(GRAPH + ", new AS (SELECT 'nation:' || i AS name, 'country' AS label, i FROM range(20, 40) t(i)) SELECT coalesce(nodes.name, new.name) AS name, coalesce(new.label, nodes.label) AS label, CASE WHEN nodes.name IS NULL THEN NULL ELSE nodes.label END AS kind, CASE WHEN new.name IS NULL THEN NULL ELSE 'yes' END AS seen FROM nodes FULL JOIN new ON nodes.name = new.name")
+@query(GRAPH + ", new AS (SELECT 'nation:' || i AS name, 'country' AS label, i FROM range(20, 40) t(i)) SELECT coalesce(nodes.name, new.name) AS name, coalesce(new.label, nodes.label) AS label, CASE WHEN nodes.name IS NULL THEN NULL ELSE nodes.label END AS kind, CASE WHEN new.name IS NULL THEN NULL ELSE '2' END AS seen, CASE WHEN new.name IS NULL THEN NULL ELSE '1' END AS once FROM nodes FULL JOIN new ON nodes.name = new.name")
 def node_upsert(spark, sf_dir):
-    new = spark.range(20, 40).select(F.concat(F.lit("nation:"), "id").alias("name"), F.lit("country").alias("label"), F.create_map(F.lit("seen"), F.lit("yes")).alias("props"))
+    """Each new name comes three times: the latest label and properties count, and what only earlier rows have stays."""
+    times = spark.range(20, 40).crossJoin(F.broadcast(spark.range(3).select(F.col("id").alias("ord"))))
+    props = F.when(F.col("ord") == 1, F.create_map(F.lit("seen"), F.lit("1"), F.lit("once"), F.lit("1"))).otherwise(F.create_map(F.lit("seen"), F.col("ord").cast("string")))
+    new = times.select(F.concat(F.lit("nation:"), "id").alias("name"), F.element_at(F.array(F.lit("state"), F.lit("country"), F.lit(None)), F.col("ord").cast("int") + 1).alias("label"), props.alias("props"), "ord")
     out = business_graph(spark, sf_dir).upsert_nodes(new).nodes
-    return out.select("name", "label", F.try_element_at("props", F.lit("kind")).alias("kind"), F.try_element_at("props", F.lit("seen")).alias("seen"))
+    return out.select("name", "label", *[F.try_element_at("props", F.lit(k)).alias(k) for k in ("kind", "seen", "once")])
 
 
-@query(GRAPH + ", new AS (SELECT 'nation:' || i AS src, 'region:' || (i % 7) AS tgt, 'NEAR' AS rel_type FROM range(0, 40) t(i)) SELECT src, tgt, rel_type FROM edges UNION SELECT src, tgt, rel_type FROM new WHERE src IN (SELECT name FROM nodes) AND tgt IN (SELECT name FROM nodes)")
+@query(GRAPH + ", new AS (SELECT 'nation:' || i AS src, 'region:' || (i % 7) AS tgt, 'NEAR' AS rel_type FROM range(0, 40) t(i)) SELECT src, tgt, rel_type, NULL::VARCHAR AS ord FROM edges UNION ALL SELECT src, tgt, rel_type, '1' FROM new WHERE src IN (SELECT name FROM nodes) AND tgt IN (SELECT name FROM nodes)")
 def edge_upsert_guarded(spark, sf_dir):
-    new = spark.range(40).select(F.concat(F.lit("nation:"), "id").alias("src"), F.concat(F.lit("region:"), F.col("id") % 7).alias("tgt"), F.lit("NEAR").alias("rel_type"), F.lit(None).cast("map<string,string>").alias("props"))
-    return business_graph(spark, sf_dir).upsert_edges(new).edges.select(*EDGE)
+    """Each new edge comes twice; edges whose ends are not nodes are left out."""
+    times = spark.range(40).crossJoin(F.broadcast(spark.range(2).select(F.col("id").alias("ord"))))
+    new = times.select(F.concat(F.lit("nation:"), "id").alias("src"), F.concat(F.lit("region:"), F.col("id") % 7).alias("tgt"), F.lit("NEAR").alias("rel_type"), F.create_map(F.lit("ord"), F.col("ord").cast("string")).alias("props"), "ord")
+    return business_graph(spark, sf_dir).upsert_edges(new).edges.select(*EDGE, F.try_element_at("props", F.lit("ord")).alias("ord"))
+
+
+@query(GRAPH + ", s AS (SELECT 'supplier:' || s_suppkey::BIGINT AS name FROM supplier WHERE s_suppkey IN (SELECT vec_id FROM embeddings)) SELECT 'nodes' AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges WHERE rel_type <> 'PART_OF' UNION ALL SELECT 'embeddings', count(*) FROM s UNION ALL SELECT 'duplicates', 0")
+def store_roundtrip(spark, sf_dir):
+    """A store is made by name, saved, opened, changed and saved over itself, and opened again."""
+    path = f"{shared_dir(spark)}/loomgraph-store-{uuid.uuid4().hex}"
+    vectors = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("supplier:"), "vec_id").alias("name"), "embedding")
+    first = open_store(spark, " Folder ", path)
+    full = business_graph(spark, sf_dir)
+    replace(first, nodes=full.nodes, edges=full.edges).set_embeddings(vectors).save(path)
+    now = open_store(spark, "parquet", path)
+    now.delete_edges(now.edges.where("rel_type = 'PART_OF'")).save(path)
+    last = open_store(spark, None, path)
+    parts = {"nodes": last.nodes, "edges": last.edges, "embeddings": last.embeddings, "duplicates": last.duplicates()}
+    out = None
+    for kind, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(GRAPH + " SELECT src, tgt, rel_type FROM edges WHERE NOT (rel_type = 'LOCATED_IN' AND tgt = 'nation:3')")
@@ -146,57 +177,71 @@ def _steps(mode: str, n: int) -> str:
     return ", ".join(out)
 
 
-@query(f"{GRAPH}, {_OUT.format(r0='1.0 / n')}, {_steps('nx', 5)} SELECT name, round(r, 6) AS pagerank FROM r5")
+@query(f"{GRAPH}, {_OUT.format(r0='1.0 / n')}, {_steps('nx', 20)} SELECT name, round(r, 9) AS pagerank FROM r20")
 def pagerank_nx(spark, sf_dir):
-    return algorithms.pagerank(business_graph(spark, sf_dir).edges, iterations=5).select("name", F.round("pagerank", 6).alias("pagerank"))
+    return algorithms.pagerank(business_graph(spark, sf_dir).edges).select("name", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query()
-def pagerank_nx_20(spark, sf_dir):
-    return algorithms.pagerank(business_graph(spark, sf_dir).edges).select("name", F.round("pagerank", 15).alias("pagerank"))
-
-
-@query(f"{GRAPH}, {_OUT.format(r0='1 - 0.85')}, {_steps('gds', 5)} SELECT name, round(r, 9) AS pagerank FROM r5")
+@query(f"{GRAPH}, {_OUT.format(r0='1 - 0.85')}, {_steps('gds', 20)} SELECT name, round(r, 9) AS pagerank FROM r20")
 def pagerank_gds(spark, sf_dir):
     return algorithms.pagerank(business_graph(spark, sf_dir).edges, mode="gds").select("name", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query(f"{GRAPH}, p AS (SELECT tgt AS c, least(min(src), tgt) AS community FROM edges WHERE rel_type = 'PLACED_BY' GROUP BY tgt) SELECT c AS name, community FROM p UNION SELECT src, community FROM edges JOIN p ON tgt = c WHERE rel_type = 'PLACED_BY'")
-def wcc(spark, sf_dir):
-    return algorithms.components(business_graph(spark, sf_dir).edges.where("rel_type = 'PLACED_BY'"))
+_BOTH = "both_ways AS MATERIALIZED (SELECT src AS a, tgt AS b FROM edges WHERE src <> tgt UNION SELECT tgt, src FROM edges WHERE src <> tgt)"
 
 
-@query(f"{GRAPH} SELECT name, 1 AS core FROM nodes WHERE label IN ('orders', 'customer') AND (name IN (SELECT src FROM edges WHERE rel_type = 'PLACED_BY') OR name IN (SELECT tgt FROM edges WHERE rel_type = 'PLACED_BY'))")
-def kcore_tree(spark, sf_dir):
-    return algorithms.k_core(business_graph(spark, sf_dir).edges.where("rel_type = 'PLACED_BY'"))
+def _least_steps(n: int) -> str:
+    """Each node takes the least name of itself and its neighbours, n times."""
+    out = ["w0 AS (SELECT a AS name, a AS c FROM both_ways GROUP BY a)"]
+    out += [f"w{i + 1} AS MATERIALIZED (SELECT w.name, least(w.c, min(v.c)) AS c FROM w{i} w JOIN both_ways ON w.name = a JOIN w{i} v ON v.name = b GROUP BY w.name, w.c)" for i in range(n)]
+    return ", ".join(out)
 
 
-@query()
-def wcc_all(spark, sf_dir):
+@query(f"{GRAPH}, {_BOTH}, {_least_steps(12)} SELECT name, c AS community FROM w12")
+def wcc(spark, sf_dir):
     return algorithms.components(business_graph(spark, sf_dir).edges)
 
 
-@query()
+def _core_steps(n: int) -> str:
+    """Each node takes the h-index of its neighbours' numbers, from the degrees on, n times."""
+    out = ["k0 AS MATERIALIZED (SELECT a AS name, count(*) AS h FROM both_ways GROUP BY a)"]
+    out += [f"k{i + 1} AS MATERIALIZED (SELECT name, max(least(h, n)) AS h FROM (SELECT a AS name, v.h, row_number() OVER (PARTITION BY a ORDER BY v.h DESC) AS n FROM both_ways JOIN k{i} v ON v.name = b) GROUP BY name)" for i in range(n)]
+    return ", ".join(out)
+
+
+@query(f"{GRAPH}, {_BOTH}, {_core_steps(30)} SELECT name, h::INT AS core FROM k30")
 def kcore(spark, sf_dir):
     return algorithms.k_core(business_graph(spark, sf_dir).edges)
 
 
+def _walk_steps(n: int) -> str:
+    out = ["h1 AS (SELECT src, count(*) AS n FROM edges GROUP BY src)"]
+    out += [f"h{i + 1} AS (SELECT e.src, sum(h.n)::BIGINT AS n FROM edges e JOIN h{i} h ON e.tgt = h.src GROUP BY e.src)" for i in range(1, n)]
+    return ", ".join(out)
+
+
+@query(f"{GRAPH}, {_walk_steps(4)} " + " UNION ALL ".join(f"SELECT {i}::INT AS hop, src, n FROM h{i}" for i in range(1, 5)))
+def khop_counts(spark, sf_dir):
+    return algorithms.walks(business_graph(spark, sf_dir).edges, 4)
+
+
 @query(f"{GRAPH} SELECT e.src, count(*) AS n FROM edges e JOIN edges f ON e.tgt = f.src GROUP BY e.src")
 def khop2_counts(spark, sf_dir):
-    e = business_graph(spark, sf_dir).edges
-    return e.select("src", F.col("tgt").alias("via")).join(e.select(F.col("src").alias("via"), F.col("tgt").alias("far")), "via").groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return algorithms.walks(business_graph(spark, sf_dir).edges, 2).where("hop = 2").select("src", "n")
 
 
-_TREE = "tree AS (SELECT tgt AS a, src AS b FROM edges WHERE rel_type = 'PART_OF' OR rel_type = 'LOCATED_IN')"
-_WALK = f"{GRAPH}, {_TREE}, walk AS (SELECT name AS seed, [name] AS path, 0 AS depth, name AS here FROM nodes WHERE label = 'region' UNION ALL SELECT seed, list_append(path, b), depth + 1, b FROM walk JOIN tree ON a = here WHERE depth < 2)"
+@query(f"{GRAPH} SELECT e.src AS seed, count(*) AS n, min(e.src || '>' || e.tgt || '>' || f.tgt) AS first, max(e.src || '>' || e.tgt || '>' || f.tgt) AS last FROM edges e JOIN edges f ON e.tgt = f.src GROUP BY e.src")
+def khop_paths(spark, sf_dir):
+    e = business_graph(spark, sf_dir).edges.select("src", "tgt")
+    way = F.concat_ws(">", "seed", "via", "far")
+    two = e.select(F.col("src").alias("seed"), F.col("tgt").alias("via")).join(e.select(F.col("src").alias("via"), F.col("tgt").alias("far")), "via")
+    return two.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(way).alias("first"), F.max(way).alias("last"))
 
 
-@query(f"{_WALK} SELECT seed, array_to_string(path, '>') AS path, depth FROM walk WHERE depth = 2")
-def khop_paths(spark, sf_dir):
-    e = _reverse(spark, sf_dir).edges.select("src", "tgt")
-    one = e.where("src like 'region:%'").select(F.col("src").alias("seed"), F.col("tgt").alias("via"))
-    two = one.join(e.select(F.col("src").alias("via"), F.col("tgt").alias("far")), "via")
-    return two.select("seed", F.concat_ws(">", "seed", "via", "far").alias("path"), F.lit(2).alias("depth"))
+@query(f"{GRAPH}, f AS (SELECT src, min(tgt) AS tgt FROM edges GROUP BY src), " + ", ".join(["n1 AS (SELECT s.name AS src, f.tgt AS node FROM nodes s JOIN f ON f.src = s.name)"] + [f"n{i + 1} AS (SELECT n.src, f.tgt AS node FROM n{i} n JOIN f ON f.src = n.node)" for i in range(1, 4)]) + " " + " UNION ALL ".join(f"SELECT {i}::INT AS hop, src, node FROM n{i}" for i in range(1, 5)))
+def hop_walk(spark, sf_dir):
+    store = business_graph(spark, sf_dir)
+    return measure.follow(store, store.nodes.select(F.col("name").alias("src")))
 
 
 # --- ingestion
@@ -238,20 +283,36 @@ def ner_parse(spark, sf_dir):
     return raw.select("id", F.array_join(ingest.parse_names(F.col("raw")), "|").alias("names"))
 
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS n FROM documents")
+_NAMES = "regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')"
+_ORDERED = "array_to_string(list_filter({x}, lambda t, i: list_position({x}, t) = i), '|')"
+
+
+@query(f"SELECT doc_id, {_ORDERED.format(x=_NAMES)} AS names FROM documents")
 def ner_regex(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(ingest.capitalised(F.col("text"))).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(ingest.capitalised(F.col("text")), "|").alias("names"))
 
 
-@query("SELECT doc_id, len(list_distinct(string_split(text, ' '))) AS n FROM documents")
+_WORDS = "regexp_extract_all(text, '[A-Z][a-z]+')"
+
+
+@query(f"SELECT doc_id, {_ORDERED.format(x=_WORDS)} AS names FROM documents")
 def entity_dedup(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.split("text", " ", -1))).cast("long").alias("n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)), "|").alias("names"))
+
+
+def _merging(spark, sf_dir):
+    p = ingest.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", 0.3, keep_group=True)
+    return p.select("label", (F.col("a") * 1_000_000_000 + F.col("b")).alias("ord"), F.concat(F.lit("v"), "a").alias("a"), F.concat(F.lit("v"), "b").alias("b"), F.col("sim").alias("score"))
 
 
 @query()
 def entity_merge_fold(spark, sf_dir):
-    p = ingest.cosine_pairs(read(spark, sf_dir, "embeddings"), "label", 0.3).join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"), "label"), "a")
-    return ingest.merge_names(p.select("label", (F.col("a") * 1_000_000 + F.col("b")).alias("ord"), F.concat(F.lit("v"), "a").alias("a"), F.concat(F.lit("v"), "b").alias("b"), F.col("sim").alias("score")), "label")
+    return ingest.merge_names(_merging(spark, sf_dir), "label")
+
+
+@query(f"WITH RECURSIVE p AS (SELECT 'v' || a.vec_id AS a, 'v' || b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {_COS} > 0.3), r AS (SELECT a AS name, b AS other FROM p UNION SELECT r.name, p.b FROM r JOIN p ON r.other = p.a) SELECT name, (min(struct_pack(n := -length(other), t := other)))['t'] AS canonical FROM r GROUP BY name")
+def entity_merge_cc(spark, sf_dir):
+    return ingest.merge_components(_merging(spark, sf_dir))
 
 
 @query(f"{GRAPH}, s AS (SELECT src, tgt, rel_type, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges) SELECT src, tgt, rel_type, score, score >= 0.3 AS kept FROM s")
@@ -264,18 +325,38 @@ def edge_verify_stats(spark, sf_dir):
     return ingest.verification_stats(edge_verify(spark, sf_dir))
 
 
-_ONTO = ", ".join(f"('{k}', {i}, '{ingest.describe(k)}')" for i, k in enumerate(ingest.ONTOLOGY_KEYS))
-_ALIGN = f"""o(k, ord, descr) AS (VALUES {_ONTO}), s AS (SELECT raw, k, ord, {_score("lower(translate(raw, '_-', '  '))", "concat_ws(' ', '', descr)")} AS sc FROM r, o),
-  b AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY sc DESC, ord) AS n, sum(sc) OVER (PARTITION BY raw) AS t FROM s)
-  SELECT raw, CASE WHEN round(sc / CASE WHEN t = 0 THEN 1 ELSE t END, 6) < 0.25 THEN 'RELATED_TO' ELSE k END AS key, round(sc / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS confidence FROM b WHERE n = 1"""
+@query(f"{GRAPH}, s AS (SELECT src, tgt, rel_type, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges) SELECT src, tgt, rel_type, score < 0.3 AS pruned, CASE WHEN score < 0.3 THEN score END AS score FROM s")
+def edge_prune(spark, sf_dir):
+    """The edges that a pruned store still has, and those that it lost with their scores."""
+    left, gone, _ = ingest.prune(business_graph(spark, sf_dir), F.lit(ASKED))
+    kept = left.edges.select(*EDGE, F.lit(False).alias("pruned"), F.lit(None).cast("double").alias("score"))
+    return kept.unionByName(gone.select(*EDGE, F.lit(True).alias("pruned"), "score"))
+
+
+_ONTO = ", ".join(f"('{k}', {i}, '{t}')" for i, (k, t) in enumerate(ingest.ONTOLOGY))
+
+
+def _align_sql(key: str, context: str) -> str:
+    return f"""o(k, ord, descr) AS (VALUES {_ONTO}), s AS (SELECT {key}, k, ord, {_score(context, "concat_ws(' ', '', descr)")} AS sc FROM r, o),
+  b AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sc DESC, ord) AS n, sum(sc) OVER (PARTITION BY {key}) AS t FROM s),
+  f AS (SELECT {key}, CASE WHEN round(sc / CASE WHEN t = 0 THEN 1 ELSE t END, 6) < 0.25 THEN 'RELATED_TO' ELSE k END AS key, round(sc / CASE WHEN t = 0 THEN 1 ELSE t END, 6) AS confidence FROM b WHERE n = 1)"""
 
 
-@query(f"{GRAPH}, r AS (SELECT DISTINCT rel_type AS raw FROM edges UNION SELECT event_type FROM events), {_ALIGN}")
+_RAW_WORDS = "lower(translate(raw, '_-', '  '))"
+
+
+@query(f"{GRAPH}, r AS (SELECT DISTINCT rel_type AS raw FROM edges UNION SELECT event_type FROM events), {_align_sql('raw', _RAW_WORDS)} SELECT * FROM f")
 def ontology_align(spark, sf_dir):
     raw = business_graph(spark, sf_dir).edges.select(F.col("rel_type").alias("raw")).union(read(spark, sf_dir, "events").select("event_type"))
     return ingest.align(raw)
 
 
+@query(f"{GRAPH}, r AS (SELECT DISTINCT rel_type AS raw, src, tgt FROM edges), {_align_sql('raw, src, tgt', f'concat_ws({chr(39)} {chr(39)}, {_RAW_WORDS}, src, tgt)')} SELECT src, tgt, key AS rel_type, length(src) AS width FROM f")
+def align_edges(spark, sf_dir):
+    edges = business_graph(spark, sf_dir).edges.select("src", "tgt", "rel_type", F.length("src").cast("long").alias("width"))
+    return ingest.align_edges(edges)
+
+
 # --- primitives
 
 _PAIRS = "SELECT item_id, text AS instruction, lag(text) OVER (ORDER BY item_id) AS context FROM benchmark"
@@ -297,10 +378,52 @@ def noul_col(spark, sf_dir):
     return _prompts(spark, sf_dir).select("id", F.round(d.noul(d.probabilities(d.lexical(F.col("context"), F.col("instruction")))), 6).alias("p"))
 
 
-@query(f"SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN {_score('context', 'instruction')} WHEN 1 THEN round({_overlap('context', 'instruction')} * {_overlap('context', 'instruction')}, 6) END AS answer FROM ({_PAIRS}) WHERE context IS NOT NULL")
+_PICK = [("same", "the same words"), ("other", "other things entirely"), ("none", "nothing at all")]
+_PICKS = ", ".join(f"('{k}', {i}, '{t}')" for i, (k, t) in enumerate(_PICK))
+
+
+def _options(spark):
+    return spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(_PICK)], "option string, ord int, description string")
+
+
+def _choice_sql(score: str) -> str:
+    """id, k, s, confidence of the best option of each prompt of pr."""
+    return f"SELECT id, k, s, s / CASE WHEN t = 0 THEN 1 ELSE t END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, ord) AS n, sum(s) OVER (PARTITION BY id) AS t FROM (SELECT id, k, ord, {score} AS s FROM pr, o)) WHERE n = 1"
+
+
+_PR = f"pr AS (SELECT item_id AS id, context, instruction FROM ({_PAIRS}) WHERE context IS NOT NULL), o(k, ord, descr) AS (VALUES {_PICKS})"
+_WITH_OPTION = "concat_ws(' ', instruction, descr)"
+_LEXICAL_CHOICE = _choice_sql(_of(_overlap("context", _WITH_OPTION)))
+
+
+@query(f"WITH {_PR} SELECT id, k AS option, round(s, 6) AS best, round(confidence, 6) AS confidence FROM ({_LEXICAL_CHOICE})")
+def choice_argmax(spark, sf_dir):
+    found = d.choose(_prompts(spark, sf_dir), "id", _options(spark), F.col("context"), F.col("instruction"))
+    return found.select("id", "option", F.round("best", 6).alias("best"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_PR}, c AS ({_LEXICAL_CHOICE}) SELECT id, CASE id % 3 WHEN 0 THEN {_score('context', 'instruction')} WHEN 1 THEN round({_overlap('context', 'instruction')} * {_overlap('context', 'instruction')}, 6) END AS answer, CASE WHEN id % 3 = 2 THEN k END AS selected FROM pr JOIN c USING (id)")
 def ask_batch(spark, sf_dir):
-    kind = F.when(F.col("id") % 3 == 0, "score").when(F.col("id") % 3 == 1, "noul").otherwise("other")
-    return _prompts(spark, sf_dir).select("id", F.round(d.ask(kind, d.probabilities(d.lexical(F.col("context"), F.col("instruction")))), 6).alias("answer"))
+    kind = F.element_at(F.array(F.lit("score"), F.lit("noul"), F.lit("choice")), (F.col("id") % 3 + 1).cast("int"))
+    chosen = d.choose(_prompts(spark, sf_dir), "id", _options(spark), F.col("context"), F.col("instruction"))
+    asked = chosen.withColumn("_a", d.ask(kind, d.probabilities(d.lexical(F.col("context"), F.col("instruction"))), F.col("option")))
+    return asked.select("id", F.round("_a.answer", 6).alias("answer"), "_a.selected")
+
+
+@query(f"WITH {_PR}, p AS (SELECT id, {_overlap('context', 'instruction')} AS x FROM pr) SELECT id, round(x * x, 6) AS score, round(greatest(x * x, 2 * x * (1 - x), (1 - x) * (1 - x)), 6) AS confidence, round(2 * x * (1 - x), 4) AS tangential, 'lexical' AS backend, 'noul' AS primitive FROM p")
+def score_detailed(spark, sf_dir):
+    found = _prompts(spark, sf_dir).withColumn("_d", d.decide(F.col("context"), F.col("instruction"), "lexical", "noul"))
+    return found.select("id", F.round("_d.score", 6).alias("score"), F.round("_d.confidence", 6).alias("confidence"), F.col("_d.raw_probs")["tangential"].alias("tangential"), "_d.backend", "_d.primitive")
+
+
+_LOGITS = "(SELECT l_orderkey, l_linenumber, exp(l_discount * 10 - m) AS a, exp(l_tax * 10 - m) AS b, exp(l_quantity / 20 - m) AS c FROM (SELECT *, greatest(l_discount * 10, l_tax * 10, l_quantity / 20) AS m FROM lineitem))"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round((c + 0.5 * b) / (a + b + c), 6) AS score, round(c / (a + b + c), 6) AS p, round(greatest(a, b, c) / (a + b + c), 6) AS confidence FROM {_LOGITS}")
+def softmax_scores(spark, sf_dir):
+    logits = F.array(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 20)
+    found = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", d.labelled(logits, ["irrelevant", "tangential", "critical"]).alias("_p"))
+    return found.select("l_orderkey", "l_linenumber", F.round(d.label_score(F.col("_p")), 6).alias("score"), F.round(d.label_noul(F.col("_p")), 6).alias("p"), F.round(F.array_max(F.map_values("_p")), 6).alias("confidence"))
 
 
 @query("SELECT * FROM (VALUES (0, 0.666667::DOUBLE, 0.5::DOUBLE, 'x'), (1, 1.0, 0.5, 'b'), (2, 0.5, 0.8, 'x'), (3, 0.5, 0.5, 'x')) t(id, score, p, choice)")
@@ -309,6 +432,23 @@ def cloud_decode(spark, sf_dir):
     return a.select("id", F.round(d.cloud_score(F.col("answer")), 6).alias("score"), d.cloud_noul(F.col("answer")).alias("p"), d.cloud_choice(F.col("answer"), ["x", "b"]).alias("choice"))
 
 
+_CLOUD = "SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 3 = 1 THEN 'oops' ELSE '{\"questions\": {\"far\": {\"score\": ' || turn || ', \"confidence\": 0.25}, \"is\": {\"probability\": 0.75}, \"which\": {\"selected\": \"b\", \"probabilities\": {\"a\": 0.125, \"b\": 0.625}}}}' END AS body FROM conversations"
+
+
+@query(f"""WITH c AS ({_CLOUD}), q(question, primitive) AS (VALUES ('far', 'score'), ('is', 'noul'), ('which', 'choice'), ('left', 'noul'))
+  SELECT id, question, CASE WHEN body = 'oops' OR question = 'left' THEN 0.5 WHEN question = 'far' THEN round(least((id % 1000) / 3.0, 1.0), 6) WHEN question = 'is' THEN 0.75 ELSE 0.625 END::DOUBLE AS score,
+  CASE WHEN body = 'oops' THEN 0.0 WHEN question = 'far' THEN 0.25 WHEN question = 'is' THEN 0.75 WHEN question = 'left' THEN 0.5 ELSE 0.625 END::DOUBLE AS confidence,
+  CASE WHEN body = 'oops' THEN 0.0 ELSE 7.5 END::DOUBLE AS latency_ms, CASE WHEN question = 'which' THEN CASE WHEN body = 'oops' THEN 'a' ELSE 'b' END END AS selected, primitive FROM c, q""")
+def cloud_batch(spark, sf_dir):
+    """One remote answer for four questions of each turn, and a fifth of an unknown kind, which is dropped."""
+    turn = F.col("turn").cast("string")
+    body = F.when(F.col("turn") % 3 == 1, "oops").otherwise(F.concat(F.lit('{"questions": {"far": {"score": '), turn, F.lit(', "confidence": 0.25}, "is": {"probability": 0.75}, "which": {"selected": "b", "probabilities": {"a": 0.125, "b": 0.625}}}}')))
+    asked = [("far", "score", None), ("is", "noul", None), ("which", "choice", "a"), ("left", "noul", None), ("odd", "essay", None)]
+    questions = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(o).cast("string").alias("first")) for n, k, o in asked])
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), body.alias("body"), questions.alias("questions"), F.lit(7.5).alias("latency_ms"))
+    return d.cloud_batch(turns).select("id", "question", F.round("score", 6).alias("score"), "confidence", "latency_ms", "selected", "primitive")
+
+
 # --- retrieval
 
 _ROUTES = ", ".join(f"('{k}', {i}, '{t}')" for i, (k, t) in enumerate(retrieve.ROUTES))
@@ -322,67 +462,110 @@ def route_intent(spark, sf_dir):
     return retrieve.route(q.select("query_id", text.alias("text")))
 
 
-def _reverse(spark, sf_dir):
+def _turned(spark, sf_dir):
+    """The tree of regions, nations, customers and suppliers, and orders, downwards."""
     store = business_graph(spark, sf_dir)
-    turned = store.edges.where("rel_type in ('PART_OF', 'LOCATED_IN')").select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "rel_type")
-    from dataclasses import replace
+    kept = store.edges.where("rel_type in ('PART_OF', 'LOCATED_IN', 'PLACED_BY')")
+    return replace(store, edges=kept.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "rel_type"))
 
-    return replace(store, edges=turned)
+
+def _regions(spark, sf_dir):
+    return read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("region:"), "r_regionkey").alias("seed"))
+
+
+_TREE = f"{GRAPH}, tree AS (SELECT tgt AS src, src AS tgt, rel_type FROM edges WHERE rel_type IN ('PART_OF', 'LOCATED_IN', 'PLACED_BY')), top AS (SELECT r_regionkey::BIGINT AS query_id, 'region:' || r_regionkey AS seed FROM region), te AS MATERIALIZED (SELECT tree.*, coalesce(pagerank, 0.0) AS pagerank, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM tree JOIN nodes ON name = tgt)"
 
 
 def _starts(spark, sf_dir):
-    return read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("region:"), "r_regionkey").alias("seed"))
+    """A question for each order, and the order as its seed."""
+    k = F.col("o_orderkey").cast("long")
+    return read(spark, sf_dir, "orders").select(k.alias("query_id"), F.concat(F.lit("which part and customer belong to orders "), k).alias("question"), F.concat(F.lit("orders:"), k).alias("seed"))
+
+
+_SE = f"{GRAPH}, st AS (SELECT o_orderkey::BIGINT AS query_id, 'which part and customer belong to orders ' || o_orderkey::BIGINT AS question, 'orders:' || o_orderkey::BIGINT AS seed FROM orders), se AS MATERIALIZED (SELECT query_id, question, seed, src, tgt, rel_type, coalesce(pagerank, 0.0) AS pagerank, {_score('question', EDGE_TEXT)} AS score FROM st JOIN edges ON src = seed JOIN nodes ON name = tgt)"
 
 
-_TURNED = f"{GRAPH}, tree AS (SELECT tgt AS src, src AS tgt, rel_type FROM edges WHERE rel_type IN ('PART_OF', 'LOCATED_IN')), st AS (SELECT r_regionkey::BIGINT AS query_id, '{ASKED}' AS question, 'region:' || r_regionkey AS seed FROM region), se AS (SELECT tree.*, coalesce(pagerank, 0.0) AS pagerank, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM tree JOIN nodes ON name = tgt)"
+def _first_edges(spark, sf_dir):
+    return retrieve.scored_edges(business_graph(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
 
 
-@query(f"{_TURNED} SELECT query_id, src, tgt, rel_type, pagerank, score FROM st JOIN se ON src = seed WHERE score >= 0.6")
+@query(f"{_SE} SELECT query_id, src, tgt, rel_type, pagerank, score FROM se WHERE score >= 0.6")
 def bfs_gated(spark, sf_dir):
-    return retrieve.bfs(_reverse(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
+    return retrieve.bfs(business_graph(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
 
 
-@query(f"{_TURNED} SELECT src, tgt, round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * 2, 6) AS f FROM se")
+@query(f"{GRAPH}, e AS (SELECT edges.*, coalesce(pagerank, 0.0) AS pagerank, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges JOIN nodes ON name = tgt) SELECT src, tgt, round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * 2, 6) AS f FROM e")
 def fscore(spark, sf_dir):
-    store = _reverse(spark, sf_dir)
+    store = business_graph(spark, sf_dir)
     front = store.nodes.select(F.lit(0).cast("long").alias("query_id"), F.lit(ASKED).alias("question"), F.col("name").alias("src"))
     return retrieve.scored_edges(store, front).select("src", "tgt", F.round(retrieve.f_score(F.col("score"), F.col("pagerank"), F.lit(2)), 6).alias("f"))
 
 
-@query(f"{_TURNED}, w AS (SELECT query_id, [seed] AS path, seed AS here, 0 AS depth, 1.0::DOUBLE AS f FROM st UNION ALL SELECT query_id, list_append(path, tgt), tgt, depth + 1, 0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * (depth + 1) FROM w JOIN se ON src = here WHERE depth < 2) SELECT query_id, array_to_string(path, '>') AS path, round(f, 6) AS score, depth FROM w WHERE depth = 2 OR here NOT IN (SELECT src FROM tree)")
+@query(f"{_TREE}, w AS (SELECT query_id, [seed] AS path, seed AS here, 0 AS depth, 1.0::DOUBLE AS f FROM top UNION ALL SELECT query_id, list_append(path, tgt), tgt, depth + 1, 0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * (depth + 1) FROM w JOIN te ON src = here WHERE depth < 3) SELECT query_id, array_to_string(path, '>') AS path, round(f, 6) AS score, depth FROM w WHERE depth = 3 OR here NOT IN (SELECT src FROM tree)")
 def bestfirst_tree(spark, sf_dir):
-    return retrieve.traverse(_reverse(spark, sf_dir), _starts(spark, sf_dir), 2, 1_000_000_000, None).select("query_id", F.array_join("path", ">").alias("path"), "score", "depth")
+    return retrieve.traverse(_turned(spark, sf_dir), _regions(spark, sf_dir), 3, 1_000_000_000, None).select("query_id", F.array_join("path", ">").alias("path"), "score", "depth")
+
+
+def _some_orders(spark, sf_dir):
+    return _starts(spark, sf_dir).where("query_id % 100 = 0").withColumn("question", F.lit(ASKED))
 
 
 @query()
 def bestfirst_general(spark, sf_dir):
-    store = business_graph(spark, sf_dir)
-    starts = read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("orders:"), "o_orderkey").alias("seed"))
-    return retrieve.traverse(store, starts)
+    return retrieve.traverse(business_graph(spark, sf_dir), _some_orders(spark, sf_dir))
 
 
-@query(f"{_TURNED}, b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, node) AS n FROM (SELECT query_id, tgt AS node, max(round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1, 6)) AS f FROM st JOIN se ON src = seed GROUP BY ALL)), b2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, node) AS n FROM (SELECT query_id, tgt AS node, max(round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * 2, 6)) AS f FROM b1 JOIN se ON src = node WHERE n <= 3 GROUP BY ALL)) SELECT query_id, 1 AS depth, node, f FROM b1 WHERE n <= 3 UNION ALL SELECT query_id, 2, node, f FROM b2 WHERE n <= 3")
+def _beam_sql(depth: int) -> str:
+    out, front = [], "(SELECT query_id, seed AS node, 1 AS n FROM top)"
+    for i in range(1, depth + 1):
+        out.append(f"b{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, node) AS n FROM (SELECT query_id, tgt AS node, max(round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * {i}, 6)) AS f FROM {front} x JOIN te ON src = node WHERE n <= 3 GROUP BY ALL))")
+        front = f"b{i}"
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, {i} AS depth, node, f FROM b{i} WHERE n <= 3" for i in range(1, depth + 1))
+
+
+@query(f"{_TREE}, {_beam_sql(3)}")
 def beam_level(spark, sf_dir):
-    return retrieve.beam(_reverse(spark, sf_dir), _starts(spark, sf_dir), 2, 3)
+    return retrieve.beam(_turned(spark, sf_dir), _regions(spark, sf_dir), 3, 3)
+
+
+@query()
+def greedy(spark, sf_dir):
+    return retrieve.walk_greedily(business_graph(spark, sf_dir), _some_orders(spark, sf_dir), "region:3").select("query_id", "seed", "path")
+
+
+@query()
+def greedy_vs_best(spark, sf_dir):
+    return retrieve.expansions(business_graph(spark, sf_dir), _some_orders(spark, sf_dir), "region:3")
+
+
+@query(f"{_SE}, p AS (SELECT query_id, seed || ' → ' || tgt AS way, 'order ' || query_id || ' of orders part ' || tgt AS question FROM se) SELECT query_id, way, round({_overlap('question', 'way')} * {_overlap('question', 'way')}, 6) AS p, {_overlap('question', 'way')} * {_overlap('question', 'way')} > 0.95 AS stops FROM p")
+def early_exit(spark, sf_dir):
+    way = F.array_join(F.array("src", "tgt"), " → ")
+    question = F.concat(F.lit("order "), F.col("query_id"), F.lit(" of orders part "), F.col("tgt"))
+    p = d.noul(d.probabilities(d.lexical(question, way)))
+    return _first_edges(spark, sf_dir).select("query_id", way.alias("way"), F.round(p, 6).alias("p"), (p > 0.95).alias("stops"))
 
 
 # --- after the traversal
 
 
-@query(f"{_TURNED}, p AS (SELECT query_id, seed, row_number() OVER (PARTITION BY query_id ORDER BY tgt) - 1 AS po, [seed, tgt] AS path, score FROM st JOIN se ON src = seed), e AS (SELECT query_id, seed, po, score, unnest([0, 1]) AS pos, unnest(path) AS name FROM p), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY seed, po, pos) AS n FROM e) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seed, po, pos) - 1 AS ord, name, round(score * pow(0.9, pos), 6) AS score FROM f WHERE n = 1")
+@query(f"{_SE}, p AS (SELECT query_id, seed, row_number() OVER (PARTITION BY query_id ORDER BY tgt) - 1 AS po, [seed, tgt] AS path, score FROM se), e AS (SELECT query_id, seed, po, score, unnest([0, 1]) AS pos, unnest(path) AS name FROM p), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY seed, po, pos) AS n FROM e) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seed, po, pos) - 1 AS ord, name, round(score * pow(0.9, pos), 6) AS score FROM f WHERE n = 1")
 def paths_to_nodes(spark, sf_dir):
-    e = retrieve.scored_edges(_reverse(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
-    p = d.ranked(e, ["query_id"], F.col("tgt")).select("query_id", F.col("src").alias("seed"), (F.col("rank") - 1).alias("path_ord"), F.array("src", "tgt").alias("path"), "score")
+    p = d.ranked(_first_edges(spark, sf_dir), ["query_id"], F.col("tgt")).select("query_id", F.col("src").alias("seed"), (F.col("rank") - 1).alias("path_ord"), F.array("src", "tgt").alias("path"), "score")
     return post.paths_to_nodes(p).select("query_id", F.col("ord").cast("long").alias("ord"), "name", "score")
 
 
-_NODES = f"{_TURNED}, ed AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tgt) AS eo, src, tgt, score FROM st JOIN se ON src = seed), e AS (SELECT query_id, eo, score, unnest([0, 1]) AS pos, unnest([src, tgt]) AS name FROM ed), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY eo, pos) AS n FROM e), no AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY eo, pos) - 1 AS ord, name, score FROM f WHERE n = 1)"
-_RANKED = f"{_NODES}, sc AS (SELECT query_id, ord, name, {_score(repr(ASKED), 'name')} AS score, count(*) OVER (PARTITION BY query_id) AS n FROM no), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS k FROM sc), kept AS (SELECT * FROM rr WHERE k <= greatest(1, floor(n * 0.8 + 1e-9)))"
+_NODES = f"{_SE}, ed AS (SELECT query_id, question, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tgt) AS eo, src, tgt, score FROM se), e AS (SELECT query_id, question, eo, score, unnest([0, 1]) AS pos, unnest([src, tgt]) AS name FROM ed), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY eo, pos) AS n FROM e), no AS (SELECT query_id, question, row_number() OVER (PARTITION BY query_id ORDER BY eo, pos) - 1 AS ord, name, score FROM f WHERE n = 1)"
+_RANKED = f"{_NODES}, sc AS (SELECT query_id, ord, name, {_score('question', 'name')} AS score, count(*) OVER (PARTITION BY query_id) AS n FROM no), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS k FROM sc), kept AS (SELECT * FROM rr WHERE k <= greatest(1, floor(n * 0.8 + 1e-9)))"
 
 
 def _context_nodes(spark, sf_dir):
-    e = retrieve.scored_edges(_reverse(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
-    return post.edges_to_nodes(d.ranked(e, ["query_id"], F.desc("score"), F.col("tgt")).withColumnRenamed("rank", "edge_ord"))
+    return post.edges_to_nodes(d.ranked(_first_edges(spark, sf_dir), ["query_id"], F.desc("score"), F.col("tgt")).withColumnRenamed("rank", "edge_ord"))
+
+
+def _reranked(spark, sf_dir):
+    nodes = _context_nodes(spark, sf_dir).join(_starts(spark, sf_dir).select("query_id", "question"), "query_id")
+    return post.rerank(nodes, F.col("question"))
 
 
 @query(f"{_NODES} SELECT query_id, ord, name, score FROM no")
@@ -392,41 +575,51 @@ def edges_to_nodes(spark, sf_dir):
 
 @query(f"{_RANKED} SELECT query_id, k AS rank, name, score FROM kept")
 def rerank(spark, sf_dir):
-    return post.rerank(_context_nodes(spark, sf_dir), F.lit(ASKED)).select("query_id", F.col("rank").cast("long").alias("rank"), "name", "score")
+    return _reranked(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "name", "score")
 
 
 @query(f"{_RANKED} SELECT query_id, string_agg(name || ': ' || name, ' | ' ORDER BY k) AS context FROM kept WHERE k <= 10 GROUP BY query_id")
 def format_context(spark, sf_dir):
-    return post.context(post.rerank(_context_nodes(spark, sf_dir), F.lit(ASKED)))
+    return post.context(_reranked(spark, sf_dir))
 
 
-_CTX = f"{_RANKED}, c AS (SELECT query_id, string_agg(name || ': ' || name, ' | ' ORDER BY k) AS context FROM kept WHERE k <= 10 GROUP BY query_id), g AS (SELECT query_id, round({_overlap('context', 'claim')} * {_overlap('context', 'claim')}, 6) AS p FROM (SELECT *, 'region ' || query_id || ' nation place' AS claim FROM c))"
+@query(f"{_RANKED}, b AS (SELECT query_id, string_agg('- ' || name || ': ' || name, chr(10) ORDER BY k) AS text FROM kept GROUP BY query_id) SELECT query_id, coalesce(text, '(none found)') AS text FROM (SELECT query_id FROM st UNION SELECT -1) LEFT JOIN b USING (query_id)")
+def format_bullets(spark, sf_dir):
+    asked = _starts(spark, sf_dir).select("query_id").union(spark.createDataFrame([(-1,)], "query_id long"))
+    return post.bullets(_reranked(spark, sf_dir), asked)
+
+
+_CTX = f"{_RANKED}, c AS (SELECT query_id, string_agg(name || ': ' || name, ' | ' ORDER BY k) AS context FROM kept WHERE k <= 10 GROUP BY query_id), g AS (SELECT query_id, round({_overlap('context', 'claim')} * {_overlap('context', 'claim')}, 6) AS p FROM (SELECT *, 'orders ' || query_id || ' part customer' AS claim FROM c))"
+
+
+def _claim():
+    return F.concat(F.lit("orders "), "query_id", F.lit(" part customer"))
 
 
 @query(f"{_CTX} SELECT query_id, p, p >= 0.5 AS passed FROM g")
 def gate(spark, sf_dir):
-    claim = F.concat(F.lit("region "), "query_id", F.lit(" nation place"))
-    return post.check(format_context(spark, sf_dir), claim, 0.5).select("query_id", "p", "passed")
+    return post.check(format_context(spark, sf_dir), _claim(), 0.5).select("query_id", "p", "passed")
 
 
 @query(f"{_CTX} SELECT query_id, p, p >= 0.9 AS passed FROM g")
 def citations(spark, sf_dir):
-    claim = F.concat(F.lit("region "), "query_id", F.lit(" nation place"))
-    return post.check(format_context(spark, sf_dir), claim, 0.9).select("query_id", "p", "passed")
+    return post.check(post.context(_reranked(spark, sf_dir), post.CITED), _claim(), 0.9).select("query_id", "p", "passed")
 
 
 @query(f"{_CTX} SELECT query_id, CASE WHEN p < 0.5 THEN 'not enough evidence' ELSE CASE WHEN p >= 0.9 THEN '' ELSE '[UNVERIFIED] ' END || context END AS answer FROM g JOIN c USING (query_id)")
 def answer_local(spark, sf_dir):
-    claim = F.concat(F.lit("region "), "query_id", F.lit(" nation place"))
-    c = post.check(format_context(spark, sf_dir), claim, 0.5)
+    c = post.check(format_context(spark, sf_dir), _claim(), 0.5)
     return c.select("query_id", F.when(~F.col("passed"), F.lit("not enough evidence")).otherwise(F.concat(F.when(F.col("p") >= 0.9, F.lit("")).otherwise(F.lit("[UNVERIFIED] ")), F.col("context"))).alias("answer"))
 
 
-_TWO = "n AS (SELECT 0::BIGINT AS query_id, lang AS name, doc_id AS ord, substr(text, 1, 60) AS text FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS k FROM n), p AS (SELECT query_id, name, max(text) FILTER (k = 1) AS a, max(text) FILTER (k = 2) AS b FROM t WHERE k <= 2 GROUP BY ALL HAVING count(*) = 2)"
+_TWO = "n AS (SELECT 0::BIGINT AS query_id, source || ' ' || lang AS name, doc_id AS ord, text FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS k FROM n), p AS (SELECT query_id, name, max(text) FILTER (k = 1) AS a, max(text) FILTER (k = 2) AS b FROM t WHERE k <= 2 GROUP BY ALL HAVING count(*) = 2)"
+_WHAT = "the of and was der und"
 
 
-def _two(spark, sf_dir, text="substring(text, 1, 60)"):
-    return post.conflicts(read(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("query_id"), F.col("lang").alias("name"), F.col("doc_id").alias("ord"), F.expr(text).alias("text")))
+def _two(spark, sf_dir):
+    name = F.concat_ws(" ", "source", "lang")
+    docs = read(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    return post.conflicts(docs.select(F.lit(0).cast("long").alias("query_id"), name.alias("name"), F.col("doc_id").alias("ord"), "text"))
 
 
 @query(f"WITH {_TWO} SELECT * FROM p")
@@ -434,19 +627,21 @@ def conflicts(spark, sf_dir):
     return _two(spark, sf_dir)
 
 
-@query(f"WITH {_TWO} SELECT query_id, name, CASE WHEN {_score(repr('the of and was der und'), 'substr(a, 1, 100)')} >= {_score(repr('the of and was der und'), 'substr(b, 1, 100)')} THEN a ELSE b END AS winner FROM p")
-def resolve_conflicts(spark, sf_dir):
-    return post.resolve(_two(spark, sf_dir), F.lit("the of and was der und"))
+def _fit(own: str, other: str) -> str:
+    return _score(f"concat_ws(' ', '{_WHAT}', substr({other}, 1, 300))", f"substr({own}, 1, 100)")
 
 
-@query()
-def conflicts_whole(spark, sf_dir):
-    return _two(spark, sf_dir, "text")
+_FITS = f"f AS (SELECT *, {_fit('a', 'b')} AS x, {_fit('b', 'a')} AS y FROM p)"
 
 
-@query()
-def resolve_conflicts_whole(spark, sf_dir):
-    return post.resolve(_two(spark, sf_dir, "text"), F.lit("the of and was der und"))
+@query(f"WITH {_TWO}, {_FITS} SELECT query_id, name, CASE WHEN x >= y THEN a ELSE b END AS winner FROM f")
+def resolve_conflicts(spark, sf_dir):
+    return post.resolve(_two(spark, sf_dir), F.lit(_WHAT))
+
+
+@query(f"WITH {_TWO}, {_FITS} SELECT query_id, name, CASE WHEN x >= y THEN 'a' ELSE 'b' END AS selected, round(greatest(x, y) / CASE WHEN x + y = 0 THEN 1.0 ELSE x + y END, 6) AS confidence FROM f")
+def conflict_log(spark, sf_dir):
+    return post.conflict_log(_two(spark, sf_dir), F.lit(_WHAT)).select("query_id", "name", "selected", "confidence")
 
 
 # --- comparison of scorers
@@ -465,30 +660,39 @@ def ablation_compare(spark, sf_dir):
     return post.compare(_prompts(spark, sf_dir)).select("id", "a", "b", "delta")
 
 
-@query(f"SELECT count(*) AS n, round(avg(delta), 4) AS mean_delta, round(max(delta), 4) AS max_delta, round(avg((delta < 0.05)::INT::DOUBLE), 3) AS agreement FROM ({_AB})")
+@query(f"SELECT count(*) AS n, round(avg(delta), 4) AS mean_delta, round(max(delta), 4) AS max_delta, round(avg((delta < 0.05)::INT::DOUBLE), 3) AS agreement, round(avg(id % 7), 1) AS ms_a, round(avg(id % 5), 1) AS ms_b, NULL::VARCHAR AS error FROM ({_AB})")
 def ablation_log_stats(spark, sf_dir):
-    return post.comparison_stats(post.compare(_prompts(spark, sf_dir)))
+    """The log is written as JSON lines, read again and summed up."""
+    path = f"{shared_dir(spark)}/loomgraph-log-{uuid.uuid4().hex}"
+    timed = _prompts(spark, sf_dir).withColumns({"latency_a": (F.col("id") % 7).cast("double"), "latency_b": (F.col("id") % 5).cast("double")})
+    post.write_log(post.harness(timed), path)
+    return post.comparison_stats(post.read_log(spark, path))
 
 
-@query(f"SELECT id, a AS score FROM ({_AB})")
+@query(f"SELECT id, a AS score, greatest(id % 7, id % 5)::DOUBLE AS latency_ms FROM ({_AB})")
 def ablation_primary(spark, sf_dir):
-    return post.primary(post.compare(_prompts(spark, sf_dir)))
+    timed = _prompts(spark, sf_dir).withColumns({"latency_a": (F.col("id") % 7).cast("double"), "latency_b": (F.col("id") % 5).cast("double")})
+    return post.primary(post.harness(timed)).select("id", "score", "latency_ms")
 
 
-@query(f"{_TURNED}, p AS (SELECT query_id, seed || ' → ' || tgt AS way, 'region ' || query_id || ' nation ' || tgt AS question FROM st JOIN se ON src = seed) SELECT query_id, way, round({_overlap('question', 'way')} * {_overlap('question', 'way')}, 6) AS p, {_overlap('question', 'way')} * {_overlap('question', 'way')} > 0.95 AS stops FROM p")
-def early_exit(spark, sf_dir):
-    e = retrieve.scored_edges(_reverse(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
-    way = F.array_join(F.array("src", "tgt"), " → ")
-    question = F.concat(F.lit("region "), F.col("query_id"), F.lit(" nation "), F.col("tgt"))
-    p = d.noul(d.probabilities(d.lexical(question, way)))
-    return e.select("query_id", way.alias("way"), F.round(p, 6).alias("p"), (p > 0.95).alias("stops"))
+def _jaccard(x: str, y: str) -> str:
+    return f"(len(list_intersect({_tri(x)}, {_tri(y)}))::DOUBLE / len(list_distinct(list_concat({_tri(x)}, {_tri(y)}))))"
 
 
-@query()
-def greedy(spark, sf_dir):
-    store = business_graph(spark, sf_dir)
-    starts = read(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("orders:"), "o_orderkey").alias("seed"))
-    return retrieve.walk_greedily(store, starts, "region:3")
+_TRIGRAM_CHOICE = _choice_sql(_of(_jaccard("context", _WITH_OPTION)))
+
+
+@query(f"""WITH {_PR}, x AS (SELECT id, {_overlap('context', 'instruction')} AS p, {_jaccard('context', 'instruction')} AS q FROM pr), c AS ({_LEXICAL_CHOICE}), t AS ({_TRIGRAM_CHOICE}),
+  r AS (SELECT id, 'score' AS primitive, round({_of('p')}, 6) AS a, round({_of('q')}, 6) AS b, NULL::VARCHAR AS selected_a, NULL::VARCHAR AS selected_b FROM x UNION ALL SELECT id, 'noul', round(p * p, 6), round(q * q, 6), NULL, NULL FROM x
+    UNION ALL SELECT id, 'choice', round(c.s, 6), round(t.s, 6), c.k, t.k FROM c JOIN t USING (id))
+  SELECT id, primitive, a, b, round(abs(a - b), 4) AS delta, selected_a, selected_b FROM r""")
+def ab_prompts(spark, sf_dir):
+    out = None
+    for primitive in ("score", "noul", "choice"):
+        one = post.harness(_prompts(spark, sf_dir), primitive, _PICK if primitive == "choice" else None)
+        one = one.select("id", "primitive", "a", "b", "delta", F.col("detail_a.selected").alias("selected_a"), F.col("detail_b.selected").alias("selected_b"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("WITH e AS (SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type) SELECT * FROM e")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from itertools import islice
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 EDGE = ["src", "tgt", "rel_type"]
 NODES_SCHEMA = "name string, label string, props map<string,string>, pagerank double, community_id bigint"
 EDGES_SCHEMA = "src string, tgt string, rel_type string, props map<string,string>"
+EMBEDDINGS_SCHEMA = "name string, embedding array<double>"
 #: Queries that travel at a time; vectors that meet them in one product.
 MOST_QUERIES, SLICE = 4096, 1024
+_VERSIONS = "_versions"
 
 
 def merged(old: Column, new: Column) -> Column:
@@ -23,34 +26,89 @@ def merged(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
 
 
+def _order(new: DataFrame) -> Column:
+    return F.col("ord") if "ord" in new.columns else F.lit(0)
+
+
+def latest(new: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """One row a key: of rows with one key the later by `ord` wins, value by value, where it has one; equally late ones
+    by the greater value.  Their props are merged likewise, key by key.  Rows without a key are left out.
+
+    Each value and each property is an aggregate of its own, combined before the shuffle: a key that is repeated many
+    times never stands in one row.
+    """
+    known = new.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("_ord", _order(new))
+    best = [F.max_by(v, F.when(F.col(v).isNotNull(), F.struct("_ord", v))).alias(v) for v in values]
+    heads = known.groupBy(*keys).agg(*(best or [F.count(F.lit(1)).alias("_n")]))
+    if "props" not in new.columns:
+        return heads.select(*keys, *values)
+    each = known.select(*keys, "_ord", F.explode("props").alias("_k", "_v"))
+    one = each.groupBy(*keys, "_k").agg(F.max_by("_v", F.struct("_ord", "_v")).alias("_v"))
+    props = one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("props"))
+    return heads.join(props, keys, "left").select(*keys, *values, "props")
+
+
 @dataclass(frozen=True)
 class GraphStore:
     """nodes(name, label, props, pagerank, community_id), edges(src, tgt, rel_type, props), embeddings(name, embedding).
-    Changes return a new store."""
+    Names are unique among nodes and embeddings, (src, tgt, rel_type) among edges.  Changes return a new store."""
 
     nodes: DataFrame
     edges: DataFrame
     embeddings: DataFrame | None = None
 
+    @classmethod
+    def empty(cls, spark: SparkSession) -> GraphStore:
+        return cls(*(spark.createDataFrame([], x) for x in (NODES_SCHEMA, EDGES_SCHEMA, EMBEDDINGS_SCHEMA)))
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str) -> GraphStore:
+        """The store at `path`; an empty one is written there if there is none."""
+        if not _listed(spark, path):
+            cls.empty(spark).save(path)
+        return cls.open(spark, path)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> GraphStore:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("nodes", "edges")))
+        """The newest whole version at `path`."""
+        names = _listed(spark, path)
+        if not names:
+            raise FileNotFoundError(f"no graph at {path}")
+        at = f"{path}/{names[-1]}"
+        return cls(*(spark.read.schema(k).parquet(f"{at}/{t}") for t, k in (("nodes", NODES_SCHEMA), ("edges", EDGES_SCHEMA), ("embeddings", EMBEDDINGS_SCHEMA))))
 
     def save(self, path: str) -> None:
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        """Write a version of its own beside the older ones, which open plans may still read; it counts once it is
+        whole.  vacuum() removes the older ones."""
+        spark = self.nodes.sparkSession
+        known = _listed(spark, path)
+        name = f"v{int(known[-1][1:11]) + 1 if known else 0:010d}-{uuid.uuid4().hex[:8]}"
+        vectors = self.embeddings if self.embeddings is not None else spark.createDataFrame([], EMBEDDINGS_SCHEMA)
+        for t, df, kind in (("nodes", self.nodes, NODES_SCHEMA), ("edges", self.edges, EDGES_SCHEMA), ("embeddings", vectors, EMBEDDINGS_SCHEMA)):
+            columns = spark.createDataFrame([], kind).schema
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns]).write.parquet(f"{path}/{name}/{t}")
+        fs, mark = _files(spark, f"{path}/{_VERSIONS}/{name}")
+        fs.create(mark, True).close()
+
+    def duplicates(self) -> DataFrame:
+        """kind, key, n: keys that stand in more than one row."""
+        nodes = self.nodes.groupBy("name").count().where("count > 1").select(F.lit("node").alias("kind"), F.col("name").alias("key"), F.col("count").alias("n"))
+        edges = self.edges.groupBy(*EDGE).count().where("count > 1").select(F.lit("edge").alias("kind"), F.concat_ws(" ", *EDGE).alias("key"), F.col("count").alias("n"))
+        return nodes.unionByName(edges)
 
     def upsert_nodes(self, new: DataFrame) -> GraphStore:
-        """new(name, label, props): a known name keeps what the new row lacks."""
-        a, b = self.nodes.alias("a"), new.alias("b")
+        """new(name, label, props[, ord]): a known name keeps what the new rows lack; of repeated names see latest()."""
+        a, b = self.nodes.alias("a"), latest(new, ["name"], "label").alias("b")
         out = a.join(b, "name", "full_outer").select(
             "name", F.coalesce("b.label", "a.label").alias("label"), merged(F.col("a.props"), F.col("b.props")).alias("props"), "a.pagerank", "a.community_id")
         return replace(self, nodes=out)
 
     def upsert_edges(self, new: DataFrame) -> GraphStore:
-        """new(src, tgt, rel_type, props): edges whose ends are not both nodes are left out."""
+        """new(src, tgt, rel_type, props[, ord]): edges whose ends are not both nodes are left out; of repeated keys see
+        latest()."""
         names = self.nodes.select("name")
-        held = new.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "tgt"), "tgt", "left_semi")
+        one = latest(new, EDGE)
+        held = one.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "tgt"), "tgt", "left_semi")
         a, b = self.edges.alias("a"), held.alias("b")
         return replace(self, edges=a.join(b, EDGE, "full_outer").select(*EDGE, merged(F.col("a.props"), F.col("b.props")).alias("props")))
 
@@ -58,8 +116,8 @@ class GraphStore:
         return replace(self, edges=self.edges.join(gone.select(*EDGE), EDGE, "left_anti"))
 
     def set_embeddings(self, new: DataFrame) -> GraphStore:
-        """new(name, embedding): for names that are nodes."""
-        known = new.join(self.nodes.select("name"), "name", "left_semi")
+        """new(name, embedding[, ord]): for names that are nodes; of repeated names see latest()."""
+        known = latest(new, ["name"], "embedding").join(self.nodes.select("name"), "name", "left_semi").where("embedding is not null")
         if self.embeddings is None:
             return replace(self, embeddings=known)
         out = self.embeddings.alias("a").join(known.alias("b"), "name", "full_outer").select("name", F.coalesce("b.embedding", "a.embedding").alias("embedding"))
@@ -77,6 +135,30 @@ class GraphStore:
         return self.edges.select("src", "tgt").distinct()
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions at a path, oldest first."""
+    fs, p = _files(spark, f"{path}/{_VERSIONS}")
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Remove all but the newest `keep` versions, for when no plan reads the others any more, and what a save that did
+    not end has left."""
+    names = _listed(spark, path)
+    for name in names[:-keep]:
+        fs, mark = _files(spark, f"{path}/{_VERSIONS}/{name}")
+        fs.delete(mark, False)
+    fs, top = _files(spark, path)
+    for x in fs.listStatus(top) if names else []:
+        if x.getPath().getName() not in (_VERSIONS, *names[-keep:]):
+            fs.delete(x.getPath(), True)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
@@ -99,44 +181,65 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return out_s, out_i
 
 
+def finite(embedding: Column) -> Column:
+    """Whether a vector has components, none of them null or not finite."""
+    size = F.lit(float("inf"))
+    return F.coalesce((F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < size)), F.lit(False))
+
+
 def _nearest(vectors: DataFrame, listed: list, k: int) -> DataFrame:
     """query, vec_id, score: the k best of each partition for one block of queries."""
-    names = np.array([r["query"] for r in listed], np.int64)
-    sent = vectors.sparkSession.sparkContext.broadcast(np.array([r["embedding"] for r in listed], np.float64))
+    by_length: dict[int, tuple[list, list]] = {}
+    for r in listed:
+        names, rows = by_length.setdefault(len(r["embedding"]), ([], []))
+        names.append(r["query"])
+        rows.append(r["embedding"])
+    sent = vectors.sparkSession.sparkContext.broadcast({n: (np.array(x, np.int64), np.array(m, np.float64)) for n, (x, m) in by_length.items()})
 
     def search(batches):
         import pyarrow as pa
 
-        matrix = sent.value
-        norms = np.sqrt((matrix * matrix).sum(axis=1))[:, None]
-        s, i = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)
+        state = {n: (names, m, np.sqrt((m * m).sum(axis=1))[:, None], np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)) for n, (names, m) in sent.value.items()}
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                m = np.stack([np.asarray(x.values, np.float64) for x in part.column(1)])
-                new = np.round(matrix @ m.T / (norms * np.sqrt((m * m).sum(axis=1)) + 1e-9), 6)
-                s, i = _best(np.hstack([s, new]), np.hstack([i, np.broadcast_to(ids, new.shape)]), k)
-        q, place = np.nonzero(s > -np.inf)
-        for at in range(0, len(q), 50_000):
-            x, y = q[at : at + 50_000], place[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(i[x, y]), pa.array(s[x, y])], names=["query", "vec_id", "score"])
+                ids, rows = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
+                lengths = rows.value_lengths().to_numpy(zero_copy_only=False)
+                for n in np.intersect1d(lengths, [*state]).tolist():
+                    own = np.flatnonzero(lengths == n)
+                    m = rows.take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                    names, matrix, norms, s, i = state[n]
+                    new = np.round(matrix @ m.T / (norms * np.sqrt((m * m).sum(axis=1)) + 1e-9), 6)
+                    s, i = _best(np.hstack([s, new]), np.hstack([i, np.broadcast_to(ids[own], new.shape)]), k)
+                    state[n] = names, matrix, norms, s, i
+        for names, _, _, s, i in state.values():
+            q, place = np.nonzero(s > -np.inf)
+            for at in range(0, len(q), 50_000):
+                x, y = q[at : at + 50_000], place[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(i[x, y]), pa.array(s[x, y])], names=["query", "vec_id", "score"])
 
     return vectors.mapInArrow(search, "query long, vec_id long, score double")
 
 
+def rescaled(score: Column) -> Column:
+    """A cosine as a share: (1 + cosine) / 2, the scale of approximate indexes."""
+    return (1 + score) / 2
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most: int = MOST_QUERIES) -> DataFrame:
     """query, vec_id, score, rank: the k best cosines of each query vector; ties go to the smaller id.
 
-    The queries (query, embedding) travel to the vectors in blocks of at most `most`, one matrix each, and the driver
-    holds one block at a time.  Each partition keeps the k best of each query over all its rows, and only those are
-    shuffled.  With several blocks each one's result is written to the shared folder before the next is read.
+    Vectors that are null or empty, or hold null or non-finite components, are neither found nor asked for; a query
+    meets the vectors of its own length.  The queries (query, embedding) travel to the vectors in blocks of at most
+    `most`, and the driver holds one block at a time.  Each partition keeps the k best of each query over all its rows,
+    and only those are shuffled.  With several blocks each one's result is written before the next is read.
     """
     from loomgraph.functions.decision import ranked
-    from loomgraph.operators.algorithms import written
+    from loomgraph.tables import written
 
-    known = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
-    rows = queries.where("embedding is not null").select("query", "embedding").toLocalIterator()
+    whole = F.col("embedding").cast("array<double>")
+    known = vectors.where("vec_id is not null").select("vec_id", whole.alias("embedding")).where(finite(F.col("embedding")))
+    rows = queries.select("query", whole.alias("embedding")).where(finite(F.col("embedding"))).toLocalIterator()
     found = None
     block = list(islice(rows, most))
     while block:

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.executorEnv.PYTHONPATH": str(Path(__file__).parents[1]),
     }
     s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
