@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.config import DEFAULT
+
 Scorer = Callable[[Column, Column], Column]
 
 
@@ -173,13 +175,13 @@ register("trigram", trigram)
 _RAW = "map<string,double>"
 
 
-def cloud_score(answer: Column, fallback: float = 0.5) -> Column:
+def cloud_score(answer: Column, fallback: float = DEFAULT.fallback_score) -> Column:
     """A rubric answer 0 to 3 in JSON; what is missing or unreadable counts as the fallback."""
     raw = F.get_json_object(answer, "$.score").try_cast("double")
     return F.when(raw.isNull(), F.lit(fallback)).otherwise(F.least(raw / 3, F.lit(1.0)))
 
 
-def cloud_noul(answer: Column, fallback: float = 0.5) -> Column:
+def cloud_noul(answer: Column, fallback: float = DEFAULT.fallback_score) -> Column:
     return F.coalesce(F.get_json_object(answer, "$.probability").try_cast("double"), F.lit(fallback))
 
 
@@ -187,7 +189,7 @@ def cloud_choice(answer: Column, options: Sequence[str]) -> Column:
     return F.coalesce(F.get_json_object(answer, "$.selected"), F.lit(options[0]))
 
 
-def cloud_detailed(answer: Column, kind: Column, first: Column, fallback: float = 0.5, latency_ms: Column | None = None) -> Column:
+def cloud_detailed(answer: Column, kind: Column, first: Column, fallback: float = DEFAULT.fallback_score, latency_ms: Column | None = None) -> Column:
     """A remote answer in JSON, decoded by the kind of its question; null for a kind that is unknown.
 
     score: its confidence, or 0.  noul: the probability is the confidence, and yes and no are the raw ones.  choice: the
@@ -210,7 +212,7 @@ def cloud_detailed(answer: Column, kind: Column, first: Column, fallback: float
     return F.when(kind.isin("score", "noul", "choice"), out)
 
 
-def cloud_batch(answers: DataFrame, fallback: float = 0.5) -> DataFrame:
+def cloud_batch(answers: DataFrame, fallback: float = DEFAULT.fallback_score) -> DataFrame:
     """id, question, and the decision: one row for each question of answers(id, body, questions, latency_ms), where
     questions is an array of (name, kind, first option) and body is one JSON answer for all of them, by name.
 

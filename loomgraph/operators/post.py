@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.config import DEFAULT
 from loomgraph.functions import decision as d
 
 
@@ -148,7 +149,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).json(path).where("delta is not null")
 
 
-def comparison_stats(log: DataFrame, agree: float = 0.05) -> DataFrame:
+def comparison_stats(log: DataFrame, agree: float = DEFAULT.agreement) -> DataFrame:
     """n, mean_delta, max_delta, agreement (the share below `agree`), ms_a, ms_b (mean latencies), error (of a log
     without rows, else null)."""
     found = log.agg(

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.tables import cut
+
 from .store import GraphStore
 
+#: The graphs that an application has loaded, by application and folder.
+_loaded: dict[tuple[str, str], GraphStore] = {}
+
 _KINDS = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey", "orders": "o_orderkey"}
 _EDGES = [
     ("nation", "nation", "n_nationkey", "region", "n_regionkey", "PART_OF"), ("supplier", "supplier", "s_suppkey", "nation", "s_nationkey", "LOCATED_IN"),
@@ -20,6 +25,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def business_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph of a folder's tables, loaded once: written to the shared folder at the first call of an application,
+    and scanned from there by every query after it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _loaded:
+        made = made_graph(spark, sf_dir)
+        _loaded[key] = GraphStore(cut(made.nodes, "nodes")[0], cut(made.edges, "edges")[0])
+    return _loaded[key]
+
+
+def made_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     """Ranks are made from the keys (null for every seventh), so that arithmetic on them has cases."""
     nodes = edges = None
     for t, key in _KINDS.items():

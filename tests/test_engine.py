@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import __main__
 from loomgraph.config import EngineConfig
-from loomgraph.functions import decision
+from loomgraph.functions import decision, generate
 from loomgraph.functions.embedding import hashed, vector
 from loomgraph.operators import algorithms, engine, ingest, post
 from loomgraph.plans.queries import QUERIES
@@ -56,9 +56,9 @@ def test_hashed_vectors(spark):
 
 def test_communities_find_planted_groups(spark):
     random.seed(3)
-    pairs = [(f"c{g}_{i}", f"c{g}_{j}") for g in range(4) for i in range(6) for j in range(i)]
-    pairs += [(f"c{g}_0", f"c{(g + 1) % 4}_1") for g in range(4)] + [("solo", "solo"), ("c0_1", "c0_0")]
-    got = {r.name: r.community for r in algorithms.communities(spark.createDataFrame(pairs, "src string, tgt string")).collect()}
+    pairs = [(f"c{g}_{i}", f"c{g}_{j}") for g in range(3) for i in range(5) for j in range(i)]
+    pairs += [(f"c{g}_0", f"c{(g + 1) % 3}_1") for g in range(3)] + [("solo", "solo"), ("c0_1", "c0_0")]
+    got = {r.name: r.community for r in algorithms.communities(spark.createDataFrame(pairs, "src string, tgt string"), turns=6, levels=2).collect()}
     assert got == {n: "solo" if n == "solo" else f"{n[:2]}_0" for p in pairs for n in p}
     loops = spark.createDataFrame([("a", "a")], "src string, tgt string")
     assert [tuple(r) for r in algorithms.communities(loops).collect()] == [("a", "a")]
@@ -184,3 +184,13 @@ def test_chunks_are_those_of_the_sequential_fold(spark):
         expected = {(i, k, c) for i, t in [*rows, (91, "  raw text  ")] for k, c in enumerate(fold(t, least, threshold))}
         for scorer in (decision.lexical, plain):
             assert {tuple(r) for r in ingest.chunks(docs, threshold, least, scorer).collect()} == expected
+
+
+def test_texts_of_prompts(spark):
+    asked = spark.createDataFrame([(1, "who?", "a: A | b: B | c: C | d: D"), (2, "who?", ""), (3, None, None)], "id long, question string, context string")
+    load = lambda: lambda prompts: [f"  {len(p)} words follow {'x ' * 9}" for p in prompts]
+    p = generate.prompt(F.col("question"), F.col("context"), "Be short.")
+    rows = asked.select("id", p.alias("p"), generate.generated(F.when(F.col("id") < 3, p), load, 4).alias("said"), generate.extracted(F.col("question"), F.col("context")).alias("e")).orderBy("id").collect()
+    assert [r.p for r in rows] == ["Be short.\nContext: a: A | b: B | c: C | d: D\nQuestion: who?", "Be short.\nQuestion: who?", "Be short."]
+    assert [r.said for r in rows] == [f"{len(rows[0].p)} words follow x", f"{len(rows[1].p)} words follow x", None]
+    assert [r.e for r in rows] == ["a: A | b: B | c: C", "", ""]
