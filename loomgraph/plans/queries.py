@@ -15,7 +15,7 @@ from loomgraph.operators import algorithms, engine, ingest, measure, post, retri
 from loomgraph.sources.business_graph import SQL as GRAPH
 from loomgraph.sources.business_graph import business_graph, read
 from loomgraph.sources.factory import open_store
-from loomgraph.sources.store import EDGE, GraphStore, vector_top_k
+from loomgraph.sources.store import EDGE, vector_top_k
 from loomgraph.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -651,8 +651,11 @@ def _tri(x: str) -> str:
     return f"list_distinct(list_transform(range(1, greatest(length({x}) - 1, 1)), lambda i: substr(lower({x}), i, 3)))"
 
 
-_JAC = f"(len(list_intersect({_tri('context')}, {_tri('instruction')}))::DOUBLE / len(list_distinct(list_concat({_tri('context')}, {_tri('instruction')}))))"
-_AB = f"SELECT id, a, b, round(abs(a - b), 4) AS delta FROM (SELECT item_id AS id, {_score('context', 'instruction')} AS a, round({_JAC} * {_JAC} + 0.5 * (2 * {_JAC} * (1 - {_JAC})), 6) AS b FROM ({_PAIRS}) WHERE context IS NOT NULL)"
+def _jaccard(x: str, y: str) -> str:
+    return f"(len(list_intersect({_tri(x)}, {_tri(y)}))::DOUBLE / len(list_distinct(list_concat({_tri(x)}, {_tri(y)}))))"
+
+
+_AB = f"SELECT id, a, b, round(abs(a - b), 4) AS delta FROM (SELECT item_id AS id, {_score('context', 'instruction')} AS a, round({_of(_jaccard('context', 'instruction'))}, 6) AS b FROM ({_PAIRS}) WHERE context IS NOT NULL)"
 
 
 @query(_AB)
@@ -675,10 +678,6 @@ def ablation_primary(spark, sf_dir):
     return post.primary(post.harness(timed)).select("id", "score", "latency_ms")
 
 
-def _jaccard(x: str, y: str) -> str:
-    return f"(len(list_intersect({_tri(x)}, {_tri(y)}))::DOUBLE / len(list_distinct(list_concat({_tri(x)}, {_tri(y)}))))"
-
-
 _TRIGRAM_CHOICE = _choice_sql(_of(_jaccard("context", _WITH_OPTION)))
 
 
