@@ -17,8 +17,9 @@ from .components import components
 COSINE = 0.98
 #: Leading principal dimensions: in the sort key, and in the boxes of intervals; vectors' coordinates they are made of.
 KEY_DIMS, BOX_DIMS, MOST_COORDINATES = 4, 16, 256
-#: Vectors in an interval that travels, and in one that is compared outright; intervals whose boxes are first seen as one.
-BLOCK, LEAF, SUPER = 1024, 256, 64
+#: Vectors in an interval that travels, and its bytes; vectors in one that is compared outright; intervals whose boxes are
+#: first seen as one.  A label's vectors travel once for each interval they meet, so few large intervals travel least.
+BLOCK, BLOCK_BYTES, LEAF, SUPER = 4096, 4_000_000, 256, 16
 
 _ROWS = "vec_id long, label long, key binary, data binary"
 _ROWS_ARROW = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("key", pa.binary()), ("data", pa.binary())])
@@ -217,7 +218,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_size: int
     one.
 
     Classes are sorted in epsilon grid order (cells as wide as the largest distance of linked unit vectors, on leading
-    principal dimensions), cut into intervals of at most `block_size`, and intervals that hold leaves whose boxes come
+    principal dimensions), cut into intervals of at most `block_size` (fewer if they are over BLOCK_BYTES), and intervals that hold leaves whose boxes come
     near enough travel to each other and are joined recursively.
     """
     spark, width = vectors.sparkSession, _width(vectors)
@@ -260,7 +261,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_size: int
         for b in batches:
             out = []
             for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and (row[2:4] != held[0][2:4] or len(held) >= block_size):
+                if held and (row[2:4] != held[0][2:4] or len(held) >= min(block_size, max(1, BLOCK_BYTES // len(row[4])))):
                     out.append(made())
                     held = []
                 held.append(row)
