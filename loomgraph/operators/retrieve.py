@@ -50,28 +50,35 @@ def f_score(s: Column, pagerank: Column, depth: Column, config: EngineConfig = D
 
 
 Edges = dict[str, list[tuple[str, float, float]]]
-#: What a step of a search may ask for next: (node, path that must be judged or None).
-Want = tuple[str, list[str] | None]
+#: What a step of a search may ask for next: (node whose edges it lacks or None, path that must be judged or None).
+Want = tuple[str | None, list[str] | None]
 
 
 def _best_first(known: Edges, stops: Callable[[list[str]], bool | None], start: str, max_depth: int, max_paths: int, config: EngineConfig, ahead: int) -> tuple[list | None, list[Want], int]:
     """The finished search, or None and what it must know to go on; and how many nodes it has expanded.
 
-    known lacks a node whose edges were not fetched yet; stops says None of a path that was not judged yet."""
+    known lacks a node whose edges were not fetched yet; stops says None of a path that was not judged yet.  A search
+    that lacks something goes on as if no such path ended and no such node had edges, only to see what it may ask next."""
     heap, pushed, visited, out, expanded = [(-1.0, 0, start, 0, [start])], 1, set(), [], 0
-    unknown = lambda e: e[3] < max_depth and e[2] not in visited and (e[2] not in known or e[3] and stops(e[4]) is None)
-    while heap and len(out) < max_paths:
-        if unknown(heap[0]):
-            wanted = [e for e in heapq.nsmallest(ahead, heap) if unknown(e)]
-            return None, [(e[2], e[4] if e[3] else None) for e in wanted], expanded
+    wanted: list[Want] = []
+
+    def lacks(node: str, depth: int, way: list[str]) -> Want | None:
+        lack = (None if node in known else node, way if depth and stops(way) is None else None)
+        return lack if any(lack) else None
+
+    while heap and len(out) < max_paths and len(wanted) < ahead:
         neg, _, node, depth, way = heapq.heappop(heap)
         if depth >= max_depth:
             out.append((way, -neg, depth, False))
             continue
         if node in visited:
             continue
+        if lack := lacks(node, depth, way):
+            wanted.append(lack)
+            if node not in known:
+                continue
         visited.add(node)
-        if depth and len(way) > 1 and stops(way):
+        if depth and stops(way):
             out.append((way, -neg, depth, True))
             continue
         if not known[node]:
@@ -83,7 +90,10 @@ def _best_first(known: Edges, stops: Callable[[list[str]], bool | None], start:
                 f = config.alpha * s + config.beta * min((rank or 0.0) / config.max_pagerank, 1.0) - config.gamma * (depth + 1)
                 heapq.heappush(heap, (-f, pushed, tgt, depth + 1, [*way, tgt]))
                 pushed += 1
-    return out, [], expanded
+    if not wanted:
+        return out, [], expanded
+    later = (lacks(*e[2:]) for e in heapq.nsmallest(ahead - len(wanted), heap) if e[3] < max_depth and e[2] not in visited)
+    return None, wanted + [x for x in later if x], expanded
 
 
 class _All(dict):
@@ -172,9 +182,10 @@ def _searched(store: GraphStore, starts: DataFrame, step: Callable, judge: bool,
     wants = active.select("query_id", "seed", "question", F.col("seed").alias("node"), F.lit(None).cast("string").alias("way"))
     known, done, asked, ahead = None, None, None, AHEAD
     while True:
-        nodes = wants.select("query_id", "question", F.col("node").alias("src")).distinct()
+        lacking = wants.where("node is not null").withColumnRenamed("node", "src")
+        nodes = lacking.select("query_id", "question", "src").distinct()
         edges = scored_edges(store, nodes, scorer).select("query_id", "src", "tgt", "rel_type", "pagerank", "score")
-        here = wants.select("query_id", "seed", F.col("node").alias("src")).distinct().join(edges, ["query_id", "src"], "left")
+        here = lacking.select("query_id", "seed", "src").distinct().join(edges, ["query_id", "src"], "left")
         here = here.select("query_id", "seed", "src", "tgt", "rel_type", "pagerank", "score", F.lit(None).cast("string").alias("way"), F.lit(None).cast("double").alias("p"))
         if judge and asked is not None:
             p = d.noul(d.probabilities(scorer(F.col("question"), F.col("way"))))

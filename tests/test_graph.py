@@ -229,6 +229,14 @@ def _word_share(context, instruction):
     return len(tok(context) & tok(instruction)) / len(tok(instruction)) if tok(instruction) else 0.0
 
 
+def test_a_search_asks_for_what_it_lacks_and_no_more():
+    known = {"A": [("B", 0.9, 0.0), ("C", 0.1, 0.0)], "B": [("D", 0.5, 0.0)]}
+    rows, wanted, _ = retrieve._best_first(known, lambda way: None, "A", 4, 5, retrieve.DEFAULT, 9)
+    assert rows is None and wanted == [(None, ["A", "B"]), ("D", ["A", "B", "D"]), ("C", ["A", "C"])]
+    assert retrieve._best_first(known, lambda way: None, "A", 4, 5, retrieve.DEFAULT, 1)[1] == [(None, ["A", "B"])]
+    assert retrieve._best_first(known, lambda way: len(way) == 2, "A", 4, 1, retrieve.DEFAULT, 9)[0][0][0] == ["A", "B"]
+
+
 @pytest.mark.parametrize("early,scorer", [(None, "lexical"), (0.2, "own")])
 def test_searches_are_the_sequential_ones(spark, early, scorer, monkeypatch):
     """In rounds with few nodes at a time, with the caller's scorer, and with seeds that have no edges."""
