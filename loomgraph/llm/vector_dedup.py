@@ -44,15 +44,16 @@ def _rows(vectors: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             keys, datas = [], []
-            ids, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for vec_id, label, v in zip(ids, labels, b.column(2), strict=True):
+            ids, labels, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            values = np.asarray(lists.values.to_numpy(zero_copy_only=False), np.float64) + 0.0  # a null component is NaN
+            size, kept, edges = np.abs(values), values.astype(width), lists.offsets.to_pylist()
+            for vec_id, label, valid, i, j in zip(ids, labels, lists.is_valid().to_pylist(), edges, edges[1:], strict=False):
                 key = data = None
-                if vec_id is not None and label is not None and v.is_valid and not v.values.null_count and len(v.values):
-                    x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) + 0.0
-                    top = np.abs(x).max()
-                    if np.isfinite(top) and top > 0:
-                        data = x.astype(width).tobytes()
-                        key = xxhash.xxh3_128_digest(f"{label} {len(x)} ".encode() + data)
+                if vec_id is not None and label is not None and valid and j > i:
+                    top = size[i:j].max()
+                    if math.isfinite(top) and top > 0:
+                        data = kept[i:j].tobytes()
+                        key = xxhash.xxh3_128_digest(f"{label} {j - i} ".encode() + data)
                 keys.append(key)
                 datas.append(data)
             yield batch(_ROWS_ARROW, ids, labels, keys, datas)
@@ -239,7 +240,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_size: int
     def place(batches):
         for b in batches:
             data = b.column(3).to_pylist()
-            p = np.array([_project(_units(x, 1, width), basis.value)[0, :KEY_DIMS] for x in data]).reshape(-1, KEY_DIMS)
+            p = np.zeros((len(data), KEY_DIMS))
+            for i in range(0, len(data), leaf):
+                by_length: dict[int, list[int]] = {}
+                for k, x in enumerate(data[i : i + leaf], i):
+                    by_length.setdefault(len(x), []).append(k)
+                for own in by_length.values():
+                    p[own] = _project(_units(b"".join(data[k] for k in own), len(own), width), basis.value)[:, :KEY_DIMS]
             yield batch(kind_arrow, b.column(0), b.column(1), b.column(2), [len(x) // size for x in data], b.column(3), *np.floor(p / reach).astype(np.int64).T)
 
     def block(batches):
