@@ -294,7 +294,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_size: int
                 j.join(0, len(ua), 0, len(ub))
                 ids, links = (ra, j.links_a) if same else (np.concatenate([ra, rb]), np.concatenate([j.links_a, j.links_b]))
                 if len(at := np.flatnonzero(links)):
-                    yield batch(_FOUND_ARROW, ids[at], links[at], [int(ids[j.root(int(k))]) for k in at])
+                    # Each linked vector hangs on the smallest id it reaches here, so what lies in one pair is a star already.
+                    roots, least = [j.root(int(k)) for k in at], np.full(len(ids), np.iinfo(np.int64).max)
+                    np.minimum.at(least, roots, ids[at])
+                    yield batch(_FOUND_ARROW, ids[at], links[at], least[roots])
 
     found, p4 = cut(two.select("block", "other", "n", "reps", "sizes", "data", "n2", "reps2", "sizes2", "data2").mapInArrow(compare, _FOUND), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
