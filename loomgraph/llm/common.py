@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.tables import cut, drop
 
-__all__ = ["ascii_lower", "batch", "cut", "drop", "fold", "held_out", "narrowed", "opened", "table", "utf8", "wrapped"]
+__all__ = ["ascii_lower", "batch", "cut", "drop", "floored", "fold", "held_out", "narrowed", "opened", "table", "utf8", "wrapped"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -38,6 +39,19 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if column.type != pa.large_string() else pa.large_binary()).to_pylist()
 
 
+def floored(lists: pa.Array, scale: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """floor(scale * component), in double precision, of a column of vectors: all components in line, where each row
+    begins and ends among them, and which rows count: neither null nor empty, no component null, not finite, or of `most`
+    and more."""
+    values = np.asarray(lists.values.to_numpy(zero_copy_only=False), np.float64)  # a null component is NaN
+    with np.errstate(invalid="ignore", over="ignore"):
+        whole = np.floor(values * scale)
+        good = np.abs(whole) < most
+    edges, bad = lists.offsets.to_numpy(), np.concatenate([[0], np.cumsum(~good)])
+    counts = np.array(lists.is_valid().to_pylist(), bool) & (edges[1:] > edges[:-1]) & (bad[edges[1:]] == bad[edges[:-1]])
+    return np.where(good, whole, 0).astype(np.int64), edges, counts
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

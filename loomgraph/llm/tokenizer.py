@@ -84,3 +84,52 @@ class Pieces(dict):
 def pieces(path: str, most: int = 200_000) -> Pieces:
     """One per worker process."""
     return Pieces(path, most)
+
+
+# Fixed value: the published split pattern of the word tokenizer, white space left out.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^{W}{LN}]+"
+_LOW_LETTERS = "a-zß-öø-ÿ"
+_FAST_WORDS = re.compile(WORDS.replace("{W}", WHITE).replace("{LN}", _LOW_LETTERS + "0-9").replace("{L}", f"[{_LOW_LETTERS}]").replace("{N}", "[0-9]"))
+_FULL_WORDS = regex.compile(WORDS.replace("{W}", WHITE).replace("{LN}", r"\p{L}\p{N}").replace("{L}", r"\p{L}").replace("{N}", r"\p{N}"))
+
+
+class WordPieces(dict):
+    """Word -> its ids, for a tokenizer file whose texts are normalised, lower-cased and cut into words, with white
+    space dropped; ids as little-endian bytes of 16 bits, or 32 where the vocabulary needs them.  The library's own
+    normaliser reads texts beyond Latin letters, and its own model each word, once; `most` words are held."""
+
+    def __init__(self, path: str, most: int = 200_000):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.size = max([*spec["model"]["vocab"].values(), *self.special.values()]) + 1
+        self.kind, self.most = np.dtype("<u2" if self.size <= 1 << 16 else "<u4"), most
+        self._normal = Tokenizer.from_file(path).normalizer
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self._word = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": level}))
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self._word.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self) < self.most and len(word) <= 64:
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """All ids of a text, special strings read as their ids."""
+        if self._cut is None or not any(s in text for s in self.special):
+            return self._part(text)
+        return b"".join(np.array([self.special[x]], self.kind).tobytes() if x in self.special else self._part(x) for x in self._cut.split(text))
+
+    def _part(self, text: str) -> bytes:
+        words = _FULL_WORDS.findall(self._normal.normalize_str(text)) if _OTHER.search(text) else _FAST_WORDS.findall(text.lower())
+        return b"".join(map(self.__getitem__, words))
+
+
+@lru_cache(maxsize=2)
+def word_pieces(path: str, most: int = 200_000) -> WordPieces:
+    """One per worker process."""
+    return WordPieces(path, most)
