@@ -20,9 +20,12 @@ from .tokenizer import word_pieces
 END = 1
 #: Ids after which a shard ends, with the document that brings it there.
 SHARD = 1 << 20
+#: Texts that are read together.
+TEXTS = 2048
 #: A rule is used so often at least; a round takes the pairs that are no rarer than the commonest by this factor; rounds
-#: end when one shortens a shard by less than this share.  They decide how small a shard gets, never what it holds.
-LEAST_USES, WITHIN, LEAST_GAIN = 4, 8, 0.004
+#: end when one shortens a shard by less than this share; places of the table that pairs are looked up in.  They decide
+#: how small a shard gets, never what it holds.
+LEAST_USES, WITHIN, LEAST_GAIN, TABLE_BITS = 4, 128, 0.01, 18
 
 # A row is one shard.  part, shard: its place; before: ids of the part's earlier shards; first_id, last_id: what its
 # documents lie between; terminals: ids below this stand for themselves, the others for a rule; the lists are
@@ -36,37 +39,41 @@ _DOCS = "doc_id long, part long, at long, n_tokens long, ids_crc32 long"
 _DOCS_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in _DOCS.split(", ")])
 
 
-def repair(ids: np.ndarray, last: np.ndarray, terminals: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (pairs of symbols), the symbols left, and which of them ends a document.
+def repair(ids: np.ndarray, last: np.ndarray, terminals: int, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (pairs of symbols), the ids that each expands to in number, the symbols left, and which of them ends a
+    document.
 
     Again and again the frequent pairs of neighbours become nonterminals, numbered from `terminals` on, at most `room` of
     them.  A round takes all pairs about as frequent as the commonest one.  Of places that overlap every second one counts,
     from the left.  A pair never reaches over the end of a document.
     """
-    s, rules = ids.astype(np.uint64), []
-    shift = np.uint64(32)
+    small = terminals + room <= 1 << 16
+    kind, bits = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
+    s, rules, lengths = ids.astype(kind), [], np.ones(terminals, np.int64)
     while len(s) > 1 and len(rules) < room:
-        keys = (s[:-1] << shift) | s[1:]
+        keys = (s[:-1] << bits) | s[1:]
         inside = ~last[:-1]
-        ordered = np.sort(keys[inside])
+        # No pair is more frequent than all pairs of its hash together, so only those of frequent hashes are sorted.
+        place = _hashed(keys)
+        crowd = np.bincount(place[inside], minlength=1 << TABLE_BITS)
+        limit = max(LEAST_USES, int(crowd.max()) // WITHIN)
+        ordered = np.sort(keys[inside & (crowd >= limit)[place]])
         if not len(ordered):
             break
         edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         n, pairs = np.diff(edges), ordered[edges[:-1]]
-        chosen = np.flatnonzero(n >= max(LEAST_USES, int(n.max()) // WITHIN))
-        if len(chosen) > room - len(rules):
-            chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[: room - len(rules)]])
-        pairs = pairs[chosen]
-        if not len(pairs):
+        chosen = np.flatnonzero(n >= limit)
+        if not len(chosen):
             break
-        a, b = (pairs >> shift).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        size = terminals + len(rules)
-        begins, ends = np.zeros(size, bool), np.zeros(size, bool)
-        begins[a], ends[b] = True, True
-        may = np.flatnonzero(inside & begins[s[:-1]] & ends[s[1:]])
-        rule = np.searchsorted(pairs, keys[may])
-        hit = pairs[np.minimum(rule, len(pairs) - 1)] == keys[may]
-        at, rule = may[hit], rule[hit]
+        chosen = chosen[np.argsort(-n[chosen], kind="stable")][: room - len(rules)]
+        pairs = pairs[chosen]
+        # A pair is looked up by a hash; of pairs with one hash the most frequent has it, the others wait for a later round.
+        of = np.full(1 << TABLE_BITS, -1, np.int32)
+        of[_hashed(pairs[::-1])] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        rule = of[place]
+        hit = (pairs[rule] == keys) & (rule >= 0) & inside
+        at = np.flatnonzero(hit)
+        rule = rule[at]
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])  # the first of places in a row
         begin = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         even = (np.arange(len(at)) - begin) % 2 == 0
@@ -76,35 +83,47 @@ def repair(ids: np.ndarray, last: np.ndarray, terminals: int, room: int) -> tupl
         at, number = at[kept], (np.cumsum(used) - 1)[rule[kept]]
         if not len(at):
             break
-        gain = len(at) / len(s)
-        s[at], last[at] = (number + size).astype(np.uint64), last[at + 1]
+        gain, first = len(at) / len(s), terminals + len(rules)
+        s[at], last[at] = (number + first).astype(kind), last[at + 1]
         stays = np.ones(len(s), bool)
         stays[at + 1] = False
         s, last = s[stays], last[stays]
-        rules += np.stack([a[used], b[used]], axis=1).tolist()
+        new = pairs[used].astype(np.uint64)
+        new = np.stack([new >> np.uint64(bits), new & np.uint64((1 << int(bits)) - 1)], axis=1).astype(np.int64)
+        lengths = np.concatenate([lengths, lengths[new].sum(axis=1)])
+        rules += new.tolist()
         if gain < LEAST_GAIN:
             break
-    return np.array(rules, np.uint32).reshape(-1, 2), s.astype(np.uint32), last
+    return np.array(rules, np.uint32).reshape(-1, 2), lengths[terminals:], s.astype(np.uint32), last
+
 
+def _hashed(keys: np.ndarray) -> np.ndarray:
+    """TABLE_BITS bits by multiplication with a fixed odd number."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(2654435769)) >> np.uint32(32 - TABLE_BITS)
+    return (keys * np.uint64(11400714819323198485)) >> np.uint64(64 - TABLE_BITS)
 
-def expanded(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids that symbols stand for; each round opens one level of rules."""
-    s = symbols.astype(np.int64)
-    while (inner := s >= terminals).any():
-        n = 1 + inner
-        at = (np.cumsum(n) - n)[inner]
-        pair = rules[s[inner] - terminals]
-        s = np.repeat(s, n)
-        s[at], s[at + 1] = pair[:, 0], pair[:, 1]
-    return s
 
+class Opened:
+    """What each symbol stands for, the ids of all of them in line."""
 
-def _lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
-    """Ids that each rule expands to; a rule only names earlier ones."""
-    out = np.ones(terminals + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist(), terminals):
-        out[k] = out[a] + out[b]
-    return out[terminals:]
+    def __init__(self, rules: np.ndarray, lengths: np.ndarray, terminals: int):
+        s = np.arange(terminals, terminals + len(rules))
+        while (inner := s >= terminals).any():  # one level of rules after the other
+            n = 1 + inner
+            at, pair = (np.cumsum(n) - n)[inner], rules[s[inner] - terminals]
+            s = np.repeat(s, n)
+            s[at], s[at + 1] = pair[:, 0], pair[:, 1]
+        self.flat = np.concatenate([np.arange(terminals), s]).astype(np.uint32)
+        self.sizes = np.concatenate([np.ones(terminals, np.int32), lengths.astype(np.int32)])
+        self.starts = np.concatenate([np.arange(terminals), terminals + np.cumsum(lengths) - lengths])
+
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[symbols]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[symbols] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at]
 
 
 class Shard:
@@ -118,20 +137,27 @@ class Shard:
         self.symbol_starts, self.id_starts = np.frombuffer(row["symbol_starts"], "<u4").astype(np.int64), np.frombuffer(row["id_starts"], "<u8").astype(np.int64)
 
     def ids(self) -> np.ndarray:
-        return expanded(self.symbols, self.rules, self.terminals)
+        return Opened(self.rules, self.lengths, self.terminals).ids(self.symbols)
 
     def slice(self, doc: int, start: int, length: int) -> np.ndarray:
-        """Ids start to start + length of one document; only the symbols that hold them are opened."""
+        """Ids start to start + length of one document; of its symbols only those that hold them are opened."""
         own = self.symbols[self.symbol_starts[doc] : self.symbol_starts[doc + 1]].astype(np.int64)
-        sizes = np.ones(len(own), np.int64)
-        inner = own >= self.terminals
+        sizes, inner = np.ones(len(own), np.int64), own >= self.terminals
         sizes[inner] = self.lengths[own[inner] - self.terminals]
         ends = np.cumsum(sizes)
         i, j = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + length, side="left") + 1
         if length <= 0 or i >= len(own):
-            return np.empty(0, np.int64)
-        skip = start - (ends[i] - sizes[i])
-        return expanded(own[i:j], self.rules, self.terminals)[skip : skip + length]
+            return np.empty(0, np.uint32)
+        out, waiting = [], own[i:j][::-1].tolist()
+        while waiting:
+            x = waiting.pop()
+            if x < self.terminals:
+                out.append(x)
+            else:
+                a, b = self.rules[x - self.terminals].tolist()
+                waiting += [b, a]
+        skip = int(start - (ends[i] - sizes[i]))
+        return np.array(out[skip : skip + length], np.uint32)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard: int = SHARD) -> None:
@@ -151,38 +177,39 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard:
 
     def run(batches):
         own, part = word_pieces(tokenizer), TaskContext.get().partitionId()
-        tail, size = np.array([end], own.kind).tobytes(), own.kind.itemsize
-        held: list[tuple[int | None, bytes]] = []
-        bytes_held = number = before = 0
+        tail, held, known = np.array([end], own.kind), [], 0
+        number = before = 0
 
         def made():
             nonlocal number, before
-            ids = np.frombuffer(b"".join(x[1] for x in held), own.kind)
-            sizes = np.array([len(x[1]) // size for x in held], np.int64)
+            ids = np.concatenate([y for x in held for y in (x[1], tail)])
+            sizes = np.array([len(x[1]) + 1 for x in held], np.int64)
             last = np.zeros(len(ids), bool)
             last[np.cumsum(sizes) - 1] = True
             terminals = max(own.size, end + 1)
             # A vocabulary of 16 bits leaves the rest of them to rules, and symbols stay as short.
             room = (1 << 16) - terminals if terminals < 1 << 16 else 1 << 16
-            rules, symbols, last = repair(ids, last, terminals, room)
+            rules, lengths, symbols, last = repair(ids, last, terminals, room)
             kind = "<u2" if terminals + len(rules) <= 1 << 16 else "<u4"
-            known = [x[0] for x in held if x[0] is not None]
+            doc_ids = [x[0] for x in held if x[0] is not None]
             starts = np.concatenate([[0], np.flatnonzero(last) + 1]).astype("<u4").tobytes()
             row = (
-                part, number, before, len(ids), len(held), len(held) - len(known), known[0] if known else None, known[-1] if known else None, terminals, int(kind[2]),
-                rules.astype(kind).tobytes(), _lengths(rules, terminals).astype("<u4").tobytes(), symbols.astype(kind).tobytes(),
+                part, number, before, len(ids), len(held), len(held) - len(doc_ids), doc_ids[0] if doc_ids else None, doc_ids[-1] if doc_ids else None, terminals, int(kind[2]),
+                rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(kind).tobytes(),
                 np.array([0 if x[0] is None else x[0] for x in held], "<i8").tobytes(), starts, np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes(),
             )
             number, before = number + 1, before + len(ids)
             return batch(_SHARD_ARROW, *zip(row, strict=True))
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.append((doc_id, own.ids(text or "") + tail))
-                bytes_held += len(held[-1][1])
-                if bytes_held >= shard * size:
-                    yield made()
-                    held, bytes_held = [], 0
+            for k in range(0, b.num_rows, TEXTS):
+                doc_ids, texts = (c.slice(k, TEXTS).to_pylist() for c in b.columns)
+                for doc_id, ids in zip(doc_ids, own.many([t or "" for t in texts]), strict=True):
+                    held.append((doc_id, ids))
+                    known += len(ids) + 1
+                    if known >= shard:
+                        yield made()
+                        held, known = [], 0
         if held:
             yield made()
 

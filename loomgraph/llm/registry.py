@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, packing, quality, simhash, token_counts, toxicity, url_filter, vector_dedup
+from . import decontaminate, hard_negatives, id_files, language, line_dedup, packing, quality, simhash, token_counts, toxicity, url_filter, vector_codes, vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_id_files": id_files.op13_id_files,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": url_filter.ORACLE,
         "op3_vector_dedup": vector_dedup.ORACLE,
         "op10_decontaminate": decontaminate.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
     }

@@ -11,6 +11,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 
@@ -91,14 +93,21 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^{W}{LN}]+"
 _LOW_LETTERS = "a-zß-öø-ÿ"
 _FAST_WORDS = re.compile(WORDS.replace("{W}", WHITE).replace("{LN}", _LOW_LETTERS + "0-9").replace("{L}", f"[{_LOW_LETTERS}]").replace("{N}", "[0-9]"))
 _FULL_WORDS = regex.compile(WORDS.replace("{W}", WHITE).replace("{LN}", r"\p{L}\p{N}").replace("{L}", r"\p{L}").replace("{N}", r"\p{N}"))
+#: Beyond these characters Python's white space or lower case may differ from the library's.
+_OTHER_WORDS = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]")
+#: Characters of plain texts whose runs are told apart together.
+PLAIN_CHARACTERS = 8_000_000
 
 
 class WordPieces(dict):
     """Word -> its ids, for a tokenizer file whose texts are normalised, lower-cased and cut into words, with white
-    space dropped; ids as little-endian bytes of 16 bits, or 32 where the vocabulary needs them.  The library's own
-    normaliser reads texts beyond Latin letters, and its own model each word, once; `most` words are held."""
+    space dropped; ids as little-endian bytes of 16 bits, or 32 where the vocabulary needs them.
 
-    def __init__(self, path: str, most: int = 200_000):
+    No word holds white space, so the ids of a text are those of the runs between it, and `runs` holds those of runs
+    already seen.  The library's own normaliser reads texts beyond Latin letters, and its own model each new word.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -107,13 +116,15 @@ class WordPieces(dict):
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.size = max([*spec["model"]["vocab"].values(), *self.special.values()]) + 1
         self.kind, self.most = np.dtype("<u2" if self.size <= 1 << 16 else "<u4"), most
-        self._normal = Tokenizer.from_file(path).normalizer
-        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self._word = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": level}))
+        library = Tokenizer.from_file(path)
+        self._normal, self._model = library.normalizer, library.model
+        self._stand_in = {b: c for c, b in _byte_characters().items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.runs = _Runs(self)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self._word.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        level = "".join(map(self._stand_in.__getitem__, word.encode("utf-8")))
+        ids = np.array([t.id for t in self._model.tokenize(level)], self.kind).tobytes()
         if len(self) < self.most and len(word) <= 64:
             self[word] = ids
         return ids
@@ -125,11 +136,59 @@ class WordPieces(dict):
         return b"".join(np.array([self.special[x]], self.kind).tobytes() if x in self.special else self._part(x) for x in self._cut.split(text))
 
     def _part(self, text: str) -> bytes:
-        words = _FULL_WORDS.findall(self._normal.normalize_str(text)) if _OTHER.search(text) else _FAST_WORDS.findall(text.lower())
-        return b"".join(map(self.__getitem__, words))
+        if _OTHER_WORDS.search(text):
+            return b"".join(map(self.__getitem__, _FULL_WORDS.findall(self._normal.normalize_str(text))))
+        return b"".join(map(self.runs.__getitem__, text.lower().split()))
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """ids() of each text.  The runs of the plain ones are found and told apart by Arrow, so a run is looked up once
+        however often it occurs in them, and put in place by index."""
+        out: list = [None] * len(texts)
+        plain, held = [], 0
+        for i, t in enumerate(texts):
+            if _OTHER_WORDS.search(t) or any(s in t for s in self.special):
+                out[i] = np.frombuffer(self.ids(t), self.kind)
+                continue
+            plain.append(i)
+            held += len(t)
+            if held > PLAIN_CHARACTERS:
+                self._put(out, plain, texts)
+                plain, held = [], 0
+        if plain:
+            self._put(out, plain, texts)
+        return out
+
+    def _put(self, out: list, plain: list[int], texts: list[str]) -> None:
+        lists = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        runs = lists.values.dictionary_encode()
+        known = [self.runs[r] if r else b"" for r in runs.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(known), self.kind)
+        sizes = np.array([len(x) for x in known], np.int64) // self.kind.itemsize
+        starts, at = np.cumsum(sizes) - sizes, runs.indices.to_numpy()
+        n = sizes[at] if len(at) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(starts[at] - ends[:-1], n) if len(at) else np.zeros(0, np.int64)
+        places += np.arange(len(places))
+        ids, edges = flat[places], ends[lists.offsets.to_numpy()]
+        for i, a, b in zip(plain, edges.tolist(), edges[1:].tolist(), strict=False):
+            out[i] = ids[a:b]
+
+
+class _Runs(dict):
+    """Run of characters without white space, lower case -> the ids of its words."""
+
+    def __init__(self, words: WordPieces):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, run: str) -> bytes:
+        ids = b"".join(map(self.words.__getitem__, _FAST_WORDS.findall(run)))
+        if len(self) < self.words.most and len(run) <= 64:
+            self[run] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
-def word_pieces(path: str, most: int = 200_000) -> WordPieces:
+def word_pieces(path: str, most: int = 500_000) -> WordPieces:
     """One per worker process."""
     return WordPieces(path, most)
