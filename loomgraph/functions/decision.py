@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.config import DEFAULT
+from loomgraph.tables import written
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -239,8 +240,9 @@ class Cloud:
         self.key, self.transport = key, transport
 
     def ask(self, asked: DataFrame) -> DataFrame:
-        """asked(id, state, questions: array of (name, kind, first)) with body and latency_ms, one request a row; a
-        request that fails has a null body, which decodes as the fallback."""
+        """asked(id, state, questions: array of (name, kind, first)) with body and latency_ms; a request that fails has a
+        null body, which decodes as the fallback.  Rows are told apart by their request, not by their id: equal requests
+        are sent once, and each row, repeated ids too, has its answer."""
         import time
 
         import pandas as pd
@@ -258,10 +260,14 @@ class Cloud:
                         body = None
                     bodies.append(body)
                     took.append(round(1000 * (time.perf_counter() - began), 2))
-                yield pd.DataFrame({"id": f["id"], "body": bodies, "latency_ms": took})
-
-        answered = asked.select("id", "state", "questions").mapInPandas(run, "id long, body string, latency_ms double")
-        return asked.select("id", "questions").join(answered, "id")
+                yield pd.DataFrame({"request": f["request"], "body": bodies, "latency_ms": took})
+
+        request = F.sha2(F.to_json(F.struct("state", "questions"), {"ignoreNullFields": "false"}), 256)
+        keyed = asked.select("id", "questions", "state", request.alias("request"))
+        distinct = keyed.groupBy("request").agg(F.first("state").alias("state"), F.first("questions").alias("questions"))
+        # Written, so that no answer is asked for again when what follows is computed twice.
+        answered = written(distinct.mapInPandas(run, "request string, body string, latency_ms double"))
+        return keyed.select("id", "questions", "request").join(answered, "request").drop("request")
 
 
 def ranked(df: DataFrame, partition: Sequence[str], *order: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import decision as d
-from loomgraph.sources.store import EDGE, GraphStore, finite
+from loomgraph.functions.text import WHITE, strip
+from loomgraph.sources.store import EDGE, GraphStore
+from loomgraph.sources.vectors import finite
 from loomgraph.tables import written
 
 # The keys of the relation ontology, in the order that settles ties; the last is the fallback.
@@ -29,8 +33,8 @@ ONTOLOGY = [(k, describe(k)) for k in ONTOLOGY_KEYS]
 
 
 def sentences(text: Column) -> Column:
-    """Cut after . ! ? and white space; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Cut after . ! ? and white space; stripped, without empty ones."""
+    return F.filter(F.transform(F.split(text, rf"(?<=[.!?]){WHITE}+"), strip), lambda s: s != "")
 
 
 def chunks(docs: DataFrame, threshold: float = 0.85, least: int = 2, scorer: d.Scorer = d.lexical) -> DataFrame:
@@ -58,12 +62,22 @@ def chunks(docs: DataFrame, threshold: float = 0.85, least: int = 2, scorer: d.S
 
 
 def parse_names(raw: Column) -> Column:
-    """The names in a model's answer: the strings of a JSON list; nothing of other JSON; else the parts between commas,
-    quotes kept."""
-    is_json = F.try_parse_json(raw).isNotNull()
-    listed = F.transform(F.filter(F.from_json(raw, "array<string>"), lambda x: x.isNotNull() & ~x.isin("", "0", "false")), lambda x: F.trim(x))
-    parts = F.filter(F.transform(F.split(F.btrim(raw, F.lit("[]")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(is_json, F.coalesce(listed, F.array().cast("array<string>"))).otherwise(parts)
+    """The names in a model's answer: what a JSON list holds, as text, but for values that count as false (null, false, 0,
+    empty ones); nothing of other JSON; else the parts between commas, quotes kept.  Null for no answer."""
+
+    @F.pandas_udf("array<string>")
+    def parse(answers: pd.Series) -> pd.Series:
+        return answers.map(_names, na_action="ignore")
+
+    return parse(raw)
+
+
+def _names(answer: str) -> list[str]:
+    try:
+        found = json.loads(answer)
+    except ValueError:
+        return [x.strip() for x in answer.strip("[]").split(",") if x.strip()]
+    return [str(x).strip() for x in found if x] if isinstance(found, list) else []
 
 
 def capitalised(text: Column) -> Column:

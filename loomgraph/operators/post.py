@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import DEFAULT
 from loomgraph.functions import decision as d
+from loomgraph.functions.text import strip
 
 
 def paths_to_nodes(paths: DataFrame, decay: float = 0.9) -> DataFrame:
-    """query_id, ord, name, text, score: each name at its first place; a path's score falls by hop."""
-    each = paths.select("query_id", "seed", "path_ord", F.col("score").alias("s"), F.posexplode("path").alias("pos", "name"))
-    first = d.ranked(each, ["query_id", "name"], F.col("seed"), F.col("path_ord"), F.col("pos")).where("rank = 1")
-    order = Window.partitionBy("query_id").orderBy("seed", "path_ord", "pos")
+    """query_id, ord, name, text, score: each name at its first place; a path's score falls by hop.
+
+    A question's seeds come in the order that they were selected in, seed_ord, where the paths have it, else by name."""
+    at = ["seed_ord", "seed", "path_ord", "pos"] if "seed_ord" in paths.columns else ["seed", "path_ord", "pos"]
+    each = paths.select("query_id", *at[:-1], F.col("score").alias("s"), F.posexplode("path").alias("pos", "name"))
+    first = d.ranked(each, ["query_id", "name"], *[F.col(c) for c in at]).where("rank = 1")
+    order = Window.partitionBy("query_id").orderBy(*at)
     return first.select("query_id", (F.row_number().over(order) - 1).alias("ord"), "name", F.col("name").alias("text"), F.round(F.col("s") * F.pow(F.lit(decay), F.col("pos")), 6).alias("score"))
 
 
@@ -33,9 +37,11 @@ def rerank(nodes: DataFrame, question: Column, drop: float = 0.2, scorer: d.Scor
 
 
 def conflicts(nodes: DataFrame) -> DataFrame:
-    """Per query and name with several nodes: the first two texts."""
-    two = d.ranked(nodes, ["query_id", "name"], F.col("ord")).where("rank <= 2")
-    return two.groupBy("query_id", "name").agg(F.min_by("text", "ord").alias("a"), F.max_by("text", "ord").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+    """Per query and name with several nodes: the texts of the first two by ord (or rank), of equal ones by text."""
+    order = "ord" if "ord" in nodes.columns else "rank"
+    two = d.ranked(nodes.select("query_id", "name", "text", F.col(order).alias("_at")), ["query_id", "name"], F.col("_at"), F.col("text")).where("rank <= 2")
+    text = lambda n: F.max(F.when(F.col("rank") == n, F.col("text")))
+    return two.groupBy("query_id", "name").agg(text(1).alias("a"), text(2).alias("b"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
 #: Characters read of a text: by the gate and as an option, by the check of citations, and beside an option.
@@ -58,6 +64,17 @@ def resolve(pairs: DataFrame, question: Column, scorer: d.Scorer = d.lexical) ->
     return conflict_log(pairs, question, scorer).select("query_id", "name", "winner")
 
 
+def settled(nodes: DataFrame, asked: DataFrame, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """Ranked nodes(query_id, rank, name, text, score) of asked(query_id, question) with one node for each name: of names
+    that have several the node with the winning text comes after all others."""
+    pairs = conflicts(nodes)
+    won = conflict_log(pairs.join(asked.select("query_id", "question"), "query_id"), F.col("question"), scorer).select("query_id", "name", "winner")
+    same = nodes.join(won, ["query_id", "name"]).where(F.col("text").eqNullSafe(F.col("winner"))).drop("winner")
+    winners = d.ranked(same.withColumnRenamed("rank", "_at"), ["query_id", "name"], F.col("_at")).where("rank = 1").drop("rank").withColumn("_late", F.lit(1))
+    others = nodes.join(won, ["query_id", "name"], "left_anti").withColumnRenamed("rank", "_at").withColumn("_late", F.lit(0))
+    return d.ranked(others.unionByName(winners), ["query_id"], F.col("_late"), F.col("_at")).select("query_id", F.col("rank").cast("int").alias("rank"), "name", "text", "score")
+
+
 NOTHING = "(none found)"
 
 
@@ -79,7 +96,7 @@ def context(nodes: DataFrame, width: int = WIDTH, separator: str = " | ") -> Dat
 def check(contexts: DataFrame, claim: Column, threshold: float, scorer: d.Scorer = d.lexical) -> DataFrame:
     """p, passed: whether the context supports the claim; an empty claim or context never passes."""
     p = F.round(d.noul(d.probabilities(scorer(F.col("context"), claim))), 6)
-    empty = (F.trim(F.coalesce(claim, F.lit(""))) == "") | (F.coalesce(F.col("context"), F.lit("")) == "")
+    empty = (strip(F.coalesce(claim, F.lit(""))) == "") | (F.coalesce(F.col("context"), F.lit("")) == "")
     return contexts.withColumn("p", F.when(empty, F.lit(0.0)).otherwise(p)).withColumn("passed", ~empty & (F.col("p") >= threshold))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import pickle
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -34,15 +36,15 @@ def seeds(candidates: DataFrame, keep: int = 2, scorer: d.Scorer = d.lexical) ->
 
 def scored_edges(store: GraphStore, frontier: DataFrame, scorer: d.Scorer = d.lexical) -> DataFrame:
     """Outgoing edges of frontier(query_id, question, src) with their score."""
-    ranks = store.nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
-    near = frontier.join(store.edges.select("src", "tgt", "rel_type"), "src").join(ranks, "tgt")
+    near = store.edges_of(frontier.select("query_id", "question", "src"))
     s = F.round(d.score(d.probabilities(scorer(F.col("question"), edge_text(F.col("src"), F.col("rel_type"), F.col("tgt"))))), 6)
     return near.select("query_id", "question", "src", "tgt", "rel_type", "pagerank", s.alias("score"))
 
 
 def bfs(store: GraphStore, frontier: DataFrame, keep: float = 0.6, scorer: d.Scorer = d.lexical) -> DataFrame:
-    """One hop: edges with a score of at least `keep`."""
-    return scored_edges(store, frontier, scorer).where(F.col("score") >= keep).drop("question")
+    """One hop: edges with a score of at least `keep`; edge_ord is their order for each question, the best first."""
+    kept = scored_edges(store, frontier, scorer).where(F.col("score") >= keep).drop("question")
+    return d.ranked(kept, ["query_id"], F.desc("score"), F.col("src"), F.col("tgt"), F.col("rel_type")).withColumnRenamed("rank", "edge_ord")
 
 
 def f_score(s: Column, pagerank: Column, depth: Column, config: EngineConfig = DEFAULT) -> Column:
@@ -54,46 +56,79 @@ Edges = dict[str, list[tuple[str, float, float]]]
 Want = tuple[str | None, list[str] | None]
 
 
-def _best_first(known: Edges, stops: Callable[[list[str]], bool | None], start: str, max_depth: int, max_paths: int, config: EngineConfig, ahead: int) -> tuple[list | None, list[Want], int]:
-    """The finished search, or None and what it must know to go on; and how many nodes it has expanded.
+class BestFirst:
+    """A best-first search that can be put aside whenever it lacks something, and taken up again.
 
-    known lacks a node whose edges were not fetched yet; stops says None of a path that was not judged yet.  A search
-    that lacks something goes on as if no such path ended and no such node had edges, only to see what it may ask next."""
-    heap, pushed, visited, out, expanded = [(-1.0, 0, start, 0, [start])], 1, set(), [], 0
-    wanted: list[Want] = []
+    known: edges of fetched nodes that are not expanded yet; judged: whether a path ends, of those that were asked for.
+    Both only hold what the search still needs, so its state grows with the frontier, not with what it has seen.
+    """
 
-    def lacks(node: str, depth: int, way: list[str]) -> Want | None:
-        lack = (None if node in known else node, way if depth and stops(way) is None else None)
+    def __init__(self, start: str, max_depth: int, max_paths: int, config: EngineConfig, judges: bool):
+        self.max_depth, self.max_paths, self.config, self.judges = max_depth, max_paths, config, judges
+        self.heap, self.pushed = [(-1.0, 0, start, 0, (start,))], 1
+        self.visited: set[str] = set()
+        self.out: list[tuple] = []
+        self.expanded = 0
+        self.known: Edges = {}
+        self.judged: dict[tuple, bool] = {}
+
+    def learn(self, edges: Edges, judged: dict[tuple, bool]) -> None:
+        self.known.update((n, e) for n, e in edges.items() if n not in self.visited)
+        self.judged.update(judged)
+
+    def lacks(self, node: str, depth: int, way: tuple) -> Want | None:
+        lack = (None if node in self.known else node, list(way) if depth and self.judges and way not in self.judged else None)
         return lack if any(lack) else None
 
-    while heap and len(out) < max_paths and len(wanted) < ahead:
-        neg, _, node, depth, way = heapq.heappop(heap)
-        if depth >= max_depth:
-            out.append((way, -neg, depth, False))
-            continue
-        if node in visited:
-            continue
-        if lack := lacks(node, depth, way):
-            wanted.append(lack)
-            if node not in known:
-                continue
-        visited.add(node)
-        if depth and stops(way):
-            out.append((way, -neg, depth, True))
-            continue
-        if not known[node]:
-            out.append((way, -neg, depth, False))
-            continue
-        expanded += 1
-        for tgt, s, rank in known[node]:
-            if tgt not in visited:
-                f = config.alpha * s + config.beta * min((rank or 0.0) / config.max_pagerank, 1.0) - config.gamma * (depth + 1)
-                heapq.heappush(heap, (-f, pushed, tgt, depth + 1, [*way, tgt]))
-                pushed += 1
-    if not wanted:
-        return out, [], expanded
-    later = (lacks(*e[2:]) for e in heapq.nsmallest(ahead - len(wanted), heap) if e[3] < max_depth and e[2] not in visited)
-    return None, wanted + [x for x in later if x], expanded
+    def _step(self, guess: bool = False) -> None:
+        """Take the first path off the frontier.  A guess takes it as if an unjudged path went on and an unfetched node
+        added nothing, to see what would come next."""
+        neg, _, node, depth, way = heapq.heappop(self.heap)
+        if depth >= self.max_depth:
+            self.out.append((list(way), -neg, depth, False))
+            return
+        if node in self.visited or guess and node not in self.known:
+            return
+        self.visited.add(node)
+        if depth and self.judges and self.judged.pop(way, False):
+            self.out.append((list(way), -neg, depth, True))
+            self.known.pop(node, None)
+            return
+        near = self.known.pop(node) if not guess else self.known[node]
+        if not near:
+            self.out.append((list(way), -neg, depth, False))
+            return
+        self.expanded += 1
+        for tgt, s, rank in near:
+            if tgt not in self.visited:
+                f = self.config.alpha * s + self.config.beta * min((rank or 0.0) / self.config.max_pagerank, 1.0) - self.config.gamma * (depth + 1)
+                heapq.heappush(self.heap, (-f, self.pushed, tgt, depth + 1, (*way, tgt)))
+                self.pushed += 1
+
+    def run(self, ahead: int) -> list[Want]:
+        """Go on as far as what is known allows; what to ask for then, nothing if the search is done."""
+        while self.heap and len(self.out) < self.max_paths:
+            _, _, node, depth, way = self.heap[0]
+            if depth < self.max_depth and node not in self.visited and self.lacks(node, depth, way):
+                return self._wanted(ahead)
+            self._step()
+        return []
+
+    def _wanted(self, ahead: int) -> list[Want]:
+        """What the search lacks now, and would lack next if it went on by guesses; `ahead` of it at most.  Paths at the
+        depth bound are certain results, so nothing that comes after as many of them as are still missing is fetched."""
+        left = self.max_paths - len(self.out)
+        certain = heapq.nsmallest(left, (e[0] for e in self.heap if e[3] >= self.max_depth)) if left <= len(self.heap) else []
+        bound = certain[-1] if len(certain) == left else float("inf")
+        self_ = object.__new__(BestFirst)
+        self_.__dict__ = {**self.__dict__, "heap": self.heap[:], "visited": set(self.visited), "out": self.out[:], "judged": dict(self.judged)}
+        wanted: list[Want] = []
+        while self_.heap and self_.heap[0][0] <= bound and len(wanted) < ahead:
+            _, _, node, depth, way = self_.heap[0]
+            if depth < self_.max_depth and node not in self_.visited and (lack := self_.lacks(node, depth, way)):
+                wanted.append(lack)
+            self_._step(guess=True)
+        return wanted
 
 
 class _All(dict):
@@ -105,6 +140,23 @@ class _All(dict):
     def __missing__(self, node) -> list:
         return []
 
+    def pop(self, node, *_) -> list:
+        return self[node]
+
+
+class _Judged(dict):
+    """Every path is judged, by a function of its nodes."""
+
+    def __init__(self, stop: Callable[[list[str]], bool]):
+        super().__init__()
+        self.stop = stop
+
+    def __contains__(self, way) -> bool:
+        return True
+
+    def pop(self, way, *_) -> bool:
+        return self.stop(list(way))
+
 
 def best_first(edges: Edges, start: str, max_depth: int, max_paths: int, stop: Callable[[list[str]], bool] = lambda p: False, config: EngineConfig = DEFAULT) -> list[tuple[list[str], float, int, bool]]:
     """Paths in the order they come off the frontier.
@@ -112,31 +164,51 @@ def best_first(edges: Edges, start: str, max_depth: int, max_paths: int, stop: C
     A path at the depth bound ends before its node counts as visited; a node is expanded once; a node without edges
     ends its path; one whose targets are all visited ends nothing.  Of equal priorities the earlier pushed comes first.
     """
-    return _best_first(_All(edges), stop, start, max_depth, max_paths, config, 1)[0]
-
-
-def _greedy(known: Edges, start: str, target: str, max_depth: int, ahead: int) -> tuple[list[str] | None, list[Want], int]:
-    heap, pushed, visited, expanded = [(-1.0, 0, start, 0, [start])], 1, set(), 0
-    unknown = lambda e: e[2] not in visited and e[2] != target and e[3] < max_depth and e[2] not in known
-    while heap:
-        if unknown(heap[0]):
-            return None, [(e[2], None) for e in heapq.nsmallest(ahead, heap) if unknown(e)], expanded
-        _, _, node, depth, way = heapq.heappop(heap)
-        if node in visited:
-            continue
-        visited.add(node)
-        if node == target or depth >= max_depth:
-            return way, [], expanded
-        expanded += 1
-        for tgt, s, _ in known[node]:
-            heapq.heappush(heap, (-s, pushed, tgt, depth + 1, [*way, tgt]))
-            pushed += 1
-    return [], [], expanded
+    search = BestFirst(start, max_depth, max_paths, config, judges=False)
+    search.judges, search.judged, search.known = True, _Judged(stop), _All(edges)
+    search.run(1)
+    return search.out
+
+
+class Greedy:
+    """The greedy walk, put aside and taken up again like BestFirst."""
+
+    def __init__(self, start: str, target: str, max_depth: int):
+        self.target, self.max_depth = target, max_depth
+        self.heap, self.pushed, self.visited = [(-1.0, 0, start, 0, (start,))], 1, set()
+        self.known: Edges = {}
+        self.expanded, self.way = 0, []
+
+    def learn(self, edges: Edges, judged: dict[tuple, bool]) -> None:
+        self.known.update((n, e) for n, e in edges.items() if n not in self.visited)
+
+    def _unknown(self, e: tuple) -> bool:
+        return e[2] not in self.visited and e[2] != self.target and e[3] < self.max_depth and e[2] not in self.known
+
+    def run(self, ahead: int) -> list[Want]:
+        while self.heap:
+            if self._unknown(self.heap[0]):
+                return [(e[2], None) for e in heapq.nsmallest(ahead, self.heap) if self._unknown(e)]
+            _, _, node, depth, way = heapq.heappop(self.heap)
+            if node in self.visited:
+                continue
+            self.visited.add(node)
+            if node == self.target or depth >= self.max_depth:
+                self.way = list(way)
+                return []
+            self.expanded += 1
+            for tgt, s, _ in self.known.pop(node):
+                heapq.heappush(self.heap, (-s, self.pushed, tgt, depth + 1, (*way, tgt)))
+                self.pushed += 1
+        return []
 
 
 def greedy(edges: Edges, start: str, target: str, max_depth: int) -> list[str]:
     """By edge score alone; ends at the target or at the first node that comes off at the depth bound."""
-    return _greedy(_All(edges), start, target, max_depth, 1)[0]
+    walk = Greedy(start, target, max_depth)
+    walk.known = _All(edges)
+    walk.run(1)
+    return walk.way
 
 
 def path_text(way: list[str]) -> str:
@@ -145,14 +217,16 @@ def path_text(way: list[str]) -> str:
 
 #: Nodes that a search asks for at a time, at first and at most.
 AHEAD, MOST_AHEAD = 32, 4096
-_FOUND = "query_id long, seed string, kind string, path_ord int, path array<string>, score double, depth int, early_terminated boolean, node string, way string, expanded long"
+_FOUND = "query_id long, seed string, kind string, path_ord int, path array<string>, score double, depth int, early_terminated boolean, node string, way array<string>, expanded long, state binary"
 _FOUND_COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
 
 
-def _replayed(step: Callable, ahead: int) -> Callable:
-    """One search of _searched(), from the start, over what is known so far."""
+def _resumed(begin: Callable, rows: Callable, stops: Callable, ahead: int) -> Callable:
+    """One round of one search of _searched(): its state, if it has one yet, and what it has asked for."""
 
-    def replay(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def resume(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        held = frame["state"].dropna()
+        search = pickle.loads(zlib.decompress(held.iloc[0])) if len(held) else begin(key[1])
         of: Edges = {}
         fetched = frame[frame["src"].notna()].sort_values(["src", "tgt", "rel_type"], na_position="last")
         for src, tgt, s, rank in zip(fetched["src"], fetched["tgt"], fetched["score"], fetched["pagerank"], strict=True):
@@ -160,63 +234,58 @@ def _replayed(step: Callable, ahead: int) -> Callable:
             if isinstance(tgt, str):
                 own.append((tgt, s, rank))
         paths = frame[frame["way"].notna()]
-        rows, wanted, expanded = step(of, dict(zip(paths["way"], paths["p"], strict=True)), key[1], ahead)
-        if rows is None:
-            out = [(*key, "want", None, None, None, None, None, node, path_text(way) if way else None, expanded) for node, way in wanted]
+        search.learn(of, {tuple(w): stops(p) for w, p in zip(paths["way"], paths["p"], strict=True)})
+        wanted = search.run(ahead)
+        none = [None] * 5
+        if wanted:
+            out = [(*key, "want", *none, node, way, search.expanded, None) for node, way in wanted]
+            out.append((*key, "state", *none, None, None, search.expanded, zlib.compress(pickle.dumps(search), 1)))
         else:
-            out = [(*key, "path", i, *row, None, None, expanded) for i, row in enumerate(rows)]
+            out = [(*key, "path", i, *row, None, None, search.expanded, None) for i, row in enumerate(rows(search))]
         return pd.DataFrame(out, columns=_FOUND_COLUMNS)
 
-    return replay
+    return resume
 
 
-def _searched(store: GraphStore, starts: DataFrame, step: Callable, judge: bool, scorer: d.Scorer) -> DataFrame:
+def _searched(store: GraphStore, starts: DataFrame, begin: Callable, rows: Callable, early: float | None, scorer: d.Scorer) -> DataFrame:
     """The rows of finished searches, one search for each of starts(query_id, question, seed).
 
-    step(known, judged, seed, ahead) gives rows, or None and what it wants to know, and the number of expanded nodes.  In each
-    round the searches that are not done say which nodes they would expand next, and which paths must be judged; those
-    nodes' edges are fetched and scored as one column for all searches, and written.  So a search holds the edges of what
-    it looks at, not of all that lies within its depth, and a plan has the same few joins however deep it goes.
+    begin(seed) makes a search, rows(search) its results once it is done.  In each round the searches that are not done
+    say which nodes they would expand next, and which paths must be judged; those nodes' edges are fetched and scored as
+    one column for all searches.  A search's frontier travels as its state from round to round, so a round costs what is
+    new in it: nothing is fetched, scored or walked twice, and a plan has the same few joins however deep it goes.
     """
     active = written(starts.where("seed is not null").groupBy("query_id", "seed").agg(F.min("question").alias("question")))
-    wants = active.select("query_id", "seed", "question", F.col("seed").alias("node"), F.lit(None).cast("string").alias("way"))
-    known, done, asked, ahead = None, None, None, AHEAD
+    wants = active.select("query_id", "seed", "question", F.col("seed").alias("node"), F.lit(None).cast("array<string>").alias("way"))
+    states, done, ahead = None, None, AHEAD
+    stops = (lambda p: p > early) if early is not None else (lambda p: False)
+    null = lambda kind: F.lit(None).cast(kind)
     while True:
         lacking = wants.where("node is not null").withColumnRenamed("node", "src")
         nodes = lacking.select("query_id", "question", "src").distinct()
         edges = scored_edges(store, nodes, scorer).select("query_id", "src", "tgt", "rel_type", "pagerank", "score")
         here = lacking.select("query_id", "seed", "src").distinct().join(edges, ["query_id", "src"], "left")
-        here = here.select("query_id", "seed", "src", "tgt", "rel_type", "pagerank", "score", F.lit(None).cast("string").alias("way"), F.lit(None).cast("double").alias("p"))
-        if judge and asked is not None:
-            p = d.noul(d.probabilities(scorer(F.col("question"), F.col("way"))))
+        here = here.select("query_id", "seed", "src", "tgt", "rel_type", "pagerank", "score", null("array<string>").alias("way"), null("double").alias("p"), null("binary").alias("state"))
+        blank = [null("string").alias("src"), null("string").alias("tgt"), null("string").alias("rel_type"), null("double").alias("pagerank"), null("double").alias("score")]
+        if early is not None and states is not None:
+            p = d.noul(d.probabilities(scorer(F.col("question"), F.array_join("way", " → "))))
             ways = wants.where("way is not null").select("query_id", "seed", "question", "way").distinct()
-            none = F.lit(None).cast("string")
-            here = here.unionByName(ways.select("query_id", "seed", none.alias("src"), none.alias("tgt"), none.alias("rel_type"), F.lit(None).cast("double").alias("pagerank"), F.lit(None).cast("double").alias("score"), "way", p.alias("p")))
-        fresh = written(here)
-        known = fresh if known is None else known.unionByName(fresh)
-
-        found = written(known.groupBy("query_id", "seed").applyInPandas(_replayed(step, ahead), _FOUND))
+            here = here.unionByName(ways.select("query_id", "seed", *blank, "way", p.alias("p"), null("binary").alias("state")))
+        if states is not None:
+            here = here.unionByName(states.select("query_id", "seed", *blank, null("array<string>").alias("way"), null("double").alias("p"), "state"))
+        found = written(here.groupBy("query_id", "seed").applyInPandas(_resumed(begin, rows, stops, ahead), _FOUND))
         paths = found.where("kind = 'path'")
         done = paths if done is None else done.unionByName(paths)
-        asked = found.where("kind = 'want'")
+        states, asked = found.where("kind = 'state'"), found.where("kind = 'want'")
         if asked.isEmpty():
             return done
-        left = asked.select("query_id", "seed").distinct()
-        known = known.join(left, ["query_id", "seed"], "left_semi")
         wants = asked.join(active, ["query_id", "seed"]).select("query_id", "seed", "question", "node", "way")
         ahead = min(2 * ahead, MOST_AHEAD)
 
 
 def _paths(store: GraphStore, starts: DataFrame, max_depth: int, max_paths: int, early: float | None, config: EngineConfig, scorer: d.Scorer) -> DataFrame:
-    def step(known, judged, seed, ahead):
-        def stops(way):
-            p = 0.0 if early is None else judged.get(path_text(way))
-            return None if p is None else early is not None and p > early
-
-        rows, wanted, expanded = _best_first(known, stops, seed, max_depth, max_paths, config, ahead)
-        return None if rows is None else [(p, round(s, 6), n, e) for p, s, n, e in rows], wanted, expanded
-
-    return _searched(store, starts, step, early is not None, scorer)
+    begin = lambda seed: BestFirst(seed, max_depth, max_paths, config, early is not None)
+    return _searched(store, starts, begin, lambda search: [(p, round(s, 6), n, e) for p, s, n, e in search.out], early, scorer)
 
 
 def traverse(store: GraphStore, starts: DataFrame, max_depth: int = 4, max_paths: int = 5, early: float | None = 0.95, config: EngineConfig = DEFAULT, scorer: d.Scorer = d.lexical) -> DataFrame:
@@ -248,9 +317,5 @@ def beam(store: GraphStore, starts: DataFrame, depth: int, width: int, config: E
 
 def walk_greedily(store: GraphStore, starts: DataFrame, target: str, max_depth: int = 4, scorer: d.Scorer = d.lexical) -> DataFrame:
     """query_id, seed, path, expanded: the greedy walk of each start; without edges it ends where it begins, empty."""
-
-    def step(known, judged, seed, ahead):
-        way, wanted, expanded = _greedy(known, seed, target, max_depth, ahead)
-        return None if way is None else [(way, None, None, None)], wanted, expanded
-
-    return _searched(store, starts, step, False, scorer).select("query_id", "seed", "path", "expanded")
+    found = _searched(store, starts, lambda seed: Greedy(seed, target, max_depth), lambda walk: [(walk.way, None, None, None)], None, scorer)
+    return found.select("query_id", "seed", "path", "expanded")

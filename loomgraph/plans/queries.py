@@ -14,9 +14,12 @@ from loomgraph.functions import decision as d
 from loomgraph.operators import algorithms, engine, ingest, measure, post, retrieve
 from loomgraph.sources.business_graph import SQL as GRAPH
 from loomgraph.sources.business_graph import business_graph, read
+from loomgraph.sources.changes import ChangeStore
 from loomgraph.sources.factory import open_store
-from loomgraph.sources.store import EDGE, vector_top_k
-from loomgraph.tables import shared_dir
+from loomgraph.sources.store import EDGE, GraphStore
+from loomgraph.sources.vectors import VectorIndex, vector_top_k
+from loomgraph.functions.text import ENDS, WHITE
+from loomgraph.tables import own_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,7 +109,7 @@ def edge_upsert_guarded(spark, sf_dir):
 @query(GRAPH + ", s AS (SELECT 'supplier:' || s_suppkey::BIGINT AS name FROM supplier WHERE s_suppkey IN (SELECT vec_id FROM embeddings)) SELECT 'nodes' AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges WHERE rel_type <> 'PART_OF' UNION ALL SELECT 'embeddings', count(*) FROM s UNION ALL SELECT 'duplicates', 0")
 def store_roundtrip(spark, sf_dir):
     """A store is made by name, saved, opened, changed and saved over itself, and opened again."""
-    path = f"{shared_dir(spark)}/loomgraph-store-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/store-{uuid.uuid4().hex}"
     vectors = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("supplier:"), "vec_id").alias("name"), "embedding")
     first = open_store(spark, " Folder ", path)
     full = business_graph(spark, sf_dir)
@@ -128,6 +131,26 @@ def edge_delete(spark, sf_dir):
     return store.delete_edges(store.edges.where("rel_type = 'LOCATED_IN' and tgt = 'nation:3'")).edges.select(*EDGE)
 
 
+@query(GRAPH + """, far AS (SELECT 'nation:' || (20 + o_custkey % 20)::BIGINT AS name, max(o_orderkey)::BIGINT AS last FROM orders GROUP BY ALL),
+  n AS (SELECT coalesce(nodes.name, far.name) AS name, coalesce(nodes.label, 'country') AS label, last FROM nodes FULL JOIN far ON nodes.name = far.name),
+  e AS (SELECT src, tgt, rel_type, NULL::BIGINT AS last FROM edges WHERE NOT (rel_type = 'PLACED_BY' AND split_part(src, ':', 2)::BIGINT % 10 = 0) UNION ALL SELECT 'nation:' || (20 + o_custkey % 20)::BIGINT, 'region:' || (o_custkey % 7)::BIGINT, 'NEAR', max(o_orderkey)::BIGINT FROM orders WHERE o_custkey % 7 < 5 GROUP BY ALL)
+  SELECT 'node' AS kind, name, label AS other, last FROM n UNION ALL SELECT 'edge', src, tgt || ' ' || rel_type, last FROM e""")
+def graph_changes(spark, sf_dir):
+    """A graph that is changed four times without being rewritten, its touched buckets compacted in between: nodes and
+    edges made from the orders, edges whose ends are no nodes, and a tenth of the placed orders taken back."""
+    full, orders = business_graph(spark, sf_dir), read(spark, sf_dir, "orders")
+    made, k = F.concat(F.lit("nation:"), (F.col("o_custkey") % 20 + 20).cast("long")), F.col("o_orderkey").cast("long")
+    props = F.create_map(F.lit("last"), k.cast("string"))
+    now = ChangeStore.create(spark, f"{own_dir(spark)}/changes-{uuid.uuid4().hex}", full)
+    now = now.upsert_nodes(orders.select(made.alias("name"), F.when(F.col("o_custkey") % 20 > 4, F.lit("country")).alias("label"), props.alias("props"), k.alias("ord")))
+    now = now.upsert_edges(orders.select(made.alias("src"), F.concat(F.lit("region:"), (F.col("o_custkey") % 7).cast("long")).alias("tgt"), F.lit("NEAR").alias("rel_type"), props.alias("props"), k.alias("ord"))).compact()
+    now = now.delete_edges(full.edges.where("rel_type = 'PLACED_BY' and cast(split_part(src, ':', 2) as long) % 10 = 0"))
+    now = now.upsert_edges(full.edges.where("rel_type = 'PART_OF'").withColumn("tgt", F.lit("nowhere")))
+    g, last = now.graph(), F.try_element_at("props", F.lit("last")).cast("long").alias("last")
+    nodes = g.nodes.select(F.lit("node").alias("kind"), "name", F.col("label").alias("other"), last)
+    return nodes.unionByName(g.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("name"), F.concat_ws(" ", "tgt", "rel_type").alias("other"), last))
+
+
 @query("SELECT s_suppkey AS vec_id, embedding[1] AS first FROM supplier JOIN embeddings ON vec_id = s_suppkey")
 def embedding_upsert(spark, sf_dir):
     store = business_graph(spark, sf_dir)
@@ -144,8 +167,28 @@ _TOP = f"SELECT b.vec_id AS query, a.vec_id, {_COS} AS score FROM embeddings a,
 
 @query(f"SELECT query, vec_id, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM ({_TOP})) WHERE n <= 20")
 def vector_topk(spark, sf_dir):
-    v = read(spark, sf_dir, "embeddings")
-    return vector_top_k(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding"), 20).withColumn("rank", F.col("rank").cast("long"))
+    return vector_top_k(read(spark, sf_dir, "embeddings"), _asked_vectors(spark, sf_dir), 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _indexed(spark, sf_dir):
+    return VectorIndex.build(read(spark, sf_dir, "embeddings"), f"{own_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
+def _asked_vectors(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+@query()
+def vector_topk_indexed(spark, sf_dir):
+    """vector_topk from inverted lists: nine tenths of its rows and more, from the lists nearest to each query alone."""
+    return _indexed(spark, sf_dir).search(_asked_vectors(spark, sf_dir), 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"SELECT query, vec_id, score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM ({_TOP})) WHERE n <= 20")
+def vector_topk_lists(spark, sf_dir):
+    """The same index, every list of it read: exactly the rows of vector_topk."""
+    index = _indexed(spark, sf_dir)
+    return index.search(_asked_vectors(spark, sf_dir), 20, len(index.centroids)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH c AS (SELECT query AS query_id, 'which supplier ' || query % 10 || ' is 1' AS question, 'supplier ' || vec_id % 30 AS name, n AS ord FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM ({_TOP})) WHERE n <= 20), s AS (SELECT *, {_score('question', 'name')} AS score FROM c) SELECT query_id, name, ord, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS k FROM s) WHERE k <= 2")
@@ -232,10 +275,12 @@ def khop2_counts(spark, sf_dir):
 
 @query(f"{GRAPH} SELECT e.src AS seed, count(*) AS n, min(e.src || '>' || e.tgt || '>' || f.tgt) AS first, max(e.src || '>' || e.tgt || '>' || f.tgt) AS last FROM edges e JOIN edges f ON e.tgt = f.src GROUP BY e.src")
 def khop_paths(spark, sf_dir):
+    """Each node's own steps are summed up before anything meets, so no walk of two is ever a row."""
     e = business_graph(spark, sf_dir).edges.select("src", "tgt")
-    way = F.concat_ws(">", "seed", "via", "far")
-    two = e.select(F.col("src").alias("seed"), F.col("tgt").alias("via")).join(e.select(F.col("src").alias("via"), F.col("tgt").alias("far")), "via")
-    return two.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min(way).alias("first"), F.max(way).alias("last"))
+    step = e.groupBy(F.col("src").alias("via")).agg(F.count(F.lit(1)).alias("k"), F.min("tgt").alias("low"), F.max("tgt").alias("high"))
+    two = e.select(F.col("src").alias("seed"), F.col("tgt").alias("via")).join(step, "via")
+    way = lambda far: F.concat_ws(">", "seed", "via", far)
+    return two.groupBy("seed").agg(F.sum("k").alias("n"), F.min(way("low")).alias("first"), F.max(way("high")).alias("last"))
 
 
 @query(f"{GRAPH}, f AS (SELECT src, min(tgt) AS tgt FROM edges GROUP BY src), " + ", ".join(["n1 AS (SELECT s.name AS src, f.tgt AS node FROM nodes s JOIN f ON f.src = s.name)"] + [f"n{i + 1} AS (SELECT n.src, f.tgt AS node FROM n{i} n JOIN f ON f.src = n.node)" for i in range(1, 4)]) + " " + " UNION ALL ".join(f"SELECT {i}::INT AS hop, src, node FROM n{i}" for i in range(1, 5)))
@@ -246,7 +291,7 @@ def hop_walk(spark, sf_dir):
 
 # --- ingestion
 
-_SENT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', E'\\1\x1e', 'g'), E'\x1e'), lambda s: trim(s)), lambda s: s <> '')"
+_SENT = rf"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){WHITE}+', E'\\1\x01', 'g'), E'\x01'), lambda s: regexp_replace(s, '{ENDS}', '', 'g')), lambda s: s <> '')"
 
 
 @query(f"SELECT doc_id, len({_SENT}) AS n, array_to_string({_SENT}, '|') AS joined FROM documents")
@@ -274,15 +319,6 @@ def chunks_fold(spark, sf_dir):
     return ingest.chunks(read(spark, sf_dir, "documents"))
 
 
-_RAW = ['["a",1,null," b "]', "[a, b]", '{"x":1}', '"s"', "[]", "", '["New York", "Paris"]', "x,,y"]
-
-
-@query("SELECT * FROM (VALUES (0, 'a|1|b'), (1, 'a|b'), (2, ''), (3, ''), (4, ''), (5, ''), (6, 'New York|Paris'), (7, 'x|y')) t(id, names)")
-def ner_parse(spark, sf_dir):
-    raw = spark.createDataFrame([(i, r) for i, r in enumerate(_RAW)], "id int, raw string")
-    return raw.select("id", F.array_join(ingest.parse_names(F.col("raw")), "|").alias("names"))
-
-
 _NAMES = "regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')"
 _ORDERED = "array_to_string(list_filter({x}, lambda t, i: list_position({x}, t) = i), '|')"
 
@@ -292,6 +328,22 @@ def ner_regex(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(ingest.capitalised(F.col("text")), "|").alias("names"))
 
 
+_FOUND_NAMES = f"list_filter({_NAMES}, lambda t, i: list_position({_NAMES}, t) = i)"
+
+
+@query(f"WITH d AS (SELECT doc_id, doc_id % 4 AS kind, {_FOUND_NAMES} AS n FROM documents) SELECT doc_id, CASE kind WHEN 0 THEN list_concat(n, ['0', 'false', 'x']) WHEN 1 THEN n WHEN 2 THEN list_concat(['True', '1.5'], n) ELSE []::VARCHAR[] END AS names FROM d WHERE n IS NOT NULL")
+def ner_parse(spark, sf_dir):
+    """Answers as a model gives them, made of each document's names: a list of strings with some that look false, parts
+    between commas with white space, a list of other values, and an object."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", ingest.capitalised(F.col("text")).alias("n")).where("n is not null")
+    quoted = F.concat_ws(", ", F.transform("n", lambda x: F.concat(F.lit('" '), x, F.lit('\\n"'))), F.lit('"0", "false", "", null, "x\\t"'))
+    mixed = F.concat_ws(",", F.lit("true, false, 0, 1.5, [], {}"), F.transform("n", lambda x: F.concat(F.lit('"'), x, F.lit('"'))))
+    kind = F.col("doc_id") % 4
+    raw = F.when(kind == 0, F.concat(F.lit("["), quoted, F.lit("]"))).when(kind == 1, F.concat(F.lit("[, "), F.array_join("n", "\u00a0,\n\t"), F.lit(" ]")))
+    raw = raw.when(kind == 2, F.concat(F.lit("["), mixed, F.lit("]"))).otherwise(F.to_json(F.struct("n")))
+    return docs.select("doc_id", ingest.parse_names(raw).alias("names"))
+
+
 _WORDS = "regexp_extract_all(text, '[A-Z][a-z]+')"
 
 
@@ -359,7 +411,7 @@ def align_edges(spark, sf_dir):
 
 # --- primitives
 
-_PAIRS = "SELECT item_id, text AS instruction, lag(text) OVER (ORDER BY item_id) AS context FROM benchmark"
+_PAIRS = "SELECT b.item_id, b.text AS instruction, a.text AS context FROM benchmark b JOIN benchmark a ON b.item_id = a.item_id + 1"
 
 
 def _prompts(spark, sf_dir):
@@ -462,18 +514,25 @@ def route_intent(spark, sf_dir):
     return retrieve.route(q.select("query_id", text.alias("text")))
 
 
+_turned_of: dict[tuple[str, str], GraphStore] = {}
+
+
 def _turned(spark, sf_dir):
-    """The tree of regions, nations, customers and suppliers, and orders, downwards."""
-    store = business_graph(spark, sf_dir)
-    kept = store.edges.where("rel_type in ('PART_OF', 'LOCATED_IN', 'PLACED_BY')")
-    return replace(store, edges=kept.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "rel_type"))
+    """The business graph with every edge turned round, laid out by source once an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _turned_of:
+        store = business_graph(spark, sf_dir)
+        _turned_of[key] = replace(store, edges=store.edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "rel_type"), adjacency=None).laid_out()
+    return _turned_of[key]
 
 
-def _regions(spark, sf_dir):
-    return read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.lit(ASKED).alias("question"), F.concat(F.lit("region:"), "r_regionkey").alias("seed"))
+def _suppliers(spark, sf_dir):
+    """A question for each supplier, and the supplier as its seed."""
+    k = F.col("s_suppkey").cast("long")
+    return read(spark, sf_dir, "supplier").select(k.alias("query_id"), F.concat(F.lit("which part and orders go back to supplier "), k).alias("question"), F.concat(F.lit("supplier:"), k).alias("seed"))
 
 
-_TREE = f"{GRAPH}, tree AS (SELECT tgt AS src, src AS tgt, rel_type FROM edges WHERE rel_type IN ('PART_OF', 'LOCATED_IN', 'PLACED_BY')), top AS (SELECT r_regionkey::BIGINT AS query_id, 'region:' || r_regionkey AS seed FROM region), te AS MATERIALIZED (SELECT tree.*, coalesce(pagerank, 0.0) AS pagerank, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM tree JOIN nodes ON name = tgt)"
+_TREE = f"{GRAPH}, tree AS MATERIALIZED (SELECT tgt AS src, src AS tgt, rel_type, coalesce(pagerank, 0.0) AS pagerank FROM edges JOIN nodes ON name = src), top AS (SELECT s_suppkey::BIGINT AS query_id, 'which part and orders go back to supplier ' || s_suppkey::BIGINT AS question, 'supplier:' || s_suppkey::BIGINT AS seed FROM supplier)"
 
 
 def _starts(spark, sf_dir):
@@ -489,7 +548,7 @@ def _first_edges(spark, sf_dir):
     return retrieve.scored_edges(business_graph(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
 
 
-@query(f"{_SE} SELECT query_id, src, tgt, rel_type, pagerank, score FROM se WHERE score >= 0.6")
+@query(f"{_SE} SELECT query_id, src, tgt, rel_type, pagerank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, tgt, rel_type)::INT AS edge_ord FROM se WHERE score >= 0.6")
 def bfs_gated(spark, sf_dir):
     return retrieve.bfs(business_graph(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
 
@@ -501,9 +560,10 @@ def fscore(spark, sf_dir):
     return retrieve.scored_edges(store, front).select("src", "tgt", F.round(retrieve.f_score(F.col("score"), F.col("pagerank"), F.lit(2)), 6).alias("f"))
 
 
-@query(f"{_TREE}, w AS (SELECT query_id, [seed] AS path, seed AS here, 0 AS depth, 1.0::DOUBLE AS f FROM top UNION ALL SELECT query_id, list_append(path, tgt), tgt, depth + 1, 0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * (depth + 1) FROM w JOIN te ON src = here WHERE depth < 3) SELECT query_id, array_to_string(path, '>') AS path, round(f, 6) AS score, depth FROM w WHERE depth = 3 OR here NOT IN (SELECT src FROM tree)")
+@query(f"{_TREE}, w AS (SELECT query_id, question, [seed] AS path, seed AS here, 0 AS depth, 1.0::DOUBLE AS f FROM top UNION ALL SELECT query_id, question, list_append(path, tgt), tgt, depth + 1, 0.65 * {_score('question', EDGE_TEXT)} + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * (depth + 1) FROM w JOIN tree ON src = here WHERE depth < 2) SELECT query_id, array_to_string(path, '>') AS path, round(f, 6) AS score, depth FROM w WHERE depth = 2 OR here NOT IN (SELECT src FROM tree)")
 def bestfirst_tree(spark, sf_dir):
-    return retrieve.traverse(_turned(spark, sf_dir), _regions(spark, sf_dir), 3, 1_000_000_000, None).select("query_id", F.array_join("path", ">").alias("path"), "score", "depth")
+    """All paths of two steps against the edges, of every kind, from each supplier: each supplier is a search of its own."""
+    return retrieve.traverse(_turned(spark, sf_dir), _suppliers(spark, sf_dir), 2, 1_000_000_000, None).select("query_id", F.array_join("path", ">").alias("path"), "score", "depth")
 
 
 def _some_orders(spark, sf_dir):
@@ -516,16 +576,16 @@ def bestfirst_general(spark, sf_dir):
 
 
 def _beam_sql(depth: int) -> str:
-    out, front = [], "(SELECT query_id, seed AS node, 1 AS n FROM top)"
+    out, front = [], "(SELECT query_id, question, seed AS node, 1 AS n FROM top)"
     for i in range(1, depth + 1):
-        out.append(f"b{i} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, node) AS n FROM (SELECT query_id, tgt AS node, max(round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * {i}, 6)) AS f FROM {front} x JOIN te ON src = node WHERE n <= 3 GROUP BY ALL))")
+        out.append(f"b{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, node) AS n FROM (SELECT query_id, question, tgt AS node, max(round(0.65 * {_score('question', EDGE_TEXT)} + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * {i}, 6)) AS f FROM {front} x JOIN tree ON src = node WHERE n <= 3 GROUP BY query_id, question, tgt))")
         front = f"b{i}"
     return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT query_id, {i} AS depth, node, f FROM b{i} WHERE n <= 3" for i in range(1, depth + 1))
 
 
-@query(f"{_TREE}, {_beam_sql(3)}")
+@query(f"{_TREE}, {_beam_sql(2)}")
 def beam_level(spark, sf_dir):
-    return retrieve.beam(_turned(spark, sf_dir), _regions(spark, sf_dir), 3, 3)
+    return retrieve.beam(_turned(spark, sf_dir), _suppliers(spark, sf_dir), 2, 3)
 
 
 @query()
@@ -606,13 +666,16 @@ def citations(spark, sf_dir):
     return post.check(post.context(_reranked(spark, sf_dir), post.CITED), _claim(), 0.9).select("query_id", "p", "passed")
 
 
-@query(f"{_CTX} SELECT query_id, CASE WHEN p < 0.5 THEN 'not enough evidence' ELSE CASE WHEN p >= 0.9 THEN '' ELSE '[UNVERIFIED] ' END || context END AS answer FROM g JOIN c USING (query_id)")
+@query(f"{_CTX}, w AS (SELECT query_id, string_agg('- ' || name || ': ' || name, chr(10) ORDER BY k) AS whole FROM kept GROUP BY query_id) SELECT query_id, CASE WHEN p < 0.5 THEN 'not enough evidence' ELSE CASE WHEN p >= 0.9 THEN '' ELSE '[UNVERIFIED] ' END || whole END AS answer FROM g JOIN w USING (query_id)")
 def answer_local(spark, sf_dir):
-    c = post.check(format_context(spark, sf_dir), _claim(), 0.5)
-    return c.select("query_id", F.when(~F.col("passed"), F.lit("not enough evidence")).otherwise(F.concat(F.when(F.col("p") >= 0.9, F.lit("")).otherwise(F.lit("[UNVERIFIED] ")), F.col("context"))).alias("answer"))
+    """The gate reads the first ten nodes, the answer is made of all that are kept."""
+    asked = _starts(spark, sf_dir)
+    kept = written(post.settled(_reranked(spark, sf_dir), asked))
+    c = post.check(post.context(kept), _claim(), 0.5).join(post.bullets(kept, asked), "query_id")
+    return c.select("query_id", F.when(~F.col("passed"), F.lit("not enough evidence")).otherwise(F.concat(F.when(F.col("p") >= 0.9, F.lit("")).otherwise(F.lit("[UNVERIFIED] ")), F.col("text"))).alias("answer"))
 
 
-_TWO = "n AS (SELECT 0::BIGINT AS query_id, source || ' ' || lang AS name, doc_id AS ord, text FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS k FROM n), p AS (SELECT query_id, name, max(text) FILTER (k = 1) AS a, max(text) FILTER (k = 2) AS b FROM t WHERE k <= 2 GROUP BY ALL HAVING count(*) = 2)"
+_TWO = "n AS (SELECT 0::BIGINT AS query_id, source || ' ' || lang AS name, doc_id AS ord, text FROM documents), t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord, text) AS k FROM n), p AS (SELECT query_id, name, max(text) FILTER (k = 1) AS a, max(text) FILTER (k = 2) AS b FROM t WHERE k <= 2 GROUP BY ALL HAVING count(*) = 2)"
 _WHAT = "the of and was der und"
 
 
@@ -666,7 +729,7 @@ def ablation_compare(spark, sf_dir):
 @query(f"SELECT count(*) AS n, round(avg(delta), 4) AS mean_delta, round(max(delta), 4) AS max_delta, round(avg((delta < 0.05)::INT::DOUBLE), 3) AS agreement, round(avg(id % 7), 1) AS ms_a, round(avg(id % 5), 1) AS ms_b, NULL::VARCHAR AS error FROM ({_AB})")
 def ablation_log_stats(spark, sf_dir):
     """The log is written as JSON lines, read again and summed up."""
-    path = f"{shared_dir(spark)}/loomgraph-log-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/log-{uuid.uuid4().hex}"
     timed = _prompts(spark, sf_dir).withColumns({"latency_a": (F.col("id") % 7).cast("double"), "latency_b": (F.col("id") % 5).cast("double")})
     post.write_log(post.harness(timed), path)
     return post.comparison_stats(post.read_log(spark, path))

@@ -25,12 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def business_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
-    """The graph of a folder's tables, loaded once: written to the shared folder at the first call of an application,
-    and scanned from there by every query after it."""
+    """The graph of a folder's tables, loaded once: written to the shared folder, its edges laid out by source, at the
+    first call of an application, and read from there by every query after it."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _loaded:
         made = made_graph(spark, sf_dir)
-        _loaded[key] = GraphStore(cut(made.nodes, "nodes")[0], cut(made.edges, "edges")[0])
+        _loaded[key] = GraphStore(cut(made.nodes, "nodes")[0], cut(made.edges, "edges")[0]).laid_out()
     return _loaded[key]
 
 

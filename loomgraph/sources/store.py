@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
-from itertools import islice
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .adjacency import Adjacency
+
 EDGE = ["src", "tgt", "rel_type"]
 NODES_SCHEMA = "name string, label string, props map<string,string>, pagerank double, community_id bigint"
 EDGES_SCHEMA = "src string, tgt string, rel_type string, props map<string,string>"
 EMBEDDINGS_SCHEMA = "name string, embedding array<double>"
-#: Queries that travel at a time; vectors that meet them in one product.
-MOST_QUERIES, SLICE = 4096, 1024
 _VERSIONS = "_versions"
 
 
@@ -56,6 +54,12 @@ class GraphStore:
     nodes: DataFrame
     edges: DataFrame
     embeddings: DataFrame | None = None
+    #: The edges by source, where they were laid out; a store that changes its edges or ranks goes on without.
+    adjacency: Adjacency | None = None
+
+    def laid_out(self) -> GraphStore:
+        """The same store with its edges laid out by source, for many fetches."""
+        return replace(self, adjacency=Adjacency.build(self.nodes, self.edges))
 
     @classmethod
     def empty(cls, spark: SparkSession) -> GraphStore:
@@ -101,7 +105,7 @@ class GraphStore:
         a, b = self.nodes.alias("a"), latest(new, ["name"], "label").alias("b")
         out = a.join(b, "name", "full_outer").select(
             "name", F.coalesce("b.label", "a.label").alias("label"), merged(F.col("a.props"), F.col("b.props")).alias("props"), "a.pagerank", "a.community_id")
-        return replace(self, nodes=out)
+        return replace(self, nodes=out, adjacency=None)
 
     def upsert_edges(self, new: DataFrame) -> GraphStore:
         """new(src, tgt, rel_type, props[, ord]): edges whose ends are not both nodes are left out; of repeated keys see
@@ -110,10 +114,10 @@ class GraphStore:
         one = latest(new, EDGE)
         held = one.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "tgt"), "tgt", "left_semi")
         a, b = self.edges.alias("a"), held.alias("b")
-        return replace(self, edges=a.join(b, EDGE, "full_outer").select(*EDGE, merged(F.col("a.props"), F.col("b.props")).alias("props")))
+        return replace(self, edges=a.join(b, EDGE, "full_outer").select(*EDGE, merged(F.col("a.props"), F.col("b.props")).alias("props")), adjacency=None)
 
     def delete_edges(self, gone: DataFrame) -> GraphStore:
-        return replace(self, edges=self.edges.join(gone.select(*EDGE), EDGE, "left_anti"))
+        return replace(self, edges=self.edges.join(gone.select(*EDGE), EDGE, "left_anti"), adjacency=None)
 
     def set_embeddings(self, new: DataFrame) -> GraphStore:
         """new(name, embedding[, ord]): for names that are nodes; of repeated names see latest()."""
@@ -125,8 +129,14 @@ class GraphStore:
 
     def neighbors(self, frontier: DataFrame) -> DataFrame:
         """Outgoing edges of frontier(src): target, type, and the target's PageRank (0 if none)."""
+        return self.edges_of(frontier.select("src").distinct()).select("src", "tgt", "rel_type", "pagerank")
+
+    def edges_of(self, frontier: DataFrame) -> DataFrame:
+        """Outgoing edges of frontier(src, ...) with all its columns: tgt, rel_type, pagerank (0 if none)."""
+        if self.adjacency is not None:
+            return self.adjacency.edges_of(frontier)
         ranks = self.nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
-        return self.edges.join(frontier.select("src").distinct(), "src", "left_semi").join(ranks, "tgt").select("src", "tgt", "rel_type", "pagerank")
+        return frontier.join(self.edges.select("src", "tgt", "rel_type"), "src").join(ranks, "tgt").select(*frontier.columns, "tgt", "rel_type", "pagerank")
 
     def edge_scan(self, limit: int) -> DataFrame:
         return self.edges.select(*EDGE).orderBy(*EDGE).limit(limit)
@@ -157,95 +167,3 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
     for x in fs.listStatus(top) if names else []:
         if x.getPath().getName() not in (_VERSIONS, *names[-keep:]):
             fs.delete(x.getPath(), True)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the k largest scores and their ids, the smaller id first among equals; -inf marks an empty place."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        row, at = np.nonzero(scores >= least[:, None])
-    else:
-        row, at = np.indices(scores.shape).reshape(2, -1)
-    s, i = scores[row, at], ids[row, at]
-    order = np.lexsort((i, -s, row))
-    row, s, i = row[order], s[order], i[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    out_s, out_i = np.full((len(scores), k), -np.inf), np.zeros((len(scores), k), np.int64)
-    kept = place < k
-    out_s[row[kept], place[kept]], out_i[row[kept], place[kept]] = s[kept], i[kept]
-    return out_s, out_i
-
-
-def finite(embedding: Column) -> Column:
-    """Whether a vector has components, none of them null or not finite."""
-    size = F.lit(float("inf"))
-    return F.coalesce((F.size(embedding) > 0) & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < size)), F.lit(False))
-
-
-def _nearest(vectors: DataFrame, listed: list, k: int) -> DataFrame:
-    """query, vec_id, score: the k best of each partition for one block of queries."""
-    by_length: dict[int, tuple[list, list]] = {}
-    for r in listed:
-        names, rows = by_length.setdefault(len(r["embedding"]), ([], []))
-        names.append(r["query"])
-        rows.append(r["embedding"])
-    sent = vectors.sparkSession.sparkContext.broadcast({n: (np.array(x, np.int64), np.array(m, np.float64)) for n, (x, m) in by_length.items()})
-
-    def search(batches):
-        import pyarrow as pa
-
-        state = {n: (names, m, np.sqrt((m * m).sum(axis=1))[:, None], np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64)) for n, (names, m) in sent.value.items()}
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
-                ids, rows = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
-                lengths = rows.value_lengths().to_numpy(zero_copy_only=False)
-                for n in np.intersect1d(lengths, [*state]).tolist():
-                    own = np.flatnonzero(lengths == n)
-                    m = rows.take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
-                    names, matrix, norms, s, i = state[n]
-                    new = np.round(matrix @ m.T / (norms * np.sqrt((m * m).sum(axis=1)) + 1e-9), 6)
-                    s, i = _best(np.hstack([s, new]), np.hstack([i, np.broadcast_to(ids[own], new.shape)]), k)
-                    state[n] = names, matrix, norms, s, i
-        for names, _, _, s, i in state.values():
-            q, place = np.nonzero(s > -np.inf)
-            for at in range(0, len(q), 50_000):
-                x, y = q[at : at + 50_000], place[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(i[x, y]), pa.array(s[x, y])], names=["query", "vec_id", "score"])
-
-    return vectors.mapInArrow(search, "query long, vec_id long, score double")
-
-
-def rescaled(score: Column) -> Column:
-    """A cosine as a share: (1 + cosine) / 2, the scale of approximate indexes."""
-    return (1 + score) / 2
-
-
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most: int = MOST_QUERIES) -> DataFrame:
-    """query, vec_id, score, rank: the k best cosines of each query vector; ties go to the smaller id.
-
-    Vectors that are null or empty, or hold null or non-finite components, are neither found nor asked for; a query
-    meets the vectors of its own length.  The queries (query, embedding) travel to the vectors in blocks of at most
-    `most`, and the driver holds one block at a time.  Each partition keeps the k best of each query over all its rows,
-    and only those are shuffled.  With several blocks each one's result is written before the next is read.
-    """
-    from loomgraph.functions.decision import ranked
-    from loomgraph.tables import written
-
-    whole = F.col("embedding").cast("array<double>")
-    known = vectors.where("vec_id is not null").select("vec_id", whole.alias("embedding")).where(finite(F.col("embedding")))
-    rows = queries.select("query", whole.alias("embedding")).where(finite(F.col("embedding"))).toLocalIterator()
-    found = None
-    block = list(islice(rows, most))
-    while block:
-        near = ranked(_nearest(known, block, k), ["query"], F.desc("score"), F.col("vec_id")).where(F.col("rank") <= k)
-        block = list(islice(rows, most)) if len(block) == most else []
-        if block or found is not None:
-            near = written(near)
-        found = near if found is None else found.unionByName(near)
-    return vectors.sparkSession.createDataFrame([], "query long, vec_id long, score double, rank int") if found is None else found

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
     """One folder for an application's step tables, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
     if path not in _swept_at_exit:
@@ -43,7 +43,7 @@ def _sweep_quietly(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a step table and read it again.  Returns the table and its path, for drop()."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

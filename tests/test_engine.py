@@ -11,7 +11,7 @@ from loomgraph.functions import decision, generate
 from loomgraph.functions.embedding import hashed, vector
 from loomgraph.operators import algorithms, engine, ingest, post
 from loomgraph.plans.queries import QUERIES
-from loomgraph.sources.store import vector_top_k
+from loomgraph.sources.vectors import VectorIndex, recall, vector_top_k
 
 rng = np.random.default_rng(8)
 V = rng.normal(size=(60, 6))
@@ -32,8 +32,8 @@ def test_top_k_in_blocks(spark):
     for q in range(0, 60, 10):
         best = sorted(((-_cos(V[q], V[i]), i) for i in range(60)))[:4]
         expected += [(q, i, -s, n) for n, (s, i) in enumerate(best, 1)]
-    for most in (4096, 2, 3):
-        assert sorted(map(tuple, vector_top_k(vectors, queries, 4, most).collect())) == sorted(expected, key=lambda r: (r[0], r[1], r[2]))
+    for size, asked in ((4096, 1024), (7, 2), (3, 4)):
+        assert sorted(map(tuple, vector_top_k(vectors, queries, 4, size, asked).collect())) == sorted(expected, key=lambda r: (r[0], r[1], r[2]))
     assert vector_top_k(vectors, queries.limit(0), 4).count() == 0
     assert vector_top_k(vectors.limit(0), queries, 4).count() == 0
 

@@ -1,4 +1,5 @@
 import os
+import pickle
 import random
 import re
 
@@ -231,10 +232,27 @@ def _word_share(context, instruction):
 
 def test_a_search_asks_for_what_it_lacks_and_no_more():
     known = {"A": [("B", 0.9, 0.0), ("C", 0.1, 0.0)], "B": [("D", 0.5, 0.0)]}
-    rows, wanted, _ = retrieve._best_first(known, lambda way: None, "A", 4, 5, retrieve.DEFAULT, 9)
-    assert rows is None and wanted == [(None, ["A", "B"]), ("D", ["A", "B", "D"]), ("C", ["A", "C"])]
-    assert retrieve._best_first(known, lambda way: None, "A", 4, 5, retrieve.DEFAULT, 1)[1] == [(None, ["A", "B"])]
-    assert retrieve._best_first(known, lambda way: len(way) == 2, "A", 4, 1, retrieve.DEFAULT, 9)[0][0][0] == ["A", "B"]
+    search = retrieve.BestFirst("A", 4, 5, retrieve.DEFAULT, judges=True)
+    search.learn(known, {})
+    assert search.run(9) == [(None, ["A", "B"]), ("D", ["A", "B", "D"]), ("C", ["A", "C"])] and search.out == []
+    assert search.run(1) == [(None, ["A", "B"])]
+    again = pickle.loads(pickle.dumps(search))
+    again.learn({}, {("A", "B"): True})
+    assert again.run(9) == [("C", ["A", "C"])] and [p for p, *_ in again.out] == [["A", "B"]] and "A" not in again.known
+    search.max_paths = 1
+    search.learn({}, {("A", "B"): True})
+    assert search.run(9) == [] and search.out[0][0] == ["A", "B"]
+
+
+def test_a_search_fetches_nothing_below_what_is_certain():
+    """Paths that end at the depth bound come before C, so C's edges can't matter if they are as many as are wanted."""
+    edges = {"A": [("B", 1.0, 9.0), ("Y", 0.99, 9.0), ("C", 0.0, 0.0)], "B": [("D", 0.9, 9.0), ("E", 0.9, 9.0)]}
+    for most, wanted in ((2, ["Y"]), (3, ["Y", "C"])):
+        search = retrieve.BestFirst("A", 2, most, retrieve.DEFAULT, judges=False)
+        search.learn(edges, {})
+        assert search.run(9) == [(n, None) for n in wanted]
+    search.learn({"Y": [], "C": []}, {})
+    assert search.run(9) == [] and [p[-1] for p, *_ in search.out] == ["Y", "D", "E"]
 
 
 @pytest.mark.parametrize("early,scorer", [(None, "lexical"), (0.2, "own")])
@@ -325,7 +343,7 @@ def _text(v):
     return f"{v:.5f}" if isinstance(v, float) else str(float(v)) if hasattr(v, "as_tuple") else str(v)
 
 
-CHECKED = """neighbors_out node_upsert edge_upsert_guarded store_roundtrip edge_delete vector_topk khop_counts khop_paths hop_walk chunks_fold ner_regex entity_merge_cc edge_prune align_edges
+CHECKED = """neighbors_out node_upsert edge_upsert_guarded graph_changes store_roundtrip vector_topk_lists edge_delete vector_topk khop_counts khop_paths hop_walk chunks_fold ner_regex entity_merge_cc edge_prune align_edges
 choice_argmax ask_batch score_detailed softmax_scores cloud_batch cloud_decode bestfirst_tree beam_level early_exit answer_local format_bullets citations conflict_log ablation_log_stats ablation_primary ab_prompts ner_parse""".split()
 
 
