@@ -258,6 +258,8 @@ def _searched(store: GraphStore, starts: DataFrame, begin: Callable, rows: Calla
     active = written(starts.where("seed is not null").groupBy("query_id", "seed").agg(F.min("question").alias("question")))
     wants = active.select("query_id", "seed", "question", F.col("seed").alias("node"), F.lit(None).cast("array<string>").alias("way"))
     states, done, ahead = None, None, AHEAD
+    spark = starts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stops = (lambda p: p > early) if early is not None else (lambda p: False)
     null = lambda kind: F.lit(None).cast(kind)
     while True:
@@ -273,7 +275,9 @@ def _searched(store: GraphStore, starts: DataFrame, begin: Callable, rows: Calla
             here = here.unionByName(ways.select("query_id", "seed", *blank, "way", p.alias("p"), null("binary").alias("state")))
         if states is not None:
             here = here.unionByName(states.select("query_id", "seed", *blank, null("array<string>").alias("way"), null("double").alias("p"), "state"))
-        found = written(here.groupBy("query_id", "seed").applyInPandas(_resumed(begin, rows, stops, ahead), _FOUND))
+        # Few rows are much work, so they are dealt over all tasks however few they are.
+        dealt = here.repartition(max(tasks, spark.sparkContext.defaultParallelism), "query_id", "seed")
+        found = written(dealt.groupBy("query_id", "seed").applyInPandas(_resumed(begin, rows, stops, ahead), _FOUND))
         paths = found.where("kind = 'path'")
         done = paths if done is None else done.unionByName(paths)
         states, asked = found.where("kind = 'state'"), found.where("kind = 'want'")

@@ -1,7 +1,8 @@
-"""Edges laid out by their source: neighbour lists in bucketed tables, so that a step over a graph never shuffles edges.
+"""Edges laid out by their source in bucketed tables, so that a step over a graph never shuffles edges.
 
-A row is a chunk of one node's list, so a hub is several rows.  Buckets are by a hash of the source, as Spark shuffles
-the other side of a join, and sorted; a fetch for a few nodes reads their buckets alone.
+Buckets are by a hash of the source, as Spark shuffles the other side of a join, and sorted; a fetch for a few nodes
+reads their buckets alone.  A bucket is one task, so the edges of hubs, which have more than a bucket's share of all
+edges, lie apart and spread evenly: there are never more hubs than buckets.
 """
 
 from __future__ import annotations
@@ -14,41 +15,48 @@ from pyspark.sql import functions as F
 
 from loomgraph.tables import forget, own_dir, written
 
-#: Edges in a chunk, about; names of a frontier that are few enough to choose buckets by.
-CHUNK, FEW = 4096, 2000
+#: Edges that a node has at least if it is to be a hub; names of a frontier that are few enough to choose buckets by.
+HUB, FEW = 4096, 1000
 
 
 def _bucketed(rows: DataFrame, key: str, buckets: int) -> str:
-    """Write rows in buckets of `key`, one file each; the table's name.  Its files lie in the shared folder."""
+    """Write rows in buckets of `key`, one file each; the table's name.  Its files lie in the shared folder.  Rows that
+    are already dealt by the key into as many partitions are not shuffled again."""
     spark, name = rows.sparkSession, f"loomgraph_{uuid.uuid4().hex}"
-    dealt = rows.repartition(buckets, key).sortWithinPartitions(key)
-    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{own_dir(spark)}/{name}").saveAsTable(name)
+    rows.sortWithinPartitions(key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{own_dir(spark)}/{name}").saveAsTable(name)
     return name
 
 
-def _listed(rows: DataFrame, key: str, spread: Column, item: Column, chunk: int) -> DataFrame:
-    """key, out (how many items in all), items: rows' items listed by key, in chunks of about `chunk`."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("out"))
-    dealt = rows.join(sizes, key).select(key, "out", F.pmod(F.xxhash64(spread), F.ceil(F.col("out") / chunk)).alias("_chunk"), item.alias("_item"))
-    return dealt.groupBy(key, "out", "_chunk").agg(F.collect_list("_item").alias("items")).drop("_chunk")
+def _hubs(edges: DataFrame, key: str, buckets: int, least: int) -> list:
+    """The sources of more than a bucket's share of all edges, so no more of them than buckets."""
+    sizes = written(edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    share = (sizes.agg(F.sum("n")).first()[0] or 0) / buckets
+    found = [r[key] for r in sizes.where(F.col("n") > max(share, least)).select(key).collect()]
+    forget(sizes)
+    return found
 
 
 @dataclass(frozen=True)
 class Adjacency:
-    """Outgoing edges by name: src, out, items of (tgt, rel_type, pagerank); pagerank is the target's, 0 if it has none.
-    Edges whose target is no node are left out.  What was built stays as it is when the store changes."""
+    """Outgoing edges by name: src, tgt, rel_type, pagerank; pagerank is the target's, 0 if it has none.  Edges whose
+    target is no node are left out.  What was built stays as it is when the store changes."""
 
     spark: SparkSession
     table: str
     buckets: int
+    hubs: tuple[str, ...]
+    hub_edges: DataFrame
 
     @classmethod
-    def build(cls, nodes: DataFrame, edges: DataFrame, buckets: int | None = None, chunk: int = CHUNK) -> Adjacency:
+    def build(cls, nodes: DataFrame, edges: DataFrame, buckets: int | None = None, least: int = HUB) -> Adjacency:
         spark = edges.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         ranks = nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
-        whole = edges.where("src is not null").select("src", "tgt", "rel_type").join(ranks, "tgt")
-        return cls(spark, _bucketed(_listed(whole, "src", F.struct("tgt", "rel_type"), F.struct("tgt", "rel_type", "pagerank"), chunk), "src", buckets), buckets)
+        known = edges.where("src is not null").select("src", "tgt", "rel_type")
+        hubs = _hubs(known, "src", buckets, least)
+        whole = known.join(ranks, "tgt").select("src", "tgt", "rel_type", "pagerank")
+        apart = written(whole.where(F.col("src").isin(hubs)))
+        return cls(spark, _bucketed(whole.where(~F.col("src").isin(hubs)).repartition(buckets, "src"), "src", buckets), buckets, tuple(hubs), apart)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -59,47 +67,70 @@ class Adjacency:
         The frontier goes to the edges' buckets; the edges stay where they are.  Of a few names only their buckets are
         read."""
         names = [r["src"] for r in frontier.select("src").distinct().limit(FEW + 1).collect()]
-        rows = self.rows().select("src", "items")
+        rows = self.rows()
         if len(names) <= FEW:
             rows = rows.where(F.col("src").isin([n for n in names if n is not None]))
-        return frontier.join(rows, "src").select(*frontier.columns, F.inline("items").alias("tgt", "rel_type", "pagerank"))
+        columns = [*frontier.columns, "tgt", "rel_type", "pagerank"]
+        found = frontier.join(rows, "src").select(*columns)
+        if not self.hubs:
+            return found
+        return found.unionByName(frontier.where(F.col("src").isin(list(self.hubs))).join(self.hub_edges, "src").select(*columns))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        forget(self.hub_edges)
 
 
 @dataclass(frozen=True)
 class Links:
-    """Distinct edges between numbered nodes: nodes(id, name) in a step table, and rows id, out, items (ids of targets) in
-    buckets of id.  Edges with a null end are left out; `both` lists each edge at both ends, and no loops."""
+    """Distinct edges between numbered nodes: nodes(id, name) in a step table, and edges (id, to) in buckets of id.  Edges
+    with a null end are left out; `both` lists each edge at both ends, and no loops.
+
+    A number is a hash of the name, so edges are numbered without a join; should two names have one hash, all are
+    numbered anew by another hash.
+    """
 
     spark: SparkSession
     nodes: DataFrame
     table: str
-    buckets: int
+    hubs: tuple[int, ...]
+    hub_edges: DataFrame
 
     @classmethod
-    def build(cls, edges: DataFrame, both: bool = False, buckets: int | None = None, chunk: int = CHUNK) -> Links:
+    def build(cls, edges: DataFrame, both: bool = False, buckets: int | None = None, least: int = HUB, number=F.xxhash64) -> Links:
         spark = edges.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         pairs = edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")).where("a is not null and b is not null")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        nodes = written(ends.select(F.monotonically_increasing_id().alias("id"), "name"))
-        a, b = nodes.select(F.col("id").alias("id"), F.col("name").alias("a")), nodes.select(F.col("id").alias("to"), F.col("name").alias("b"))
-        known = pairs.join(a, "a").join(b, "b").select("id", "to")
+        ends, salt = written(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()), 0
+        while not ends.groupBy(number("name", F.lit(salt))).count().where("count > 1").isEmpty():
+            salt += 1
+        nodes = written(ends.select(number("name", F.lit(salt)).alias("id"), "name"))
+        forget(ends)
+        known = pairs.select(number("a", F.lit(salt)).alias("id"), number("b", F.lit(salt)).alias("to"))
         if both:
             known = known.where("id <> to").select(F.inline(F.array(F.struct("id", "to"), F.struct(F.col("to").alias("id"), F.col("id").alias("to")))))
-        known = known.distinct()
-        return cls(spark, nodes, _bucketed(_listed(known, "id", F.col("to"), F.col("to"), chunk), "id", buckets), buckets)
+        hubs = _hubs(known, "id", buckets, least)
+        apart = written(known.where(F.col("id").isin(hubs)).distinct())
+        # Dealt by id alone, repeated edges meet where they stay.
+        return cls(spark, nodes, _bucketed(known.where(~F.col("id").isin(hubs)).repartition(buckets, "id").distinct(), "id", buckets), tuple(hubs), apart)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return self.spark.table(self.table).unionByName(self.hub_edges) if self.hubs else self.spark.table(self.table)
+
+    def outgoing(self) -> DataFrame:
+        """id, out: how many edges each node has that has any."""
+        of = lambda rows: rows.groupBy("id").agg(F.count(F.lit(1)).alias("out"))
+        return of(self.spark.table(self.table)).unionByName(of(self.hub_edges)) if self.hubs else of(self.spark.table(self.table))
 
     def sent(self, values: DataFrame, *what: Column) -> DataFrame:
-        """to, and columns `what` made of those of values(id, ...) and of out: what each node sends along its edges.  The
-        values are brought to the buckets, and edges are only opened there."""
-        return self.rows().join(values.hint("shuffle_hash"), "id").select(F.explode("items").alias("to"), *what)
+        """to, and columns `what` made of those of values(id, ...): what each node sends along its edges.  The values are
+        brought to the buckets; those of the hubs, no more than there are buckets, to wherever their edges are."""
+        found = self.spark.table(self.table).join(values.hint("shuffle_hash"), "id").select("to", *what)
+        if not self.hubs:
+            return found
+        few = F.broadcast(values.where(F.col("id").isin(list(self.hubs))))
+        return found.unionByName(self.hub_edges.join(few, "id").select("to", *what))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        forget(self.nodes)
+        forget(self.nodes, self.hub_edges)
