@@ -90,6 +90,18 @@ def test_ranks_of_twenty_steps(spark, sf_dir, monkeypatch, name, mode, digits):
     assert got == pytest.approx(_ranks(pairs, mode), abs=10**-digits)
 
 
+def test_ranks_without_cycles_settle_early_and_quiet_nodes_cost_little(spark, monkeypatch):
+    pairs = {(f"n{i}", f"n{j}") for i in range(9) for j in (i + 1, i + 3)} | {("x", f"n{i}") for i in range(9)}
+    edges = spark.createDataFrame(sorted(pairs), "src string, tgt string")
+    steps = []
+    monkeypatch.setattr(algorithms.Links, "sent", lambda self, *a, of=algorithms.Links.sent: steps.append(1) or of(self, *a))
+    ranks, settled = algorithms.ranked_until(edges, mode="gds")
+    assert settled and len(steps) <= 12 and {r.name: r.pagerank for r in ranks.collect()} == pytest.approx(_ranks(pairs, "gds"), abs=1e-12)
+    ring = sorted(pairs | {("n11", "n0"), ("n10", "n2")})
+    exact, near = (algorithms.ranked_until(spark.createDataFrame(ring, "src string, tgt string"), mode="gds", iterations=60, quiet=q)[0].collect() for q in (0.0, 1e-6))
+    assert {r.name: r.pagerank for r in near} == pytest.approx({r.name: r.pagerank for r in exact}, abs=1e-4)
+
+
 def test_components_and_cores_over_all_edges(spark, monkeypatch):
     chain = [(f"c{i:02}", f"c{i + 1:02}", "PART_OF") for i in range(18)]
     hub = [("hub", f"h{i}", "CONTAINS") for i in range(12)] + [(f"h{i}", f"h{j}", "SUPPLIED_BY") for i in range(4) for j in range(i)]
