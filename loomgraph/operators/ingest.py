@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import decision as d
@@ -16,6 +17,9 @@ from loomgraph.sources.store import EDGE, GraphStore
 from loomgraph.sources.vectors import finite
 from loomgraph.tables import written
 
+#: Pairs of names (group, _part, a, b) to the same rows with a score.
+Judge = Callable[[DataFrame], DataFrame]
+
 # The keys of the relation ontology, in the order that settles ties; the last is the fallback.
 ONTOLOGY_KEYS = [
     "EMPLOYED_BY", "FOUNDED", "MEMBER_OF", "LEADS", "DISCOVERED", "INVENTED", "PUBLISHED", "CONTRIBUTED_TO", "CAUSES", "PREVENTS", "INFLUENCES",
@@ -137,64 +141,187 @@ def should_merge(a: Column, b: Column, context: Column, scorer: d.Scorer = d.lex
     return d.noul(d.probabilities(scorer(F.concat_ws(" ", b, around), a)))
 
 
-def reachable(pairs: DataFrame, group: str) -> DataFrame:
-    """group, a, b: both ways, the names that candidate pairs (a, b) of one group connect.  A fold may meet any of them,
-    as what names are called by then."""
-
-    def join(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        of: dict[str, set[str]] = {}
-        for x, y in zip(frame["a"], frame["b"], strict=True):
-            both = of.get(x, {x}) | of.get(y, {y})
-            of.update(dict.fromkeys(both, both))
-        return pd.DataFrame([(key[0], x, y) for x, near in of.items() for y in near if x != y], columns=[group, "a", "b"])
-
-    return pairs.select(group, "a", "b").groupBy(group).applyInPandas(join, f"{group} {dict(pairs.dtypes)[group]}, a string, b string")
-
-
-def _fold(frame: pd.DataFrame, least: float | None) -> tuple[dict[str, str], list[tuple]]:
-    """The canonical names after the pairs in order, and the log of merges.  Rows with an order are candidate pairs, all
-    rows tell how alike two names are.  A canonical name keeps the list of names it stands for, so each merge touches
-    those alone."""
-    score = {(r.a, r.b): r.score for r in frame.itertuples()}
-    on: dict[str, str] = {}
-    members: dict[str, list[str]] = {}
-    log = []
-    for r in frame[frame["ord"].notna()].sort_values("ord").itertuples():
-        a, b = on.get(r.a, r.a), on.get(r.b, r.b)
-        p = r.score if least is None else score.get((a, b))
-        if a == b or least is not None and (p is None or p < least):
-            continue
-        winner, loser = (a, b) if len(a) >= len(b) else (b, a)
-        moved = members.pop(loser, []) + [loser]
-        members.setdefault(winner, []).extend(moved)
-        on.update(dict.fromkeys([*moved, winner], winner))
-        log.append((loser, winner, p))
-    return on, log
+#: Candidate pairs that one task folds at a time.
+PART = 200_000
 
 
-def merge_names(pairs: DataFrame, group: str, least: float | None = None) -> DataFrame:
-    """group, loser, winner, score: the greedy fold over each group's candidate pairs (ord, a, b, score), in order; the
-    longer canonical name wins, of equally long ones the first.
+class _Roots:
+    """What names are called, as trees: a merge is one link, and looking up shortens the way."""
 
-    Without `least` every candidate merges.  With it a pair merges if the names that both are called by then score at
-    least so much; rows without an ord give scores of such pairs.  One group is one chunk's few pairs.
-    """
+    def __init__(self) -> None:
+        self.up: dict[str, str] = {}
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in _fold(frame, least)[1]], columns=[group, "loser", "winner", "score"])
+    def of(self, name: str) -> str:
+        top = name
+        while (above := self.up.get(top, top)) != top:
+            top = above
+        while name != top:
+            self.up[name], name = top, self.up[name]
+        return top
 
-    kind = dict(pairs.dtypes)[group]
-    return pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, loser string, winner string, score double")
+    def join(self, loser: str, winner: str) -> None:
+        self.up.setdefault(winner, winner)
+        self.up[loser] = winner
 
 
-def canonical_names(pairs: DataFrame, group: str, least: float | None = None) -> DataFrame:
-    """group, name, canonical: what each merged name is called after the same fold."""
+def _fold(frame: pd.DataFrame, score: dict[tuple[str, str], float], least: float | None) -> list[tuple]:
+    """(kind, a, b, score) of one block: kind 0 a merge of loser a into winner b, in order; 1 a name and what it is called
+    at the end; 2 two names whose score is missing.
+
+    A missing score is taken as too small, only to see which others will be asked for; with one the rest is not final.
+    """
+    roots, log, asked = _Roots(), [], {}
+    for r in frame.sort_values(["ord", "first", "second"]).itertuples():
+        a, b = roots.of(r.a), roots.of(r.b)
+        if a == b:
+            continue
+        if least is not None and (a, b) not in score:
+            asked[a, b] = None
+            continue
+        p = r.score if least is None else score[a, b]
+        if least is not None and not p >= least:  # a score that is null or no number merges nothing
+            continue
+        winner, loser = (a, b) if len(a) >= len(b) else (b, a)
+        roots.join(loser, winner)
+        log.append((0, loser, winner, p))
+    if asked:
+        return [(2, a, b, None) for a, b in asked]
+    return log + [(1, name, roots.of(name), None) for name in list(roots.up)]
+
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], k, v) for k, v in _fold(frame, least)[0].items()], columns=[group, "name", "canonical"])
+def _forest(pairs: DataFrame, group: str, most: int) -> DataFrame:
+    """`pairs` without those whose names earlier ones connect anyway, where all candidates merge; no merge is lost.
+
+    A pair that closes a ring with earlier ones never merges, in whatever part of the group the ring is found, so pairs
+    are dealt over tasks, each keeps its own forest, and what is left is dealt again while that at least halves it.
+    """
 
-    kind = dict(pairs.dtypes)[group]
-    return pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, name string, canonical string")
+    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+        roots, kept = _Roots(), []
+        frame = frame.sort_values(["ord", "a", "b"], ignore_index=True)
+        for i, (a, b) in enumerate(zip(frame["a"], frame["b"], strict=True)):
+            a, b = roots.of(a), roots.of(b)
+            if a != b:
+                roots.join(a, b)
+                kept.append(i)
+        return frame.loc[kept, columns]
+
+    columns, form = pairs.columns, pairs.schema
+    sizes = lambda t: t.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / most).alias("_deals")).where("_deals > 1")
+    while True:
+        large = written(sizes(pairs))
+        before = large.agg(F.sum("_deals")).first()[0]
+        if not before:
+            return pairs
+        dealt = pairs.join(large, group).withColumn("_deal", F.pmod(F.xxhash64("a", "b"), F.col("_deals")))
+        fewer = dealt.groupBy(group, "_deal").applyInPandas(keep, form)
+        pairs = written(pairs.join(large, group, "left_anti").select(*pairs.columns).unionByName(fewer))
+        if 2 * (sizes(pairs).agg(F.sum("_deals")).first()[0] or 0) > before:
+            return pairs
+
+
+def _blocks(pairs: DataFrame, group: str, most: int) -> DataFrame:
+    """`pairs` with _part and _turn: a group of more than `most` pairs is split into the parts that its pairs connect, and
+    pairs of a part are cut by their order into blocks, which take turns.  A block is about `most` pairs at most."""
+    sizes = written(pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    whole = pairs.join(sizes, group, "left_anti").withColumn("_part", F.lit("")).withColumn("_turn", F.lit(0))
+    total = sizes.agg(F.sum("n")).first()[0]
+    if not total:
+        return whole
+    from .algorithms import components
+
+    node = lambda c: F.to_json(F.struct(group, c), {"ignoreNullFields": "false"})
+    large = written(pairs.join(sizes, group, "left_semi").withColumn("_a", node(F.col("a").alias("name"))).withColumn("_b", node(F.col("b").alias("name"))))
+    of = components(large.select(F.col("_a").alias("src"), F.col("_b").alias("tgt"))).select(F.col("name").alias("_a"), F.col("community").alias("_part"))
+    ranged = large.join(of, "_a").drop("_a", "_b").repartitionByRange(int(-(-total // most)), "_part", "ord", "a", "b")
+    blocks = written(ranged.withColumn("_block", F.spark_partition_id()))
+    turns = blocks.select("_part", "_block").distinct()
+    turns = turns.withColumn("_turn", F.row_number().over(Window.partitionBy("_part").orderBy("_block")) - 1)
+    return whole.unionByName(blocks.join(turns, ["_part", "_block"]).drop("_block"))
+
+
+def _settled(block: DataFrame, group: str, judge: Judge | None, least: float | None) -> DataFrame:
+    """The rows of _fold() of one turn's blocks.  Scores are asked for as the fold comes to need them; blocks that need no
+    more are done."""
+    spark, key = block.sparkSession, [group, "_part"]
+    kinds = dict(block.dtypes)
+    form = f"{group} {kinds[group]}, _part string, kind int, a string, b string, score double"
+
+    def fold(of: tuple, frame: pd.DataFrame, told: pd.DataFrame | None = None) -> pd.DataFrame:
+        score = {} if told is None else dict(zip(zip(told["a"], told["b"], strict=True), told["score"], strict=True))
+        return pd.DataFrame([(*of, *x) for x in _fold(frame, score, least)], columns=[*key, "kind", "a", "b", "score"])
+
+    if judge is None:
+        return written(block.groupBy(*key).applyInPandas(lambda of, frame: fold(of, frame), form))
+    block = written(block)
+
+    def scored(asked: DataFrame) -> DataFrame:
+        asked = written(asked.distinct())
+        return written(asked.join(judge(asked).select(*key, "a", "b", "score").dropDuplicates([*key, "a", "b"]), [*key, "a", "b"], "left"))
+
+    known, done = scored(block.where("a <> b").select(*key, "a", "b")), spark.createDataFrame([], form)
+    while True:
+        out = written(block.groupBy(*key).cogroup(known.groupBy(*key)).applyInPandas(fold, form))
+        done, asked = done.unionByName(out.where("kind < 2")), out.where("kind = 2").select(*key, "a", "b")
+        if asked.isEmpty():
+            return done
+        still = written(asked.select(*key).distinct())
+        block, known = block.join(still, key, "left_semi"), known.join(still, key, "left_semi").unionByName(scored(asked))
+
+
+def merged(pairs: DataFrame, group: str, least: float | None = None, judge: Judge | None = None, most: int = PART) -> tuple[DataFrame, DataFrame]:
+    """The greedy fold over each group's candidate pairs (ord, a, b, perhaps score), in order of ord, a and b: the merges
+    (group, loser, winner, score), and (group, name, canonical), what each name of a merge is called after all of them.
+
+    The longer canonical name wins, of equally long ones that of a.  Without a judge every candidate merges, under its
+    own score.  With one a pair merges if the names that both are called by then score at least `least`: judge takes
+    (group, _part, a, b) and returns its rows with a score; what it leaves out or scores as null does not merge, and no
+    pair is judged that the fold does not come to.  Pairs with a null in group, ord, a or b are left out;
+    ord is a number, a string or a time.
+
+    The result is that of the sequential fold, but no task holds more than about `most` pairs: pairs that can't merge
+    go first (_forest), a large group is split where no pair connects it, and a larger part takes turns in order.
+    """
+    if "score" not in pairs.columns:
+        pairs = pairs.withColumn("score", F.lit(None).cast("double"))
+    pairs = written(pairs.select(group, "ord", "a", "b", F.col("score").cast("double").alias("score")).dropna(subset=[group, "ord", "a", "b"]))
+    key = [group, "_part"]
+    blocks = written(_blocks(pairs if judge else _forest(pairs, group, most), group, most).withColumn("first", F.col("a")).withColumn("second", F.col("b")))
+    logs, on = [], None
+    for turn in range((blocks.agg(F.max("_turn")).first()[0] or 0) + 1):
+        block = blocks.where(F.col("_turn") == turn).drop("_turn")
+        if on is not None:
+            for end in ("a", "b"):
+                called = on.select(*key, F.col("name").alias(end), F.col("canonical").alias("_now"))
+                block = block.join(called, [*key, end], "left").withColumn(end, F.coalesce("_now", end)).drop("_now")
+        out = _settled(block, group, judge, least)
+        logs.append(out.where("kind = 0"))
+        step = out.where("kind = 1").select(*key, F.col("a").alias("name"), F.col("b").alias("canonical"))
+        if on is not None:
+            then = step.select(*key, F.col("name").alias("canonical"), F.col("canonical").alias("_now"))
+            step = step.join(on, [*key, "name"], "left_anti").unionByName(on.join(then, [*key, "canonical"], "left").select(*key, "name", F.coalesce("_now", "canonical").alias("canonical")))
+        on = written(step)
+    log = logs[0]
+    for more in logs[1:]:
+        log = log.unionByName(more)
+    return log.select(group, F.col("a").alias("loser"), F.col("b").alias("winner"), "score"), on.select(group, "name", "canonical")
+
+
+def _table_judge(pairs: DataFrame, group: str, least: float | None) -> Judge | None:
+    """A judge that knows the scores that stand in `pairs`, with an ord or without."""
+    scores = pairs.select(group, "a", "b", "score").dropDuplicates([group, "a", "b"])
+    return None if least is None else lambda asked: asked.join(scores, [group, "a", "b"])
+
+
+def merge_names(pairs: DataFrame, group: str, least: float | None = None, most: int = PART) -> DataFrame:
+    """group, loser, winner, score: the merges of merged() over pairs (ord, a, b, score); with `least`, rows without an
+    ord give scores of pairs that the fold may meet."""
+    return merged(pairs, group, least, _table_judge(pairs, group, least), most)[0]
+
+
+def canonical_names(pairs: DataFrame, group: str, least: float | None = None, most: int = PART) -> DataFrame:
+    """group, name, canonical: what each merged name is called after the same fold."""
+    return merged(pairs, group, least, _table_judge(pairs, group, least), most)[1]
 
 
 def merge_components(pairs: DataFrame) -> DataFrame:

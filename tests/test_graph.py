@@ -2,6 +2,7 @@ import os
 import pickle
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -199,11 +200,57 @@ def test_merge_fold(spark):
     unlike = pairs.unionByName(spark.createDataFrame([(1, None, "abcde", "abcdefgh", 0.5)], kind))
     assert [(r.loser, r.winner) for r in ingest.merge_names(unlike, "g", 0.95).collect()] == [("abc", "abcde"), ("yy", "xx")]
     assert {(r.name, r.canonical) for r in ingest.canonical_names(unlike, "g", 0.95).collect()} == {("abc", "abcde"), ("abcde", "abcde"), ("xx", "xx"), ("yy", "xx")}
-    near = {(r.a, r.b) for r in ingest.reachable(pairs, "g").collect()}
-    assert near == {(x, y) for one in (["abc", "abcde", "abcdefgh"], ["xx", "yy"]) for x in one for y in one if x != y}
     assert {(r.name, r.canonical) for r in ingest.merge_components(pairs).collect()} == {("abc", "abcdefgh"), ("abcde", "abcdefgh"), ("abcdefgh", "abcdefgh"), ("xx", "xx"), ("yy", "xx")}
 
 
+def _merges_in_order(pairs, least=None, score=None):
+    """The fold as it is defined: one pair after another, every name renamed at each merge."""
+    called, log = {}, []
+    for _, a, b, s in sorted(pairs):
+        a, b = called.get(a, a), called.get(b, b)
+        p = s if least is None else score(a, b)
+        if a == b or least is not None and p < least:
+            continue
+        winner, loser = (a, b) if len(a) >= len(b) else (b, a)
+        called = {k: winner if v == loser else v for k, v in called.items()} | {loser: winner, winner: winner}
+        log.append((loser, winner, p))
+    return log, called
+
+
+@pytest.mark.parametrize("judged", [False, True])
+@pytest.mark.parametrize("most", [7, 1000])
+def test_merges_in_parallel_are_those_in_order(spark, judged, most):
+    rng = random.Random(5)
+    names = ["n" * rng.randrange(1, 4) + str(i) for i in range(60)]
+    few = [(1, i, *rng.sample(names[:40], 2), rng.random()) for i in range(55)]
+    hub = [(2, i, "hub", n, 0.5) if i % 2 else (2, i, n, "hub", 0.5) for i, n in enumerate(rng.sample(names, 30))]
+    chain = [(3, 20 - i, names[i], names[i + 1], 0.25) for i in range(20)]
+    tied = [(4, 0, "a", "b", 0.1), (4, 0, "a", "c", 0.2), (4, 0, "a", "c", 0.2), (4, 1, "b", "b", 0.3)]
+    odd = [(None, 1, "a", "b", 0.1), (5, None, "a", "b", 0.1), (5, 1, None, "b", 0.1)]
+    pairs = spark.createDataFrame(few + hub + chain + tied + odd, "g int, ord int, a string, b string, score double").repartition(4)
+    score = lambda a, b: zlib.crc32(f"{a} {b}".encode()) % 1000 / 1000
+    asked = []
+
+    def judge(rows):
+        asked.append(rows.count())
+        return rows.withColumn("score", F.pmod(F.crc32(F.concat_ws(" ", "a", "b").cast("binary")), F.lit(1000)) / 1000)
+
+    log, called = ingest.merged(pairs, "g", 0.4 if judged else None, judge if judged else None, most)
+    got, on = log.collect(), called.collect()
+    for g, of in ((1, few), (2, hub), (3, chain), (4, tied)):
+        merges, names_on = _merges_in_order([x[1:] for x in of], 0.4 if judged else None, score)
+        assert sorted((r.loser, r.winner, r.score) for r in got if r.g == g) == sorted(merges)
+        assert {r.name: r.canonical for r in on if r.g == g} == names_on
+    assert {r.g for r in on} <= {1, 2, 3, 4}
+    assert not judged or len(asked) > 1  # new names were asked about
+
+
+def test_merges_of_nothing(spark):
+    none = spark.createDataFrame([], "g int, ord int, a string, b string")
+    log, called = ingest.merged(none, "g")
+    assert (log.columns, log.count(), called.columns, called.count()) == (["g", "loser", "winner", "score"], 0, ["g", "name", "canonical"], 0)
+
+
 def test_names_merge_by_their_context(spark):
     rows = [("Ada Lovelace", "Ada Lovelaces", "Ada Lovelace wrote"), ("Ada", "Bob", "Bob met Ada"), ("Ada", "Bob", f"{'x' * 300} Ada"), ("Ada", "Ada", None)]
     df = spark.createDataFrame(rows, "a string, b string, c string")
