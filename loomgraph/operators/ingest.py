@@ -145,7 +145,7 @@ def should_merge(a: Column, b: Column, context: Column, scorer: d.Scorer = d.lex
 PART = 200_000
 
 
-class _Roots:
+class Roots:
     """What names are called, as trees: a merge is one link, and looking up shortens the way."""
 
     def __init__(self) -> None:
@@ -170,7 +170,7 @@ def _fold(frame: pd.DataFrame, score: dict[tuple[str, str], float], least: float
 
     A missing score is taken as too small, only to see which others will be asked for; with one the rest is not final.
     """
-    roots, log, asked = _Roots(), [], {}
+    roots, log, asked = Roots(), [], {}
     for r in frame.sort_values(["ord", "first", "second"]).itertuples():
         a, b = roots.of(r.a), roots.of(r.b)
         if a == b:
@@ -197,7 +197,7 @@ def _forest(pairs: DataFrame, group: str, most: int) -> DataFrame:
     """
 
     def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        roots, kept = _Roots(), []
+        roots, kept = Roots(), []
         frame = frame.sort_values(["ord", "a", "b"], ignore_index=True)
         for i, (a, b) in enumerate(zip(frame["a"], frame["b"], strict=True)):
             a, b = roots.of(a), roots.of(b)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import EngineConfig
 from loomgraph.functions import decision as d
 from loomgraph.operators import algorithms, engine, ingest, measure, post, retrieve
+from loomgraph.operators.upkeep import Components
 from loomgraph.sources.business_graph import SQL as GRAPH
 from loomgraph.sources.business_graph import business_graph, read
 from loomgraph.sources.changes import ChangeStore
@@ -245,6 +246,25 @@ def wcc(spark, sf_dir):
     return algorithms.components(business_graph(spark, sf_dir).edges)
 
 
+_GONE = "(rel_type = 'LOCATED_IN' AND cast(split_part(src, ':', 2) AS bigint) % 10 = 0 OR rel_type = 'PLACED_BY' AND cast(split_part(tgt, ':', 2) AS bigint) % 10 = 0)"
+
+
+@query(f"{GRAPH}, more AS (SELECT DISTINCT 'event:' || (event_id % 1000)::BIGINT AS src, 'customer:' || (event_id % 30 * 10)::BIGINT AS tgt FROM events), "
+       f"kept AS (SELECT src, tgt FROM edges WHERE NOT {_GONE} UNION SELECT src, tgt FROM more), names AS (SELECT name FROM nodes UNION SELECT src FROM more UNION SELECT tgt FROM more), "
+       f"{_BOTH.replace('FROM edges', 'FROM kept')}, {_least_steps(12)} SELECT name, coalesce(c, name) AS community FROM names LEFT JOIN w12 USING (name)")
+def wcc_kept(spark, sf_dir):
+    """Components that follow a graph through changes: a tenth of the customers lose their orders and nations, suppliers
+    theirs, then events join customers."""
+    full, at = business_graph(spark, sf_dir), f"{own_dir(spark)}/components-{uuid.uuid4().hex}"
+    e = F.col("event_id").cast("long")
+    more = read(spark, sf_dir, "events").select(F.concat(F.lit("event:"), e % 1000).alias("src"), F.concat(F.lit("customer:"), e % 30 * 10).alias("tgt")).distinct()
+    gone = full.edges.where(_GONE)
+    store = ChangeStore.create(spark, f"{at}/graph", full)
+    now = Components.build(full, f"{at}/labels")
+    store = store.delete_edges(gone)
+    return now.removed(gone, store).added(more).all()
+
+
 def _core_steps(n: int) -> str:
     """Each node takes the h-index of its neighbours' numbers, from the degrees on, n times."""
     out = ["k0 AS MATERIALIZED (SELECT a AS name, count(*) AS h FROM both_ways GROUP BY a)"]
