@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.config import EngineConfig
 from loomgraph.functions import decision as d
-from loomgraph.operators import algorithms, engine, ingest, measure, post, retrieve
+from loomgraph.operators import algorithms, engine, ingest, learnt, measure, post, retrieve
 from loomgraph.operators.upkeep import Components
 from loomgraph.sources.business_graph import SQL as GRAPH
 from loomgraph.sources.business_graph import business_graph, read
@@ -152,6 +152,24 @@ def graph_changes(spark, sf_dir):
     return nodes.unionByName(g.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("name"), F.concat_ws(" ", "tgt", "rel_type").alias("other"), last))
 
 
+@query()
+def word_vectors(spark, sf_dir):
+    """Vectors learnt from all documents; by test against a dense decomposition."""
+    return learnt.word_vectors(read(spark, sf_dir, "documents")).withColumnRenamed("vector", "embedding")
+
+
+_PAIR_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_PAIR_WORDS} AS w FROM documents)),
+  p AS (SELECT x.w AS a, y.w AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i + 1 AND x.i + 4),
+  n AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, count(*) AS n FROM p GROUP BY a, b UNION ALL SELECT b, a, count(*) FROM p WHERE a <> b GROUP BY a, b) GROUP BY a, b),
+  m AS (SELECT a, sum(n) AS s FROM n GROUP BY a HAVING sum(n) >= 5), r AS (SELECT n.a, n.b, ln(n.n::DOUBLE * (SELECT sum(s) FROM m) / (x.s::DOUBLE * y.s)) AS w FROM n JOIN m x ON x.a = n.a JOIN m y ON y.a = n.b)
+  SELECT a, b, round(w, 6) AS w FROM r WHERE w > 0""")
+def word_neighbours(spark, sf_dir):
+    return learnt.neighbours(read(spark, sf_dir, "documents")).select("a", "b", F.round("w", 6).alias("w"))
+
+
 @query("SELECT s_suppkey AS vec_id, embedding[1] AS first FROM supplier JOIN embeddings ON vec_id = s_suppkey")
 def embedding_upsert(spark, sf_dir):
     store = business_graph(spark, sf_dir)

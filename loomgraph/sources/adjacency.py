@@ -19,7 +19,7 @@ from loomgraph.tables import forget, own_dir, written
 HUB, FEW = 4096, 1000
 
 
-def _bucketed(rows: DataFrame, key: str, buckets: int) -> str:
+def bucketed(rows: DataFrame, key: str, buckets: int) -> str:
     """Write rows in buckets of `key`, one file each; the table's name.  Its files lie in the shared folder.  Rows that
     are already dealt by the key into as many partitions are not shuffled again."""
     spark, name = rows.sparkSession, f"loomgraph_{uuid.uuid4().hex}"
@@ -56,7 +56,7 @@ class Adjacency:
         hubs = _hubs(known, "src", buckets, least)
         whole = known.join(ranks, "tgt").select("src", "tgt", "rel_type", "pagerank")
         apart = written(whole.where(F.col("src").isin(hubs)))
-        return cls(spark, _bucketed(whole.where(~F.col("src").isin(hubs)).repartition(buckets, "src"), "src", buckets), buckets, tuple(hubs), apart)
+        return cls(spark, bucketed(whole.where(~F.col("src").isin(hubs)).repartition(buckets, "src"), "src", buckets), buckets, tuple(hubs), apart)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -112,7 +112,7 @@ class Links:
         hubs = _hubs(known, "id", buckets, least)
         apart = written(known.where(F.col("id").isin(hubs)).distinct())
         # Dealt by id alone, repeated edges meet where they stay.
-        return cls(spark, nodes, _bucketed(known.where(~F.col("id").isin(hubs)).repartition(buckets, "id").distinct(), "id", buckets), tuple(hubs), apart)
+        return cls(spark, nodes, bucketed(known.where(~F.col("id").isin(hubs)).repartition(buckets, "id").distinct(), "id", buckets), tuple(hubs), apart)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table).unionByName(self.hub_edges) if self.hubs else self.spark.table(self.table)

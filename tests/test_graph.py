@@ -402,7 +402,7 @@ def _text(v):
     return f"{v:.5f}" if isinstance(v, float) else str(float(v)) if hasattr(v, "as_tuple") else str(v)
 
 
-CHECKED = """wcc_kept neighbors_out node_upsert edge_upsert_guarded graph_changes store_roundtrip vector_topk_lists edge_delete vector_topk khop_counts khop_paths hop_walk chunks_fold ner_regex entity_merge_cc edge_prune align_edges
+CHECKED = """wcc_kept word_neighbours neighbors_out node_upsert edge_upsert_guarded graph_changes store_roundtrip vector_topk_lists edge_delete vector_topk khop_counts khop_paths hop_walk chunks_fold ner_regex entity_merge_cc edge_prune align_edges
 choice_argmax ask_batch score_detailed softmax_scores cloud_batch cloud_decode bestfirst_tree beam_level early_exit answer_local format_bullets citations conflict_log ablation_log_stats ablation_primary ab_prompts ner_parse""".split()
 
 
