@@ -165,9 +165,11 @@ _PAIR_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\
   p AS (SELECT x.w AS a, y.w AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i + 1 AND x.i + 4),
   n AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, count(*) AS n FROM p GROUP BY a, b UNION ALL SELECT b, a, count(*) FROM p WHERE a <> b GROUP BY a, b) GROUP BY a, b),
   m AS (SELECT a, sum(n) AS s FROM n GROUP BY a HAVING sum(n) >= 5), r AS (SELECT n.a, n.b, ln(n.n::DOUBLE * (SELECT sum(s) FROM m) / (x.s::DOUBLE * y.s)) AS w FROM n JOIN m x ON x.a = n.a JOIN m y ON y.a = n.b)
-  SELECT a, b, round(w, 6) AS w FROM r WHERE w > 0""")
+  SELECT a AS word, count(*) AS n, round(sum(w), 4) AS weight, round(max(w), 6) AS greatest FROM r WHERE w > 0 GROUP BY a""")
 def word_neighbours(spark, sf_dir):
-    return learnt.neighbours(read(spark, sf_dir, "documents")).select("a", "b", F.round("w", 6).alias("w"))
+    """Of each word of the documents: how many words it stands beside more often than by chance, and how much more."""
+    pairs = learnt.neighbours(read(spark, sf_dir, "documents"))
+    return pairs.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("weight"), F.round(F.max("w"), 6).alias("greatest"))
 
 
 @query("SELECT s_suppkey AS vec_id, embedding[1] AS first FROM supplier JOIN embeddings ON vec_id = s_suppkey")
