@@ -18,9 +18,11 @@ MOST, MOST_SQUARED = 2**31, 2**57
 #: Pivots, and the rows of a bounded sample that they are chosen from; they decide what is measured, never what is found.
 PIVOTS, SAMPLE = 8, 2048
 #: Rows in a group that travels, and in a leaf that is bounded as one; anchors in a block; groups that meet a copy of it.
-GROUP, LEAF, BLOCK, STRIPE = 4096, 512, 2048, 16
+GROUP, LEAF, BLOCK, STRIPE = 4096, 512, 2048, 64
 #: Anchors that meet a leaf at a time.
 TILE = 256
+#: Anchors of a tile that try a leaf's rows by pivots first; if more than a PRUNED-th of them survive, all are multiplied.
+TRIED, PRUNED = 8, 8
 _NONE = np.iinfo(np.int64).min
 
 _ROWS = "vec_id long, label long, square long, data binary"
@@ -117,6 +119,7 @@ class _Search:
         # No partial sum of a score is larger than this, so these types hold it exactly.
         bound = math.sqrt(squares.max()) * math.sqrt(pivots.greatest)
         self.exact = np.float32 if bound < 2**23 else np.float64 if bound < 2**52 else np.int64
+        self.factors = self.x.astype(self.exact)
         self.each = each
         self.low = np.array([x for r in block for x in r["low"]], np.int64).reshape(-1, each)
         self.high = np.array([x for r in block for x in r["high"]], np.int64).reshape(-1, each)
@@ -132,11 +135,12 @@ class _Search:
             return
         ids = np.frombuffer(group["ids"], np.int64)
         x, far = np.frombuffer(group["data"], "<i4").reshape(len(ids), -1), np.frombuffer(group["far"], np.float64).reshape(len(ids), -1)
+        factors = x.astype(self.exact)
         for at in range(0, len(ids), LEAF):
             leaf = slice(at, at + LEAF)
             near = self._near(own, far[leaf])
             for k in range(0, len(near), TILE):
-                self._leaf(near[k : k + TILE], ids[leaf], x[leaf], far[leaf])
+                self._leaf(near[k : k + TILE], ids[leaf], x[leaf], factors[leaf], far[leaf])
 
     def _bounds(self, own: np.ndarray) -> tuple[np.ndarray, ...]:
         """What any slot of an anchor needs at least and takes at most, and as distances: at most, at least."""
@@ -155,30 +159,38 @@ class _Search:
         q, low, high = self.far[own], far.min(axis=0), far.max(axis=0)
         return own[(np.maximum(q - high, low - q).max(axis=1) <= reach) & ((q + high).min(axis=1) >= beyond)]
 
-    def _leaf(self, own: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> None:
-        need, most, reach, beyond = self._bounds(own)
-        survive = self.ids[own][:, None] != ids[None, :]
-        for j in range(far.shape[1]):  # |q - f| <= reach and q + f >= beyond
+    def _survivors(self, own: np.ndarray, far: np.ndarray, reach: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+        """Which rows of a leaf the pivots leave to each anchor: |q - f| <= reach and q + f >= beyond."""
+        survive = np.ones((len(own), len(far)), bool)
+        for j in range(far.shape[1]):
             q = self.far[own, j]
             survive &= (far[None, :, j] >= np.maximum(q - reach, beyond - q)[:, None]) & (far[None, :, j] <= (q + reach)[:, None])
-        if np.count_nonzero(survive) * 8 > survive.size:
-            if self.exact == np.int64:
-                whole = self.x[own] @ x.astype(np.int64).T
-            else:
-                whole = (self.x[own].astype(self.exact) @ x.astype(self.exact).T).astype(np.int64)
-            survive &= (whole >= need[:, None]) & (whole <= most[:, None])
-            row, col = np.nonzero(survive)
-            score = whole[row, col]
+        return survive
+
+    def _leaf(self, own: np.ndarray, ids: np.ndarray, x: np.ndarray, factors: np.ndarray, far: np.ndarray) -> None:
+        need, most, reach, beyond = self._bounds(own)
+        some = slice(None, None, max(1, len(own) // TRIED))
+        tried = self._survivors(own[some], far, reach[some], beyond[some])
+        if np.count_nonzero(tried) * PRUNED > tried.size:
+            # What is exact in a type is compared in it: a bound beyond its reach is beyond every score as well.
+            whole = self.factors[own] @ factors.T
+            kept = whole >= need.astype(self.exact)[:, None]
+            if (most < np.iinfo(np.int64).max).any():
+                kept &= whole <= most.astype(self.exact)[:, None]
+            row, col = np.nonzero(kept)
+            score = whole[row, col].astype(np.int64)
         else:
-            row, col = np.nonzero(survive)
+            row, col = np.nonzero(self._survivors(own, far, reach, beyond))
             score = (self.x[own[row]] * x[col].astype(np.int64)).sum(axis=1)
+        other = np.flatnonzero(self.ids[own[row]] != ids[col])
+        row, col, score = row[other], col[other], score[other]
         k = self.scores.shape[1]
         for j in range(self.each):
             slot = own * self.each + j
             least = np.maximum(self.low[own, j], self.scores[slot, -1])
             fit = np.flatnonzero((score >= least[row]) & (score <= self.high[own[row], j]))
             if len(fit) > 4 * k * len(own):  # a first leaf: only what may be among the best of it
-                dense = np.full(survive.shape, _NONE)
+                dense = np.full((len(own), len(ids)), _NONE)
                 dense[row[fit], col[fit]] = score[fit]
                 least = np.maximum(least, np.partition(dense, dense.shape[1] - k, axis=1)[:, -k])
                 fit = fit[score[fit] >= least[row[fit]]]
@@ -198,7 +210,9 @@ def _searched(groups: DataFrame, blocks: DataFrame, stripes: int, sent, k: int,
     """
     left = blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
     right = groups.withColumn("stripe", F.pmod(F.xxhash64("group"), F.lit(stripes)).cast("int"))
-    pairs = left.join(right, ["dim", "stripe"]).select("dim", "block", "stripe", "anchors", "label", "ids", "data", "far")
+    # Dealt by number, so that Spark does not bring stripes, small but much work, together in few tasks.
+    dealt = [df.repartition(stripes, "dim", "stripe") for df in (left, right.hint("merge"))]
+    pairs = dealt[0].join(dealt[1], ["dim", "stripe"]).select("dim", "block", "stripe", "anchors", "label", "ids", "data", "far")
 
     def run(batches):
         now = search = None
