@@ -81,16 +81,17 @@ def choose(asked: DataFrame, key: str, options: DataFrame, context: Column, inst
         raise ValueError("a choice needs options")
     prepare, compare = getattr(scorer, "prepare", None), getattr(scorer, "compare", scorer)
     made = prepare or (lambda text: text)
-    found = F.array(*[
-        F.struct(score(probabilities(compare(F.col("_context"), made(F.concat_ws(" ", instruction, F.lit(r.description)))))).alias("s"), F.lit(-i).alias("first"), F.lit(r.option).alias("option"))
-        for i, r in enumerate(listed)
-    ])
-    asked_columns = asked.columns
-    asked = asked.withColumn("_context", made(context))
-    with_all = asked.withColumn("_found", found).withColumn("_best", F.array_max("_found")).withColumn("_sum", F.aggregate("_found", F.lit(0.0), lambda a, x: a + x["s"]))
-    probs = F.map_from_entries(F.transform("_found", lambda x: F.struct(x["option"], F.round(x["s"], 4))))
-    with_all = with_all.withColumn("_probs", probs)
-    return with_all.select(*asked_columns, F.col("_probs").alias("raw_probs"), F.col("_best.option").alias("option"), F.col("_best.s").alias("best"), (F.col("_best.s") / F.when(F.col("_sum") == 0, F.lit(1.0)).otherwise(F.col("_sum"))).alias("confidence"))
+    asked_columns, n = asked.columns, len(listed)
+    # Columns, not an array with lambdas, so that all of it is compiled and a scorer is asked once for each option.
+    shares = asked.withColumn("_context", made(context)).select(*asked_columns, *[compare(F.col("_context"), made(F.concat_ws(" ", instruction, F.lit(r.description)))).alias(f"_o{i}") for i, r in enumerate(listed)])
+    scores = shares.select(*asked_columns, *[score(probabilities(F.col(f"_o{i}"))).alias(f"_s{i}") for i in range(n)])
+    s = [F.col(f"_s{i}") for i in range(n)]
+    with_sum = scores.withColumns({"_best": F.greatest(*s) if n > 1 else s[0], "_sum": sum(s, F.lit(0.0))})
+    option = F.lit(listed[0].option)
+    for i in reversed(range(n)):
+        option = F.when(s[i] == F.col("_best"), F.lit(listed[i].option)).otherwise(option)
+    probs = F.create_map(*[x for i, r in enumerate(listed) for x in (F.lit(r.option), F.round(s[i], 4))])
+    return with_sum.select(*asked_columns, probs.alias("raw_probs"), option.alias("option"), F.col("_best").alias("best"), (F.col("_best") / F.when(F.col("_sum") == 0, F.lit(1.0)).otherwise(F.col("_sum"))).alias("confidence"))
 
 
 def ask(kind: Column, p: Column, selected: Column | None = None) -> Column:

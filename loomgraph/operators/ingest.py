@@ -374,10 +374,9 @@ def align(relations: DataFrame, least: float = 0.25, ontology: list[tuple[str, s
 
 def align_edges(edges: DataFrame, least: float = 0.25, ontology: list[tuple[str, str]] = ONTOLOGY, fallback: str = FALLBACK, scorer: d.Scorer = d.lexical) -> DataFrame:
     """`edges` with all their columns, rel_type brought to the ontology.  The ends of an edge, where it has them, are
-    read beside its relation; each distinct (rel_type, src, tgt) is scored once."""
+    read beside its relation; each edge is scored where it stands, so nothing is shuffled."""
     part = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     raw = F.lower(F.translate(F.coalesce("rel_type", F.lit("")), "_-", "  "))
-    found = _aligned(edges.select("rel_type", "src", "tgt").distinct(), F.concat_ws(" ", raw, part("src"), part("tgt")), least, ontology, fallback, scorer)
-    a, b = edges.alias("a"), found.alias("b")
-    same = F.col("a.rel_type").eqNullSafe(F.col("b.rel_type")) & F.col("a.src").eqNullSafe(F.col("b.src")) & F.col("a.tgt").eqNullSafe(F.col("b.tgt"))
-    return a.join(b, same, "left").select(*[F.coalesce("b.key", F.lit(fallback)).alias(c) if c == "rel_type" else F.col(f"a.`{c}`") for c in edges.columns])
+    whole = edges.select(F.struct(*[F.col(f"`{c}`") for c in edges.columns]).alias("row"), "rel_type", "src", "tgt")
+    found = _aligned(whole, F.concat_ws(" ", raw, part("src"), part("tgt")), least, ontology, fallback, scorer)
+    return found.select(*[F.coalesce("key", F.lit(fallback)).alias(c) if c == "rel_type" else F.col("row")[c].alias(c) for c in edges.columns])

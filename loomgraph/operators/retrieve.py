@@ -44,6 +44,8 @@ def scored_edges(store: GraphStore, frontier: DataFrame, scorer: d.Scorer = d.le
 def bfs(store: GraphStore, frontier: DataFrame, keep: float = 0.6, scorer: d.Scorer = d.lexical) -> DataFrame:
     """One hop: edges with a score of at least `keep`; edge_ord is their order for each question, the best first."""
     kept = scored_edges(store, frontier, scorer).where(F.col("score") >= keep).drop("question")
+    if store.adjacency is not None:  # in tasks that don't grow with the graph
+        kept = kept.repartition(store.adjacency.buckets, "query_id")
     return d.ranked(kept, ["query_id"], F.desc("score"), F.col("src"), F.col("tgt"), F.col("rel_type")).withColumnRenamed("rank", "edge_ord")
 
 

@@ -14,7 +14,7 @@ from loomgraph.functions import decision as d
 from loomgraph.operators import algorithms, engine, ingest, learnt, measure, post, retrieve
 from loomgraph.operators.upkeep import Components
 from loomgraph.sources.business_graph import SQL as GRAPH
-from loomgraph.sources.business_graph import business_graph, read
+from loomgraph.sources.business_graph import business_graph, graph_by_source, read
 from loomgraph.sources.changes import ChangeStore
 from loomgraph.sources.factory import open_store
 from loomgraph.sources.store import EDGE, GraphStore
@@ -70,7 +70,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAPH + " SELECT src, tgt, rel_type, coalesce(pagerank, 0.0) AS pagerank FROM edges JOIN nodes ON name = tgt")
 def neighbors_out(spark, sf_dir):
-    store = business_graph(spark, sf_dir)
+    store = graph_by_source(spark, sf_dir)
     return store.neighbors(store.nodes.select(F.col("name").alias("src")))
 
 
@@ -325,7 +325,7 @@ def khop_paths(spark, sf_dir):
 
 @query(f"{GRAPH}, f AS (SELECT src, min(tgt) AS tgt FROM edges GROUP BY src), " + ", ".join(["n1 AS (SELECT s.name AS src, f.tgt AS node FROM nodes s JOIN f ON f.src = s.name)"] + [f"n{i + 1} AS (SELECT n.src, f.tgt AS node FROM n{i} n JOIN f ON f.src = n.node)" for i in range(1, 4)]) + " " + " UNION ALL ".join(f"SELECT {i}::INT AS hop, src, node FROM n{i}" for i in range(1, 5)))
 def hop_walk(spark, sf_dir):
-    store = business_graph(spark, sf_dir)
+    store = graph_by_source(spark, sf_dir)
     return measure.follow(store, store.nodes.select(F.col("name").alias("src")))
 
 
@@ -585,17 +585,19 @@ _SE = f"{GRAPH}, st AS (SELECT o_orderkey::BIGINT AS query_id, 'which part and c
 
 
 def _first_edges(spark, sf_dir):
-    return retrieve.scored_edges(business_graph(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
+    """Dealt by question once, for all that follows, in as many tasks as the edges have buckets."""
+    store = graph_by_source(spark, sf_dir)
+    return retrieve.scored_edges(store, _starts(spark, sf_dir).withColumnRenamed("seed", "src")).repartition(store.adjacency.buckets, "query_id")
 
 
 @query(f"{_SE} SELECT query_id, src, tgt, rel_type, pagerank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, tgt, rel_type)::INT AS edge_ord FROM se WHERE score >= 0.6")
 def bfs_gated(spark, sf_dir):
-    return retrieve.bfs(business_graph(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
+    return retrieve.bfs(graph_by_source(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
 
 
 @query(f"{GRAPH}, e AS (SELECT edges.*, coalesce(pagerank, 0.0) AS pagerank, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges JOIN nodes ON name = tgt) SELECT src, tgt, round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * 2, 6) AS f FROM e")
 def fscore(spark, sf_dir):
-    store = business_graph(spark, sf_dir)
+    store = graph_by_source(spark, sf_dir)
     front = store.nodes.select(F.lit(0).cast("long").alias("query_id"), F.lit(ASKED).alias("question"), F.col("name").alias("src"))
     return retrieve.scored_edges(store, front).select("src", "tgt", F.round(retrieve.f_score(F.col("score"), F.col("pagerank"), F.lit(2)), 6).alias("f"))
 
@@ -612,7 +614,7 @@ def _some_orders(spark, sf_dir):
 
 @query()
 def bestfirst_general(spark, sf_dir):
-    return retrieve.traverse(business_graph(spark, sf_dir), _some_orders(spark, sf_dir))
+    return retrieve.traverse(graph_by_source(spark, sf_dir), _some_orders(spark, sf_dir))
 
 
 def _beam_sql(depth: int) -> str:
@@ -630,12 +632,12 @@ def beam_level(spark, sf_dir):
 
 @query()
 def greedy(spark, sf_dir):
-    return retrieve.walk_greedily(business_graph(spark, sf_dir), _some_orders(spark, sf_dir), "region:3").select("query_id", "seed", "path")
+    return retrieve.walk_greedily(graph_by_source(spark, sf_dir), _some_orders(spark, sf_dir), "region:3").select("query_id", "seed", "path")
 
 
 @query()
 def greedy_vs_best(spark, sf_dir):
-    return retrieve.expansions(business_graph(spark, sf_dir), _some_orders(spark, sf_dir), "region:3")
+    return retrieve.expansions(graph_by_source(spark, sf_dir), _some_orders(spark, sf_dir), "region:3")
 
 
 @query(f"{_SE}, p AS (SELECT query_id, seed || ' → ' || tgt AS way, 'order ' || query_id || ' of orders part ' || tgt AS question FROM se) SELECT query_id, way, round({_overlap('question', 'way')} * {_overlap('question', 'way')}, 6) AS p, {_overlap('question', 'way')} * {_overlap('question', 'way')} > 0.95 AS stops FROM p")
@@ -821,4 +823,4 @@ def answer_routed(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("query_id"), F.concat(F.lit("supplier "), "s_suppkey", F.lit(" nation "), "s_nationkey").alias("about"))
     how = F.when(F.col("query_id") % 3 == 0, F.lit("")).when(F.col("query_id") % 3 == 1, F.lit("how things connect ")).otherwise(F.lit("a summary "))
     # Word overlap supports little of a question, so the gate is lower than a model's.
-    return engine.answer(business_graph(spark, sf_dir), s.select("query_id", F.concat(how, "about").alias("text")), config=EngineConfig(gate=0.2))
+    return engine.answer(graph_by_source(spark, sf_dir), s.select("query_id", F.concat(how, "about").alias("text")), config=EngineConfig(gate=0.2))

@@ -17,6 +17,8 @@ from loomgraph.tables import forget, own_dir, written
 
 #: Edges that a node has at least if it is to be a hub; names of a frontier that are few enough to choose buckets by.
 HUB, FEW = 4096, 1000
+#: Edges of a bucket, by name and by number: a task's memory doesn't grow with the graph.
+NAMED, NUMBERED = 500_000, 2_000_000
 
 
 def bucketed(rows: DataFrame, key: str, buckets: int) -> str:
@@ -27,13 +29,15 @@ def bucketed(rows: DataFrame, key: str, buckets: int) -> str:
     return name
 
 
-def _hubs(edges: DataFrame, key: str, buckets: int, least: int) -> list:
-    """The sources of more than a bucket's share of all edges, so no more of them than buckets."""
+def _dealt(edges: DataFrame, key: str, buckets: int | None, least: int, most: int) -> tuple[int, list]:
+    """How many buckets the edges need, where it is not given, so that none holds many more than `most`; and the sources
+    of more than a bucket's share of all edges, so no more of them than buckets."""
     sizes = written(edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-    share = (sizes.agg(F.sum("n")).first()[0] or 0) / buckets
-    found = [r[key] for r in sizes.where(F.col("n") > max(share, least)).select(key).collect()]
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    buckets = buckets or max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    found = [r[key] for r in sizes.where(F.col("n") > max(total / buckets, least)).select(key).collect()]
     forget(sizes)
-    return found
+    return buckets, found
 
 
 @dataclass(frozen=True)
@@ -50,10 +54,9 @@ class Adjacency:
     @classmethod
     def build(cls, nodes: DataFrame, edges: DataFrame, buckets: int | None = None, least: int = HUB) -> Adjacency:
         spark = edges.sparkSession
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         ranks = nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
         known = edges.where("src is not null").select("src", "tgt", "rel_type")
-        hubs = _hubs(known, "src", buckets, least)
+        buckets, hubs = _dealt(known, "src", buckets, least, NAMED)
         whole = known.join(ranks, "tgt").select("src", "tgt", "rel_type", "pagerank")
         apart = written(whole.where(F.col("src").isin(hubs)))
         return cls(spark, bucketed(whole.where(~F.col("src").isin(hubs)).repartition(buckets, "src"), "src", buckets), buckets, tuple(hubs), apart)
@@ -65,10 +68,11 @@ class Adjacency:
         """Outgoing edges of frontier(src, ...), with all its columns: tgt, rel_type, pagerank.
 
         The frontier goes to the edges' buckets; the edges stay where they are.  Of a few names only their buckets are
-        read."""
-        names = [r["src"] for r in frontier.select("src").distinct().limit(FEW + 1).collect()]
+        read.  Whether they are few its first rows tell, so that a large frontier is not made twice."""
+        first = frontier.select("src").limit(10 * FEW).collect()
+        names = {r["src"] for r in first}
         rows = self.rows()
-        if len(names) <= FEW:
+        if len(first) < 10 * FEW and len(names) <= FEW:
             rows = rows.where(F.col("src").isin([n for n in names if n is not None]))
         columns = [*frontier.columns, "tgt", "rel_type", "pagerank"]
         found = frontier.join(rows, "src").select(*columns)
@@ -99,7 +103,6 @@ class Links:
     @classmethod
     def build(cls, edges: DataFrame, both: bool = False, buckets: int | None = None, least: int = HUB, number=F.xxhash64) -> Links:
         spark = edges.sparkSession
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         pairs = edges.select(F.col("src").alias("a"), F.col("tgt").alias("b")).where("a is not null and b is not null")
         ends, salt = written(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()), 0
         while not ends.groupBy(number("name", F.lit(salt))).count().where("count > 1").isEmpty():
@@ -109,7 +112,7 @@ class Links:
         known = pairs.select(number("a", F.lit(salt)).alias("id"), number("b", F.lit(salt)).alias("to"))
         if both:
             known = known.where("id <> to").select(F.inline(F.array(F.struct("id", "to"), F.struct(F.col("to").alias("id"), F.col("id").alias("to")))))
-        hubs = _hubs(known, "id", buckets, least)
+        buckets, hubs = _dealt(known, "id", buckets, least, NUMBERED)
         apart = written(known.where(F.col("id").isin(hubs)).distinct())
         # Dealt by id alone, repeated edges meet where they stay.
         return cls(spark, nodes, bucketed(known.where(~F.col("id").isin(hubs)).repartition(buckets, "id").distinct(), "id", buckets), tuple(hubs), apart)

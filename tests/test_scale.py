@@ -30,3 +30,24 @@ def test_pairs_of_words_travel_as_numbers(spark, monkeypatch):
     wanted = {p for p, k in n.items() if k * sum(of.values()) > of[p[0]] * of[p[1]]}
     assert {tuple(sorted((name[r.a], name[r.b]))) for r in pairs.collect()} == wanted and len(wanted) > 5
     assert {(r.a, r.b) for r in learnt.neighbours(docs, 2, 1).collect()} == wanted | {(b, a) for a, b in wanted}
+
+
+def test_edges_are_brought_to_the_ontology_where_they_stand(spark):
+    from loomgraph.operators import ingest
+
+    edges = spark.range(20, numPartitions=2).select(F.concat(F.lit("a"), "id").alias("src"), F.lit("b").alias("tgt"), F.lit("located_in").alias("rel_type"), F.col("id").alias("n"))
+    found = ingest.align_edges(edges)
+    assert "Exchange" not in plan(found)
+    assert {r.rel_type for r in found.collect()} == {"LOCATED_IN"} and found.count() == 20
+
+
+def test_only_fetches_lay_the_graph_out(spark, sf_dir):
+    """The edges by source are made for queries that fetch; buckets grow with the edges."""
+    from loomgraph.sources import adjacency, business_graph
+
+    assert business_graph.business_graph(spark, sf_dir).adjacency is None
+    store = business_graph.graph_by_source(spark, sf_dir)
+    assert store.adjacency is not None and store is business_graph.graph_by_source(spark, sf_dir)
+    known = store.edges.select("src", "tgt")
+    n = known.count()
+    assert adjacency._dealt(known, "src", None, 4096, 100)[0] == -(-n // 100) and adjacency._dealt(known, "src", None, 4096, n)[0] == 3
