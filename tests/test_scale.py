@@ -51,3 +51,26 @@ def test_only_fetches_lay_the_graph_out(spark, sf_dir):
     known = store.edges.select("src", "tgt")
     n = known.count()
     assert adjacency._dealt(known, "src", None, 4096, 100)[0] == -(-n // 100) and adjacency._dealt(known, "src", None, 4096, n)[0] == 3
+
+
+def test_pagerank_of_nx_ends_with_the_longest_path(spark, monkeypatch):
+    from loomgraph.operators import algorithms
+
+    def dense(pairs, steps=20):
+        names = sorted({x for p in pairs for x in p})
+        r = {x: 1 / len(names) for x in names}
+        out = {x: [b for a, b in pairs if a == x] for x in names}
+        for _ in range(steps):
+            r, was = {x: 0.15 / len(names) + 0.85 * sum(r[y] for y in names if not out[y]) / len(names) for x in names}, r
+            for a in names:
+                for b in out[a]:
+                    r[b] += 0.85 * was[a] / len(out[a])
+        return r
+
+    steps, real = [], algorithms.written
+    monkeypatch.setattr(algorithms, "written", lambda *a: steps.append(1) or real(*a))
+    for pairs in ([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], [("a", "b"), ("b", "a"), ("b", "c"), ("d", "a")]):
+        steps.clear()
+        found = {r.name: r.pagerank for r in algorithms.pagerank(spark.createDataFrame(pairs, "src string, tgt string")).collect()}
+        assert all(abs(found[x] - v) < 1e-12 for x, v in dense(pairs).items()) and len(found) == 4
+        assert len(steps) < 9 or ("b", "a") in pairs
