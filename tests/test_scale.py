@@ -74,3 +74,29 @@ def test_pagerank_of_nx_ends_with_the_longest_path(spark, monkeypatch):
         found = {r.name: r.pagerank for r in algorithms.pagerank(spark.createDataFrame(pairs, "src string, tgt string")).collect()}
         assert all(abs(found[x] - v) < 1e-12 for x, v in dense(pairs).items()) and len(found) == 4
         assert len(steps) < 9 or ("b", "a") in pairs
+
+
+def test_searches_pass_by_in_sorted_rows(spark, monkeypatch):
+    """Many searches of a task, handed on in pieces of two rows; two seeds of one question that share their nodes."""
+    from loomgraph.operators import retrieve
+    from loomgraph.sources.store import GraphStore
+
+    monkeypatch.setattr(retrieve, "_HELD", (1, 1))
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}", "TO") for i in range(6) for j in range(i + 1, 7)], "src string, tgt string, rel_type string")
+    nodes = spark.createDataFrame([(f"n{i}", float(i)) for i in range(7)], "name string, pagerank double")
+    store = GraphStore(nodes, edges)
+    starts = spark.createDataFrame([(q, f"to n{q}", f"n{s}") for q in range(4) for s in (0, 1, 6)], "query_id long, question string, seed string")
+    found = {}
+    for r in retrieve.traverse(store, starts, 3, 4, None).orderBy("path_ord").collect():
+        found.setdefault((r.query_id, r.seed), []).append(r.path)
+    for (q, seed), paths in found.items():
+        of = {}
+        for r in retrieve.scored_edges(store, spark.createDataFrame([(q, f"to n{q}", f"n{i}") for i in range(7)], "query_id long, question string, src string")).orderBy("src", "tgt").collect():
+            of.setdefault(r.src, []).append((r.tgt, r.score, r.pagerank))
+        assert paths == [p for p, *_ in retrieve.best_first(of, seed, 3, 4)]
+    assert len(found) == 12 and found[0, "n6"] == [["n6"]]
+    plans = []
+    real = retrieve.written
+    monkeypatch.setattr(retrieve, "written", lambda df: plans.append(plan(df)) or real(df))
+    retrieve.traverse(store, starts.limit(3), 2, 4, None).collect()
+    assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroupsInPandas" in p for p in plans)
