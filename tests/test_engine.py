@@ -64,6 +64,20 @@ def test_communities_find_planted_groups(spark):
     assert [tuple(r) for r in algorithms.communities(loops).collect()] == [("a", "a")]
 
 
+def test_a_step_of_communities_sends_each_edge_once(spark, monkeypatch):
+    plans, found, written = [], [], algorithms.written
+    monkeypatch.setattr(algorithms, "written", lambda df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or written(df))
+    for hub in (4096, 3):  # with hubs apart, the same groups
+        monkeypatch.setattr(algorithms, "HUB", hub)
+        plans.clear()
+        pairs = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0"), ("a0", "b1"), ("a0", "x"), ("a0", "y")]
+        found.append(sorted(map(tuple, algorithms.communities(spark.createDataFrame(pairs, "src string, tgt string"), turns=2, levels=1).collect())))
+        # Edges stay in their buckets, and what they send is dealt once; the modularity takes no pass of its own.
+        steps = [p for c, p in plans if c == ["a", "c", "k", "loop", "name"]][1:]
+        assert len(steps) == 3 and all(p.count("RepartitionByExpression") == 1 for p in steps)
+    assert found[0] == found[1] and len(found[0]) == 10
+
+
 def test_documents_to_answers(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Ada Lovelace met Charles Babbage in London Town. Charles Babbage built engines. Ada Lovelace wrote notes."), (2, "Charles Babbage knew Ada Lovelace well."), (3, None), (4, "")], "doc_id long, text string")
     store = engine.build(docs, config=EngineConfig(iterations=3))
