@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -119,12 +120,15 @@ class WordPieces(dict):
         library = Tokenizer.from_file(path)
         self._normal, self._model = library.normalizer, library.model
         self._stand_in = {b: c for c, b in _byte_characters().items()}
+        self._packed = [struct.Struct(f"<{n}{'H' if self.kind.itemsize == 2 else 'I'}").pack for n in range(65)]
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.runs = _Runs(self)
 
     def __missing__(self, word: str) -> bytes:
-        level = "".join(map(self._stand_in.__getitem__, word.encode("utf-8")))
-        ids = np.array([t.id for t in self._model.tokenize(level)], self.kind).tobytes()
+        plain = word.isascii() and word.isprintable() and " " not in word  # bytes that stand for themselves
+        level = word if plain else "".join(map(self._stand_in.__getitem__, word.encode("utf-8")))
+        found = [t.id for t in self._model.tokenize(level)]
+        ids = self._packed[len(found)](*found) if len(found) < len(self._packed) else np.array(found, self.kind).tobytes()
         if len(self) < self.most and len(word) <= 64:
             self[word] = ids
         return ids
@@ -161,7 +165,7 @@ class WordPieces(dict):
     def _put(self, out: list, plain: list[int], texts: list[str]) -> None:
         lists = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
         runs = lists.values.dictionary_encode()
-        known = [self.runs[r] if r else b"" for r in runs.dictionary.to_pylist()]
+        known = list(map(self.runs.__getitem__, runs.dictionary.to_numpy(zero_copy_only=False).tolist()))
         flat = np.frombuffer(b"".join(known), self.kind)
         sizes = np.array([len(x) for x in known], np.int64) // self.kind.itemsize
         starts, at = np.cumsum(sizes) - sizes, runs.indices.to_numpy()
@@ -182,7 +186,8 @@ class _Runs(dict):
         self.words = words
 
     def __missing__(self, run: str) -> bytes:
-        ids = b"".join(map(self.words.__getitem__, _FAST_WORDS.findall(run)))
+        # Of the characters of plain texts all that are letters to Python are letters to the pattern.
+        ids = self.words[run] if run.isalpha() else b"".join(map(self.words.__getitem__, _FAST_WORDS.findall(run)))
         if len(self) < self.words.most and len(run) <= 64:
             self[run] = ids
         return ids

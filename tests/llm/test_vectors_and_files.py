@@ -209,3 +209,18 @@ def test_id_files_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     id_files.write_ids(spark.createDataFrame([], DOCS), PATH, path)
     assert id_files.read_ids(spark, path).collect() == []
+
+
+def test_plain_words_need_no_stand_ins():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm.tokenizer import WordPieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = WordPieces(path), Tokenizer.from_file(path)
+    texts = ["Plain words, 12 of them; it's (so)!", "Straße Öl naïve ÿ", "x" * 300, "!?" * 200, "a\x7fb \x01c \x1fd", "", " ", "ªµº 日本 ﬁ"]
+    assert [x.tolist() for x in own.many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    own = WordPieces(path)
+    own._stand_in = {}
+    assert own.many(texts[:1])[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
