@@ -100,3 +100,23 @@ def test_searches_pass_by_in_sorted_rows(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "written", lambda df: plans.append(plan(df)) or real(df))
     retrieve.traverse(store, starts.limit(3), 2, 4, None).collect()
     assert any("MapInArrow" in p for p in plans) and not any("FlatMapGroupsInPandas" in p for p in plans)
+
+
+def test_components_send_edges_once_a_level(spark, monkeypatch):
+    """Chains, a circle, a star that points outward, loops and null ends, under a first hash that collides: a level sends
+    the edges, not every step of a chain, and nothing is laid out both ways."""
+    from loomgraph.operators import algorithms
+
+    pairs = [("h", f"l{i}") for i in range(9)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(20)] + [("a", "b"), ("b", "c"), ("c", "a"), ("u", "v"), ("v", "u"), ("x", "x"), (None, "y"), ("z", None), ("l3", "l4")]
+    on = {x: x for p in pairs for x in p if x}
+    for _ in on:
+        for a, b in pairs:
+            if a and b:
+                on[a] = on[b] = min(on[a], on[b])
+    edges = spark.createDataFrame(pairs, "src string, tgt string")
+    levels, real = [], algorithms._led
+    monkeypatch.setattr(algorithms, "_led", lambda first: levels.append(1) or real(first))
+    monkeypatch.setattr(algorithms, "Links", None)
+    number = lambda name, salt: F.when(salt == 0, F.pmod(F.xxhash64(name), F.lit(20))).otherwise(F.xxhash64(name, salt))
+    assert {r.name: r.community for r in algorithms.components(edges, 0, number).collect()} == on and len(levels) <= 4
+    assert {r.name: r.community for r in algorithms.components(edges).collect()} == on
