@@ -120,3 +120,18 @@ def test_components_send_edges_once_a_level(spark, monkeypatch):
     number = lambda name, salt: F.when(salt == 0, F.pmod(F.xxhash64(name), F.lit(20))).otherwise(F.xxhash64(name, salt))
     assert {r.name: r.community for r in algorithms.components(edges, 0, number).collect()} == on and len(levels) <= 4
     assert {r.name: r.community for r in algorithms.components(edges).collect()} == on
+
+
+def test_a_removal_from_most_of_the_graph_joins_no_edges_to_its_members(spark, tmp_path, monkeypatch):
+    from loomgraph.operators import upkeep
+    from loomgraph.sources.changes import ChangeStore
+    from loomgraph.sources.store import GraphStore
+
+    pairs = [(f"n{i}", f"n{i + 1}", "R") for i in range(8)] + [("x", "y", "R")]
+    nodes = spark.createDataFrame([(n,) for n in sorted({x for p in pairs for x in p[:2]})], "name string").selectExpr("name", "'E' label", "cast(null as map<string,string>) props", "cast(null as double) pagerank", "cast(null as long) community_id")
+    graph = GraphStore(nodes, spark.createDataFrame(pairs, "src string, tgt string, rel_type string").selectExpr("*", "cast(null as map<string,string>) props"))
+    store, gone = ChangeStore.create(spark, f"{tmp_path}/graph", graph, buckets=2), spark.createDataFrame(pairs[3:4], "src string, tgt string, rel_type string")
+    now = upkeep.Components.build(graph, f"{tmp_path}/labels", buckets=2)
+    monkeypatch.setattr(ChangeStore, "edges_from", None)
+    found = {r.name: r.community for r in now.removed(gone, store.delete_edges(gone)).all().collect()}
+    assert found == {f"n{i}": "n0" if i < 4 else "n4" for i in range(9)} | {"x": "x", "y": "x"}
