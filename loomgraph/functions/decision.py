@@ -43,6 +43,19 @@ def _shared(context: Column, instruction: Column) -> Column:
 lexical.prepare, lexical.compare = words, _shared
 
 
+def overlapped(rows: DataFrame, context: Column, instruction: Column, scorer: Scorer, ready: bool = False) -> DataFrame:
+    """rows with the scorer's share of each as _o.  ready: the context is prepared already, where the scorer prepares.
+
+    Each step is a column of its own, and the share passes through a generator of one row: no filter or sum that uses it
+    is moved to where it would be worked out anew at each use."""
+    if getattr(scorer, "prepare", None):
+        made = rows.withColumns({"_c": context if ready else scorer.prepare(context), "_i": scorer.prepare(instruction)})
+        share = made.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_c"], scorer.compare(F.col("_c"), F.col("_i")).alias("_share"))
+    else:
+        share = rows.withColumn("_share", scorer(context, instruction))
+    return share.select("*", F.explode(F.array("_share")).alias("_o")).drop("_share")
+
+
 def trigram(context: Column, instruction: Column) -> Column:
     """Jaccard similarity of character trigrams; 0 without any."""
     a, b = trigrams(context), trigrams(instruction)

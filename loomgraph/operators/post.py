@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.config import DEFAULT
 from loomgraph.functions import decision as d
 from loomgraph.functions.text import strip
+from loomgraph.tables import written
 
 
 def paths_to_nodes(paths: DataFrame, decay: float = 0.9) -> DataFrame:
@@ -24,15 +25,17 @@ def paths_to_nodes(paths: DataFrame, decay: float = 0.9) -> DataFrame:
 def edges_to_nodes(edges: DataFrame) -> DataFrame:
     """Source, then target, of each edge (query_id, edge_ord, src, tgt, score), each name once, no empty ones."""
     each = edges.select("query_id", "edge_ord", "score", F.posexplode(F.array("src", "tgt")).alias("pos", "name")).where("name <> ''")
-    first = d.ranked(each, ["query_id", "name"], F.col("edge_ord"), F.col("pos")).where("rank = 1")
-    order = Window.partitionBy("query_id").orderBy("edge_ord", "pos")
+    at = F.col("edge_ord").cast("long") * 2 + F.col("pos")
+    first = each.withColumn("_at", at).groupBy("query_id", "name").agg(F.min("_at").alias("_at"), F.min_by("score", "_at").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("_at")
     return first.select("query_id", (F.row_number().over(order) - 1).alias("ord"), "name", F.col("name").alias("text"), "score")
 
 
-def rerank(nodes: DataFrame, question: Column, drop: float = 0.2, scorer: d.Scorer = d.lexical) -> DataFrame:
-    """Scores nodes anew and keeps the best max(1, floor(n * (1 - drop))) of each query."""
-    s = F.round(d.score(d.probabilities(scorer(question, F.col("text")))), 6)
-    new = d.ranked(nodes.withColumn("score", s), ["query_id"], F.desc("score"), F.col("ord")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+def rerank(nodes: DataFrame, question: Column, drop: float = 0.2, scorer: d.Scorer = d.lexical, ready: bool = False) -> DataFrame:
+    """Scores nodes anew and keeps the best max(1, floor(n * (1 - drop))) of each query.  ready: the question is prepared
+    by the scorer already, once for all of its nodes."""
+    s = F.round(d.score(d.probabilities(F.col("_o"))), 6)
+    new = d.ranked(d.overlapped(nodes, question, F.col("text"), scorer, ready).withColumn("score", s), ["query_id"], F.desc("score"), F.col("ord")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     return new.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(1 - drop) + F.lit(1e-9)))).select("query_id", F.col("rank").cast("int").alias("rank"), "name", "text", "score")
 
 
@@ -67,7 +70,10 @@ def resolve(pairs: DataFrame, question: Column, scorer: d.Scorer = d.lexical) ->
 def settled(nodes: DataFrame, asked: DataFrame, scorer: d.Scorer = d.lexical) -> DataFrame:
     """Ranked nodes(query_id, rank, name, text, score) of asked(query_id, question) with one node for each name: of names
     that have several the node with the winning text comes after all others."""
-    pairs = conflicts(nodes)
+    several = written(nodes.groupBy("query_id", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if several.isEmpty():  # nothing to settle, so nothing is joined
+        return d.ranked(nodes.withColumnRenamed("rank", "_at"), ["query_id"], F.col("_at")).select("query_id", F.col("rank").cast("int").alias("rank"), "name", "text", "score")
+    pairs = conflicts(nodes.join(several, ["query_id", "name"], "left_semi"))
     won = conflict_log(pairs.join(asked.select("query_id", "question"), "query_id"), F.col("question"), scorer).select("query_id", "name", "winner")
     same = nodes.join(won, ["query_id", "name"]).where(F.col("text").eqNullSafe(F.col("winner"))).drop("winner")
     winners = d.ranked(same.withColumnRenamed("rank", "_at"), ["query_id", "name"], F.col("_at")).where("rank = 1").drop("rank").withColumn("_late", F.lit(1))
@@ -86,18 +92,23 @@ def bullets(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("query_id").distinct().join(listed, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit(NOTHING)).alias("text"))
 
 
-def context(nodes: DataFrame, width: int = WIDTH, separator: str = " | ") -> DataFrame:
-    """query_id, context: the first ten nodes, name: text, in order."""
-    ten = d.ranked(nodes, ["query_id"], F.col("rank") if "rank" in nodes.columns else F.col("ord")).where("rank <= 10")
-    lines = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.col("name"), F.lit(": "), F.substring("text", 1, width)).alias("line"))))
-    return ten.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), separator).alias("context"))
+def context(nodes: DataFrame, width: int = WIDTH, separator: str = " | ", dense: bool = False) -> DataFrame:
+    """query_id, context: the first ten nodes, name: text, in order.  dense: their ranks are 1, 2, 3 and so on, as
+    rerank() and settled() give them, so nothing is ranked anew.
+
+    A line for each rank is a column of its own: a list would be hashed by question, then sorted once more."""
+    ten = (nodes if dense else d.ranked(nodes, ["query_id"], F.col("rank") if "rank" in nodes.columns else F.col("ord"))).where("rank <= 10")
+    line = F.concat(F.col("name"), F.lit(": "), F.substring("text", 1, width))
+    lines = ten.select("query_id", "rank", line.alias("line")).groupBy("query_id").agg(*[F.max(F.when(F.col("rank") == n, F.col("line"))).alias(f"_{n}") for n in range(1, 11)])
+    return lines.select("query_id", F.concat_ws(separator, *[f"_{n}" for n in range(1, 11)]).alias("context"))
 
 
 def check(contexts: DataFrame, claim: Column, threshold: float, scorer: d.Scorer = d.lexical) -> DataFrame:
     """p, passed: whether the context supports the claim; an empty claim or context never passes."""
-    p = F.round(d.noul(d.probabilities(scorer(F.col("context"), claim))), 6)
+    p = F.round(d.noul(d.probabilities(F.col("_o"))), 6)
     empty = (strip(F.coalesce(claim, F.lit(""))) == "") | (F.coalesce(F.col("context"), F.lit("")) == "")
-    return contexts.withColumn("p", F.when(empty, F.lit(0.0)).otherwise(p)).withColumn("passed", ~empty & (F.col("p") >= threshold))
+    shares = d.overlapped(contexts, F.col("context"), claim, scorer)
+    return shares.withColumn("p", F.when(empty, F.lit(0.0)).otherwise(p)).withColumn("passed", ~empty & (F.col("p") >= threshold)).drop("_o")
 
 
 LOG = (

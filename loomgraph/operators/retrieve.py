@@ -35,30 +35,26 @@ def seeds(candidates: DataFrame, keep: int = 2, scorer: d.Scorer = d.lexical) ->
     return d.ranked(candidates.withColumn("score", s), ["query_id"], F.desc("score"), F.col("ord")).where(F.col("rank") <= keep).drop("rank")
 
 
-def _scored(store: GraphStore, frontier: DataFrame, scorer: d.Scorer) -> DataFrame:
-    """Outgoing edges of frontier(question, src, ...) with all its columns and their score.
+def _scored(store: GraphStore, frontier: DataFrame, scorer: d.Scorer, most: bool = False) -> DataFrame:
+    """Outgoing edges of frontier(question, src, ...) with all its columns and their score.  A question is taken apart
+    once for all edges of a node."""
+    prepare, text = getattr(scorer, "prepare", None), edge_text(F.col("src"), F.col("rel_type"), F.col("tgt"))
+    near = (store.edges_of_most if most else store.edges_of)(frontier.withColumn("_c", prepare(F.col("question"))) if prepare else frontier)
+    shares = d.overlapped(near, F.col("_c" if prepare else "question"), text, scorer, ready=prepare is not None)
+    return shares.select(*[c for c in near.columns if c != "_c"], F.round(d.score(d.probabilities(F.col("_o"))), 6).alias("score"))
 
-    Each step is a column of its own, so that no text is taken apart twice and no share is worked out twice."""
-    near, text = store.edges_of(frontier), edge_text(F.col("src"), F.col("rel_type"), F.col("tgt"))
-    prepare = getattr(scorer, "prepare", None)
-    if prepare:
-        ready = near.withColumns({"_c": prepare(F.col("question")), "_i": prepare(text)})
-        share = ready.withColumn("_o", scorer.compare(F.col("_c"), F.col("_i")))
-    else:
-        share = near.withColumn("_o", scorer(F.col("question"), text))
-    return share.select(*near.columns, F.round(d.score(d.probabilities(F.col("_o"))), 6).alias("score"))
 
+def scored_edges(store: GraphStore, frontier: DataFrame, scorer: d.Scorer = d.lexical, most: bool = False) -> DataFrame:
+    """Outgoing edges of frontier(query_id, question, src) with their score.  most: the frontier is a large part of all
+    nodes, see GraphStore.edges_of_most()."""
+    return _scored(store, frontier.select("query_id", "question", "src"), scorer, most).select("query_id", "question", "src", "tgt", "rel_type", "pagerank", "score")
 
-def scored_edges(store: GraphStore, frontier: DataFrame, scorer: d.Scorer = d.lexical) -> DataFrame:
-    """Outgoing edges of frontier(query_id, question, src) with their score."""
-    return _scored(store, frontier.select("query_id", "question", "src"), scorer).select("query_id", "question", "src", "tgt", "rel_type", "pagerank", "score")
 
-
-def bfs(store: GraphStore, frontier: DataFrame, keep: float = 0.6, scorer: d.Scorer = d.lexical) -> DataFrame:
+def bfs(store: GraphStore, frontier: DataFrame, keep: float = 0.6, scorer: d.Scorer = d.lexical, most: bool = False) -> DataFrame:
     """One hop: edges with a score of at least `keep`; edge_ord is their order for each question, the best first."""
-    kept = scored_edges(store, frontier, scorer).where(F.col("score") >= keep).drop("question")
-    if store.adjacency is not None:  # in tasks that don't grow with the graph
-        kept = kept.repartition(store.adjacency.buckets, "query_id")
+    kept = scored_edges(store, frontier, scorer, most).where(F.col("score") >= keep).drop("question")
+    if most or store.adjacency is not None:  # in tasks that don't grow with the graph
+        kept = kept.repartition(store.tasks(), "query_id")
     return d.ranked(kept, ["query_id"], F.desc("score"), F.col("src"), F.col("tgt"), F.col("rel_type")).withColumnRenamed("rank", "edge_ord")
 
 

@@ -13,6 +13,7 @@ from loomgraph.config import EngineConfig
 from loomgraph.functions import decision as d
 from loomgraph.operators import algorithms, engine, ingest, learnt, measure, post, retrieve
 from loomgraph.operators.upkeep import Components
+from loomgraph.sources.adjacency import bucketed
 from loomgraph.sources.business_graph import SQL as GRAPH
 from loomgraph.sources.business_graph import business_graph, graph_by_source, read
 from loomgraph.sources.changes import ChangeStore
@@ -585,14 +586,14 @@ _SE = f"{GRAPH}, st AS (SELECT o_orderkey::BIGINT AS query_id, 'which part and c
 
 
 def _first_edges(spark, sf_dir):
-    """Dealt by question once, for all that follows, in as many tasks as the edges have buckets."""
-    store = graph_by_source(spark, sf_dir)
-    return retrieve.scored_edges(store, _starts(spark, sf_dir).withColumnRenamed("seed", "src")).repartition(store.adjacency.buckets, "query_id")
+    """Dealt by question once, for all that follows, in tasks that grow in number with the edges."""
+    store = business_graph(spark, sf_dir)
+    return retrieve.scored_edges(store, _starts(spark, sf_dir).withColumnRenamed("seed", "src"), most=True).repartition(store.tasks(), "query_id")
 
 
 @query(f"{_SE} SELECT query_id, src, tgt, rel_type, pagerank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, tgt, rel_type)::INT AS edge_ord FROM se WHERE score >= 0.6")
 def bfs_gated(spark, sf_dir):
-    return retrieve.bfs(graph_by_source(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"))
+    return retrieve.bfs(business_graph(spark, sf_dir), _starts(spark, sf_dir).withColumnRenamed("seed", "src"), most=True)
 
 
 @query(f"{GRAPH}, e AS (SELECT edges.*, coalesce(pagerank, 0.0) AS pagerank, {_score(repr(ASKED), EDGE_TEXT)} AS score FROM edges JOIN nodes ON name = tgt) SELECT src, tgt, round(0.65 * score + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * 2, 6) AS f FROM e")
@@ -666,8 +667,8 @@ def _context_nodes(spark, sf_dir):
 
 
 def _reranked(spark, sf_dir):
-    nodes = _context_nodes(spark, sf_dir).join(_starts(spark, sf_dir).select("query_id", "question"), "query_id")
-    return post.rerank(nodes, F.col("question"))
+    asked = _starts(spark, sf_dir).select("query_id", d.lexical.prepare(F.col("question")).alias("asked"))
+    return post.rerank(_context_nodes(spark, sf_dir).join(asked, "query_id"), F.col("asked"), ready=True)
 
 
 @query(f"{_NODES} SELECT query_id, ord, name, score FROM no")
@@ -682,7 +683,7 @@ def rerank(spark, sf_dir):
 
 @query(f"{_RANKED} SELECT query_id, string_agg(name || ': ' || name, ' | ' ORDER BY k) AS context FROM kept WHERE k <= 10 GROUP BY query_id")
 def format_context(spark, sf_dir):
-    return post.context(_reranked(spark, sf_dir))
+    return post.context(_reranked(spark, sf_dir), dense=True)
 
 
 @query(f"{_RANKED}, b AS (SELECT query_id, string_agg('- ' || name || ': ' || name, chr(10) ORDER BY k) AS text FROM kept GROUP BY query_id) SELECT query_id, coalesce(text, '(none found)') AS text FROM (SELECT query_id FROM st UNION SELECT -1) LEFT JOIN b USING (query_id)")
@@ -705,15 +706,17 @@ def gate(spark, sf_dir):
 
 @query(f"{_CTX} SELECT query_id, p, p >= 0.9 AS passed FROM g")
 def citations(spark, sf_dir):
-    return post.check(post.context(_reranked(spark, sf_dir), post.CITED), _claim(), 0.9).select("query_id", "p", "passed")
+    return post.check(post.context(_reranked(spark, sf_dir), post.CITED, dense=True), _claim(), 0.9).select("query_id", "p", "passed")
 
 
 @query(f"{_CTX}, w AS (SELECT query_id, string_agg('- ' || name || ': ' || name, chr(10) ORDER BY k) AS whole FROM kept GROUP BY query_id) SELECT query_id, CASE WHEN p < 0.5 THEN 'not enough evidence' ELSE CASE WHEN p >= 0.9 THEN '' ELSE '[UNVERIFIED] ' END || whole END AS answer FROM g JOIN w USING (query_id)")
 def answer_local(spark, sf_dir):
-    """The gate reads the first ten nodes, the answer is made of all that are kept."""
-    asked = _starts(spark, sf_dir)
-    kept = written(post.settled(_reranked(spark, sf_dir), asked))
-    c = post.check(post.context(kept), _claim(), 0.5).join(post.bullets(kept, asked), "query_id")
+    """The gate reads the first ten nodes, the answer is made of all that are kept.  The nodes lie in buckets of their
+    question, as they are dealt, so nothing that follows deals them again."""
+    asked, tasks = _starts(spark, sf_dir), business_graph(spark, sf_dir).tasks()
+    nodes = spark.table(bucketed(_reranked(spark, sf_dir), "query_id", tasks))
+    kept = post.settled(nodes, asked)
+    c = post.check(post.context(kept, dense=True), _claim(), 0.5).join(post.bullets(kept, asked), "query_id")
     return c.select("query_id", F.when(~F.col("passed"), F.lit("not enough evidence")).otherwise(F.concat(F.when(F.col("p") >= 0.9, F.lit("")).otherwise(F.lit("[UNVERIFIED] ")), F.col("text"))).alias("answer"))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .adjacency import Adjacency
+from .adjacency import NAMED, Adjacency
 
 EDGE = ["src", "tgt", "rel_type"]
 NODES_SCHEMA = "name string, label string, props map<string,string>, pagerank double, community_id bigint"
@@ -131,6 +131,19 @@ class GraphStore:
         """Outgoing edges of frontier(src): target, type, and the target's PageRank (0 if none)."""
         return self.edges_of(frontier.select("src").distinct()).select("src", "tgt", "rel_type", "pagerank")
 
+    def tasks(self) -> int:
+        """In how many tasks all edges are dealt, so that none of them grows with the graph."""
+        if self.adjacency is not None:
+            return self.adjacency.buckets
+        return max(int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.edges.count() // NAMED))
+
+    def edges_of_most(self, frontier: DataFrame) -> DataFrame:
+        """edges_of() for a frontier of a large part of all nodes that is fetched once: no layout is made for it, and the
+        edges meet the ranks before they meet the frontier, whose rows are wider."""
+        ranks = self.nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
+        known = self.edges.where("src is not null").select("src", "tgt", "rel_type").join(ranks, "tgt").repartition(self.tasks(), "src")
+        return frontier.join(known, "src").select(*frontier.columns, "tgt", "rel_type", "pagerank")
+
     def edges_of(self, frontier: DataFrame) -> DataFrame:
         """Outgoing edges of frontier(src, ...) with all its columns: tgt, rel_type, pagerank (0 if none)."""
         if self.adjacency is not None:
