@@ -60,7 +60,7 @@ class Adjacency:
         ranks = nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
         known = edges.where("src is not null").select("src", "tgt", "rel_type")
         buckets, hubs = dealt(known, "src", buckets, least, NAMED)
-        whole = known.join(ranks, "tgt").select("src", "tgt", "rel_type", "pagerank")
+        whole = known.join(ranks.repartition(buckets, "tgt"), "tgt").select("src", "tgt", "rel_type", "pagerank")
         apart = written(whole.where(F.col("src").isin(hubs)))
         return cls(spark, bucketed(whole.where(~F.col("src").isin(hubs)).repartition(buckets, "src"), "src", buckets), buckets, tuple(hubs), apart)
 

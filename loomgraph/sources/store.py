@@ -140,8 +140,10 @@ class GraphStore:
     def edges_of_most(self, frontier: DataFrame) -> DataFrame:
         """edges_of() for a frontier of a large part of all nodes that is fetched once: no layout is made for it, and the
         edges meet the ranks before they meet the frontier, whose rows are wider."""
-        ranks = self.nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
-        known = self.edges.where("src is not null").select("src", "tgt", "rel_type").join(ranks, "tgt").repartition(self.tasks(), "src")
+        tasks = self.tasks()
+        # Ranks that are dealt into so many tasks bring the edges into as many, unless they are few enough to broadcast.
+        ranks = self.nodes.select(F.col("name").alias("tgt"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")).repartition(tasks, "tgt")
+        known = self.edges.where("src is not null").select("src", "tgt", "rel_type").join(ranks, "tgt").repartition(tasks, "src")
         return frontier.join(known, "src").select(*frontier.columns, "tgt", "rel_type", "pagerank")
 
     def edges_of(self, frontier: DataFrame) -> DataFrame:
