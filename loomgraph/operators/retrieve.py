@@ -444,6 +444,42 @@ def traverse(store: GraphStore, starts: DataFrame, max_depth: int = 4, max_paths
     return _paths(store, starts, max_depth, max_paths, early, config, scorer).select(*[c.split()[0] for c in PATHS.split(", ")])
 
 
+def two_steps(store: GraphStore, starts: DataFrame, config: EngineConfig = DEFAULT, scorer: d.Scorer = d.lexical) -> DataFrame:
+    """query_id, seed, path, score, depth: what traverse() gives of starts(query_id, question, seed) for a depth of 2 where
+    all paths are wanted and none ends early, by joins alone; no search has a state and no path passes through Python.
+
+    The nodes at the first step are expanded in the order of their priority, the best of parallel edges, then of their
+    name; one leads to no node that was expanded before it in the same search.  That is looked up only for edges between
+    nodes that some search meets at its first step.  Words of edges and questions are made before they meet.
+    """
+    made, compare = getattr(scorer, "prepare", None) or (lambda text: text), getattr(scorer, "compare", scorer)
+    active = written(starts.where("seed is not null").groupBy("query_id", "seed").agg(F.min("question").alias("question")))
+    first = _scored(store, active.withColumnRenamed("seed", "src"), scorer).withColumn("f", f_score(F.col("score"), F.col("pagerank"), F.lit(1), config))
+    near = written(first.groupBy("query_id", F.col("src").alias("seed"), "question", F.col("tgt").alias("here")).agg(F.max("f").alias("f")))
+    met = near.where("here <> seed")
+    nodes = written(met.select("here").distinct())
+    edges = store.edges_of(nodes.withColumnRenamed("here", "src")).join(nodes.select(F.col("here").alias("tgt"), F.lit(True).alias("_met")), "tgt", "left")
+    known = written(edges.where("src <> tgt").select(F.col("src").alias("here"), "tgt", "pagerank", "_met", made(edge_text(F.col("src"), F.col("rel_type"), F.col("tgt"))).alias("_i")))
+    ends = active.join(near.select("seed").distinct(), "seed", "left_anti").select("query_id", "seed", F.array("seed").alias("path"), F.lit(1.0).alias("score"), F.lit(0).alias("depth"))
+    loops = store.edges_of(nodes.withColumnRenamed("here", "src")).select(F.col("src").alias("here")).distinct()
+    ends = ends.unionByName(met.join(loops, "here", "left_anti").select("query_id", "seed", F.array("seed", "here").alias("path"), F.round("f", 6).alias("score"), F.lit(1).alias("depth")))
+    asked = met.withColumn("_c", made(F.col("question"))).drop("question")
+
+    def paths(rows: DataFrame) -> DataFrame:
+        s = F.round(d.score(d.probabilities(compare(F.col("_c"), F.col("_i")))), 6)
+        scored = rows.select("query_id", "seed", F.array("seed", "here", "tgt").alias("path"), "pagerank", s.alias("s"))
+        return scored.select("query_id", "seed", "path", F.round(f_score(F.col("s"), F.col("pagerank"), F.lit(2), config), 6).alias("score"), F.lit(2).alias("depth"))
+
+    out = ends.unionByName(paths(asked.join(known.where("_met is null"), "here").where("tgt <> seed")))
+    between = known.where("_met")
+    if between.isEmpty():
+        return out
+    before = near.select(F.col("query_id").alias("_q"), F.col("seed").alias("_seed"), F.col("here").alias("_here"), F.col("f").alias("_f"))
+    same = F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("seed") == F.col("_seed")) & (F.col("tgt") == F.col("_here"))
+    sooner = (F.col("_f") > F.col("f")) | ((F.col("_f") == F.col("f")) & (F.col("_here") < F.col("here")))
+    return out.unionByName(paths(asked.join(between, "here").where("tgt <> seed").join(before, same & sooner, "left_anti")))
+
+
 def expansions(store: GraphStore, starts: DataFrame, target: str, max_depth: int = 4, config: EngineConfig = DEFAULT, scorer: d.Scorer = d.lexical) -> DataFrame:
     """query_id, seed, and how many nodes the greedy walk to the target and the best-first search for one path expand."""
     each = [walk_greedily(store, starts, target, max_depth, scorer).select("query_id", "seed", F.col("expanded").alias("greedy")),

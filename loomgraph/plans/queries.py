@@ -606,7 +606,7 @@ def fscore(spark, sf_dir):
 @query(f"{_TREE}, w AS (SELECT query_id, question, [seed] AS path, seed AS here, 0 AS depth, 1.0::DOUBLE AS f FROM top UNION ALL SELECT query_id, question, list_append(path, tgt), tgt, depth + 1, 0.65 * {_score('question', EDGE_TEXT)} + 0.25 * least(pagerank / 10.0, 1.0) - 0.1 * (depth + 1) FROM w JOIN tree ON src = here WHERE depth < 2) SELECT query_id, array_to_string(path, '>') AS path, round(f, 6) AS score, depth FROM w WHERE depth = 2 OR here NOT IN (SELECT src FROM tree)")
 def bestfirst_tree(spark, sf_dir):
     """All paths of two steps against the edges, of every kind, from each supplier: each supplier is a search of its own."""
-    return retrieve.traverse(_turned(spark, sf_dir), _suppliers(spark, sf_dir), 2, 1_000_000_000, None).select("query_id", F.array_join("path", ">").alias("path"), "score", "depth")
+    return retrieve.two_steps(_turned(spark, sf_dir), _suppliers(spark, sf_dir)).select("query_id", F.array_join("path", ">").alias("path"), "score", "depth")
 
 
 def _asked_orders(spark, sf_dir):
